@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pinchgraph.model import NODE_LABELS, RELATIONS
+from pinchgraph.operators.graph_blocks import MAX_NEIGHBOUR_ROWS, block_metrics
 from pinchgraph.storage import Step, materialize, running_offsets
 
 
@@ -66,8 +67,31 @@ def components(nodes: DataFrame, adj: DataFrame) -> DataFrame:
             return labels.select("node_id", F.col("label").alias("component"))
 
 
+def node_centrality(nodes: DataFrame, adj: DataFrame, max_rows: int = MAX_NEIGHBOUR_ROWS) -> DataFrame:
+    """D4 and D5 together: (node_id, betweenness, is_articulation_point).
+
+    A neighbour list of at most `max_rows` rows, counted first, is broadcast and walked from
+    blocks of start nodes; a larger one goes through joins.
+    """
+    small = materialize(_no_loops(adj), "centrality-edges")
+    if small.rows > max_rows:
+        points = articulation_points(nodes, small.df).withColumn("_ap", F.lit(True))
+        return betweenness(nodes, small.df).join(points, "node_id", "left").select(
+            "node_id", "betweenness", F.coalesce("_ap", F.lit(False)).alias("is_articulation_point"))
+    if not small.rows:
+        return nodes.select("node_id", F.lit(0.0).alias("betweenness"), F.lit(False).alias("is_articulation_point"))
+    return nodes.select("node_id").join(block_metrics(small.df), "node_id", "left").select(
+        "node_id", _normalised(F.col("total"), nodes.count()).alias("betweenness"),
+        F.coalesce("is_ap", F.lit(False)).alias("is_articulation_point"))
+
+
+def _normalised(total: Column, n: int, scale: float = 1.0) -> Column:
+    # ten digits remove the noise of the summation order, so later roundings are stable
+    return F.round(F.coalesce(total, F.lit(0.0)) * F.lit(scale / ((n - 1) * (n - 2) if n > 2 else 1)), 10)
+
+
 def betweenness(nodes: DataFrame, adj: DataFrame, pivots: DataFrame | None = None) -> DataFrame:
-    """(node_id, betweenness), exact and unweighted, divided by (n-1)(n-2).
+    """D4 by joins: (node_id, betweenness), exact and unweighted, divided by (n-1)(n-2).
 
     Breadth-first searches run from all sources at once: a level is one join with the
     neighbours and one aggregation by (source, node), in which the two previous levels take
@@ -107,18 +131,15 @@ def betweenness(nodes: DataFrame, adj: DataFrame, pivots: DataFrame | None = Non
             F.max("sigma").alias("sigma"), F.sum("part").alias("part")).where(F.col("sigma").isNotNull())
         below = materialize(summed.select("source", "node", "sigma", (F.col("sigma") * F.col("part")).alias("delta")),
                             "bc-back").df
-    scale = 1.0 / ((n - 1) * (n - 2) if n > 2 else 1)
-    if pivots is not None:
-        scale *= n / max(1, pivots.count())
+    scale = n / max(1, pivots.count()) if pivots is not None else 1.0
     if not shares:
         return nodes.select("node_id", F.lit(0.0).alias("betweenness"))
     every = shares[0]
     for more in shares[1:]:
         every = every.unionByName(more)
     total = every.groupBy("node").agg(F.sum("delta").alias("total"))
-    # ten digits remove the noise of the summation order, so later roundings are stable
     return nodes.select("node_id").join(total, F.col("node_id") == F.col("node"), "left").select(
-        "node_id", F.round(F.coalesce("total", F.lit(0.0)) * F.lit(scale), 10).alias("betweenness"))
+        "node_id", _normalised(F.col("total"), n, scale).alias("betweenness"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -147,7 +168,7 @@ def _bfs_forest(comps: DataFrame, adj: DataFrame) -> list[Step]:
 
 
 def articulation_points(nodes: DataFrame, adj: DataFrame, rows_per_salt: int = 1_000_000) -> DataFrame:
-    """Nodes whose removal splits their component.
+    """D5 by joins: nodes whose removal splits their component.
 
     Tarjan and Vishkin's biconnectivity over a breadth-first forest: subtree sizes bottom-up,
     preorder numbers top-down, smallest and largest preorder reachable from each subtree

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pinchgraph.functions import vocab
 from pinchgraph.functions.scores import or_default, risk_score
-from pinchgraph.operators.graph import adjacency, articulation_points, betweenness, load_edges, load_nodes, supplier_counts
+from pinchgraph.operators.graph import adjacency, load_edges, load_nodes, node_centrality, supplier_counts
 from pinchgraph.storage import materialize
 
 CRITICAL = 0.60
@@ -21,18 +21,12 @@ def node_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     nodes = materialize(load_nodes(nodes), "risk-nodes").df
     edges = materialize(load_edges(edges, nodes).select("src", "dst"), "risk-edges").df
     adj = materialize(adjacency(edges), "risk-adjacency").df
-    central = betweenness(nodes, adj)
-    points = articulation_points(nodes, adj).withColumn("_ap", F.lit(True))
-    joined = (
-        nodes.join(central, "node_id", "left")
-        .join(supplier_counts(edges), "node_id", "left")
-        .join(points, "node_id", "left")
-    )
+    joined = nodes.join(node_centrality(nodes, adj), "node_id", "left").join(supplier_counts(edges), "node_id", "left")
     c = F.coalesce("betweenness", F.lit(0.0))
     n = F.coalesce("num_suppliers", F.lit(1).cast("long"))
     concentration = F.lit(1.0) - F.lit(1.0) / n
     criticality = or_default(F.col("criticality"), 0.5)
-    is_ap = F.coalesce("_ap", F.lit(False))
+    is_ap = F.coalesce("is_articulation_point", F.lit(False))
     return joined.select(
         "node_id", "name", "label",
         F.round(risk_score(c, concentration, criticality, is_ap), 4).alias("srs_score"),

@@ -6,18 +6,18 @@ from pyspark.sql import functions as F
 
 from pinchgraph.operators import graph, risk
 from pinchgraph.workload.registry import query
-from pinchgraph.workload.views import AS_OF
+from pinchgraph.workload.views import as_of
 
 EXCLUDED = "GEO-N3"
 
 
-@query("d1_load_graph", """SELECT label, count(*) AS n, CAST((SELECT count(*) FROM edges WHERE src IN (SELECT node_id FROM nodes) AND dst IN (SELECT node_id FROM nodes)) AS BIGINT) AS edges
-FROM nodes GROUP BY label""", "nodes edges")
+@query("d1_load_graph", """SELECT label, count(*) AS n FROM nodes GROUP BY label UNION ALL
+SELECT relation, count(*) FROM edges WHERE src IN (SELECT node_id FROM nodes) AND dst IN (SELECT node_id FROM nodes) GROUP BY 1""", "nodes edges")
 def d1(v):
     nodes = graph.load_nodes(v.nodes)
-    per_label = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    total = graph.load_edges(v.edges, nodes).agg(F.count(F.lit(1)).alias("edges"))
-    return per_label.join(F.broadcast(total))  # one row
+    edges = graph.load_edges(v.edges, nodes)
+    return nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).unionByName(
+        edges.groupBy(F.col("relation").alias("label")).agg(F.count(F.lit(1)).alias("n")))
 
 
 _SUPPLY = """SELECT DISTINCT 'COMP-' || l_suppkey AS src, 'MAT-' || l_partkey AS dst FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) AND l_partkey IN (SELECT p_partkey FROM part)"""
@@ -33,6 +33,13 @@ def d3(v):
     return graph.supplier_counts(graph.load_edges(v.supply_edges, v.supply_nodes))
 
 
+@query("d4_d5_centrality", "SELECT node_id, round(betweenness, 6) AS betweenness, node_id IN (SELECT node_id FROM apoints) AS is_articulation_point FROM between", "between apoints")
+def d4_d5(v):
+    nodes = graph.load_nodes(v.nodes)
+    return graph.node_centrality(nodes, graph.adjacency(graph.load_edges(v.edges, nodes))).withColumn(
+        "betweenness", F.round("betweenness", 6))
+
+
 @query("d4_betweenness", "SELECT node_id, round(betweenness, 6) AS betweenness FROM between", "between")
 def d4(v):
     nodes = graph.load_nodes(v.nodes)
@@ -70,8 +77,8 @@ def d7(v):
 
 @query("d8_score_run", "SELECT node_id, srs_score, betweenness, is_articulation_point, '2024-01-31' AS run FROM scores", "scores")
 def d8(v):
-    older = risk.score_run(v.node_scores().withColumn("srs_score", F.lit(0.0)), AS_OF - F.expr("INTERVAL 7 DAYS"))
-    runs = older.unionByName(risk.score_run(v.node_scores(), AS_OF))
+    older = risk.score_run(v.node_scores().withColumn("srs_score", F.lit(0.0)), as_of() - F.expr("INTERVAL 7 DAYS"))
+    runs = older.unionByName(risk.score_run(v.node_scores(), as_of()))
     return risk.latest_scores(runs).select("node_id", "srs_score", "betweenness", "is_articulation_point",
                                            F.date_format("run_at", "yyyy-MM-dd").alias("run"))
 

@@ -8,7 +8,7 @@ from pinchgraph.operators import ach
 from pinchgraph.operators import hypotheses as hyp
 from pinchgraph.workload.registry import query
 from pinchgraph.workload.sqlviews import A
-from pinchgraph.workload.views import AS_OF
+from pinchgraph.workload.views import as_of
 
 _H = "id, node_id, confidence, status, awareness_layer"
 
@@ -21,7 +21,7 @@ def _h(df):
 'active' AS status, 1 AS awareness_layer, FALSE AS ach_reviewed, strftime({A}, '%Y-%m-%d') AS created FROM hyps""", "hyps")
 def e1(v):
     made = hyp.create(v.hyps.withColumn("falsification_criteria", F.array().cast("array<string>")).withColumn(
-        "srs_score", F.col("srs_score_at_creation")), AS_OF)
+        "srs_score", F.col("srs_score_at_creation")), as_of())
     return made.select("id", "node_id", "statement", "confidence", "status", "awareness_layer", "ach_reviewed",
                        F.date_format("created_at", "yyyy-MM-dd").alias("created"))
 
@@ -48,7 +48,7 @@ strftime(CASE WHEN s_suppkey % 4 = 1 THEN {A} ELSE updated_at END, '%Y-%m-%d') A
 def e3(v):
     k = F.col("s_suppkey")
     decisions = v.hyps.where(k % 4 == 1).select("id", F.lit("falsified").alias("new_status"), (k % 8 == 1).alias("reviewed"))
-    return hyp.set_status(v.hyps, decisions, AS_OF).select("id", "status", "ach_reviewed", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+    return hyp.set_status(v.hyps, decisions, as_of()).select("id", "status", "ach_reviewed", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
 
 
 @query("e4_active", f"SELECT {_H} FROM hyps WHERE status = 'active' AND confidence >= 0.6", "hyps")
@@ -92,7 +92,7 @@ JOIN hyps h ON h.node_id = m.node_id AND h.status = 'active' WHERE CAST(substr(m
 def e7(v):
     applied = v.mentions.where(F.substring("doc_uid", 5, 20).cast("long") % 2 == 0).join(
         v.hyps.select("node_id", F.col("id").alias("hypothesis_id")), "node_id").select("hypothesis_id", "doc_uid")
-    return hyp.unapplied_evidence(v.hyps, v.mentions, v.docs, applied, AS_OF).select("hypothesis_id", "doc_uid")
+    return hyp.unapplied_evidence(v.hyps, v.mentions, v.docs, applied, as_of()).select("hypothesis_id", "doc_uid")
 
 
 @query("e7_exactly_once", """SELECT id, confidence FROM (""" + _FOLD.format(evidence="evidence") + ")", "hyps evidence")
@@ -188,13 +188,13 @@ round(CASE WHEN coalesce(robustness, 0) >= 0.4 THEN confidence ELSE greatest(con
 FROM hyps LEFT JOIN robust ON hypothesis_id = id WHERE status = 'active' AND confidence >= 0.8 AND NOT ach_reviewed""", "hyps robust")
 def f7(v):
     cand = ach.review_candidates(v.hyps)
-    reviews = ach.review(cand, v.cells, AS_OF)
+    reviews = ach.review(cand, v.cells, as_of())
     after = hyp.apply_evidence(cand, ach.failed_review_evidence(reviews)).select(F.col("id").alias("hypothesis_id"), "confidence")
     return reviews.select("hypothesis_id", F.round("robustness", 6).alias("robustness"), "passed").join(after, "hypothesis_id")
 
 
 def _new_reviews(v):
-    return ach.review(ach.review_candidates(v.hyps), v.cells, AS_OF).select("hypothesis_id", "robustness", "passed", "reviewed_at", "human_approved")
+    return ach.review(ach.review_candidates(v.hyps), v.cells, as_of()).select("hypothesis_id", "robustness", "passed", "reviewed_at", "human_approved")
 
 
 _NEW = f"""SELECT id AS hypothesis_id, coalesce(robustness, 0) AS robustness, coalesce(robustness, 0) >= 0.4 AS passed, {A} AS reviewed_at, FALSE AS human_approved

@@ -8,7 +8,7 @@ from pinchgraph.functions import scores
 from pinchgraph.operators import scoring
 from pinchgraph.workload.registry import query
 from pinchgraph.workload.sqlviews import A
-from pinchgraph.workload.views import AS_OF
+from pinchgraph.workload.views import as_of
 
 _OUT = ["id", "node_id", "confidence", "awareness_layer", "srs_score", "ias", "specificity", "validation", "recency",
         "robustness_ach", "ops_raw", "ops_final", "tier", "ach_reviewed", "evidence_for_count", "evidence_against_count"]
@@ -23,7 +23,7 @@ def g1(v):
 @query("g2_recency", f"""SELECT id, CASE WHEN d < 7 THEN 1.0::DOUBLE WHEN d < 30 THEN 0.5::DOUBLE ELSE 0.1::DOUBLE END AS recency FROM (
 SELECT id, date_diff('day', coalesce(updated_at, created_at), {A}) AS d FROM hyps)""", "hyps")
 def g2(v):
-    return v.hyps.select("id", scores.recency(F.coalesce("updated_at", "created_at"), AS_OF).alias("recency"))
+    return v.hyps.select("id", scores.recency(F.coalesce("updated_at", "created_at"), as_of()).alias("recency"))
 
 
 @query("g3_specificity_validation", "SELECT id, specificity, validation FROM scored", "scored")

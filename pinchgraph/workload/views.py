@@ -1,22 +1,27 @@
 """Logical inputs of the jobs as views over the driver's tables.
 
-`sqlviews` states the same views in SQL.  `AS_OF` stands for "now" in every query.
+`sqlviews` states the same views in SQL.  `as_of()` stands for "now" in every query.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pinchgraph.operators import ach, commodities, resolution, risk, scoring, vectors
 from pinchgraph.storage import materialize
 
 AS_OF_TEXT = "2024-01-31 00:00:00"
-AS_OF = F.lit(AS_OF_TEXT).cast("timestamp")
 HIGH, LOW = 0.36, 0.30  # thresholds that split the given vectors; the defaults would orphan all of them
 
+
+
+def as_of() -> Column:
+    return F.lit(AS_OF_TEXT).cast("timestamp")
+
+
 _NODE_SCORES: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -124,7 +129,7 @@ class Views:
             b, k % 40 == F.col("_item"))
 
         def ago(days):
-            return AS_OF - F.make_dt_interval(days=days.cast("int"))
+            return as_of() - F.make_dt_interval(days=days.cast("int"))
 
         return s.select(
             F.concat(F.lit("H-"), k.cast("string")).alias("id"), F.concat(F.lit("COMP-"), k.cast("string")).alias("node_id"),
@@ -176,12 +181,12 @@ class Views:
         r = ach.robustness(self.cells).join(done, F.col("hypothesis_id") == F.col("id"))
         return r.select(
             "hypothesis_id", F.col("robustness"), (F.col("robustness") >= ach.PASS_ROBUSTNESS).alias("passed"),
-            (AS_OF - F.make_dt_interval(days=(F.col("s_suppkey") % 20).cast("int"))).alias("reviewed_at"),
+            (as_of() - F.make_dt_interval(days=(F.col("s_suppkey") % 20).cast("int"))).alias("reviewed_at"),
             (F.col("s_suppkey") % 2 == 0).alias("human_approved"))
 
     @cached_property
     def scored(self) -> DataFrame:
-        return scoring.score(self.hyps_counted, self.reviews, AS_OF)
+        return scoring.score(self.hyps_counted, self.reviews, as_of())
 
     @cached_property
     def node_vectors(self) -> DataFrame:
@@ -213,7 +218,7 @@ class Views:
 
     @cached_property
     def mentions(self) -> DataFrame:
-        return resolution.auto_mentions(self.routed, AS_OF, HIGH)
+        return resolution.auto_mentions(self.routed, as_of(), HIGH)
 
     @cached_property
     def news(self) -> DataFrame:
@@ -232,7 +237,7 @@ class Views:
     def alert_ledger(self) -> DataFrame:
         k = F.col("s_suppkey")
         layers = F.array_compact(F.array(F.when(k % 7 == 0, 4), F.when(k % 6 == 0, 98), F.when(k % 5 == 0, 99)))
-        return self.hyps.select(F.col("id").alias("hypothesis_id"), F.explode(layers).alias("layer"), AS_OF.alias("alerted_at"))
+        return self.hyps.select(F.col("id").alias("hypothesis_id"), F.explode(layers).alias("layer"), as_of().alias("alerted_at"))
 
     @cached_property
     def commodity_results(self) -> DataFrame:
