@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pinchgraph.functions.text import clean_text, gaps, tokens, whole_word_pattern
@@ -17,6 +17,13 @@ def name_dictionary(concepts: DataFrame) -> DataFrame:
     return concepts.select(F.explode(every).alias("name")).distinct()
 
 
+def _word_runs(n: int) -> Column:
+    """The runs of `n` words of column `_toks`, joined by single spaces."""
+    starts = F.sequence(F.lit(1), F.size("_toks") - (n - 1))
+    return F.when(F.size("_toks") >= n, F.transform(starts, lambda i: F.array_join(F.slice("_toks", i, n), " "))).otherwise(
+        F.array().cast("array<string>"))
+
+
 def match_terms(texts: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term) pairs where `term` stands as a whole word in `text`, case ignored.
 
@@ -45,10 +52,7 @@ def match_terms(texts: DataFrame, terms: DataFrame, key: str, text: str) -> Data
         elif n == 1:
             parts.append(F.col("_toks"))
         else:
-            starts = F.sequence(F.lit(1), F.size("_toks") - (n - 1))
-            parts.append(F.when(F.size("_toks") >= n, F.transform(
-                starts, lambda i, n=n: F.array_join(F.slice("_toks", i, n), " ")))
-                .otherwise(F.array().cast("array<string>")))
+            parts.append(_word_runs(n))
     if not parts:
         return texts.select(key).withColumn("term", F.lit(None).cast("string")).where(F.lit(False))
     grams = runs.select(key, text, F.explode(F.array_distinct(F.concat(*parts))).alias("_gram"))

@@ -171,6 +171,26 @@ JOIN (SELECT node_id, greatest(1, coalesce(c, 0)) AS k FROM nodes LEFT JOIN (SEL
 JOIN (SELECT node_id, node_id IN (SELECT node_id FROM apoints) AS ap FROM nodes) USING (node_id)""")
 
 
+EXCLUDED = "GEO-N3"
+
+
+def _without_node(excluded: str) -> dict[str, tuple[str, str]]:
+    """The score views again over the graph without one node; their names end in _x."""
+    import re
+
+    names = [n for n in _closure(["scores"])]
+    pattern = re.compile(r"\b(" + "|".join(names) + r")\b")
+    out = {
+        "nodes_x": ("nodes", f"SELECT * FROM nodes WHERE node_id <> '{excluded}'"),
+        "edges_x": ("edges", f"SELECT * FROM edges WHERE src <> '{excluded}' AND dst <> '{excluded}'"),
+    }
+    for name in names:
+        if name not in ("nodes", "edges"):
+            needs, sql = SQL_VIEWS[name]
+            out[f"{name}_x"] = (" ".join(f"{n}_x" for n in needs.split()), pattern.sub(r"\1_x", sql))
+    return out
+
+
 def _closure(names: list[str]) -> list[str]:
     order: list[str] = []
 
@@ -186,6 +206,9 @@ def _closure(names: list[str]) -> list[str]:
     return order
 
 
+SQL_VIEWS.update(_without_node(EXCLUDED))
+
+
 def with_views(sql: str, names: list[str]) -> str:
     """`sql` preceded by the views it needs as common table expressions."""
     order = _closure(names)
