@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pinchgraph.functions import vocab
-from pinchgraph.functions.text import days_since
+from pinchgraph.functions.text import days_since, let
 
 
 def or_default(c: Column, default: float) -> Column:
@@ -55,25 +55,29 @@ def stress_score(scores: dict[str, Column]) -> Column:
 
 def outlook(raw: Column) -> Column:
     """Exact word, then phrases in order, then word families, else neutral."""
-    v = F.regexp_replace(F.trim(F.lower(raw)), r"\.+$", "")
-    expr = F.when(F.coalesce(raw, F.lit("")) == "", "neutral").when(v.isin(vocab.OUTLOOKS), v)
-    for phrase, value in vocab.OUTLOOK_PHRASES:
-        expr = expr.when(F.contains(v, F.lit(phrase)), value)
-    for words, value in ((vocab.BEARISH_WORDS, "bearish"), (vocab.BULLISH_WORDS, "bullish")):
-        for word in words:
-            expr = expr.when(F.contains(v, F.lit(word)), value)
-    return expr.otherwise("neutral")
+    def classify(v: Column) -> Column:
+        expr = F.when(v == "", "neutral").when(v.isin(vocab.OUTLOOKS), v)
+        for phrase, value in vocab.OUTLOOK_PHRASES:
+            expr = expr.when(F.contains(v, F.lit(phrase)), value)
+        for words, value in ((vocab.BEARISH_WORDS, "bearish"), (vocab.BULLISH_WORDS, "bullish")):
+            for word in words:
+                expr = expr.when(F.contains(v, F.lit(word)), value)
+        return expr.otherwise("neutral")
+
+    return let(F.regexp_replace(F.trim(F.lower(F.coalesce(raw, F.lit("")))), r"\.+$", ""), classify)
 
 
 def consensus(raw: Column) -> Column:
     """I4: tight, contested or divided."""
-    v = F.trim(F.lower(F.coalesce(raw, F.lit(""))))
-    expr = None
-    for words, value in ((vocab.TIGHT_WORDS, "tight"), (vocab.CONTESTED_WORDS, "contested")):
-        for word in words:
-            hit = F.contains(v, F.lit(word))
-            expr = F.when(hit, value) if expr is None else expr.when(hit, value)
-    return expr.otherwise("divided")
+    def classify(v: Column) -> Column:
+        expr = None
+        for words, value in ((vocab.TIGHT_WORDS, "tight"), (vocab.CONTESTED_WORDS, "contested")):
+            for word in words:
+                hit = F.contains(v, F.lit(word))
+                expr = F.when(hit, value) if expr is None else expr.when(hit, value)
+        return expr.otherwise("divided")
+
+    return let(F.trim(F.lower(F.coalesce(raw, F.lit("")))), classify)
 
 
 def stress_band(score: Column) -> Column:

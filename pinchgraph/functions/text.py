@@ -25,6 +25,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once per row, however often `use` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip_space(c: Column | str) -> Column:
     """Trim Unicode white space at both ends."""
     return F.regexp_replace(_col(c), f"^{SPACE}+|{SPACE}+$", "")
@@ -43,11 +48,8 @@ def clean_text(c: Column | str, limit: int = CLEAN_CHARS) -> Column:
 
 def contains_any(c: Column, terms: list[str], fold_terms: bool = True) -> Column:
     """Whether lower-cased text holds one of `terms` as a substring."""
-    low = F.lower(c)
-    found = F.lit(False)
-    for term in terms:
-        found = found | F.contains(low, F.lit(term.lower() if fold_terms else term))
-    return found
+    listed = F.array(*[F.lit(t.lower() if fold_terms else t) for t in terms])
+    return let(F.lower(c), lambda low: F.exists(listed, lambda term: F.contains(low, term)))
 
 
 def relevant(title: Column | str, body: Column | str, terms: list[str]) -> Column:
@@ -58,21 +60,16 @@ def relevant(title: Column | str, body: Column | str, terms: list[str]) -> Colum
 
 def count_terms(low: Column, terms: list[str]) -> Column:
     """How many of `terms` occur in already lower-cased text."""
-    total = F.lit(0)
-    for term in terms:
-        total = total + F.contains(low, F.lit(term)).cast("int")
-    return total
+    return F.size(F.filter(F.array(*[F.lit(t) for t in terms]), lambda term: F.contains(low, term)))
 
 
 def evidence_tone(title: Column | str, text: Column | str) -> Column:
     """(risk - mitigating) / (risk + mitigating) in [-1, 1]; 0 without any term."""
     low = F.lower(F.concat(F.coalesce(_col(title), F.lit("")), F.lit(" "), F.coalesce(_col(text), F.lit(""))))
-    # one lower-cased text in a one-element array, so that the 26 tests share it
-    pair = F.element_at(
-        F.transform(F.array(low), lambda t: F.struct(
-            count_terms(t, vocab.RISK_TERMS).alias("risk"), count_terms(t, vocab.MITIGATING_TERMS).alias("calm"))), 1)
-    return F.element_at(F.transform(F.array(pair), lambda p: F.greatest(F.lit(-1.0), F.least(
-        F.lit(1.0), (p["risk"] - p["calm"]) / F.greatest(F.lit(1), p["risk"] + p["calm"])))), 1)
+    return let(low, lambda t: let(
+        F.struct(count_terms(t, vocab.RISK_TERMS).alias("risk"), count_terms(t, vocab.MITIGATING_TERMS).alias("calm")),
+        lambda n: F.greatest(F.lit(-1.0), F.least(
+            F.lit(1.0), (n["risk"] - n["calm"]) / F.greatest(F.lit(1), n["risk"] + n["calm"])))))
 
 
 def evidence_line(uid: Column | str, title: Column | str) -> Column:
@@ -83,13 +80,14 @@ def evidence_line(uid: Column | str, title: Column | str) -> Column:
 
 def source_class(line: Column | str) -> Column:
     """Displayed source from the uid prefix of an evidence line."""
-    line = _col(line)
-    uid = F.regexp_extract(line, r"^\[([^\]]*)\]", 1)
-    expr = None
-    for prefix, name in vocab.SOURCE_CLASSES:
-        hit = F.startswith(uid, F.lit(prefix))
-        expr = F.when(hit, name) if expr is None else expr.when(hit, name)
-    return expr.otherwise("Unknown")
+    def classify(uid: Column) -> Column:
+        expr = None
+        for prefix, name in vocab.SOURCE_CLASSES:
+            hit = F.startswith(uid, F.lit(prefix))
+            expr = F.when(hit, name) if expr is None else expr.when(hit, name)
+        return expr.otherwise("Unknown")
+
+    return let(F.regexp_extract(_col(line), r"^\[([^\]]*)\]", 1), classify)
 
 
 def node_type(node_id: Column | str) -> Column:
@@ -120,11 +118,12 @@ def document_embedding_input(title: Column, text: Column) -> Column:
 
 def chunks(text: Column, size: int = 2000, step: int = 1800) -> Column:
     """Overlapping pieces; a text of at most `size` characters is one piece, blank is ' '."""
-    stripped = strip_space(text)
-    body = F.when(stripped == "", F.lit(" ")).otherwise(stripped)
-    starts = F.sequence(F.lit(0), F.greatest(F.length(body) - 1, F.lit(0)), F.lit(step))
-    return F.when(F.length(body) <= size, F.array(body)).otherwise(
-        F.transform(starts, lambda i: F.substring(body, i + 1, F.lit(size))))
+    def cut(body: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.length(body) - 1, F.lit(0)), F.lit(step))
+        return F.when(F.length(body) <= size, F.array(body)).otherwise(
+            F.transform(starts, lambda i: F.substring(body, i + 1, F.lit(size))))
+
+    return let(strip_space(text), lambda t: let(F.when(t == "", F.lit(" ")).otherwise(t), cut))
 
 
 def watch_keywords(node_name: Column, statement: Column, limit: int = 8) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pinchgraph.functions import vocab
-from pinchgraph.functions.text import SPACE, strip_tags
+from pinchgraph.functions.text import SPACE, let, strip_tags
 
 SUBMISSIONS = """struct<filings: struct<recent: struct<form: array<string>, filingDate: array<string>,
 accessionNumber: array<string>, primaryDocument: array<string>>>>"""
@@ -40,17 +40,20 @@ def risk_snippet(body: Column, terms: list[str] | None = None, case_fold_terms:
     The first term wins ties; without a hit, the first 1000 characters.  Terms are compared as
     written with lower-cased text unless `case_fold_terms` (S17).
     """
+    listed = F.array(*[F.lit(t.lower() if case_fold_terms else t) for t in terms or vocab.FILING_TERMS])
+
+    def longest(text: Column, low: Column) -> Column:
+        def window(term: Column) -> Column:
+            at = F.instr(low, term)
+            start = F.greatest(at - 200, F.lit(1))
+            return F.when(at > 0, F.substring(text, start, at + 500 - start)).otherwise(F.lit(""))
+
+        best = F.aggregate(F.transform(listed, window), F.lit(""),
+                           lambda acc, s: F.when(F.length(s) > F.length(acc), s).otherwise(acc))
+        return let(best, lambda b: F.when(b != "", F.left(b, F.lit(3000))).otherwise(F.left(text, F.lit(1000))))
+
     text = F.trim(F.regexp_replace(strip_tags(body), f"{SPACE}+", " "))
-    low = F.lower(text)
-    best = F.lit("")
-    snippets = []
-    for term in terms or vocab.FILING_TERMS:
-        at = F.instr(low, F.lit(term.lower() if case_fold_terms else term))
-        start = F.greatest(at - 200, F.lit(1))
-        snippets.append(F.when(at > 0, F.substring(text, start, at + 500 - start)).otherwise(F.lit("")))
-    best = F.aggregate(F.array(*snippets), F.lit(""),
-                       lambda acc, s: F.when(F.length(s) > F.length(acc), s).otherwise(acc))
-    return F.when(best != "", F.left(best, F.lit(3000))).otherwise(F.left(text, F.lit(1000)))
+    return let(text, lambda t: let(F.lower(t), lambda low: longest(t, low)))
 
 
 def filing_documents(filings: DataFrame) -> DataFrame:

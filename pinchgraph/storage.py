@@ -74,28 +74,25 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     return df
 
 
+def _winners(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> DataFrame:
+    if len(order) == 1:  # a plain column stays in the hash aggregate
+        return df.groupBy(*keys).agg(pick(order[0]).alias(order[0]))
+    best = df.groupBy(*keys).agg(pick(F.struct(*order)).alias("_best"))
+    return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in order])
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key, the first in `order` (which must be a total order within the key).
+    """The rows holding the first `order` value of their key: one per key when `order` is unique there.
 
-    Winners are found on narrow columns with map-side combine, then picked by a semi join
-    on key *and* order, so a key holding a third of the rows is never gathered in one task.
+    Winners are found on narrow columns with map-side combine, then picked by a semi join on
+    key *and* order, so a key holding a third of the rows is never gathered in one task.
     """
-    winners = (
-        df.groupBy(*keys)
-        .agg(F.min(F.struct(*order)).alias("_first"))
-        .select(*keys, *[F.col(f"_first.{c}").alias(c) for c in order])
-    )
-    return df.join(winners, [*keys, *order], "left_semi")
+    return df.join(_winners(df, keys, order, F.min), [*keys, *order], "left_semi")
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """As `keep_first`, for the last row."""
-    winners = (
-        df.groupBy(*keys)
-        .agg(F.max(F.struct(*order)).alias("_last"))
-        .select(*keys, *[F.col(f"_last.{c}").alias(c) for c in order])
-    )
-    return df.join(winners, [*keys, *order], "left_semi")
+    return df.join(_winners(df, keys, order, F.max), [*keys, *order], "left_semi")
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

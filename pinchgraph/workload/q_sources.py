@@ -109,7 +109,8 @@ def a8(v):
                    F.date_format(F.timestamp_seconds(F.lit(1704067200) + c * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
                    (F.lit(1704067200) + c * 60).alias("created_at_i"), (c % 40).alias("points"), t.alias("num_comments"), F.col("role").alias("author"))
     body = F.to_json(F.struct(F.array(hit).alias("hits")))
-    payloads = v.table("conversations").where("text <> ''").select(body.alias("payload"), F.explode(F.array(F.lit(1), F.lit(2))).alias("query_no")).withColumn(
+    bodies = v.table("conversations").where("text <> ''").select(body.alias("payload"))
+    payloads = bodies.select("payload", F.explode(F.array(F.lit(1), F.lit(2))).alias("query_no")).withColumn(
         "query", F.concat(F.lit("q"), F.col("query_no").cast("string")))
     return _epoch(stories.stories(payloads, F.lit(1704067200 + 600), as_of()))
 
@@ -223,7 +224,7 @@ _WHEN = f"CASE WHEN doc_id % 3 = 2 THEN {_sec(A)} ELSE {_sec('published_at')} EN
 @query("a14_feed_entries", f"""SELECT 'rss_' || feed || ':' || left(sha256(CASE WHEN doc_id % 2 = 0 THEN 'id' || doc_id ELSE 'https://f.example.org/' || doc_id END), 16) AS uid, t AS title,
 md5(CASE WHEN x = '' THEN t ELSE left(x, 3000) END) AS text_md5, 'https://f.example.org/' || doc_id AS url, 'rss_' || feed AS source, CAST({_TIER19} AS INTEGER) AS ias_tier, {_WHEN} AS published,
 '{{"feed":"' || feed || '","feed_url":"https://f.example.org/' || feed || '","tags":["c1","' || lang || '"]}}' AS metadata
-FROM (SELECT *, {_PLAIN.format('title')} AS t, {_PLAIN.format('text')} AS x, {_FEED} AS feed FROM docs) WHERE {_any(vocab.FEED_KEYWORDS, "lower(t || ' ' || x)")}""", "docs")
+FROM (SELECT *, {_PLAIN.format('title')} AS t, {_PLAIN.format('text')} AS x, {_FEED} AS feed, lower(t || ' ' || x) AS low FROM docs) WHERE {_any(vocab.FEED_KEYWORDS, "low")}""", "docs")
 def a14(v):
     feed = F.element_at(F.array(*[F.lit(n) for n in _FEEDS]), (F.col("doc_id") % 19 + 1).cast("int"))
     items = _items(v, [feed.alias("feed"), F.concat(F.lit("https://f.example.org/"), feed).alias("feed_url")])
@@ -258,7 +259,7 @@ _JTIER = "CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN {t}" for i, (_, t) in enu
 
 @query("a17_job_feed", f"""SELECT 'jobs_remoteok:' || left(sha256('https://f.example.org/' || doc_id), 16) AS uid, '[Job] ' || t AS title, md5(CASE WHEN x = '' THEN t ELSE left(x, 2000) END) AS text_md5,
 'https://f.example.org/' || doc_id AS url, 'jobs_remoteok' AS source, CAST({_JTIER} AS INTEGER) AS ias_tier, {_WHEN} AS published, '{{"tag":"' || {_JTAG} || '","board":"remoteok"}}' AS metadata
-FROM (SELECT *, {_PLAIN.format('title')} AS t, {_PLAIN.format('text')} AS x FROM docs) WHERE {_any(vocab.JOB_KEYWORDS, "lower(t || ' ' || x)")}""", "docs")
+FROM (SELECT *, {_PLAIN.format('title')} AS t, {_PLAIN.format('text')} AS x, lower(t || ' ' || x) AS low FROM docs) WHERE {_any(vocab.JOB_KEYWORDS, "low")}""", "docs")
 def a17(v):
     tag = F.element_at(F.array(*[F.lit(n) for n, _ in _JT]), (F.col("doc_id") % 6 + 1).cast("int"))
     tiers = v.spark.createDataFrame(_JT, "tag string, tier int")
@@ -376,7 +377,7 @@ def a28_skipped(v):
 _ONE = "SELECT source, target, relation FROM " + _TE + " WHERE target IN " + _KNOWN
 
 
-@query("a29_extend", f"{_ONE} AND s_suppkey % 2 = 0 AND CAST(substr(target, 6) AS BIGINT) % 2 = 0 UNION {_ONE}")
+@query("a29_extend", f"{_ONE} AND s_suppkey % 2 = 0 AND TRY_CAST(substr(target, 6) AS BIGINT) % 2 = 0 UNION {_ONE}")
 def a29(v):
     """Half of the taxonomy is stored; all of it is offered as an extension."""
     p = _taxonomy_payloads(v)

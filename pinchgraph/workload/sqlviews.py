@@ -10,8 +10,8 @@ SQL_VIEWS: dict[str, tuple[str, str]] = {
     "docs": ("", f"""
 SELECT d.doc_id, 'doc:' || d.doc_id AS uid, left(d.text, 120) AS title, d.text,
   'https://' || d.source || '.example.org/d/' || d.doc_id AS url, d.source, d.lang,
-  CAST(d.doc_id % 4 + 1 AS INTEGER) AS ias_tier, CAST(e.ts AS TIMESTAMP) AS published_at,
-  CASE WHEN l.doc_id IS NULL THEN 'pending' ELSE 'processed' END AS status, CAST(e.ts AS TIMESTAMP) AS ingested_at,
+  CAST(d.doc_id % 4 + 1 AS INTEGER) AS ias_tier, CAST(e.ts AS TIMESTAMP) + to_days(CAST(d.doc_id % 24 AS INTEGER)) AS published_at,
+  CASE WHEN l.doc_id IS NULL THEN 'pending' ELSE 'processed' END AS status, CAST(e.ts AS TIMESTAMP) + to_days(CAST(d.doc_id % 24 AS INTEGER)) AS ingested_at,
   '{{"lang":"' || d.lang || '"}}' AS metadata
 FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id"""),
     "concepts": ("", """

@@ -36,7 +36,9 @@ class Views:
     @cached_property
     def docs(self) -> DataFrame:
         d, labels = self.table("documents"), self.table("labels").select("doc_id", F.lit(True).alias("_l"))
-        e = self.table("events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("published_at"))
+        e = self.table("events").select(  # event times, spread over the month
+            F.col("event_id").alias("doc_id"),
+            (F.col("ts").cast("timestamp") + F.make_dt_interval(days=(F.col("event_id") % 24).cast("int"))).alias("published_at"))
         key = F.col("doc_id").cast("string")
         return d.join(e, "doc_id", "left").join(labels, "doc_id", "left").select(
             "doc_id", F.concat(F.lit("doc:"), key).alias("uid"), F.left("text", F.lit(120)).alias("title"), "text",
