@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pinchgraph.functions import vocab
+from pinchgraph.functions.text import let
 
 _FENCED = r"```(?:json)?[\s]*(\{[\s\S]*?\})[\s]*```"
 
@@ -14,9 +15,9 @@ def fenced_object(raw: Column) -> Column:
     """B10, commodity form: fenced object, else first `{` to last `}`, repaired when truncated; VARIANT or null."""
     fenced = F.regexp_extract(raw, _FENCED, 1)
     braced = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
-    candidate = F.when(fenced != "", fenced).otherwise(braced)
-    tries = [F.try_parse_json(F.concat(candidate, F.lit(end))) for end in vocab.JSON_REPAIRS]
-    return F.when(candidate != "", F.coalesce(*tries))
+    candidate = let(fenced, lambda f: F.when(f != "", f).otherwise(braced))
+    return let(candidate, lambda c: F.when(c != "", F.coalesce(
+        *[F.try_parse_json(F.concat(c, F.lit(end))) for end in vocab.JSON_REPAIRS])))
 
 
 def flat_object(raw: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pinchgraph.functions.jsontext import first_array, string_list
 from pinchgraph.operators.hypotheses import needs_review
-from pinchgraph.storage import keep_first, replace_rows, running_offsets
+from pinchgraph.storage import replace_rows, running_offsets
 
 MIN_CONFIDENCE = 0.80
 PASS_ROBUSTNESS = 0.40
@@ -118,11 +118,12 @@ def run_summary(new_reviews: DataFrame, all_reviews: DataFrame) -> DataFrame:
 
 def matrix_view(cells: DataFrame, alternatives_shown: int = 4) -> DataFrame:
     """one row per evidence item, one column per hypothesis (h0 is the hypothesis itself); missing is N."""
-    wide = cells.groupBy("hypothesis_id", "evidence_no").pivot("alt_no", list(range(alternatives_shown))).agg(F.min("class"))
+    wide = cells.groupBy("hypothesis_id", "evidence_no").pivot("alt_no", list(range(alternatives_shown))).agg(
+        F.min(F.ascii("class")))  # codes keep the hash aggregate, strings would sort
     return wide.select("hypothesis_id", "evidence_no", *[
-        F.coalesce(F.col(str(i)), F.lit("N")).alias(f"h{i}") for i in range(alternatives_shown)])
+        F.coalesce(F.char(F.col(str(i))), F.lit("N")).alias(f"h{i}") for i in range(alternatives_shown)])
 
 
 def one_class_per_cell(cells: DataFrame) -> DataFrame:
-    """Distinct cells, the smallest class where a cell is repeated."""
-    return keep_first(cells, ["hypothesis_id", "alt_no", "evidence_no"], ["class"]).distinct()
+    """Distinct cells, the smallest class where a cell is repeated (compared by character code)."""
+    return cells.groupBy("hypothesis_id", "alt_no", "evidence_no").agg(F.char(F.min(F.ascii("class"))).alias("class"))

@@ -10,7 +10,7 @@ from pinchgraph.functions.vocab import COVERAGE_LAYER, REVIEW_SENTINEL, TIER1_SE
 from pinchgraph.operators.hypotheses import active, needs_review
 from pinchgraph.operators.mentions import match_terms
 from pinchgraph.operators.scoring import opportunities
-from pinchgraph.storage import keep_last
+from pinchgraph.storage import keep_last, materialize
 
 MIN_WATCH_CONFIDENCE = 0.40
 MAX_WATCH_LAYER = 2
@@ -73,6 +73,7 @@ def _first_three(df: DataFrame, value: str, order: list[Column], out: str, sep:
 
 def alert_rows(hits: DataFrame) -> DataFrame:
     """H5: per hypothesis the number of articles, the first three sources and titles (newest first), and the rest count."""
+    hits = materialize(hits.select("hypothesis_id", "uid", "title", "source", "first_seen"), "coverage").df
     totals = hits.groupBy("hypothesis_id").agg(F.count(F.lit(1)).alias("n_articles"))
     titles = _first_three(hits.withColumn("line", F.concat_ws(": ", "source", F.left("title", F.lit(90)))), "line",
                           [F.desc("first_seen"), F.col("uid")], "titles", "\n")
@@ -86,7 +87,7 @@ def alert_rows(hits: DataFrame) -> DataFrame:
 def monitoring_cycle(watched_: DataFrame, news: DataFrame, ledger: DataFrame, as_of: Column,
                      lookback_hours: int = 24) -> tuple[DataFrame, DataFrame]:
     """H6: alert rows of this cycle and the ledger rows to append.  A second run on the result gives nothing."""
-    open_ = may_alert(watched_, ledger)
+    open_ = materialize(may_alert(watched_, ledger), "watched").df
     alerts = alert_rows(coverage(keyword_table(open_), news, as_of, lookback_hours)).join(
         open_.select(F.col("id").alias("hypothesis_id"), "statement", "confidence", "ops_score", "awareness_layer"),
         "hypothesis_id")

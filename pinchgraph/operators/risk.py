@@ -20,8 +20,7 @@ def node_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     nodes = materialize(load_nodes(nodes), "risk-nodes").df
     edges = materialize(load_edges(edges, nodes).select("src", "dst"), "risk-edges").df
-    adj = materialize(adjacency(edges), "risk-adjacency").df
-    joined = nodes.join(node_centrality(nodes, adj), "node_id", "left").join(supplier_counts(edges), "node_id", "left")
+    joined = nodes.join(node_centrality(nodes, adjacency(edges)), "node_id", "left").join(supplier_counts(edges), "node_id", "left")
     c = F.coalesce("betweenness", F.lit(0.0))
     n = F.coalesce("num_suppliers", F.lit(1).cast("long"))
     concentration = F.lit(1.0) - F.lit(1.0) / n

@@ -1,0 +1 @@
+"""End-to-end flows composed of the operators."""

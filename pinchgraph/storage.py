@@ -63,6 +63,18 @@ def materialize(df: DataFrame, tag: str, **metrics: Column) -> Step:
     return Step(spark.read.schema(df.schema).parquet(path), int(seen.get("rows") or 0), seen)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of an input with fewer splits than cores round-robin over the cores.
+
+    For per-row heavy text work on one or a few files.  An input with enough splits, as any
+    large one, is returned unchanged and nothing is shuffled.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Hint a broadcast only after counting that the side has at most `max_rows` narrow rows.
 

@@ -150,7 +150,7 @@ _WIN = "[" + ", ".join(f"CASE WHEN instr(lower(t), '{w}') > 0 THEN substr(t, CAS
 SELECT page_id, t, list_reduce({_WIN}, lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS best FROM (
 SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[{_SP}]+', ' ', 'g')) AS t FROM pages))""")
 def a10(v):
-    return v.table("pages").select("page_id", F.md5(filings.risk_snippet(F.col("html"), _SNIP_TERMS)).alias("digest"))
+    return v.texts("pages").select("page_id", F.md5(filings.risk_snippet(F.col("html"), _SNIP_TERMS)).alias("digest"))
 
 
 @query("a11_filing_documents", f"""SELECT 'edgar:' || cik || ':' || accession AS uid, '[' || form || '] ' || company || ' — ' || date AS title, company || ' ' || form || ' ' || date AS text, url, 'edgar' AS source,
@@ -276,7 +276,7 @@ def a18(v):
     k = F.col("page_id")
     job = F.struct(k.cast("string").alias("id"), F.concat(F.lit("Role "), k.cast("string")).alias("title"), F.struct(F.lit("Lyon").alias("name")).alias("location"),
                    F.col("html").alias("content"), F.date_format(F.timestamp_seconds(F.lit(1704067200) + k * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"), F.col("url").alias("absolute_url"))
-    payloads = v.table("pages").select(F.concat(F.lit("Co"), (k % 9).cast("string")).alias("company"), F.lit(2).alias("tier"), F.to_json(F.struct(F.array(job).alias("jobs"))).alias("payload"))
+    payloads = v.texts("pages").select(F.concat(F.lit("Co"), (k % 9).cast("string")).alias("company"), F.lit(2).alias("tier"), F.to_json(F.struct(F.array(job).alias("jobs"))).alias("payload"))
     return _epoch(job_boards.board_form_1(payloads, as_of()))
 
 
@@ -288,7 +288,7 @@ def a19(v):
     job = F.struct(F.concat(F.lit("j"), k.cast("string")).alias("id"), F.concat(F.lit("Role "), k.cast("string")).alias("text"),
                    F.struct(F.lit("Lyon").alias("location"), F.lit("Ops").alias("department")).alias("categories"), F.col("html").alias("descriptionPlain"),
                    F.when(k % 4 == 0, F.lit(0)).otherwise((F.lit(1704067200) + k * 3600) * 1000).alias("createdAt"), F.col("url").alias("hostedUrl"))
-    payloads = v.table("pages").select(F.concat(F.lit("Co"), (k % 9).cast("string")).alias("company"), F.lit(2).alias("tier"), F.to_json(F.array(job)).alias("payload"))
+    payloads = v.texts("pages").select(F.concat(F.lit("Co"), (k % 9).cast("string")).alias("company"), F.lit(2).alias("tier"), F.to_json(F.array(job)).alias("payload"))
     return _epoch(job_boards.board_form_2(payloads, as_of()))
 
 

@@ -21,13 +21,13 @@ def _clean(c: str) -> str:
 
 @query("b1_clean_text", f"SELECT page_id, url, md5({_clean('html')}) AS digest, length({_clean('html')}) AS chars FROM pages")
 def b1(v):
-    p = v.table("pages").select("page_id", "url", text.clean_text("html").alias("t"))
+    p = v.texts("pages").select("page_id", "url", text.clean_text("html").alias("t"))
     return p.select("page_id", "url", F.md5("t").alias("digest"), F.length("t").cast("long").alias("chars"))
 
 
 @query("b1_clean_documents", f"SELECT doc_id, md5({_clean('text')}) AS digest FROM documents")
 def b1_docs(v):
-    return v.table("documents").select("doc_id", F.md5(text.clean_text("text")).alias("digest"))
+    return v.texts("documents").select("doc_id", F.md5(text.clean_text("text")).alias("digest"))
 
 
 @query("b2_name_dictionary", "SELECT DISTINCT name FROM (SELECT name FROM concepts UNION ALL SELECT unnest(aliases) FROM concepts)", "concepts")
@@ -47,7 +47,7 @@ found AS (SELECT doc_id, name FROM grams JOIN names ON lower(name) = g)"""
 
 @query("b3_mentions", f"SELECT * FROM (WITH {_MENTIONS} SELECT 'doc:' || doc_id AS uid, name FROM found)", "concepts")
 def b3(v):
-    docs = v.table("documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("uid"), text.clean_text("text").alias("text"))
+    docs = v.texts("documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("uid"), text.clean_text("text").alias("text"))
     return mentions.find_mentions(docs, mentions.name_dictionary(v.concepts))
 
 
@@ -65,12 +65,12 @@ _FORUM = "(" + " OR ".join(f"contains(t, '{k}')" for k in vocab.FORUM_KEYWORDS)
 
 @query("b5_relevance", f"SELECT doc_id, {_FORUM} AS relevant FROM (SELECT doc_id, lower(lang || ' ' || text) AS t FROM documents)")
 def b5(v):
-    return v.table("documents").select("doc_id", text.relevant("lang", "text", vocab.FORUM_KEYWORDS).alias("relevant"))
+    return v.texts("documents").select("doc_id", text.relevant("lang", "text", vocab.FORUM_KEYWORDS).alias("relevant"))
 
 
 @query("b6_strip_tags", "SELECT page_id, md5(regexp_replace(html, '<[^>]+>', ' ', 'g')) AS digest FROM pages")
 def b6(v):
-    return v.table("pages").select("page_id", F.md5(text.strip_tags("html")).alias("digest"))
+    return v.texts("pages").select("page_id", F.md5(text.strip_tags("html")).alias("digest"))
 
 
 @query("b7_embedding_input", """SELECT id, len(text) AS chars, left(text, 12) AS head FROM (
@@ -89,7 +89,7 @@ _STRIP = rf"regexp_replace(text, '^[{_SP}]+|[{_SP}]+$', '', 'g')"
 SELECT doc_id, t, unnest(CASE WHEN length(t) <= 2000 THEN [0] ELSE range(0, length(t), 1800) END) AS i FROM (
 SELECT doc_id, CASE WHEN {_STRIP} = '' THEN ' ' ELSE {_STRIP} END AS t FROM documents))""")
 def b8(v):
-    return v.table("documents").select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("chunk_no", "c")).select(
+    return v.texts("documents").select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("chunk_no", "c")).select(
         "doc_id", "chunk_no", F.md5("c").alias("digest"))
 
 
@@ -118,7 +118,7 @@ def b11(v):
 @query("b12_whole_word", r"""SELECT doc_id, regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])' || lang || '($|[^\p{L}\p{N}_])') AS has_word FROM documents""")
 def b12(v):
     """Whether a document holds its own language code as a word."""
-    return v.table("documents").select("doc_id", text.whole_word(F.col("lang"), F.col("text")).alias("has_word"))
+    return v.texts("documents").select("doc_id", text.whole_word(F.col("lang"), F.col("text")).alias("has_word"))
 
 
 def _hits(terms):

@@ -9,9 +9,10 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pinchgraph.operators import ach, commodities, resolution, risk, scoring, vectors
-from pinchgraph.storage import materialize
+from pinchgraph.storage import materialize, spread
 
 AS_OF_TEXT = "2024-01-31 00:00:00"
 HIGH, LOW = 0.36, 0.30  # thresholds that split the given vectors; the defaults would orphan all of them
@@ -22,6 +23,7 @@ def as_of() -> Column:
     return F.lit(AS_OF_TEXT).cast("timestamp")
 
 
+_SCHEMAS: dict[tuple[str, str, str], StructType] = {}
 _NODE_SCORES: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -31,11 +33,20 @@ class Views:
         self.dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """A driver table; its schema is read from the files once per session."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        path = f"{self.dir}/{name}.parquet"
+        if key not in _SCHEMAS:
+            _SCHEMAS[key] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[key]).parquet(path)
+
+    def texts(self, name: str) -> DataFrame:
+        """A table of long texts, dealt over the cores when it has few splits."""
+        return spread(self.table(name))
 
     @cached_property
     def docs(self) -> DataFrame:
-        d, labels = self.table("documents"), self.table("labels").select("doc_id", F.lit(True).alias("_l"))
+        d, labels = self.texts("documents"), self.table("labels").select("doc_id", F.lit(True).alias("_l"))
         e = self.table("events").select(  # event times, spread over the month
             F.col("event_id").alias("doc_id"),
             (F.col("ts").cast("timestamp") + F.make_dt_interval(days=(F.col("event_id") % 24).cast("int"))).alias("published_at"))
@@ -175,7 +186,7 @@ class Views:
             (F.col("l_partkey") % 4).cast("int").alias("alt_no"),
             (F.col("l_orderkey") % (100 + 120 * (F.col("l_suppkey") % 20))).alias("evidence_no"),
             F.when(F.col("l_returnflag") == "A", "C").when(F.col("l_returnflag") == "R", "I").otherwise("N").alias("class"))
-        return rows.groupBy("hypothesis_id", "alt_no", "evidence_no").agg(F.min("class").alias("class"))
+        return ach.one_class_per_cell(rows)
 
     @cached_property
     def reviews(self) -> DataFrame:
@@ -279,6 +290,6 @@ class Views:
                     .when(form == 1, F.concat(F.lit("Here: "), head, F.lit("} as asked.")))
                     .when(form == 2, head).when(form == 3, F.lit("no answer")).when(form == 4, F.concat(head, F.lit("}")))
                     .otherwise(F.concat(head, F.lit(', "extra": {"x": 1}'))))
-        return self.table("events").select(
+        return self.texts("events").select(
             F.to_date(F.col("ts").cast("timestamp")).alias("run_date"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("commodity"),
             F.col("event_type").alias("sector"), response.alias("response"))
