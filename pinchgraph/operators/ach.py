@@ -22,11 +22,11 @@ def evidence_list(hypotheses: DataFrame, evidence: DataFrame) -> DataFrame:
     """numbered evidence lines (hypothesis_id, evidence_no, line), supporting ones first.
 
     Within a side lines follow (ts, doc_uid); a hypothesis without evidence gets one structural
-    line.  Positions are counted per hour first, so no hypothesis is numbered in one task.
+    line.  Positions are counted per minute first, so no hypothesis is numbered in one task.
     """
     keyed = evidence.join(hypotheses.select(F.col("id").alias("hypothesis_id")), "hypothesis_id", "left_semi")
     ordered = keyed.withColumn("_salt", F.concat_ws(
-        ":", F.when(F.col("supports"), "0").otherwise("1"), F.date_format("ts", "yyyyMMddHH"))).withColumn(
+        ":", F.when(F.col("supports"), "0").otherwise("1"), F.date_format("ts", "yyyyMMddHHmm"))).withColumn(
         "_tie", F.struct("ts", "doc_uid")).withColumn("_one", F.lit(1).cast("long"))
     numbered = running_offsets(ordered, ["hypothesis_id"], "_one", "_pos").select(
         "hypothesis_id", (F.col("_pos") + 1).alias("evidence_no"), "line", "supports")
@@ -53,19 +53,21 @@ def alternatives(responses: DataFrame) -> DataFrame:
         "hypothesis_id", (F.col("_p") + 1).alias("alt_no"), "alternative")
 
 
-def classify(responses: DataFrame, evidence_counts: DataFrame) -> DataFrame:
+def classify(responses: DataFrame, evidence: DataFrame) -> DataFrame:
     """Long cells (hypothesis_id, alt_no, evidence_no, class) from raw answers.
 
-    Answers are trimmed and upper-cased; anything but C, I, N, and every missing position, is N.
-    `alt_no` 0 is the hypothesis itself (S10).
+    `responses` has hypothesis_id, alt_no, response; `evidence` has hypothesis_id, evidence_no.
+    Answers are trimmed and upper-cased; anything but C, I, N, and every item without an answer,
+    is N.  `alt_no` 0 is the hypothesis itself (S10).  Answers meet the evidence rows on all three
+    keys, so no list grows with the evidence of a hypothesis.
     """
-    answers = F.coalesce(string_list(first_array(F.col("response"))), F.array().cast("array<string>"))
-    padded = F.transform(F.sequence(F.lit(1).cast("long"), F.col("n_evidence")), lambda i: F.upper(F.trim(
-        F.try_element_at("_answers", i.cast("int")))))
-    cells = responses.join(evidence_counts, "hypothesis_id").where(F.col("n_evidence") > 0).withColumn(
-        "_answers", answers).select("hypothesis_id", "alt_no", F.posexplode(padded).alias("_p", "_c"))
-    return cells.select("hypothesis_id", "alt_no", (F.col("_p") + 1).alias("evidence_no"),
-                        F.when(F.col("_c").isin("C", "I", "N"), F.col("_c")).otherwise("N").alias("class"))
+    answers = responses.select(
+        "hypothesis_id", "alt_no", F.posexplode(string_list(first_array(F.col("response")))).alias("_p", "_c")).select(
+        "hypothesis_id", "alt_no", (F.col("_p") + 1).cast("long").alias("evidence_no"), F.upper(F.trim("_c")).alias("_c"))
+    cells = evidence.select("hypothesis_id", F.col("evidence_no").cast("long").alias("evidence_no")).join(
+        responses.select("hypothesis_id", "alt_no"), "hypothesis_id")
+    return cells.join(answers, ["hypothesis_id", "alt_no", "evidence_no"], "left").select(
+        "hypothesis_id", "alt_no", "evidence_no", F.when(F.col("_c").isin("C", "I", "N"), F.col("_c")).otherwise("N").alias("class"))
 
 
 def robustness(cells: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def dimension(rows: DataFrame) -> DataFrame:
 def article_matches(docs: DataFrame, terms: list[str]) -> DataFrame:
     """(uid, source, published_at, term): documents holding a term in title or text, ASCII case ignored.
 
-    The terms are a curated list, tested inside the scan; long lists are tested in passes of
+    `terms` are already in ASCII lower case.  They are a curated list, tested inside the scan; long lists are tested in passes of
     `TERMS_PER_PASS`, so no pair of document and term is formed unless it matches.
     """
     both = docs.select("uid", "source", "published_at", ascii_lower(F.coalesce("title", F.lit(""))).alias("_t"),
@@ -41,7 +41,7 @@ def article_matches(docs: DataFrame, terms: list[str]) -> DataFrame:
     out = None
     for start in range(0, len(terms), TERMS_PER_PASS):
         listed = F.array(*[F.lit(t) for t in terms[start:start + TERMS_PER_PASS]])
-        hits = F.filter(listed, lambda t: F.contains(F.col("_t"), ascii_lower(t)) | F.contains(F.col("_x"), ascii_lower(t)))
+        hits = F.filter(listed, lambda t: F.contains(F.col("_t"), t) | F.contains(F.col("_x"), t))
         part = both.select("uid", "source", "published_at", F.explode(hits).alias("term"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -55,7 +55,8 @@ def articles(docs: DataFrame, commodities: DataFrame, as_of: Column, days: int =
     first term only; then three in all.  Both cuts are top-k windows, which Spark applies before
     the shuffle as well.
     """
-    listed = commodities.select("name", F.posexplode(F.concat(F.array("name"), "aliases")).alias("alias_no", "term"))
+    listed = commodities.select("name", F.posexplode(F.concat(F.array("name"), "aliases")).alias("alias_no", "term")).withColumn(
+        "term", ascii_lower(F.col("term")))
     recent = docs.where(F.col("published_at") >= as_of - F.expr(f"INTERVAL {days} DAYS"))
     terms = [r["term"] for r in listed.select("term").distinct().orderBy("term").toLocalIterator()]  # curated dimension
     hits = article_matches(recent, terms)

@@ -149,10 +149,10 @@ def document_evidence(hypotheses: DataFrame, mentions: DataFrame, docs: DataFram
 
 
 def unapplied_evidence(hypotheses: DataFrame, mentions: DataFrame, docs: DataFrame, applied: DataFrame, as_of: Column,
-                       days: int = 30, newest: int | None = 2000, text_col: str | None = None) -> DataFrame:
-    """Mentions of the last `days` days, the `newest` ones, not yet applied to their hypotheses.
+                       days: int = 30, newest: int | None = None, text_col: str | None = None) -> DataFrame:
+    """Mentions of the last `days` days not yet applied to their hypotheses.
 
-    `newest` is the batch size of one reconciliation; None takes all.
+    `newest` limits one reconciliation to a work batch of the newest mentions; None takes all.
     """
     recent = docs.where(F.col("published_at") >= as_of - F.expr(f"INTERVAL {days} DAYS"))
     pairs = mentions.select("doc_uid", "node_id").distinct().join(

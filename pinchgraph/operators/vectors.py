@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 CANDIDATES = "array<struct<node_id: string, label: string, similarity: double>>"
 #: Node vectors up to this many bytes are sent to every executor; more go through the block grid.
-MAX_NODE_BYTES = 256 * 1024 * 1024
+MAX_NODE_BYTES = 128 * 1024 * 1024
 NODES_PER_BLOCK = 20_000
 DOCS_PER_BLOCK = 20_000
 

@@ -24,7 +24,7 @@ def dedup_insert(known: DataFrame, incoming: DataFrame, arrival: str) -> DataFra
     `arrival` must be unique per row.  The number of rows is the number inserted (S27).
     """
     first = incoming.groupBy("uid").agg(F.min(arrival).alias(arrival))
-    fresh = first.join(known.select("uid").distinct(), "uid", "left_anti")
+    fresh = first.join(known.select("uid"), "uid", "left_anti")
     return (
         incoming.join(fresh, ["uid", arrival], "left_semi")
         .withColumn("title", F.left("title", F.lit(TITLE_CHARS)))

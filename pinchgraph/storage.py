@@ -78,10 +78,11 @@ def spread(df: DataFrame) -> DataFrame:
 def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Hint a broadcast only after counting that the side has at most `max_rows` narrow rows.
 
-    The count stops at the bound, chosen for rows of about 200 bytes.  Past it the frame is
-    returned unchanged and the join shuffles, with adaptive skew handling.
+    The bound is chosen for rows of about 200 bytes.  Past it the frame is returned unchanged
+    and the join shuffles, with adaptive skew handling.  The count is a full one, added up per
+    task; a `limit` would pull its rows into a single task first.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
+    if df.count() <= max_rows:
         return F.broadcast(df)
     return df
 

@@ -12,7 +12,7 @@ from pinchgraph.functions.text import clean_text
 from pinchgraph.functions.vocab import COVERAGE_LAYER
 from pinchgraph.operators import hypotheses, monitor, resolution, vectors
 from pinchgraph.sources.documents import dedup_insert
-from pinchgraph.storage import materialize
+from pinchgraph.storage import bounded_broadcast, materialize
 from pinchgraph.streaming.batches import BatchTable
 
 STORED_DOCUMENT = ("uid string, title string, text string, url string, source string, ias_tier int, "
@@ -36,11 +36,14 @@ def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint
 def ingest(stream: DataFrame, table: BatchTable, arrival: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """L1: append documents with a uid never stored before (A2 per micro-batch).
 
-    The stored table is the ledger, so the dedup is permanent and no state is kept; the dedup
-    itself shuffles only uid and arrival.
+    The stored table is the ledger, so the dedup is permanent and no state is kept.  The uids of
+    the batch go to the stored table while they are few, so its uid column is scanned in place
+    and never shuffled.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        table.write(dedup_insert(table.read(before_batch=batch_id), batch, arrival), batch_id)
+        here = bounded_broadcast(batch.select("uid").distinct())
+        known = table.read(before_batch=batch_id).select("uid").join(here, "uid", "left_semi")
+        table.write(dedup_insert(known, batch, arrival), batch_id)
 
     return _start(stream, each, checkpoint, available_now)
 

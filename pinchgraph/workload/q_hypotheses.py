@@ -86,13 +86,26 @@ def e6(v):
 
 
 # documents of even number count as applied already
-@query("e7_reconcile", f"""SELECT h.id AS hypothesis_id, m.doc_uid FROM (SELECT m.doc_uid, m.node_id FROM mentions m JOIN docs d ON d.uid = m.doc_uid
- WHERE d.published_at >= {A} - INTERVAL 30 DAY ORDER BY d.published_at DESC, m.doc_uid, m.node_id LIMIT 2000) m
-JOIN hyps h ON h.node_id = m.node_id AND h.status = 'active' WHERE CAST(substr(m.doc_uid, 5) AS BIGINT) % 2 = 1""", "mentions docs hyps")
-def e7(v):
+_E7 = """SELECT h.id AS hypothesis_id, m.doc_uid FROM (SELECT m.doc_uid, m.node_id FROM mentions m JOIN docs d ON d.uid = m.doc_uid
+WHERE d.published_at >= {0} - INTERVAL 30 DAY {1}) m JOIN hyps h ON h.node_id = m.node_id AND h.status = 'active'
+WHERE CAST(substr(m.doc_uid, 5) AS BIGINT) % 2 = 1"""
+
+
+def _unapplied(v, newest):
     applied = v.mentions.where(F.substring("doc_uid", 5, 20).cast("long") % 2 == 0).join(
         v.hyps.select("node_id", F.col("id").alias("hypothesis_id")), "node_id").select("hypothesis_id", "doc_uid")
-    return hyp.unapplied_evidence(v.hyps, v.mentions, v.docs, applied, as_of()).select("hypothesis_id", "doc_uid")
+    return hyp.unapplied_evidence(v.hyps, v.mentions, v.docs, applied, as_of(), newest=newest).select("hypothesis_id", "doc_uid")
+
+
+@query("e7_reconcile", _E7.format(A, ""), "mentions docs hyps")
+def e7(v):
+    return _unapplied(v, None)
+
+
+@query("e7_reconcile_newest", _E7.format(A, "ORDER BY d.published_at DESC, m.doc_uid, m.node_id LIMIT 2000"), "mentions docs hyps")
+def e7_newest(v):
+    """One work batch: the newest 2000 mentions."""
+    return _unapplied(v, 2000)
 
 
 @query("e7_exactly_once", """SELECT id, confidence FROM (""" + _FOLD.format(evidence="evidence") + ")", "hyps evidence")
@@ -168,9 +181,9 @@ CASE WHEN s_suppkey % 2 = 0 AND e.evidence_no = 1 THEN 'C' WHEN s_suppkey % 2 =
 FROM hyps h JOIN (SELECT hypothesis_id, row_number() OVER (PARTITION BY hypothesis_id ORDER BY ts, doc_uid) AS evidence_no FROM evidence) e ON e.hypothesis_id = h.id""", "hyps evidence")
 def f4(v):
     """Every supplier's answer names a few classes; the rest of its evidence is padded."""
-    n = v.evidence.groupBy("hypothesis_id").agg(F.count(F.lit(1)).alias("n_evidence"))
+    items = ach.evidence_list(v.hyps, v.evidence).join(v.evidence.select("hypothesis_id").distinct(), "hypothesis_id", "left_semi")
     raw = F.when(F.col("s_suppkey") % 2 == 0, F.lit('["c", " I ", "maybe"]')).otherwise(F.lit("no list"))
-    return ach.classify(v.hyps.select(F.col("id").alias("hypothesis_id"), F.lit(0).alias("alt_no"), raw.alias("response")), n)
+    return ach.classify(v.hyps.select(F.col("id").alias("hypothesis_id"), F.lit(0).alias("alt_no"), raw.alias("response")), items)
 
 
 @query("f5_matrix_cells", "SELECT * FROM cells", "cells")

@@ -115,7 +115,7 @@ def a8(v):
     return _epoch(stories.stories(payloads, F.lit(1704067200 + 600), as_of()))
 
 
-# one submission list per customer: its orders newest first, the priority choosing the form
+# submission lists of a customer: its orders newest first, the priority choosing the form
 _FORM = "CASE left(o_orderpriority, 1) WHEN '1' THEN '8-K' WHEN '2' THEN '10-K' WHEN '3' THEN '10-Q' ELSE 'S-1' END"
 _FILED = f"""SELECT 'Customer ' || o_custkey AS company, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, {_FORM} AS form, strftime(o_orderdate, '{_DAY}') AS date,
 '0001-' || o_orderkey AS accession, 'https://www.sec.gov/Archives/edgar/data/' || o_custkey || '/0001' || o_orderkey || '/d' || o_orderkey || '.htm' AS url
@@ -126,7 +126,8 @@ def _filings(v):
     o = v.table("orders").withColumn("_p", F.left("o_orderpriority", F.lit(1)))
     form = F.when(F.col("_p") == "1", "8-K").when(F.col("_p") == "2", "10-K").when(F.col("_p") == "3", "10-Q").otherwise("S-1")
     key = F.col("o_orderkey").cast("string")
-    listed = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct(  # one filer's own submissions
+    # one filer's submissions come in pages of at most 64 neighbouring order numbers
+    listed = o.groupBy("o_custkey", F.floor(F.col("o_orderkey") / 64).alias("page")).agg(F.sort_array(F.collect_list(F.struct(
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.concat(F.lit("0001-"), key).alias("acc"), form.alias("form"),
         F.concat(F.lit("d"), key, F.lit(".htm")).alias("doc"))), asc=False).alias("s"))
     recent = F.struct(F.col("s.form").alias("form"), F.col("s.date").alias("filingDate"), F.col("s.acc").alias("accessionNumber"), F.col("s.doc").alias("primaryDocument"))

@@ -110,7 +110,7 @@ def test_review_of_a_weak_and_a_strong_hypothesis(spark):
 
 def test_classification_is_padded(spark):
     raw = spark.createDataFrame([("h", 0, 'say ["c", " i", "?"] end'), ("h", 1, "nothing")], "hypothesis_id string, alt_no int, response string")
-    n = spark.createDataFrame([("h", 4)], "hypothesis_id string, n_evidence long")
+    n = spark.createDataFrame([("h", i) for i in (1, 2, 3, 4)], "hypothesis_id string, evidence_no long")
     got = {(r.alt_no, r.evidence_no): r["class"] for r in ach.classify(raw, n).collect()}
     assert [got[0, i] for i in (1, 2, 3, 4)] == ["C", "I", "N", "N"]
     assert [got[1, i] for i in (1, 2, 3, 4)] == ["N"] * 4
