@@ -9,6 +9,11 @@ from pinchgraph.functions import vocab
 from pinchgraph.functions.text import days_since, let
 
 
+def round_half_up(c: Column, digits: int) -> Column:
+    """Decimal rounding after cutting to ten digits, so that the order of a sum never decides a tie."""
+    return F.round(F.round(c, 10), digits)
+
+
 def or_default(c: Column, default: float) -> Column:
     """Zero counts as missing."""
     return F.coalesce(F.nullif(c, F.lit(0).cast("double")), F.lit(default))

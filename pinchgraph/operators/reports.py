@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pinchgraph.functions.scores import delta_text, stars, stress_band
+from pinchgraph.functions.scores import delta_text, round_half_up, stars, stress_band
 from pinchgraph.functions.text import days_since, explain_node, node_type, source_class
 from pinchgraph.functions.vocab import STRESS_LABELS
 from pinchgraph.operators.risk import top_nodes
@@ -28,7 +28,7 @@ def evidence_rows(evidence: DataFrame, scored: DataFrame) -> DataFrame:
     s = scored.select(F.col("id").alias("hypothesis_id"), "node_name", "node_id", "ops_final", "created_at")
     return evidence.join(s, "hypothesis_id").select(
         "hypothesis_id", F.coalesce("node_name", F.lit("")).alias("entity"), node_type("node_id").alias("type"),
-        F.round("ops_final", 3).alias("severity"), source_class("line").alias("source"),
+        round_half_up(F.col("ops_final"), 3).alias("severity"), source_class("line").alias("source"),
         F.when(F.col("supports"), "supports").otherwise("against").alias("direction"),
         F.date_format("created_at", "yyyy-MM-dd").alias("detected_at"), F.col("line").alias("snippet"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pinchgraph.functions import vocab
-from pinchgraph.functions.scores import or_default, risk_score
+from pinchgraph.functions.scores import or_default, risk_score, round_half_up
 from pinchgraph.operators.graph import adjacency, load_edges, load_nodes, node_centrality, supplier_counts
 from pinchgraph.storage import materialize
 
@@ -28,10 +28,10 @@ def node_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     is_ap = F.coalesce("is_articulation_point", F.lit(False))
     return joined.select(
         "node_id", "name", "label",
-        F.round(risk_score(c, concentration, criticality, is_ap), 4).alias("srs_score"),
-        F.round(c, 4).alias("betweenness"),
-        F.round(concentration, 4).alias("concentration"),
-        F.round(criticality, 4).alias("criticality"),
+        round_half_up(risk_score(c, concentration, criticality, is_ap), 4).alias("srs_score"),
+        round_half_up(c, 4).alias("betweenness"),
+        round_half_up(concentration, 4).alias("concentration"),
+        round_half_up(criticality, 4).alias("criticality"),
         n.alias("num_suppliers"),
         is_ap.alias("is_articulation_point"),
     )
@@ -78,7 +78,7 @@ def what_if(nodes: DataFrame, edges: DataFrame, stored: DataFrame, excluded: str
     return before.join(after.select("node_id", F.col("srs_score").alias("srs_after"),
                                     F.col("is_articulation_point").alias("now_ap")), "node_id").select(
         "node_id", "name", "label", "srs_before", "srs_after",
-        F.round(F.col("srs_after") - F.col("srs_before"), 4).alias("delta"), "was_ap", "now_ap")
+        round_half_up(F.col("srs_after") - F.col("srs_before"), 4).alias("delta"), "was_ap", "now_ap")
 
 
 def largest_changes(comparison: DataFrame, n: int = 30) -> DataFrame:
@@ -91,7 +91,7 @@ def what_if_summary(comparison: DataFrame) -> DataFrame:
     return comparison.agg(
         F.count(F.lit(1)).alias("nodes_remaining"), F.count_if("was_ap").alias("old_ap_count"),
         F.count_if("now_ap").alias("new_ap_count"),
-        F.round(F.sum("srs_after") - F.sum("srs_before"), 4).alias("total_srs_delta"))
+        round_half_up(F.sum("srs_after") - F.sum("srs_before"), 4).alias("total_srs_delta"))
 
 
 def top_subgraph(scores: DataFrame, edges: DataFrame, n: int = 50, max_edges: int = 300) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pinchgraph.functions.scores import asymmetry, or_default, recency, tier
+from pinchgraph.functions.scores import asymmetry, or_default, recency, round_half_up, tier
 
 
 def score(hypotheses: DataFrame, reviews: DataFrame, as_of: Column) -> DataFrame:
@@ -32,10 +32,10 @@ def score(hypotheses: DataFrame, reviews: DataFrame, as_of: Column) -> DataFrame
            + F.col("_r") * 0.10)
     totals = parts.withColumn("_raw", raw).withColumn("_ops", F.col("_raw") * F.col("_b"))
     return totals.select(
-        "id", "node_id", "node_name", "statement", F.round("_c", 3).alias("confidence"), "awareness_layer",
-        F.round("_s", 3).alias("srs_score"), F.round("_g", 3).alias("ias"), F.round("_p", 3).alias("specificity"),
-        F.round("_v", 3).alias("validation"), F.round("_r", 3).alias("recency"), F.round("_b", 3).alias("robustness_ach"),
-        F.round("_raw", 4).alias("ops_raw"), F.round("_ops", 4).alias("ops_final"), tier(F.col("_ops")).alias("tier"),
+        "id", "node_id", "node_name", "statement", round_half_up(F.col("_c"), 3).alias("confidence"), "awareness_layer",
+        round_half_up(F.col("_s"), 3).alias("srs_score"), round_half_up(F.col("_g"), 3).alias("ias"), round_half_up(F.col("_p"), 3).alias("specificity"),
+        round_half_up(F.col("_v"), 3).alias("validation"), round_half_up(F.col("_r"), 3).alias("recency"), round_half_up(F.col("_b"), 3).alias("robustness_ach"),
+        round_half_up(F.col("_raw"), 4).alias("ops_raw"), round_half_up(F.col("_ops"), 4).alias("ops_final"), tier(F.col("_ops")).alias("tier"),
         "ach_reviewed", "evidence_for_count", "evidence_against_count", "n_criteria", "status", "created_at", "updated_at")
 
 

@@ -105,7 +105,7 @@ def _comparison(v):
     return risk.what_if(v.nodes, v.edges, v.node_scores(), EXCLUDED)
 
 
-_CMP = """(SELECT b.node_id, b.name, b.label, b.srs_score AS srs_before, a.srs_score AS srs_after, round(a.srs_score - b.srs_score, 4) AS delta,
+_CMP = """(SELECT b.node_id, b.name, b.label, b.srs_score AS srs_before, a.srs_score AS srs_after, CAST(round(CAST(a.srs_score - b.srs_score AS DECIMAL(18, 10)), 4) AS DOUBLE) AS delta,
 b.is_articulation_point AS was_ap, a.is_articulation_point AS now_ap FROM scores b JOIN scores_x a USING (node_id))"""
 
 

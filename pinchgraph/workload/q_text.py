@@ -8,7 +8,7 @@ from pinchgraph.functions import jsontext, text, vocab
 from pinchgraph.operators import mentions, vectors
 from pinchgraph.sources import documents
 from pinchgraph.workload.registry import query
-from pinchgraph.workload.sqlviews import A
+from pinchgraph.workload.sqlviews import A, r
 from pinchgraph.workload.views import as_of
 
 _SP = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -165,8 +165,8 @@ _LABEL = "CASE label " + " ".join(f"WHEN '{k}' THEN {_sql_text(t)}" for k, t in
 
 @query("b18_explain_node", f"""SELECT node_id, array_to_string(list_filter([
 CASE WHEN is_articulation_point THEN '**' || name || {_sql_text(text.AP_TEXT)} END,
-CASE WHEN betweenness > 0.5 THEN printf({_sql_text(text.HIGH_BETWEENNESS)}, betweenness) WHEN betweenness > 0.15 THEN printf({_sql_text(text.SOME_BETWEENNESS)}, betweenness) END,
-CASE WHEN concentration > 0.8 THEN printf({_sql_text(text.HIGH_CONCENTRATION)}, concentration) WHEN concentration > 0.5 THEN printf({_sql_text(text.SOME_CONCENTRATION)}, concentration) END,
+CASE WHEN betweenness > 0.5 THEN printf({_sql_text(text.HIGH_BETWEENNESS)}, {r('betweenness', 3)}) WHEN betweenness > 0.15 THEN printf({_sql_text(text.SOME_BETWEENNESS)}, {r('betweenness', 3)}) END,
+CASE WHEN concentration > 0.8 THEN printf({_sql_text(text.HIGH_CONCENTRATION)}, {r('concentration', 2)}) WHEN concentration > 0.5 THEN printf({_sql_text(text.SOME_CONCENTRATION)}, {r('concentration', 2)}) END,
 {_LABEL}], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS explanation FROM scores""", "scores")
 def b18(v):
     s = v.node_scores()

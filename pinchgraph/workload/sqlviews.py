@@ -5,6 +5,12 @@ from __future__ import annotations
 A = "TIMESTAMP '2024-01-31 00:00:00'"
 W = r"[\p{L}\p{N}_]"
 
+
+def r(x: str, digits: int) -> str:
+    """Decimal rounding after cutting to ten digits."""
+    return f"CAST(round(CAST({x} AS DECIMAL(18, 10)), {digits}) AS DOUBLE)"
+
+
 # name -> (views it needs, query)
 SQL_VIEWS: dict[str, tuple[str, str]] = {
     "docs": ("", f"""
@@ -71,9 +77,9 @@ SELECT r.hypothesis_id, robustness, robustness >= 0.40 AS passed,
   {A} - to_days(CAST(s_suppkey % 20 AS INTEGER)) AS reviewed_at, s_suppkey % 2 = 0 AS human_approved
 FROM robust r JOIN hyps h ON h.id = r.hypothesis_id WHERE h.ach_reviewed"""),
     "scored": ("hyps_counted reviews", f"""
-SELECT id, node_id, node_name, statement, round(c, 3) AS confidence, layer AS awareness_layer, round(s, 3) AS srs_score,
-  round(g, 3) AS ias, round(p, 3) AS specificity, round(v, 3) AS validation, round(t, 3) AS recency, round(b, 3) AS robustness_ach,
-  round(raw, 4) AS ops_raw, round(raw * b, 4) AS ops_final,
+SELECT id, node_id, node_name, statement, {r('c', 3)} AS confidence, layer AS awareness_layer, {r('s', 3)} AS srs_score,
+  {r('g', 3)} AS ias, {r('p', 3)} AS specificity, {r('v', 3)} AS validation, {r('t', 3)} AS recency, {r('b', 3)} AS robustness_ach,
+  {r('raw', 4)} AS ops_raw, {r('raw * b', 4)} AS ops_final,
   CASE WHEN raw * b >= 0.60 THEN 1 WHEN raw * b >= 0.35 THEN 2 ELSE 3 END AS tier, ach_reviewed,
   evidence_for AS evidence_for_count, evidence_against AS evidence_against_count, n_criteria, status, created_at, updated_at
 FROM (SELECT *, s * g * 0.40::DOUBLE + p * 0.20::DOUBLE + c * 0.15::DOUBLE + v * 0.15::DOUBLE + t * 0.10::DOUBLE AS raw FROM (
@@ -161,10 +167,11 @@ SELECT x AS node_id FROM (
   SELECT x, count(*) AS n FROM reach GROUP BY 1) r
 JOIN (WITH RECURSIVE comp AS (SELECT src AS x, src AS v FROM adj UNION SELECT c.x, a.dst FROM comp c JOIN adj a ON a.src = c.v)
   SELECT x, count(*) AS m FROM comp GROUP BY 1) USING (x) WHERE n < m - 1""")
-SQL_VIEWS["scores"] = ("between apoints nodes edges", """
-SELECT n.node_id, n.name, n.label, round(least(b.betweenness * 0.40::DOUBLE + (1 - 1.0::DOUBLE / k) * 0.35::DOUBLE + coalesce(nullif(criticality, 0), 0.5) * 0.25::DOUBLE
-   + CASE WHEN ap THEN 0.20::DOUBLE ELSE 0.0::DOUBLE END, 1.0::DOUBLE), 4) AS srs_score,
-  round(b.betweenness, 4) AS betweenness, round(1 - 1.0::DOUBLE / k, 4) AS concentration, round(coalesce(nullif(criticality, 0), 0.5), 4) AS criticality,
+_SRS = ("least(b.betweenness * 0.40::DOUBLE + (1 - 1.0::DOUBLE / k) * 0.35::DOUBLE + coalesce(nullif(criticality, 0), 0.5) * 0.25::DOUBLE "
+        "+ CASE WHEN ap THEN 0.20::DOUBLE ELSE 0.0::DOUBLE END, 1.0::DOUBLE)")
+SQL_VIEWS["scores"] = ("between apoints nodes edges", f"""
+SELECT n.node_id, n.name, n.label, {r(_SRS, 4)} AS srs_score, {r('b.betweenness', 4)} AS betweenness,
+  {r('1 - 1.0::DOUBLE / k', 4)} AS concentration, {r('coalesce(nullif(criticality, 0), 0.5)', 4)} AS criticality,
   k AS num_suppliers, ap AS is_articulation_point
 FROM nodes n JOIN between b USING (node_id)
 JOIN (SELECT node_id, greatest(1, coalesce(c, 0)) AS k FROM nodes LEFT JOIN (SELECT dst, count(DISTINCT src) AS c FROM edges GROUP BY 1) ON dst = node_id) USING (node_id)
