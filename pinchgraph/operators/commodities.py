@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pinchgraph.functions.jsontext import fenced_object, field, safe_list
 from pinchgraph.functions.scores import consensus, outlook, stress_score, sub_score
 from pinchgraph.functions.text import ascii_lower
-from pinchgraph.functions.vocab import STRESS_WEIGHTS
+from pinchgraph.functions.vocab import COMMODITIES, STRESS_WEIGHTS
 from pinchgraph.storage import replace_rows
 
 DIMENSION = "name string, sector string, unit string, importance int, aliases array<string>"
@@ -24,6 +24,12 @@ def read_dimension(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"position int, {DIMENSION}").json(path)
 
 
+def default_dimension(spark: SparkSession) -> DataFrame:
+    """The tracked commodities, with `position` as their list order."""
+    rows = [(i, *row) for i, row in enumerate(COMMODITIES, 1)]
+    return spark.createDataFrame(rows, f"position int, {DIMENSION}")
+
+
 def dimension(rows: DataFrame) -> DataFrame:
     """A validated dimension: names unique and not blank, aliases never null."""
     return rows.where(F.coalesce(F.trim("name"), F.lit("")) != "").withColumn(

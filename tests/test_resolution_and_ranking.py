@@ -124,6 +124,27 @@ def test_articles_follow_alias_order(spark):
     assert got == {("Gallium", 1): "d0", ("Gallium", 2): "d2", ("Gallium", 3): "d4", ("Neon", 1): "d1"}
 
 
+def test_default_dimension(spark):
+    dim = com.default_dimension(spark)
+    assert dim.count() == 35 and com.dimension(dim).count() == 35
+    assert dim.select("sector").distinct().count() == 8
+    docs = spark.createDataFrame([("d", "Cocoa prices", "", "s", NOW)], "uid string, title string, text string, source string, published_at timestamp")
+    found = {r.commodity for r in com.articles(docs, dim, F.lit(NOW)).collect()}
+    assert found == {"Cocoa", "Cobalt"}  # the alias "Co" is a substring of the title (S19)
+
+
+def test_answers_to_ranking(spark):
+    from pinchgraph.plans.flows import answers_to_ranking
+
+    day = date(2024, 1, 4)
+    raw = spark.createDataFrame([(day, "Cocoa", "Food", '{"supply_growth_score": 100}'), (day, "Copper", "Base Metals", "none")],
+                                "run_date date, commodity string, sector string, response string")
+    stored = spark.createDataFrame([(date(2024, 1, 1), "Cocoa", 50.0)], "run_date date, commodity string, supply_stress_score double")
+    got = {r.commodity: r for r in answers_to_ranking(raw, com.default_dimension(spark), stored, F.lit(day)).collect()}
+    assert (got["Cocoa"].supply_stress_score, got["Cocoa"]["rank"], got["Cocoa"].score_delta) == (57.5, 1, 7.5)
+    assert got["Copper"].parse_error and got["Copper"]["rank"] is None and got["Copper"].score_delta == 0.0
+
+
 def test_many_terms_in_passes(spark, monkeypatch):
     monkeypatch.setattr(com, "TERMS_PER_PASS", 2)
     docs = spark.createDataFrame([("d", "alpha beta gamma delta", "epsilon", "s", NOW)], "uid string, title string, text string, source string, published_at timestamp")
