@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pinchgraph.operators import ach, commodities, hypotheses, mentions, resolution, risk, scoring, vectors
+from pinchgraph.storage import materialize
 
 
 @dataclass(frozen=True)
@@ -29,7 +30,7 @@ def documents_to_confidence(docs: DataFrame, doc_vectors: DataFrame, concepts: D
     Shuffles only on document, node and hypothesis keys.
     """
     processed = mentions.process_batch(docs, mentions.name_dictionary(concepts))
-    routed = resolution.route(vectors.top_k_nodes(doc_vectors, node_vectors, 10), high, low)
+    routed = materialize(resolution.route(vectors.top_k_nodes(doc_vectors, node_vectors, 10), high, low), "routed").df
     choices = resolution.valid_choices(routed, responses)
     found = resolution.auto_mentions(routed, as_of, high).unionByName(resolution.chosen_mentions(choices, as_of))
     evidence = hypotheses.document_evidence(hyps, found, processed)
