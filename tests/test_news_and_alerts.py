@@ -1,4 +1,4 @@
-"""News ledger, coverage alerts and watch list: the behaviours the reference tests state, on DataFrames."""
+"""News ledger, coverage alerts and watch list: ledger, lookback, once-only and preservation rules."""
 
 from datetime import datetime, timedelta
 
