@@ -81,5 +81,5 @@ def rank_in_blocks(df: DataFrame, group: list[str], order: list[Column], rows: i
     before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(*group, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    ranked = dealt.withColumn("_rank", F.row_number().over(inside) - 1)
-    return ranked.join(offsets, [*group, "_block"]).withColumn(out, (F.col("_start") + F.col("_rank")).cast("long")).drop("_block", "_start", "_rank")
+    ranked = dealt.withColumn("_inner", F.row_number().over(inside) - 1)
+    return ranked.join(offsets, [*group, "_block"]).withColumn(out, (F.col("_start") + F.col("_inner")).cast("long")).drop("_block", "_start", "_inner")

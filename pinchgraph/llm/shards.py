@@ -20,8 +20,8 @@ from pyspark.sql import Window
 from pinchgraph.llm.common import blocks_for
 from pinchgraph.storage import materialize
 
-#: Standard deviations around the mean that a draw covers; what lies beyond has a chance below 1e-30.
-SPAN = 12
+#: Standard deviations around the mean that a draw covers; what lies beyond has a chance below 1e-18, under the resolution of the uniform number.
+SPAN = 9
 
 
 def uniform(seed: int, *cols: Column) -> Column:
@@ -29,6 +29,11 @@ def uniform(seed: int, *cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, also where the body repeats it in a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def hypergeometric(u: Column, good: Column, bad: Column, draws: Column) -> Column:
     """How many of `draws` taken from good + bad are good, by inversion of the law at `u`.
 
@@ -36,22 +41,25 @@ def hypergeometric(u: Column, good: Column, bad: Column, draws: Column) -> Colum
     is needed and only their sum scales them.
     """
     total = (good + bad).cast("double")
-    g, b, d = (c.cast("double") for c in (good, bad, draws))
-    mean = F.when(total > 0, d * g / total).otherwise(0.0)
-    spread = F.when(total > 1, F.sqrt(mean * (b / total) * (total - d) / (total - 1))).otherwise(0.0)
+    mean = F.when(total > 0, draws * good / total).otherwise(0.0)
+    spread = F.when(total > 1, F.sqrt(mean * (bad / total) * (total - draws) / (total - 1))).otherwise(0.0)
     lo = F.greatest(F.lit(0).cast("long"), draws - bad, F.floor(mean - SPAN * spread).cast("long") - SPAN)
-    hi = F.greatest(lo, F.least(good, draws, F.ceil(mean + SPAN * spread).cast("long") + SPAN))
+    hi = F.least(good, draws, F.ceil(mean + SPAN * spread).cast("long") + SPAN)
+    given = F.struct(u.alias("u"), good.cast("double").alias("g"), bad.cast("double").alias("b"), draws.cast("double").alias("d"), lo.alias("lo"), F.greatest(lo, hi).alias("hi"))
     start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("k"))
 
-    def step(acc: Column, x: Column, below: Column) -> Column:
+    def step(v: Column, acc: Column, x: Column, below: Column) -> Column:
         grown = acc["sum"] + acc["w"]
-        ratio = (g - x) * (d - x) / ((x + 1) * (b - d + x + 1))
+        ratio = (v["g"] - x) * (v["d"] - x) / ((x + 1) * (v["b"] - v["d"] + x + 1))
         return F.struct((acc["w"] * ratio).alias("w"), grown.alias("sum"), (acc["k"] + F.when(grown <= below, 1).otherwise(0)).cast("long").alias("k"))
 
-    places = F.sequence(lo, hi)
-    everything = F.aggregate(places, start, lambda acc, x: step(acc, x, F.lit(-1.0)))["sum"]
-    passed = F.aggregate(places, start, lambda acc, x: step(acc, x, u * everything))["k"]
-    return F.least(hi, lo + passed)
+    def place(v: Column) -> Column:
+        xs = F.sequence(v["lo"], v["hi"])
+        sought = v["u"] * F.aggregate(xs, start, lambda acc, x: step(v, acc, x, F.lit(-1.0)))["sum"]
+        passed = let(sought, lambda t: F.aggregate(xs, start, lambda acc, x: step(v, acc, x, t))["k"])
+        return F.least(v["hi"], v["lo"] + passed)
+
+    return let(given, place)
 
 
 def _split(counts: Column, left: Column, shards: int, seed: int, *key: Column) -> Column:
@@ -62,7 +70,7 @@ def _split(counts: Column, left: Column, shards: int, seed: int, *key: Column) -
     def draw(acc: Column, s: Column) -> Column:
         here = F.element_at(counts, s + 1)
         got = hypergeometric(uniform(seed, s, *key), here, acc["rest"] - here, acc["open"])
-        return F.struct(F.concat(acc["out"], F.array(got)).alias("out"), (acc["rest"] - here).alias("rest"), (acc["open"] - got).alias("open"))
+        return let(got, lambda n: F.struct(F.concat(acc["out"], F.array(n)).alias("out"), (acc["rest"] - here).alias("rest"), (acc["open"] - n).alias("open")))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(shards - 1)), start, draw)["out"]
 
