@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pinchgraph.llm import archives, linkgraph, packing, shards, simhash
+from pinchgraph.llm import archives, chunks, linkgraph, packing, resample, shards, simhash
 from pinchgraph.llm.common import table
+from pinchgraph.storage import materialize
 
 def vocabulary() -> str:
     """The path of the packing vocabulary, found where tasks run on machines like the driver's."""
@@ -32,12 +33,25 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that change: what is cut, who keeps it, and the text that stays."""
+    docs = table(spark, sf_dir, "documents")
+    per = chunks.spans_per_document(materialize(chunks.repeated_spans(docs), "spans").df)
+    return chunks.changed_documents(docs, per).select("doc_id", "spans", "first_doc_ids", "text")
+
+
 @query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shard_rows(table(spark, sf_dir, "documents"), 16)
