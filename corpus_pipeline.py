@@ -3,22 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pinchgraph.llm import simhash
-from pinchgraph.llm.common import prepare
-from pinchgraph.storage import scratch_path
+from pinchgraph.llm import chunks, decontaminate, packing, resample, simhash
+from pinchgraph.llm.common import prepare, table
+from pinchgraph.llm.queries import vocabulary
+from pinchgraph.storage import materialize, scratch_path
 
-#: The later stages decide by trained models and by content, which SQL cannot express.
+#: Stages decide by trained models and by content, which SQL cannot express.
 ORACLE_SQL = None
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents outside the importance resample go.  Rows without an id cannot be addressed and stay."""
+    kept = resample.resample(docs, table(spark, sf_dir, "labels"))
+    found = materialize(kept.select("doc_id").distinct(), "kept").df
+    return docs.join(found, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays, that with the smallest id."""
-    prepare(spark)
     return simhash.keep_one(docs, simhash.near_duplicates(docs))
 
 
-STAGES = [("near_dedup", near_dedup)]
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages are cut out of the texts; every document stays, and n_chars follows its text."""
+    out = chunks.without_spans(docs, materialize(chunks.repeated_spans(docs), "spans").df)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.without_leaks(docs, materialize(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")), "leaks").df)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences, ids included."""
+    return packing.pack(packing.pieces(docs, vocabulary(), with_ids=True))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        stage(prepare(spark), docs, sf_dir).write.mode("overwrite").parquet(path)
         docs = spark.read.parquet(path)
     return docs

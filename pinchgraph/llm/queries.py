@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pinchgraph.llm import archives, chunks, linkgraph, packing, resample, shards, simhash
+from pinchgraph.llm import archives, chunks, decontaminate, linkgraph, packing, resample, shards, simhash
 from pinchgraph.llm.common import table
 from pinchgraph.storage import materialize
 
@@ -28,6 +28,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.judge(table(spark, sf_dir, "pages"), URL_RULES)
