@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, that with the smallest id."""
-    return simhash.keep_one(docs, simhash.near_duplicates(docs))
+    """One document of each group of near copies stays, that with the smallest id: five-word shingles, similarity 0.8."""
+    return simhash.keep_one(docs, simhash.similar_groups(docs))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,12 +7,17 @@ holds bit p of 64 members per machine word, each query is XORed with all planes,
 are added in carry-save counters for 64 members at a time; entries of which every member exceeds the
 radius are abandoned before the next planes are read.
 
+`similar_groups` looks further, for texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+These are about 19 of 128 bits apart, too far for exact keys, so its tables are keyed by random bits, as many
+tables as find 99 of 100 pairs at 0.8 and more of closer ones, and candidates are checked on their shingle sets.
+
 A bucket above `SPLIT` members is keyed once more by pairs of the four 8-bit segments of the 32 bits
 that are not shared.  That is exact by the same argument, and bounds a bucket by 65,536 values.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -35,17 +40,18 @@ ENTRIES = 1 << 18
 SEGMENTS = list(combinations(range(4), 2))
 
 
-def fingerprint(text: bytes, words: int = 3) -> bytes:
-    """Eight bytes, most significant bit first: a bit is set when set in over half of the shingle hashes."""
+def fingerprint(text: bytes, words: int = 3, digest=lambda s: xxhash.xxh64_digest(s, SEED)) -> bytes:
+    """As long as a digest, most significant bit first: a bit is set when set in over half of the shingle hashes."""
     tokens = text.lower().split()  # of bytes: A-Z, and the six ASCII white-space bytes
+    size = len(digest(b""))
     if not tokens:
-        return bytes(8)
+        return bytes(size)
     n = max(1, len(tokens) - words + 1)
-    counts = np.zeros(64, np.int64)
+    counts = np.zeros(8 * size, np.int64)
     for start in range(0, n, 16_384):
         stop = min(n, start + 16_384)
-        hashes = b"".join([xxhash.xxh64_digest(b" ".join(tokens[i : i + words]), SEED) for i in range(start, stop)])
-        counts += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        hashes = b"".join([digest(b" ".join(tokens[i : i + words])) for i in range(start, stop)])
+        counts += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, size), axis=1).sum(0, dtype=np.int64)
     return np.packbits(2 * counts > n).tobytes()
 
 
@@ -105,12 +111,13 @@ def _owns(x: np.ndarray, t: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 
 def sliced_links(fp: np.ndarray, run: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j), i < j, of values of one run at most `radius` (0 to 2) bits apart; `run` is ascending.
+    """Positions (i, j), i < j, of values of one run at most `radius` bits apart; `run` is ascending.
 
-    Runs start at a word of their own.  Entry = (query, word of its run); counters are two
-    carry-save bits and an overflow bit per member.
+    `fp` has a column per 64 bits.  Runs start at a word of their own, an entry is a query and a word of its run.
+    Counters start at 2**k - 1 - radius, so a carry out of bit k - 1 says that a member exceeds the radius.
     """
-    n = len(fp)
+    fp = fp.reshape(len(fp), -1)
+    n, bits = len(fp), max(1, int(radius).bit_length())
     starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if n else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[starts, n])
     words = -(-sizes // 64)
@@ -118,45 +125,42 @@ def sliced_links(fp: np.ndarray, run: np.ndarray, radius: int = RADIUS) -> tuple
     of = np.repeat(np.arange(len(starts)), sizes)
     rank = np.arange(n) - starts[of]
     place = word_at[of] * 64 + rank
-    filled = np.zeros(word_at[-1] * 64, np.uint64)
-    filled[place] = fp
-    taken = np.zeros(word_at[-1] * 64, bool)
-    taken[place] = True
     member = np.full(word_at[-1] * 64, -1, np.int64)
     member[place] = np.arange(n)
-    pack = lambda bits: np.packbits(bits, bitorder="little").view(np.uint64)
-    live = pack(taken)
-    planes = np.stack([pack((filled >> np.uint64(p)) & np.uint64(1) == 1) for p in range(64)]) if len(filled) else np.zeros((64, 0), np.uint64)
+    pack = lambda b: np.packbits(b, bitorder="little").view(np.uint64)
+    live = pack(member >= 0)
+
+    def plane(p: int) -> np.ndarray:
+        spread = np.zeros(word_at[-1] * 64, bool)
+        spread[place] = (fp[:, p // 64] >> np.uint64(p % 64)) & np.uint64(1) == 1
+        return pack(spread)
+
+    planes = [plane(p) for p in range(64 * fp.shape[1])]
     need = np.flatnonzero(sizes[of] > 1)  # a query looks at its own word and those after it
     per_query = words[of[need]] - rank[need] // 64
     found_i, found_j = [], []
     ends = np.cumsum(per_query)
-    at = 0
+    every, at = ~np.uint64(0), 0
     while at < len(need):
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ENTRIES, "right")))
         q = np.repeat(need[at:stop], per_query[at:stop])
         ahead = np.arange(len(q)) - np.repeat(np.cumsum(per_query[at:stop]) - per_query[at:stop], per_query[at:stop])
         w = word_at[of[q]] + rank[q] // 64 + ahead
         at = stop
-        later = np.where(ahead == 0, ~np.uint64(0) << (rank[q] % 64).astype(np.uint64) << np.uint64(1), ~np.uint64(0))
+        later = np.where(ahead == 0, every << (rank[q] % 64).astype(np.uint64) << np.uint64(1), every)
         later[(ahead == 0) & (rank[q] % 64 == 63)] = 0
         over = ~(live[w] & later)
-        one, two, mine = np.zeros(len(q), np.uint64), np.zeros(len(q), np.uint64), fp[q]
-        for p in range(64):
-            d = planes[p][w] ^ (np.uint64(0) - ((mine >> np.uint64(p)) & np.uint64(1)))
-            carry = one & d
-            one ^= d
-            over |= two & carry
-            two ^= carry
-            if radius < 2:
-                over |= two
-            if radius < 1:
-                over |= one
-            over |= one & two  # three
-            if p % 4 == 3:
-                keep = over != ~np.uint64(0)
+        first = (1 << bits) - 1 - radius
+        counter = [np.full(len(q), every if first >> i & 1 else np.uint64(0)) for i in range(bits)]
+        for p, members in enumerate(planes):
+            carry = members[w] ^ (np.uint64(0) - ((fp[q, p // 64] >> np.uint64(p % 64)) & np.uint64(1)))
+            for i in range(bits):
+                counter[i], carry = counter[i] ^ carry, counter[i] & carry
+            over |= carry
+            if p % 8 == 7 and p > radius:
+                keep = over != every
                 if not keep.all():
-                    q, w, over, one, two, mine = (v[keep] for v in (q, w, over, one, two, mine))
+                    q, w, over, *counter = (v[keep] for v in (q, w, over, *counter))
                     if not len(q):
                         break
         if len(q):
@@ -168,29 +172,29 @@ def sliced_links(fp: np.ndarray, run: np.ndarray, radius: int = RADIUS) -> tuple
     return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (none, none)
 
 
-def _compare(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by (t, key, s, sub): compares each run; only the last, open run is held over."""
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    held = np.zeros((0, 5), np.int64)
-
-    def links(rows: np.ndarray) -> pa.RecordBatch:
-        run = np.cumsum(np.r_[0, (rows[1:, :4] != rows[:-1, :4]).any(1)]) if len(rows) else np.zeros(0, np.int64)
-        fp = rows[:, 4].copy().view(np.uint64)
-        i, j = sliced_links(fp, run, radius)
-        own = _owns(fp[i] ^ fp[j], rows[i, 0], rows[i, 2])
-        return pa.RecordBatch.from_arrays([pa.array(rows[i[own], 4]), pa.array(rows[j[own], 4])], schema=out)
-
+def _runs(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...], keys: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, run numbers) of batches sorted by the first `keys` of `columns`, longs all; the last, open run is held over."""
+    held = np.zeros((0, len(columns)), np.int64)
     for batch in batches:
-        rows = np.concatenate([held, np.stack([np.asarray(batch.column(c)) for c in ("t", "key", "s", "sub", "fp")], 1).astype(np.int64)])
+        rows = np.concatenate([held, np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in columns], 1)])
         if not len(rows):
             continue
-        last = rows[-1, :4]
-        cut = len(rows) - int(np.argmax((rows[::-1, :4] != last).any(1))) if (rows[:, :4] != last).any() else 0
+        new = np.r_[True, (rows[1:, :keys] != rows[:-1, :keys]).any(1)]
+        cut = int(np.flatnonzero(new)[-1])
         if cut:
-            yield links(rows[:cut])
+            yield rows[:cut], np.cumsum(new[:cut])
         held = rows[cut:]
     if len(held):
-        yield links(held)
+        yield held, np.ones(len(held), np.int64)
+
+
+def _compare(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for rows, run in _runs(batches, ("t", "key", "s", "sub", "fp"), 4):
+        fp = rows[:, 4].copy().view(np.uint64)
+        i, j = sliced_links(fp, run, radius)
+        own = _owns(fp[i] ^ fp[j], rows[i, 0], rows[i, 2])
+        yield pa.RecordBatch.from_arrays([pa.array(rows[i[own], 4]), pa.array(rows[j[own], 4])], schema=out)
 
 
 def linked_values(values: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -226,3 +230,105 @@ def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """`docs` without those whose group has a smaller id.  Rows without an id cannot be addressed and stay."""
     gone = groups.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+#: Shingle words and Jaccard similarity of near copies.
+WORDS, SIMILAR = 5, 0.8
+#: Bits of 128 that candidates differ in at most: three standard deviations over the mean at `SIMILAR`.
+FAR = 32
+#: Chance that a pair at `SIMILAR` shares a key, from which the number of tables follows.
+FOUND = 0.99
+
+
+def key_masks(rows: int, similar: float = SIMILAR, seed: int = 1) -> list[tuple[int, int]]:
+    """(high, low) masks of the key bits of each table: as many bits as make buckets of random rows small."""
+    bits = min(28, max(8, math.ceil(math.log2(max(2, rows))) - 2))
+    agree = 1 - math.acos(2 * similar / (1 + similar)) / math.pi
+    tables = math.ceil(math.log(1 - FOUND) / math.log(1 - agree**bits))
+    rng, masks = np.random.default_rng(seed), []
+    for _ in range(tables):
+        mask = sum(1 << int(b) for b in rng.choice(128, bits, replace=False))
+        masks.append(tuple((x ^ (1 << 63)) - (1 << 63) for x in (mask >> 64, mask & (1 << 64) - 1)))  # as signed longs
+    return masks
+
+
+def _long_prints(docs: DataFrame, words: int) -> DataFrame:
+    out = pa.schema([("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = b"".join(fingerprint(t, words, xxhash.xxh3_128_digest) for t in batch.column("text").to_pylist())
+            pair = np.frombuffer(prints, ">i8").astype(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pair[:, 0]), pa.array(pair[:, 1])], schema=out)
+
+    return docs.select("doc_id", utf8(F.col("text")).alias("text")).mapInArrow(run, "doc_id long, hi long, lo long")
+
+
+def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id with the sorted hashes of its distinct shingles."""
+    out = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for text in batch.column("text").to_pylist():
+                tokens = text.lower().split()
+                n = max(1, len(tokens) - words + 1) if tokens else 0
+                hashes = np.frombuffer(b"".join(xxhash.xxh64_digest(b" ".join(tokens[i : i + words]), SEED) for i in range(n)), ">i8")
+                sets.append(np.unique(hashes).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], schema=out)
+
+    return docs.select("doc_id", utf8(F.col("text")).alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, words: int, similar: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar enough.  Only texts in pairs are read into sets."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = materialize(_shingle_sets(docs.join(ids, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "sets").df
+    of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"s{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return materialize(both.where(common >= similar * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "similar").df
+
+
+def similar_groups(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS) -> DataFrame:
+    """doc_id, component_id of every row with an id: groups linked by shingle sets of Jaccard similarity `similar` or more.
+
+    Rows of equal fingerprint are one class.  First each bucket is compared with its first member
+    only, which joins large groups of copies in linear time; then members of different groups are
+    compared bit-sliced, and no pair inside a group is written.  Texts without words are copies of one another.
+    """
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = materialize(_long_prints(known, words), "prints").df
+    values = materialize(prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("node")), "values")
+    masks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(h).alias("h"), F.lit(low).alias("l")) for i, (h, low) in enumerate(key_masks(values.rows, similar))])
+    keys = F.transform(masks, lambda m: F.xxhash64(m["i"], F.col("hi").bitwiseAND(m["h"]), F.col("lo").bitwiseAND(m["l"])))
+    keyed = values.df.select(F.explode(keys).alias("key"), "node", "hi", "lo")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least")
+    busy = materialize(keyed.join(shared, "key"), "busy").df
+    first = values.df.select(F.col("node").alias("least"), F.col("hi").alias("h"), F.col("lo").alias("l"))
+    bits = F.bit_count(F.col("hi").bitwiseXOR(F.col("h"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("l")))
+    stars = busy.where("node <> least").dropDuplicates(["node", "least"]).join(first, "least").where(bits <= FAR)
+    links = _similar(known, materialize(stars.select(F.col("least").alias("a"), F.col("node").alias("b")), "stars").df, words, similar)
+    groups = components(links, "a", "b")
+    labelled = busy.join(groups, "node", "left").select("key", "node", "hi", "lo", F.coalesce("root", "node").alias("root"))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, run in _runs(batches, ("key", "node", "hi", "lo", "root"), 1):
+            i, j = sliced_links(rows[:, 2:4].copy().view(np.uint64), run, FAR)
+            apart = rows[i, 4] != rows[j, 4]
+            ends = np.sort(np.stack([rows[i[apart], 1], rows[j[apart], 1]], 1), axis=1)
+            ends = np.unique(ends, axis=0) if len(ends) else ends
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema=out)
+
+    sorted_ = labelled.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key")
+    rest = materialize(sorted_.mapInArrow(compare, "a long, b long").distinct(), "rest").df
+    links = links.unionByName(_similar(known, rest, words, similar))
+    roots = components(links, "a", "b")
+    grouped = values.df.join(roots, "node", "left").select("hi", "lo", "node", F.coalesce("root", "node").alias("root"))
+    grouped = materialize(grouped, "grouped").df
+    least = grouped.groupBy("root").agg(F.min("node").alias("component_id"))
+    labels = materialize(grouped.join(least, "root").select("hi", "lo", "component_id"), "labels").df
+    return prints.join(labels, ["hi", "lo"]).select("doc_id", "component_id")
