@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pinchgraph.llm import archives, chunks, decontaminate, linkgraph, packing, resample, shards, simhash
+from pinchgraph.llm import archives, chat, chunks, decontaminate, linkgraph, packing, resample, shards, simhash
 from pinchgraph.llm.common import table
 from pinchgraph.storage import materialize
 
@@ -52,6 +52,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repaired(table(spark, sf_dir, "conversations")).drop("seq")
+
+
 @query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
