@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pinchgraph.llm import archives, chat, chunks, decontaminate, linkgraph, packing, resample, shards, simhash
+from pinchgraph.llm import archives, bm25, chat, chunks, decontaminate, linkgraph, packing, resample, shards, simhash
 from pinchgraph.llm.common import table
 from pinchgraph.storage import materialize
 
@@ -57,6 +57,31 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repaired(table(spark, sf_dir, "conversations")).drop("seq")
 
 
+@query
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 20, in full, against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return bm25.top_k(docs, docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text"), 10)
+
+
+ORACLES["op6_topk"] = r"""
+WITH words AS (
+  SELECT doc_id, w, count(*) AS tf FROM (
+    SELECT doc_id, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	
+]+')) AS w FROM documents)
+  WHERE w <> '' GROUP BY ALL),
+lengths AS (SELECT doc_id, sum(tf) AS dl FROM words GROUP BY doc_id),
+totals AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM lengths) / (SELECT count(*) FROM documents) AS mean),
+idfs AS (SELECT w, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM words, totals GROUP BY w, n),
+scores AS (
+  SELECT q.doc_id AS query_id, d.doc_id, round(sum(idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+  FROM words q JOIN words d ON q.w = d.w JOIN idfs ON idfs.w = d.w JOIN lengths ON lengths.doc_id = d.doc_id, totals
+  WHERE q.doc_id % 20 = 0 GROUP BY q.doc_id, d.doc_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores) WHERE rank <= 10
+"""
+
+
 @query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
