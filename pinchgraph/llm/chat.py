@@ -24,7 +24,7 @@ ROLES = ("start", "system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 #: Other names of the roles, taken without cost.
 ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant", "ai": "assistant"}
-MERGE, RELABEL, INSERT = 1, 2, 3
+MERGE, RELABEL, INSERT = 1, 4, 2
 #: Empty turns that must be put between a state and a turn of a role; a pair that is missing has no way.
 BETWEEN = {
     (START, SYSTEM): (), (START, USER): (), (START, ASSISTANT): (USER,), (SYSTEM, USER): (), (SYSTEM, ASSISTANT): (USER,),
