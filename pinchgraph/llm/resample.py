@@ -62,7 +62,7 @@ class Features:
     def __call__(self, text: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
         """(positions of words, buckets) of each family."""
         words = TOKEN.findall(text.lower())
-        new = set(words) - self.at.keys()
+        new = {w for w in words if w not in self.at}
         if new:
             if len(self.at) > CACHE:
                 self.at.clear()
