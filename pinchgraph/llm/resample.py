@@ -178,11 +178,16 @@ def weights(docs: DataFrame, ratios: np.ndarray, window: int = WINDOW) -> DataFr
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray, loss: float = LOSS) -> float:
-    """The cut under which most of `bad` and at most `loss` of `good` lies; one below all of `good` if nothing is gained."""
-    if not len(good):
+    """The cut under which most of `bad` and at most `loss` of `good` lies, halfway down to the next of `bad`.
+
+    Without an example of either kind, or where nothing bad would be caught, nothing is cut: minus infinity.
+    """
+    if not len(good) or not len(bad):
         return -np.inf
-    tried = [good.min() - 1e-9, *np.quantile(good, np.linspace(0, loss, 9))]
-    return float(max(tried, key=lambda t: (good >= t).mean() + ((bad < t).mean() if len(bad) else 0)))
+    tried = [good.min(), *np.quantile(good, np.linspace(0, loss, 9))]
+    cut = max(tried, key=lambda t: (good >= t).mean() + (bad < t).mean())
+    below = bad[bad < cut]
+    return float((cut + below.max()) / 2) if len(below) else -np.inf
 
 
 def kth_largest(keys: DataFrame, key: str, k: int, bins: int = 4_096, few: int = 50_000) -> float | None:
