@@ -42,10 +42,17 @@ def tier(ops: Column) -> Column:
     return F.when(ops >= 0.60, 1).when(ops >= 0.35, 2).otherwise(3)
 
 
+def plain_number(raw: Column) -> Column:
+    """A decimal number as double; anything else, such as `75d`, NaN and infinity, is null."""
+    text = F.trim(raw)
+    number = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text).try_cast("double")
+    return F.when(F.abs(number) != float("inf"), number)
+
+
 def sub_score(raw: Column, default: int = 50) -> Column:
     """Numeric text truncated and clamped to 0-100; anything else, infinity included, `default`."""
-    number = F.trim(raw).try_cast("double")
-    usable = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
+    number = plain_number(raw)
+    usable = number.isNotNull()
     return F.when(usable, F.greatest(F.lit(0.0), F.least(F.lit(100.0), number))).otherwise(
         F.lit(float(default))).cast("int")
 

@@ -119,8 +119,14 @@ def run_summary(new_reviews: DataFrame, all_reviews: DataFrame) -> DataFrame:
 
 
 def matrix_view(cells: DataFrame, alternatives_shown: int = 4) -> DataFrame:
-    """one row per evidence item, one column per hypothesis (h0 is the hypothesis itself); missing is N."""
-    wide = cells.groupBy("hypothesis_id", "evidence_no").pivot("alt_no", list(range(alternatives_shown))).agg(
+    """one row per evidence item, one column per hypothesis (h0 is the hypothesis itself); missing is N.
+
+    A cell of an alternative that has no column is an error: ask for as many as there are.
+    """
+    known = F.col("alt_no").between(0, alternatives_shown - 1)
+    told = F.raise_error(F.concat(F.lit(f"only {alternatives_shown} alternatives are shown, a cell has number "), F.col("alt_no").cast("string")))
+    checked = cells.withColumn("alt_no", F.when(known, F.col("alt_no")).otherwise(told.cast("int")))
+    wide = checked.groupBy("hypothesis_id", "evidence_no").pivot("alt_no", list(range(alternatives_shown))).agg(
         F.min(F.ascii("class")))  # codes keep the hash aggregate, strings would sort
     return wide.select("hypothesis_id", "evidence_no", *[
         F.coalesce(F.char(F.col(str(i))), F.lit("N")).alias(f"h{i}") for i in range(alternatives_shown)])

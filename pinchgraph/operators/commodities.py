@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pinchgraph.functions.jsontext import fenced_object, field, safe_list
-from pinchgraph.functions.scores import consensus, outlook, stress_score, sub_score
+from pinchgraph.functions.scores import consensus, outlook, plain_number, stress_score, sub_score
 from pinchgraph.functions.text import ascii_lower
 from pinchgraph.functions.vocab import COMMODITIES, STRESS_WEIGHTS
 from pinchgraph.storage import replace_rows
@@ -85,20 +85,25 @@ def article_context(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def scored_rows(responses: DataFrame) -> DataFrame:
-    """Raw `response` per (run_date, commodity) to a scored row, or a row flagged `parse_error`."""
+    """Raw `response` per (run_date, commodity) to a scored row, or a row flagged `parse_error`.
+
+    An answer without a JSON object, or with an empty one, is an error.  `articles_used`, the number of articles
+    the answer rests on, is carried where it is given.
+    """
     d = responses.withColumn("_doc", fenced_object(F.col("response")))
     doc = F.col("_doc")
     subs = {name: sub_score(field(doc, name)) for name in STRESS_WEIGHTS}
-    d = d.select("run_date", "commodity", "sector", "_doc", doc.isNull().alias("parse_error"),
+    used = [F.col("articles_used")] if "articles_used" in responses.columns else []
+    d = d.select("run_date", "commodity", "sector", *used, "_doc", (doc.isNull() | (F.to_json(doc) == "{}")).alias("parse_error"),
                  *[c.alias(n) for n, c in subs.items()])
-    whole = field(doc, "confidence").try_cast("double")
+    whole = F.least(F.lit(5.0), F.greatest(F.lit(0.0), plain_number(field(doc, "confidence"))))
     ok = ~F.col("parse_error")
 
     def kept(c: Column) -> Column:
         return F.when(ok, c)
 
     return d.select(
-        "run_date", "commodity", "sector", "parse_error",
+        "run_date", "commodity", "sector", *used, "parse_error",
         kept(stress_score({n: F.col(n) for n in STRESS_WEIGHTS})).alias("supply_stress_score"),
         *[kept(F.col(n)).alias(n) for n in STRESS_WEIGHTS],
         *[kept(outlook(field(doc, n))).alias(n) for n in HORIZONS],

@@ -179,7 +179,7 @@ def parse_generated(responses: DataFrame) -> DataFrame:
     """Raw `response` per node (node_id, node_name, srs_score) to rows for E1; incomplete ones are dropped."""
     d = responses.withColumn("_doc", greedy_object(F.col("response")))
     listed = string_list(F.try_variant_get("_doc", "$.falsification_criteria", "variant"))
-    start = F.coalesce(field(F.col("_doc"), "confidence").try_cast("double"), F.col("srs_score"), F.lit(0.5))
+    start = F.coalesce(field(F.col("_doc"), "confidence").try_cast("double"), F.nullif("srs_score", F.lit(0.0)), F.lit(0.5))
     return d.select(
         "node_id", "node_name", F.trim(field(F.col("_doc"), "statement")).alias("statement"),
         listed.alias("_criteria"), F.least(start, F.lit(MAX_START_CONFIDENCE)).alias("confidence"), "srs_score",

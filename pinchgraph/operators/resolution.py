@@ -62,19 +62,25 @@ def chosen_mentions(choices: DataFrame, as_of: Column) -> DataFrame:
     return choices.select("doc_uid", "node_id", "confidence", F.lit("mistral").alias("method"), as_of.alias("resolved_at"))
 
 
-def orphans(routed: DataFrame, choices: DataFrame, docs: DataFrame) -> DataFrame:
-    """Documents left without a node and why, with the stored excerpt lengths."""
+def orphans(routed: DataFrame, choices: DataFrame, docs: DataFrame, as_of: Column) -> DataFrame:
+    """Documents left without a node and why, with the stored excerpt lengths.
+
+    A review needs the candidates they had (`candidate_entities`, node ids by falling similarity), the time they
+    were set aside (`created_at`) and their vector (`embedding`, null where `docs` has none).
+    """
     decided = choices.select("doc_uid").distinct().withColumn("_decided", F.lit(True))
     left = routed.join(decided, "doc_uid", "left").where(
         F.col("route").isin("no_candidates", "below_threshold")
         | ((F.col("route") == "choose") & F.col("_decided").isNull()))
     reason = F.when(F.col("route") == "choose", "mistral_undecided").otherwise(F.col("route"))
     text = docs.select(F.col("uid").alias("doc_uid"), F.left("title", F.lit(512)).alias("title"),
-                       F.left("text", F.lit(500)).alias("text_excerpt"))
-    return left.select("doc_uid", "best_node", "best_similarity", reason.alias("reason")).join(
+                       F.left("text", F.lit(500)).alias("text_excerpt"),
+                       F.col("embedding") if "embedding" in docs.columns else F.lit(None).cast("array<float>").alias("embedding"))
+    candidates = F.coalesce(F.transform("candidates", lambda c: c["node_id"]), F.array().cast("array<string>"))
+    return left.select("doc_uid", "best_node", "best_similarity", reason.alias("reason"), candidates.alias("candidate_entities")).join(
         text, "doc_uid", "left").select(
-        F.concat(F.lit("orphan:"), "doc_uid").alias("uid"), "doc_uid", "title", "text_excerpt", "best_node",
-        "best_similarity", "reason", F.lit("pending").alias("status"))
+        F.concat(F.lit("orphan:"), "doc_uid").alias("uid"), "doc_uid", "title", "text_excerpt", "embedding", "candidate_entities", "best_node",
+        "best_similarity", "reason", F.lit("pending").alias("status"), as_of.alias("created_at"))
 
 
 def upsert_documents(stored: DataFrame, docs: DataFrame) -> DataFrame:

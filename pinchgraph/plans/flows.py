@@ -29,12 +29,13 @@ def documents_to_confidence(docs: DataFrame, doc_vectors: DataFrame, concepts: D
 
     Shuffles only on document, node and hypothesis keys.
     """
-    processed = mentions.process_batch(docs, mentions.name_dictionary(concepts))
+    processed = materialize(mentions.process_batch(docs, mentions.name_dictionary(concepts)), "processed").df
     routed = materialize(resolution.route(vectors.top_k_nodes(doc_vectors, node_vectors, 10), high, low), "routed").df
     choices = resolution.valid_choices(routed, responses)
-    found = resolution.auto_mentions(routed, as_of, high).unionByName(resolution.chosen_mentions(choices, as_of))
+    found = materialize(resolution.auto_mentions(routed, as_of, high).unionByName(resolution.chosen_mentions(choices, as_of)), "found").df
     evidence = hypotheses.document_evidence(hyps, found, processed)
-    return DocumentFlow(processed, found, resolution.orphans(routed, choices, processed), evidence,
+    with_vectors = processed.join(doc_vectors.select(F.col("doc_uid").alias("uid"), "embedding"), "uid", "left")
+    return DocumentFlow(processed, found, resolution.orphans(routed, choices, with_vectors, as_of), evidence,
                         hypotheses.apply_evidence(hyps, evidence))
 
 

@@ -40,9 +40,9 @@ def primitive_properties(props: Column) -> Column:
         e["key"], F.try_variant_get(e["value"], "$", "string"))))
 
 
-def upsert_nodes(nodes: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Property-wise merge by (label, id)."""
-    return merge_columns(nodes, incoming, ["label", "id"])
+def upsert_nodes(nodes: DataFrame, incoming: DataFrame, order: str | None = None) -> DataFrame:
+    """Merge by (label, id), property by property, maps of properties key by key; later rows by `order` win."""
+    return merge_columns(nodes, incoming, ["label", "id"], order)
 
 
 def valid_edges(incoming: DataFrame, known: DataFrame) -> DataFrame:
@@ -65,9 +65,13 @@ def broken_edges(incoming: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def upsert_edges(edges_: DataFrame, incoming: DataFrame, known: DataFrame) -> DataFrame:
-    """Merge valid edges by (source, relation, target)."""
-    return merge_columns(edges_, valid_edges(incoming, known), ["source", "relation", "target"])
+def upsert_edges(edges_: DataFrame, incoming: DataFrame, known: DataFrame, order: str | None = None) -> DataFrame:
+    """Merge valid edges by (source, relation, target), as `upsert_nodes`; variant properties keep primitives only."""
+    valid = valid_edges(incoming, known)
+    for f in valid.schema.fields:
+        if f.dataType.typeName() == "variant":
+            valid = valid.withColumn(f.name, primitive_properties(F.col(f.name)))
+    return merge_columns(edges_, valid, ["source", "relation", "target"], order)
 
 
 def extend(concepts_: DataFrame, edges_: DataFrame, more_concepts: DataFrame,

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -119,12 +120,33 @@ def replace_rows(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFra
     return kept.unionByName(new.select(*old.columns))
 
 
-def merge_columns(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Property-wise upsert: values of `new` win where they are not null."""
+def _merged_maps(older: Column, newer: Column) -> Column:
+    """Both maps' entries; the newer value counts where it is not null, a null map has none."""
+    both = F.map_zip_with(older, newer, lambda _, a, b: F.coalesce(b, a))
+    return F.coalesce(both, newer, older)
+
+
+def merge_columns(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """Property-wise upsert: values of `new` win where they are not null, maps are merged key by key.
+
+    Repeated keys in `new` are one row first: the last value by the column `order` counts for each
+    property, or the greatest one without an order.  `order` is not stored.
+    """
     values = [c for c in old.columns if c not in keys]
-    o, n = old.alias("o"), new.alias("n")
-    joined = o.join(n, list(keys), "full_outer")
-    return joined.select(*keys, *[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in values])
+    maps = {f.name for f in old.schema.fields if isinstance(f.dataType, MapType)}
+    at = F.col(order) if order else F.lit(0)
+
+    def last(c: str) -> Column:
+        if c in maps:
+            kind = old.schema[c].dataType.simpleString()
+            layers = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.array_sort(F.map_entries(c)).alias("e")))))
+            return F.aggregate(layers, F.lit(None).cast(kind), lambda acc, x: _merged_maps(acc, F.map_from_entries(x["e"]).cast(kind)))
+        return F.max(F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("v"))))["v"]
+
+    one = new.groupBy(*keys).agg(*[last(c).alias(c) for c in values]) if values else new.select(*keys).distinct()
+    joined = old.alias("o").join(one.alias("n"), list(keys), "full_outer")
+    merged = [(_merged_maps if c in maps else lambda a, b: F.coalesce(b, a))(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c) for c in values]
+    return joined.select(*keys, *merged)
 
 
 def append_run(df: DataFrame, path: str, run_column: str) -> None:

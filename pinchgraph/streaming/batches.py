@@ -1,11 +1,15 @@
-"""Tables written by micro-batches, safe to replay.
+"""Tables written by micro-batches, safe to replay and to restart.
 
-Every batch owns one folder `batch=<id>` of its table; running a batch again overwrites that
-folder and reads the table without it, so nothing is written twice.
+Every batch owns one folder `run=<query id>/batch=<id>` of its table.  Batch ids count from 0 for each
+checkpoint, and the query id belongs to the checkpoint: running a batch again overwrites its own folder and
+reads the table without it, while a query with a new checkpoint sees all that others wrote and never touches it.
 """
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +20,19 @@ def _folder_exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
+@dataclass(frozen=True)
+class BatchKey:
+    """A micro-batch: the query id of its checkpoint and its number there."""
+
+    run: str
+    batch: int
+
+
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark keeps in a checkpoint from its first start on; another checkpoint has another id."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 class BatchTable:
     """A Parquet table of one folder per micro-batch."""
 
@@ -23,19 +40,22 @@ class BatchTable:
         self.spark, self.path = spark, path
         self.schema = spark.createDataFrame([], schema).schema
 
-    def read(self, before_batch: int | None = None) -> DataFrame:
-        """All rows, or those of batches other than the given one and later ones."""
+    def _folder(self, key: BatchKey) -> str:
+        return f"{self.path}/run={key.run}/batch={key.batch}"
+
+    def read(self, before: BatchKey | None = None) -> DataFrame:
+        """All rows, or those without what the given batch and later ones of the same run wrote."""
         if not _folder_exists(self.spark, self.path):
             return self.spark.createDataFrame([], self.schema)
-        schema = T.StructType(self.schema.fields + [T.StructField("batch", T.LongType())])
-        rows = self.spark.read.schema(schema).parquet(self.path)
-        if before_batch is not None:
-            rows = rows.where(F.col("batch") < before_batch)
-        return rows.drop("batch")
+        keys = [T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())]
+        rows = self.spark.read.schema(T.StructType(self.schema.fields + keys)).parquet(self.path)
+        if before is not None:
+            rows = rows.where((F.col("run") != before.run) | (F.col("batch") < before.batch))
+        return rows.drop("run", "batch")
 
-    def read_batch(self, batch: int) -> DataFrame:
+    def read_batch(self, key: BatchKey) -> DataFrame:
         """The rows one batch has written."""
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch}")
+        return self.spark.read.schema(self.schema).parquet(self._folder(key))
 
-    def write(self, rows: DataFrame, batch: int) -> None:
-        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+    def write(self, rows: DataFrame, key: BatchKey) -> None:
+        rows.select(*self.schema.names).write.mode("overwrite").parquet(self._folder(key))

@@ -52,13 +52,17 @@ def c4(v):
 
 
 def _orphans(v):
-    return res.orphans(v.routed, res.valid_choices(v.routed, v.choices_raw), v.docs)
+    vectors_ = v.doc_vectors.select(F.col("doc_uid").alias("uid"), "embedding")
+    return res.orphans(v.routed, res.valid_choices(v.routed, v.choices_raw), v.docs.join(vectors_, "uid", "left"), as_of())
 
 
-@query("c5_orphans", """SELECT o.uid, o.doc_uid, d.title, left(d.text, 500) AS text_excerpt, best_node, round(best_similarity, 6) AS best_similarity, reason
-FROM orphaned o LEFT JOIN docs d ON d.uid = o.doc_uid""", "orphaned docs")
+@query("c5_orphans", """SELECT o.uid, o.doc_uid, d.title, left(d.text, 500) AS text_excerpt, best_node, round(best_similarity, 6) AS best_similarity, reason,
+(SELECT string_agg(node_id, ' ' ORDER BY r) FROM topk t WHERE t.doc_uid = o.doc_uid) AS candidates, round(list_sum(CAST(e.embedding AS DOUBLE[])), 3) AS vector_sum
+FROM orphaned o LEFT JOIN docs d ON d.uid = o.doc_uid JOIN embeddings e ON e.vec_id = o.vec_id""", "orphaned docs topk")
 def c5(v):
-    return _orphans(v).select("uid", "doc_uid", "title", "text_excerpt", "best_node", F.round("best_similarity", 6).alias("best_similarity"), "reason")
+    return _orphans(v).select("uid", "doc_uid", "title", "text_excerpt", "best_node", F.round("best_similarity", 6).alias("best_similarity"), "reason",
+                              F.nullif(F.array_join("candidate_entities", " "), F.lit("")).alias("candidates"),
+                              F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 3).alias("vector_sum"))
 
 
 @query("c6_upsert_documents", "SELECT uid, CASE WHEN lang = 'fr' THEN 'new' ELSE source END AS source FROM docs WHERE ias_tier <= 2 OR lang = 'fr'", "docs")
@@ -85,22 +89,24 @@ def c8(v):
     return res.add_orphans(known, found)
 
 
-def _stored_orphans(v):
-    o = _orphans(v)
+def stored_orphans(v):
+    """Orphans of even documents were stored up to a month ago, a part is resolved; all of them arrive again."""
+    found = _orphans(v)
     n = F.substring("uid", 12, 20).cast("long")
-    return o.select("uid", "best_node", F.when(n % 4 == 0, "resolved").otherwise("pending").alias("status"),
-                    (as_of() - F.make_dt_interval(days=(n % 30).cast("int"))).alias("created_at"))
+    known = found.where(n % 2 == 0).withColumn("status", F.when(n % 4 == 0, "resolved").otherwise("pending")).withColumn(
+        "created_at", as_of() - F.make_dt_interval(days=(n % 30).cast("int")))
+    return res.add_orphans(known, found)
 
 
-@query("c9_pending_orphans", """SELECT uid, best_node FROM orphaned WHERE vec_id % 4 <> 0 ORDER BY vec_id % 30 DESC, uid LIMIT 50""", "orphaned")
+@query("c9_pending_orphans", """SELECT uid, best_node FROM orphaned WHERE vec_id % 4 <> 0 ORDER BY CASE WHEN vec_id % 2 = 0 THEN vec_id % 30 ELSE 0 END DESC, uid LIMIT 50""", "orphaned")
 def c9(v):
-    return res.pending_orphans(_stored_orphans(v)).select("uid", "best_node")
+    return res.pending_orphans(stored_orphans(v)).select("uid", "best_node")
 
 
 @query("c10_decide_orphans", """SELECT uid, CASE WHEN vec_id % 3 = 0 THEN 'COMP-1' ELSE best_node END AS best_node,
 CASE WHEN vec_id % 3 = 0 THEN 'resolved' WHEN vec_id % 3 = 1 THEN 'dismissed' WHEN vec_id % 4 = 0 THEN 'resolved' ELSE 'pending' END AS status FROM orphaned""", "orphaned")
 def c10(v):
-    stored = _stored_orphans(v)
+    stored = stored_orphans(v)
     n = F.substring("uid", 12, 20).cast("long")
     decisions = stored.where(n % 3 < 2).select("uid", F.when(n % 3 == 0, "resolve").otherwise("dismiss").alias("decision"),
                                                F.lit("COMP-1").alias("node_id"))
@@ -109,7 +115,7 @@ def c10(v):
 
 @query("c11_orphan_counts", """SELECT count(*) AS total, count(*) FILTER (vec_id % 4 <> 0) AS pending, count(*) FILTER (vec_id % 4 = 0) AS resolved FROM orphaned""", "orphaned")
 def c11(v):
-    return res.orphan_counts(_stored_orphans(v))
+    return res.orphan_counts(stored_orphans(v))
 
 
 @query("c12_outcomes", """SELECT count(*) FILTER (route = 'auto') AS auto_routed, (SELECT count(*) FROM choices) AS choice_routed,

@@ -208,15 +208,28 @@ _TIER19 = "CASE doc_id % 19 " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumer
 
 
 def _items(v, extra):
+    """Feed items in three forms in turn: plain elements, RSS 2.0 with a named zone, and Atom."""
     k = F.col("doc_id").cast("string")
+    even, form = F.col("doc_id") % 2 == 0, F.floor(F.col("doc_id") / 2) % 3
+    html = F.concat(F.lit("&lt;p&gt;"), _plain("text"), F.lit("&lt;/p&gt;"))
     date = F.when(F.col("doc_id") % 3 == 0, F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).when(
         F.col("doc_id") % 3 == 1, F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss")).otherwise("soon")
-    item = F.concat(
+    rss_date = F.when(F.col("doc_id") % 3 == 0, F.date_format(F.col("published_at") - F.expr("INTERVAL 5 HOURS"), "EEE, d MMM yyyy HH:mm:ss 'EST'")).otherwise(date)
+    rss = F.concat(
+        F.lit("<item><title>"), _plain("title"), F.lit("</title><link>https://f.example.org/"), k, F.lit("</link>"),
+        F.when(even, F.concat(F.lit("<guid isPermaLink=\"false\">id"), k, F.lit("</guid>"))).otherwise(""),
+        F.lit("<description>"), html, F.lit("</description><pubDate>"), rss_date, F.lit("</pubDate><category>c1</category><category domain=\"d\">"), "lang", F.lit("</category></item>"))
+    atom = F.concat(
+        F.lit("<item><title type=\"html\">"), _plain("title"), F.lit("</title><link rel=\"self\" href=\"https://x.example.org/\"/><link href=\"https://f.example.org/"), k, F.lit("\"/>"),
+        F.when(even, F.concat(F.lit("<id>id"), k, F.lit("</id>"))).otherwise(""),
+        F.lit("<summary type=\"html\">"), html, F.lit("</summary><published>"), date,
+        F.lit("</published><category term=\"c1\"/><category term=\""), "lang", F.lit("\"/></item>"))
+    plain = F.concat(
         F.lit("<item><title>"), _plain("title"), F.lit("</title><link>https://f.example.org/"), k, F.lit("</link>"),
         F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<id>id"), k, F.lit("</id>"))).otherwise(""),
         F.lit("<summary>&lt;p&gt;"), _plain("text"), F.lit("&lt;/p&gt;</summary><published>"), date,
         F.lit("</published><category>c1</category><category>"), "lang", F.lit("</category></item>"))
-    return v.docs.select(item.alias("item"), *extra)
+    return v.docs.select(F.when(form == 0, plain).when(form == 1, rss).otherwise(atom).alias("item"), *extra)
 
 
 _WHEN = f"CASE WHEN doc_id % 3 = 2 THEN {_sec(A)} ELSE {_sec('published_at')} END"
@@ -234,7 +247,8 @@ def a14(v):
 
 @query("a15_feed_dates", f"SELECT doc_id, {_WHEN} AS published FROM docs", "docs")
 def a15(v):
-    date = F.when(F.col("doc_id") % 3 == 0, F.date_format("published_at", "EEE, d MMM yyyy HH:mm:ss '+0000'")).when(
+    date = F.when(F.col("doc_id") % 3 == 0, F.when(F.col("doc_id") % 2 == 0, F.date_format(
+        F.col("published_at") - F.expr("INTERVAL 7 HOURS"), "EEE, d MMM yy HH:mm:ss 'PDT'")).otherwise(F.date_format("published_at", "EEE, d MMM yyyy HH:mm:ss '+0000'"))).when(
         F.col("doc_id") % 3 == 1, F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss")).otherwise("soon")
     return v.docs.select("doc_id", F.unix_seconds(feeds.entry_date(date, F.lit(None).cast("string"), as_of())).alias("published"))
 
@@ -349,15 +363,21 @@ def a26(v):
     return taxonomy.concepts(_taxonomy_payloads(v)).select("id", "label", "name", F.array_join("aliases", "|").alias("aliases"), "criticality")
 
 
-@query("a27_upsert_nodes", """SELECT 'Company' AS label, 'COMP-' || s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'old' END AS name, 'country=' || n_name || ';rank=' || s_suppkey AS properties
+@query("a27_upsert_nodes", """SELECT 'Company' AS label, 'COMP-' || s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'old' END AS name, 'country=' || n_name || ';kept=COMP-' || s_suppkey || ';rank=' || s_suppkey AS properties
 FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def a27(v):
-    """Stored names are old; the upsert brings names for even suppliers and properties for all; list properties are dropped."""
+    """Stored names are old; the upsert brings names for even suppliers and properties for all; list properties are dropped.
+
+    Stored properties overlap with new ones, and each new row comes once more in an older state.
+    """
     c = taxonomy.concepts(_taxonomy_payloads(v))
     even = F.substring("id", 6, 20).cast("long") % 2 == 0
-    p = F.array_join(F.transform(F.array_sort(F.map_entries(taxonomy.primitive_properties(F.col("properties")))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
-    stored = c.select("label", "id", F.lit("old").alias("name"), F.lit(None).cast("string").alias("properties"))
-    return taxonomy.upsert_nodes(stored, c.select("label", "id", F.when(even, F.col("name")).alias("name"), p.alias("properties")))
+    stored = c.select("label", "id", F.lit("old").alias("name"), F.create_map(F.lit("country"), F.lit("old"), F.lit("kept"), F.col("id")).alias("properties"))
+    new = c.select("label", "id", F.when(even, F.col("name")).alias("name"), taxonomy.primitive_properties(F.col("properties")).alias("properties"), F.lit(2).alias("no"))
+    older = c.select("label", "id", F.when(even, F.lit("zz")).alias("name"), F.create_map(F.lit("rank"), F.lit("zz")).alias("properties"), F.lit(1).alias("no"))
+    merged = taxonomy.upsert_nodes(stored, new.unionByName(older), "no")
+    flat = F.array_join(F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return merged.select("label", "id", "name", flat.alias("properties"))
 
 
 @query("a28_upsert_edges", f"SELECT source, target, relation, CASE WHEN s_suppkey % 3 = 0 THEN 'new' ELSE 'old' END AS note FROM {_TE} WHERE target IN {_KNOWN} AND source IN {_KNOWN}")
@@ -366,7 +386,7 @@ def a28(v):
     c, e = taxonomy.concepts(p), taxonomy.edges(p).select("source", "target", "relation")
     stored = taxonomy.valid_edges(e, c).withColumn("note", F.lit("old"))
     incoming = e.where(F.substring("source", 6, 20).cast("long") % 3 == 0).withColumn("note", F.lit("new"))
-    return taxonomy.upsert_edges(stored, incoming, c)
+    return taxonomy.upsert_edges(stored, incoming.unionByName(incoming.withColumn("note", F.lit("mid"))), c)
 
 
 @query("a28_skipped_edges", f"SELECT source, target FROM {_TE} WHERE target NOT IN {_KNOWN}")

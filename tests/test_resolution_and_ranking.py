@@ -74,7 +74,7 @@ def test_choices_and_orphans(spark):
     got = ok.collect()
     assert [(r.doc_uid, r.node_id, len(r.reason)) for r in got] == [("choose", "n3", 200)]
     docs = spark.createDataFrame([(u, "t", "x" * 900) for u in ("auto", "choose", "below", "none", "mute")], "uid string, title string, text string")
-    o = {r.doc_uid: (r.reason, len(r.text_excerpt)) for r in resolution.orphans(routed(spark), ok, docs).collect()}
+    o = {r.doc_uid: (r.reason, len(r.text_excerpt)) for r in resolution.orphans(routed(spark), ok, docs, F.lit("2024-01-02").cast("timestamp")).collect()}
     assert o == {"below": ("below_threshold", 500), "none": ("no_candidates", 500), "mute": ("mistral_undecided", 500)}
     assert tuple(resolution.outcomes(routed(spark), ok).first()) == (1, 1, 3, 5)
 

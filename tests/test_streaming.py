@@ -2,11 +2,13 @@
 
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from pinchgraph.sources.documents import dedup_insert
 from pinchgraph.streaming import jobs
-from pinchgraph.streaming.batches import BatchTable
+from pinchgraph.streaming.batches import BatchKey, BatchTable
 
 NOW = datetime(2024, 1, 31, 12)
 DOC = jobs.STORED_DOCUMENT + ", arrival int"
@@ -38,10 +40,80 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     table = BatchTable(spark, str(tmp_path / "table"), jobs.STORED_DOCUMENT)
     rows = spark.createDataFrame([doc("a", 1), doc("b", 2)], DOC)
     for _ in range(2):
-        table.write(dedup_insert(table.read(before_batch=0), rows, "arrival"), 0)
+        key = BatchKey("q", 0)
+        table.write(dedup_insert(table.read(before=key), rows, "arrival"), key)
     assert sorted(r.uid for r in table.read().collect()) == ["a", "b"]
 
 
+def test_new_checkpoint_keeps_the_table(spark, tmp_path):
+    table = BatchTable(spark, str(tmp_path / "table"), jobs.STORED_DOCUMENT)
+    for n, rows in enumerate([[doc("a", 1)], [doc("b", 2), doc("a", 3)], [doc("c", 4), doc("b", 5)]]):
+        (tmp_path / str(n)).mkdir()
+        jobs.ingest(landed(spark, tmp_path / str(n), [rows], DOC), table, "arrival", str(tmp_path / f"cp{n}"), available_now=True).awaitTermination()
+    assert sorted(r.uid for r in table.read().collect()) == ["a", "b", "c"]
+
+
+def test_same_checkpoint_goes_on(spark, tmp_path):
+    table = BatchTable(spark, str(tmp_path / "table"), jobs.STORED_DOCUMENT)
+    for rows in ([doc("a", 1)], [doc("a", 2), doc("b", 3)]):
+        spark.createDataFrame(rows, DOC).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(spark.createDataFrame([], DOC).schema).parquet(str(tmp_path / "in"))
+        jobs.ingest(stream, table, "arrival", str(tmp_path / "cp"), available_now=True).awaitTermination()
+    assert sorted(r.uid for r in table.read().collect()) == ["a", "b"]
+
+
+def test_alert_is_not_repeated_after_a_lost_ledger(spark, tmp_path, monkeypatch):
+    schema = "uid string, title string, url string, source string, first_seen timestamp"
+    watched = spark.createDataFrame([("h", "claim", 0.8, 0.7, 2, ["ABF"])], "id string, statement string, confidence double, ops_score double, awareness_layer int, keywords array<string>")
+    alerts = BatchTable(spark, str(tmp_path / "alerts"), jobs.ALERT)
+    ledger = BatchTable(spark, str(tmp_path / "ledger"), jobs.LEDGER)
+    write = ledger.write
+    monkeypatch.setattr(ledger, "write", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    for n, at in enumerate((NOW, NOW + timedelta(hours=1))):
+        (tmp_path / str(n)).mkdir()
+        stream = landed(spark, tmp_path / str(n), [[(f"u{n}", "ABF short", "u", "S", at)]], schema)
+        query = jobs.alert(stream, watched, alerts, ledger, jobs.newest_of("first_seen"), str(tmp_path / f"cp{n}"), available_now=True)
+        if n == 0:
+            with pytest.raises(StreamingQueryException):
+                query.awaitTermination()
+            monkeypatch.setattr(ledger, "write", write)
+        else:
+            query.awaitTermination()
+    assert alerts.read().count() == 1
+
+
+def resolving(spark, tmp_path, n, parts, mentions, applied):
+    (tmp_path / str(n)).mkdir()
+    schema = "uid string, title string, text string, published_at timestamp, embedding array<float>"
+    nodes = spark.createDataFrame([("N1", "Company", [1.0, 0.0]), ("N2", "Company", [0.0, 1.0])], "node_id string, label string, embedding array<float>")
+    hyps = spark.createDataFrame([("H1", "N1", "active", 0.5), ("H2", "N2", "active", 0.5)], "id string, node_id string, status string, confidence double")
+    stream = landed(spark, tmp_path / str(n), parts, schema)
+    return jobs.resolve(stream, nodes, hyps, mentions, applied, jobs.newest_of("published_at"), str(tmp_path / f"cp{n}"), available_now=True)
+
+
+def test_resolve_over_batches_and_a_failure_between_its_writes(spark, tmp_path, monkeypatch):
+    rows = [(f"d{i}", "t", "shortage of supply" if i % 2 else "", NOW - timedelta(hours=i), [1.0, 0.1 * i] if i < 3 else [0.1, 1.0]) for i in range(6)]
+    parts = [rows[:2] + rows[:1], rows[2:4], rows[4:] + rows[3:4]]
+    mentions = BatchTable(spark, str(tmp_path / "mentions"), jobs.MENTION)
+    applied = BatchTable(spark, str(tmp_path / "applied"), jobs.EVIDENCE)
+    write, calls = applied.write, []
+
+    def failing(df, key):
+        calls.append(key)
+        if len(calls) == 2:
+            raise OSError("lost between the writes")
+        write(df, key)
+
+    monkeypatch.setattr(applied, "write", failing)
+    with pytest.raises(StreamingQueryException):
+        resolving(spark, tmp_path, 0, parts, mentions, applied).awaitTermination()
+    resolving(spark, tmp_path, 1, parts, mentions, applied).awaitTermination()  # a new checkpoint reads everything again
+    pairs = [(r.doc_uid, r.node_id) for r in mentions.read().collect()]
+    evidence = [(r.hypothesis_id, r.doc_uid) for r in applied.read().collect()]
+    assert len(pairs) == len(set(pairs)) and {u for u, _ in pairs} == {f"d{i}" for i in range(6)}
+    assert sorted(evidence) == sorted(set(evidence)) and {u for _, u in evidence} == {f"d{i}" for i in range(6)}
+
+
 def test_alerts_fire_once_over_batches(spark, tmp_path):
     schema = "uid string, title string, url string, source string, first_seen timestamp"
     parts = [[("u1", "ABF short", "u", "S", NOW)], [("u2", "ABF again", "u", "S", NOW)], [("u3", "Neon news", "u", "S", NOW)]]
