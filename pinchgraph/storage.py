@@ -76,14 +76,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Hint a broadcast only after counting that the side has at most `max_rows` narrow rows.
-
-    The bound is chosen for rows of about 200 bytes.  Past it the frame is returned unchanged
-    and the join shuffles, with adaptive skew handling.  The count is a full one, added up per
-    task; a `limit` would pull its rows into a single task first.
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: 16 per column and the length of texts and binaries, and of others' JSON."""
+    size = F.lit(16 * len(df.columns))
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0))
+    return size.cast("long")
+
+
+def bounded_broadcast(df: DataFrame, max_bytes: int = 128 << 20) -> DataFrame:
+    """Hint a broadcast only after adding up that the side has at most `max_bytes`.
+
+    Past it the frame is returned unchanged and the join shuffles, with adaptive skew handling.
+    The sum runs over all rows, per task first; a `limit` would pull its rows into a single task.
     """
-    if df.count() <= max_rows:
+    if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= max_bytes:
         return F.broadcast(df)
     return df
 

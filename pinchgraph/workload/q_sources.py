@@ -99,7 +99,7 @@ def a7(v):
 @query("a8_stories", f"""SELECT 'hn:' || conv_id || '-' || turn AS uid, left(text, 40) AS title, md5(left(text, 3000)) AS text_md5, CASE WHEN turn % 2 = 0 THEN 'https://news.ycombinator.com/item?id=' || conv_id || '-' || turn ELSE 'https://s.example.org/' || conv_id END AS url,
 'hn' AS source, CAST(1 AS INTEGER) AS ias_tier, 1704067200 + conv_id * 60 AS published,
 '{{"points":' || (conv_id % 40) || ',"num_comments":' || turn || ',"author":"' || role || '","query":"q1"}}' AS metadata
-FROM conversations WHERE conv_id % 40 > 10 AND 1704067200 + conv_id * 60 > 1704067200 + 600 AND text <> ''""")
+FROM conversations WHERE conv_id % 40 > 10 AND 1704067200 + conv_id * 60 > 1704067200 + 600""")
 def a8(v):
     """Each turn is a hit of two queries; the first query keeps it."""
     c, t = F.col("conv_id"), F.col("turn")
@@ -109,7 +109,7 @@ def a8(v):
                    F.date_format(F.timestamp_seconds(F.lit(1704067200) + c * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
                    (F.lit(1704067200) + c * 60).alias("created_at_i"), (c % 40).alias("points"), t.alias("num_comments"), F.col("role").alias("author"))
     body = F.to_json(F.struct(F.array(hit).alias("hits")))
-    bodies = v.table("conversations").where("text <> ''").select(body.alias("payload"))
+    bodies = v.table("conversations").select(body.alias("payload"))
     payloads = bodies.select("payload", F.explode(F.array(F.lit(1), F.lit(2))).alias("query_no")).withColumn(
         "query", F.concat(F.lit("q"), F.col("query_no").cast("string")))
     return _epoch(stories.stories(payloads, F.lit(1704067200 + 600), as_of()))
@@ -253,17 +253,17 @@ def a15(v):
     return v.docs.select("doc_id", F.unix_seconds(feeds.entry_date(date, F.lit(None).cast("string"), as_of())).alias("published"))
 
 
-@query("a16_patents", f"""SELECT 'uspto:' || pid AS uid, '[Patent] ' || t AS title, md5(left(text, 3000)) AS text_md5, 'https://patents.google.com/patent/US' || pid AS url, 'uspto' AS source, CAST(1 AS INTEGER) AS ias_tier,
+@query("a16_patents", f"""SELECT 'uspto:' || pid AS uid, '[Patent] ' || t AS title, md5(CASE WHEN text = '' THEN t ELSE left(text, 3000) END) AS text_md5, 'https://patents.google.com/patent/US' || pid AS url, 'uspto' AS source, CAST(1 AS INTEGER) AS ias_tier,
 CASE WHEN doc_id % 5 = 0 THEN {_sec(A)} ELSE {_sec("date_trunc('day', published_at)")} END AS published, '{{"patent_id":"' || pid || '","assignee":"' || source || '"}}' AS metadata
 FROM (SELECT * EXCLUDE (source), docs.source, t, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) ELSE left(sha256(t), 12) END AS pid
  FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'An EUV stage ' ELSE 'A stage ' END || doc_id AS t FROM docs) docs)
-WHERE {_any(vocab.PATENT_KEYWORDS, "lower(t || ' ' || text)")} AND text <> ''""", "docs")
+WHERE {_any(vocab.PATENT_KEYWORDS, "lower(t || ' ' || text)")}""", "docs")
 def a16(v):
     k = F.col("doc_id")
     title = F.concat(F.when(k % 3 == 0, "An EUV stage ").otherwise("A stage "), k.cast("string"))
     p = F.struct(F.when(k % 2 == 0, k.cast("string")).alias("patent_id"), title.alias("patent_title"), F.col("text").alias("patent_abstract"),
                  F.when(k % 5 != 0, F.date_format("published_at", "yyyy-MM-dd")).alias("patent_date"))
-    payloads = v.docs.where("text <> ''").select(F.col("source").alias("assignee"), F.to_json(F.struct(F.array(p).alias("patents"))).alias("payload"))
+    payloads = v.docs.select(F.col("source").alias("assignee"), F.to_json(F.struct(F.array(p).alias("patents"))).alias("payload"))
     return _epoch(patents.patents(payloads, as_of()))
 
 

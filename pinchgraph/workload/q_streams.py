@@ -70,7 +70,7 @@ def _l2_sql():
 @query("l2_resolve_stream", _l2_sql(), "mentions docs hyps")
 def l2(v):
     """Documents stream in with their vectors; mentions and evidence follow, and the fold gives the confidence."""
-    vecs = v.table("embeddings").where("vec_id >= 100").select(F.concat(F.lit("doc:"), F.col("vec_id").cast("string")).alias("uid"), "embedding")
+    vecs = v.table("embeddings").where("vec_id % 5 <> 0").select(F.concat(F.lit("doc:"), F.col("vec_id").cast("string")).alias("uid"), "embedding")
     stream = _Streamed(v, "documents").docs.join(vecs, "uid")
     mentions = BatchTable(v.spark, scratch_path(v.spark, "mentions"), jobs.MENTION)
     applied = BatchTable(v.spark, scratch_path(v.spark, "applied"), jobs.EVIDENCE)

@@ -73,13 +73,13 @@ def b6(v):
     return v.texts("pages").select("page_id", F.md5(text.strip_tags("html")).alias("digest"))
 
 
-@query("b7_embedding_input", """SELECT id, len(text) AS chars, left(text, 12) AS head FROM (
+@query("b7_embedding_input", """SELECT id, len(text) AS chars, md5(text) AS digest FROM (
 SELECT id, label || ': ' || name || '. Aliases: ' || array_to_string(aliases, ', ') || '. ' || description AS text FROM concepts)
-UNION ALL SELECT 'doc:' || doc_id, len(left(text, 120) || '. ' || left(text, 1500)), left(text, 12) FROM documents WHERE length(text) >= 12""", "concepts")
+UNION ALL SELECT 'doc:' || doc_id, len(left(text, 120) || '. ' || left(text, 1500)), md5(left(text, 120) || '. ' || left(text, 1500)) FROM documents""", "concepts")
 def b7(v):
     c = v.concepts.select("id", text.embedding_input(F.col("label"), F.col("name"), F.col("aliases"), F.col("description")).alias("t"))
-    d = v.docs.where(F.length("text") >= 12).select("uid", text.document_embedding_input(F.col("title"), F.col("text")).alias("t"))
-    return c.union(d).select("id", F.length("t").cast("long").alias("chars"), F.left("t", F.lit(12)).alias("head"))
+    d = v.docs.select("uid", text.document_embedding_input(F.col("title"), F.col("text")).alias("t"))
+    return c.union(d).select("id", F.length("t").cast("long").alias("chars"), F.md5("t").alias("digest"))
 
 
 _STRIP = rf"regexp_replace(text, '^[{_SP}]+|[{_SP}]+$', '', 'g')"

@@ -21,7 +21,7 @@ SELECT d.doc_id, 'doc:' || d.doc_id AS uid, left(d.text, 120) AS title, d.text,
   '{{"lang":"' || d.lang || '"}}' AS metadata
 FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id"""),
     "concepts": ("", """
-SELECT 'C-' || item_id AS id, 'Material' AS label, w[1] || ' ' || w[2] AS name, list_distinct(w) AS aliases,
+SELECT 'C-' || item_id AS id, 'Material' AS label, w[1] || ' ' || w[2] AS name, list_filter(w, lambda x, i: list_position(w, x) = i) AS aliases,
   left(text, 80) AS description, item_id
 FROM (SELECT *, regexp_extract_all(text, '[A-Za-z]{3,}') AS w FROM benchmark)"""),
     "nodes": ("", """
@@ -53,10 +53,10 @@ SELECT 'H-' || s_suppkey AS id, 'COMP-' || s_suppkey AS node_id, s_name AS node_
   {A} - to_days(CAST((s_suppkey * 7) % 45 AS INTEGER)) AS created_at,
   CASE WHEN s_suppkey % 11 <> 0 THEN {A} - to_days(CAST((s_suppkey * 5) % 40 AS INTEGER)) END AS updated_at, s_suppkey
 FROM supplier JOIN nation ON s_nationkey = n_nationkey
-JOIN (SELECT item_id, regexp_extract_all(text, '[A-Za-z]{{3,}}') AS w FROM benchmark) b ON s_suppkey % 40 = b.item_id"""),
+JOIN (SELECT item_id, regexp_extract_all(text, '[A-Za-z]{{3,}}') AS w FROM benchmark) b ON s_suppkey % (SELECT count(*) FROM benchmark) = b.item_id"""),
     "evidence": ("hyps", """
 SELECT hypothesis_id, doc_uid, ts, supports, '[' || left(doc_uid, 12) || '] ' || event_type || ' of user ' || user_id AS line FROM (
-  SELECT 'H-' || user_id AS hypothesis_id, CASE event_id % 6 WHEN 0 THEN 'github:' WHEN 1 THEN 'arxiv:' WHEN 2 THEN 'hn:'
+  SELECT 'H-' || (user_id % (SELECT count(*) FROM supplier)) AS hypothesis_id, CASE event_id % 6 WHEN 0 THEN 'github:' WHEN 1 THEN 'arxiv:' WHEN 2 THEN 'hn:'
     WHEN 3 THEN 'rss_nyt:' WHEN 4 THEN 'jobs_x:' ELSE 'zz:' END || event_id AS doc_uid, CAST(ts AS TIMESTAMP) AS ts,
     event_type <> 'error' AS supports, event_type, user_id FROM events)
 WHERE hypothesis_id IN (SELECT id FROM hyps)"""),
@@ -92,16 +92,16 @@ FROM (SELECT *, s * g * 0.40::DOUBLE + p * 0.20::DOUBLE + c * 0.15::DOUBLE + v *
     coalesce(r.robustness, 1.0::DOUBLE) AS b
   FROM hyps_counted h LEFT JOIN reviews r ON r.hypothesis_id = h.id))"""),
     "sims": ("", """
-SELECT * FROM (SELECT 'doc:' || d.vec_id AS doc_uid, 'COMP-' || n.vec_id AS node_id, d.vec_id,
+SELECT * FROM (SELECT 'doc:' || d.vec_id AS doc_uid, 'COMP-' || (n.vec_id // 5) AS node_id, d.vec_id,
   list_cosine_similarity(CAST(d.embedding AS DOUBLE[]), CAST(n.embedding AS DOUBLE[])) AS sim
-FROM embeddings d, embeddings n WHERE d.vec_id >= 100 AND n.vec_id < 100) WHERE sim > 0"""),
+FROM embeddings d, embeddings n WHERE d.vec_id % 5 <> 0 AND n.vec_id % 5 = 0) WHERE sim > 0"""),
     "topk": ("sims", """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_uid ORDER BY sim DESC, node_id) AS r FROM sims) WHERE r <= 10"""),
     "routed": ("topk", """
 SELECT 'doc:' || e.vec_id AS doc_uid, e.vec_id, t.node_id AS best_node, coalesce(t.sim, 0) AS best_similarity,
   CASE WHEN t.sim IS NULL THEN 'no_candidates' WHEN t.sim >= 0.36 THEN 'auto' WHEN t.sim >= 0.30 THEN 'choose'
     ELSE 'below_threshold' END AS route
-FROM embeddings e LEFT JOIN topk t ON t.doc_uid = 'doc:' || e.vec_id AND t.r = 1 WHERE e.vec_id >= 100"""),
+FROM embeddings e LEFT JOIN topk t ON t.doc_uid = 'doc:' || e.vec_id AND t.r = 1 WHERE e.vec_id % 5 <> 0"""),
     "mentions": ("topk", "SELECT doc_uid, node_id, sim AS confidence FROM topk WHERE sim >= 0.36"),
     "choices": ("routed topk", """
 SELECT doc_uid, node_id, confidence FROM (

@@ -139,7 +139,7 @@ class Views:
         b = self.table("benchmark").select(F.col("item_id").alias("_item"), F.initcap(words[0]).alias("_w1"), F.initcap(words[1]).alias("_w2"))
         k = F.col("s_suppkey")
         s = self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(
-            b, k % 40 == F.col("_item"))
+            b, k % self.table("benchmark").count() == F.col("_item"))
 
         def ago(days):
             return as_of() - F.make_dt_interval(days=days.cast("int"))
@@ -156,13 +156,13 @@ class Views:
 
     @cached_property
     def evidence(self) -> DataFrame:
-        """One piece of evidence per event whose user number is a supplier with a hypothesis."""
-        e = self.table("events")
+        """One piece of evidence per event, for the supplier of the user's number."""
+        e = self.table("events").withColumn("_h", F.col("user_id") % self.table("supplier").count())
         prefix = (F.when(F.col("event_id") % 6 == 0, "github:").when(F.col("event_id") % 6 == 1, "arxiv:")
                   .when(F.col("event_id") % 6 == 2, "hn:").when(F.col("event_id") % 6 == 3, "rss_nyt:")
                   .when(F.col("event_id") % 6 == 4, "jobs_x:").otherwise("zz:"))
         rows = e.select(
-            F.concat(F.lit("H-"), F.col("user_id").cast("string")).alias("hypothesis_id"),
+            F.concat(F.lit("H-"), F.col("_h").cast("string")).alias("hypothesis_id"),
             F.concat(prefix, F.col("event_id").cast("string")).alias("doc_uid"), F.col("ts").cast("timestamp").alias("ts"),
             (F.col("event_type") != "error").alias("supports"),
             F.concat(F.lit("["), F.left(F.concat(prefix, F.col("event_id").cast("string")), F.lit(12)), F.lit("] "),
@@ -203,12 +203,13 @@ class Views:
 
     @cached_property
     def node_vectors(self) -> DataFrame:
-        return self.table("embeddings").where("vec_id < 100").select(
-            F.concat(F.lit("COMP-"), F.col("vec_id").cast("string")).alias("node_id"), F.lit("Company").alias("label"), "embedding")
+        """Every fifth vector is that of a node, so nodes grow with the documents."""
+        return self.table("embeddings").where("vec_id % 5 = 0").select(
+            F.concat(F.lit("COMP-"), F.floor(F.col("vec_id") / 5).cast("string")).alias("node_id"), F.lit("Company").alias("label"), "embedding")
 
     @cached_property
     def doc_vectors(self) -> DataFrame:
-        return self.table("embeddings").where("vec_id >= 100").select(
+        return self.table("embeddings").where("vec_id % 5 <> 0").select(
             F.concat(F.lit("doc:"), F.col("vec_id").cast("string")).alias("doc_uid"), "embedding")
 
     @cached_property
@@ -218,7 +219,7 @@ class Views:
     @cached_property
     def choices_raw(self) -> DataFrame:
         """Answers for every document vector: the label picks a node, some answers are unusable."""
-        e = self.table("embeddings").where("vec_id >= 100")
+        e = self.table("embeddings").where("vec_id % 5 <> 0")
         v = F.col("vec_id").cast("string")
         node = F.concat(F.lit("COMP-"), (F.col("vec_id") * 13 % 100).cast("string"))
         best = self.routed.select("doc_uid", "best_node")
