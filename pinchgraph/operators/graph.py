@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pinchgraph.model import NODE_LABELS, RELATIONS
 from pinchgraph.operators.graph_blocks import MAX_NEIGHBOUR_ROWS, block_metrics
+from pinchgraph.operators import contraction
 from pinchgraph.storage import Step, materialize, running_offsets
 
 
@@ -47,24 +48,11 @@ def _no_loops(adj: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, adj: DataFrame) -> DataFrame:
     """(node_id, component), the component named by its smallest node id.
 
-    Minimum labels travel to neighbours, to the node that names the current label, and along
-    that node's own label, so the number of rounds grows with the logarithm of the diameter
-    for usual graphs.  All reductions are `min` with map-side combine.
+    The graph is contracted round by round, so a component that holds most nodes is never a join key of
+    all its edges; a node without edges is its own component.
     """
-    adj = materialize(_no_loops(adj), "cc-edges").df
-    labels = materialize(nodes.select("node_id", F.col("node_id").alias("label")), "cc-start").df
-    while True:
-        near = adj.join(labels, F.col("dst") == F.col("node_id")).groupBy("src").agg(F.min("label").alias("near"))
-        low = labels.join(near, F.col("node_id") == F.col("src"), "left").select(
-            "node_id", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
-        hook = low.groupBy("label").agg(F.min("low").alias("hook"))
-        hooked = low.join(hook, "label").select("node_id", "label", F.least("low", "hook").alias("low"))
-        up = hooked.select(F.col("node_id").alias("low"), F.col("low").alias("up"))
-        jumped = hooked.join(up, "low").select("node_id", F.col("label").alias("old"), F.least("low", "up").alias("label"))
-        step = materialize(jumped, "cc-round", changed=F.count_if(F.col("old") != F.col("label")))
-        labels = step.df.select("node_id", "label")
-        if not step.metrics.get("changed"):
-            return labels.select("node_id", F.col("label").alias("component"))
+    roots = contraction.components(adj, "src", "dst").withColumnRenamed("node", "node_id")
+    return nodes.select("node_id").join(roots, "node_id", "left").select("node_id", F.coalesce("root", "node_id").alias("component"))
 
 
 def node_centrality(nodes: DataFrame, adj: DataFrame, max_rows: int = MAX_NEIGHBOUR_ROWS) -> DataFrame:

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -37,9 +38,32 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    for names in _RECORDED:
+        names.append(path)
     return path
 
 
+#: Lists that get the name of every scratch path made meanwhile.
+_RECORDED: list[list[str]] = []
+
+
+@contextmanager
+def recorded_scratch() -> Iterator[list[str]]:
+    """The scratch paths made inside the block, for `drop_scratch` once what was computed from them is written."""
+    names: list[str] = []
+    _RECORDED.append(names)
+    try:
+        yield names
+    finally:
+        _RECORDED.remove(names)
+
+
+def drop_scratch(spark: SparkSession, paths: Sequence[str]) -> None:
+    for path in paths:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 @dataclass(frozen=True)
 class Step:
     """A written intermediate table with the counters observed while it was written."""
