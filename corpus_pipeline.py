@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pinchgraph.llm import chunks, decontaminate, packing, resample, simhash
 from pinchgraph.llm.common import prepare, table
 from pinchgraph.llm.queries import vocabulary
-from pinchgraph.storage import materialize, scratch_path
+from pinchgraph.storage import drop_scratch, materialize, recorded_scratch, scratch_path
 
 #: Stages decide by trained models and by content, which SQL cannot express.
 ORACLE_SQL = None
@@ -16,9 +18,8 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents outside the importance resample go.  Rows without an id cannot be addressed and stay."""
-    kept = resample.resample(docs, table(spark, sf_dir, "labels"))
-    found = materialize(kept.select("doc_id").distinct(), "kept").df
-    return docs.join(found, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    kept = resample.resample(docs.where("doc_id is not null"), table(spark, sf_dir, "labels"), carry=True)
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,16 +39,36 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences, ids included."""
-    return packing.pack(packing.pieces(docs, vocabulary(), with_ids=True))
+    """The pieces of all documents with their places in sequences.
+
+    Ids follow from text and place; `packing.pieces(..., with_ids=True)` carries them, at the cost of moving them twice.
+    """
+    return packing.pack(packing.pieces(docs, vocabulary()))
+
+
+#: Scratch tables of the stage that ran last.
+_LEFT: list[str] = []
+
+
+def _swept(stage):
+    """`stage`, dropping the scratch tables of the stage before: its result is written by now."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_scratch(prepare(spark), _LEFT)
+        with recorded_scratch() as names:
+            out = stage(spark, docs, sf_dir)
+        _LEFT[:] = names
+        return out
+
+    return run_stage
 
 
 STAGES = [
-    ("quality", quality),
-    ("near_dedup", near_dedup),
-    ("substring_dedup", substring_dedup),
-    ("decontamination", decontamination),
-    ("packing", pack),
+    ("quality", _swept(quality)),
+    ("near_dedup", _swept(near_dedup)),
+    ("substring_dedup", _swept(substring_dedup)),
+    ("decontamination", _swept(decontamination)),
+    ("packing", _swept(pack)),
 ]
 
 

@@ -159,6 +159,6 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     Rows without spans are unchanged, null texts included.
     """
     per = spans_per_document(spans).select("doc_id", F.col("spans").alias("_spans"))
-    joined = docs.join(per, "doc_id", "left")
+    joined = docs.join(per.hint("merge"), "doc_id", "left")  # spans grow with the documents: never broadcast
     text = F.when(F.col("_spans").isNotNull(), _cut_text("_spans")).otherwise(F.col("text")).alias("text")
     return joined.select(*[text if c == "text" else F.col(c) for c in docs.columns])

@@ -154,9 +154,12 @@ def _blocks(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held[at : at + 16]), schema)], schema=schema)
 
 
-def weights(docs: DataFrame, ratios: np.ndarray, window: int = WINDOW) -> DataFrame:
-    """doc_id, log_weight, mean, weakest of every row.  A text without words has zeros."""
-    schema = pa.schema([("doc_id", pa.int64()), ("log_weight", pa.float64()), ("mean", pa.float64()), ("weakest", pa.float64())])
+def weights(docs: DataFrame, ratios: np.ndarray, window: int = WINDOW, carry: bool = False) -> DataFrame:
+    """doc_id, log_weight, mean, weakest of every row; with `carry` also the row itself as a struct `row`.
+
+    A text without words has zeros.
+    """
+    names = ("log_weight", "mean", "weakest")
 
     def score(text: bytes) -> tuple[float, float, float]:
         families = _FEATURES(text)
@@ -172,9 +175,14 @@ def weights(docs: DataFrame, ratios: np.ndarray, window: int = WINDOW) -> DataFr
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([score(t) for t in batch.column("text").to_pylist()]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found[:, i]) for i in range(3))], schema=schema)
+            kept = [c for c in batch.schema.names if c != "text"]
+            columns = [batch.column(c) for c in kept] + [pa.array(found[:, i]) for i in range(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *names])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, log_weight double, mean double, weakest double")
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"), *own)
+    kind = f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""
+    return rows.mapInArrow(run, f"doc_id long{kind}, log_weight double, mean double, weakest double")
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray, loss: float = LOSS) -> float:
@@ -218,13 +226,13 @@ def gumbel_top_k(scored: DataFrame, score: str, k: int, temperature: float = TEM
     The noise is a hash of doc_id, so it is the same on every run; rows of equal keys at the end all stay.
     """
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    keyed = materialize(scored.withColumn("key", F.col(score) - F.lit(temperature) * F.log(-F.log(u))), "keys").df
+    keyed = scored.withColumn("key", F.col(score) - F.lit(temperature) * F.log(-F.log(u)))
     least = kth_largest(keyed, "key", k)
     return keyed.where(F.lit(False) if least is None else F.col("key") >= least)
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, temperature: float = TEMPERATURE) -> DataFrame:
-    """doc_id, log_weight, mean, weakest, score, key of the documents sampled.
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, temperature: float = TEMPERATURE, carry: bool = False) -> DataFrame:
+    """doc_id, log_weight, mean, weakest, score, key of the documents sampled; with `carry` also `row`, the document itself.
 
     score is the smaller margin of mean and weakest over their cuts, learnt from held-back labels against low quality
     and against toxicity.  k is `share` of the rows, or the number of non-negative scores.
@@ -232,7 +240,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, tem
     score is 0 and all stay.  Rows that share an id are scored apart and share their noise.
     """
     sample = labelled(labels)
-    found = materialize(weights(docs, log_ratios(docs, sample.target)), "weights")
+    found = materialize(weights(docs, log_ratios(docs, sample.target), carry=carry), "weights")
     spark = docs.sparkSession
     held = spark.createDataFrame([(i, q, t) for i, (q, t) in sample.held.items()], "doc_id long, quality int, toxic int")
     rows = found.df.join(F.broadcast(held), "doc_id").select("mean", "weakest", "quality", "toxic").collect()  # at most the held-back labels

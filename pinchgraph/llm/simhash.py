@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pinchgraph.llm.common import rows_of, utf8
-from pinchgraph.llm.components import components
+from pinchgraph.operators.contraction import components
 from pinchgraph.storage import materialize
 
 SEED = 42
@@ -229,20 +229,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 3) -> Da
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """`docs` without those whose group has a smaller id.  Rows without an id cannot be addressed and stay."""
     gone = groups.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)  # ids grow with the documents
 
 
 #: Shingle words and Jaccard similarity of near copies.
 WORDS, SIMILAR = 5, 0.8
 #: Bits of 128 that candidates differ in at most: three standard deviations over the mean at `SIMILAR`.
 FAR = 32
+#: Members of a bucket up to which all its pairs are taken.
+ALL_PAIRS = 16
 #: Chance that a pair at `SIMILAR` shares a key, from which the number of tables follows.
 FOUND = 0.99
 
 
 def key_masks(rows: int, similar: float = SIMILAR, seed: int = 1) -> list[tuple[int, int]]:
     """(high, low) masks of the key bits of each table: as many bits as make buckets of random rows small."""
-    bits = min(28, max(8, math.ceil(math.log2(max(2, rows))) - 2))
+    bits = min(28, max(16, math.ceil(math.log2(max(2, rows))) - 2))
     agree = 1 - math.acos(2 * similar / (1 + similar)) / math.pi
     tables = math.ceil(math.log(1 - FOUND) / math.log(1 - agree**bits))
     rng, masks = np.random.default_rng(seed), []
@@ -291,12 +293,41 @@ def _similar(docs: DataFrame, pairs: DataFrame, words: int, similar: float) -> D
     return materialize(both.where(common >= similar * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "similar").df
 
 
+def _near_pairs(rows: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """(key, a, b, star) of rows (key, node, hi, lo) of equal run.
+
+    A small bucket gives all its pairs within `FAR`.  In a larger one the member nearest to the majority of
+    each bit is the centre; members within reach of it give one pair, with the centre, and the others all
+    their pairs.
+    """
+    fp = rows[:, 2:4].copy().view(np.uint64)
+    sizes = np.bincount(run)
+    large = sizes[run] > ALL_PAIRS
+    out = []
+    small = np.flatnonzero(~large)
+    i, j = sliced_links(fp[small], run[small], FAR)
+    out.append(np.stack([rows[small[i], 0], rows[small[i], 1], rows[small[j], 1], np.zeros(len(i), np.int64)], 1))
+    for r in np.unique(run[large]):
+        at = np.flatnonzero(run == r)
+        bits = np.unpackbits(fp[at].view(np.uint8), axis=1)
+        middle = 2 * bits.sum(0, dtype=np.int64) > len(at)
+        centre = int((bits != middle).sum(1).argmin())
+        reach = (bits != bits[centre]).sum(1) <= FAR
+        star, rest = at[reach & (np.arange(len(at)) != centre)], at[~reach]
+        out.append(np.stack([rows[star, 0], np.full(len(star), rows[at[centre], 1]), rows[star, 1], np.ones(len(star), np.int64)], 1))
+        if len(rest):
+            i, j = sliced_links(fp[at], np.zeros(len(at), np.int64), FAR)
+            open_ = ~reach[i] | ~reach[j]
+            out.append(np.stack([rows[at[i[open_]], 0], rows[at[i[open_]], 1], rows[at[j[open_]], 1], np.zeros(int(open_.sum()), np.int64)], 1))
+    return np.concatenate(out)
+
+
 def similar_groups(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS) -> DataFrame:
     """doc_id, component_id of every row with an id: groups linked by shingle sets of Jaccard similarity `similar` or more.
 
-    Rows of equal fingerprint are one class.  First each bucket is compared with its first member
-    only, which joins large groups of copies in linear time; then members of different groups are
-    compared bit-sliced, and no pair inside a group is written.  Texts without words are copies of one another.
+    Rows of equal fingerprint are one class.  Large buckets of copies are compared with their central member
+    first, which joins them with as many pairs as members; members that fail there are then compared with
+    the others of their bucket.  Texts without words are copies of one another.
     """
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = materialize(_long_prints(known, words), "prints").df
@@ -304,31 +335,29 @@ def similar_groups(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS
     masks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(h).alias("h"), F.lit(low).alias("l")) for i, (h, low) in enumerate(key_masks(values.rows, similar))])
     keys = F.transform(masks, lambda m: F.xxhash64(m["i"], F.col("hi").bitwiseAND(m["h"]), F.col("lo").bitwiseAND(m["l"])))
     keyed = values.df.select(F.explode(keys).alias("key"), "node", "hi", "lo")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least")
-    busy = materialize(keyed.join(shared, "key"), "busy").df
-    first = values.df.select(F.col("node").alias("least"), F.col("hi").alias("h"), F.col("lo").alias("l"))
-    bits = F.bit_count(F.col("hi").bitwiseXOR(F.col("h"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("l")))
-    stars = busy.where("node <> least").dropDuplicates(["node", "least"]).join(first, "least").where(bits <= FAR)
-    links = _similar(known, materialize(stars.select(F.col("least").alias("a"), F.col("node").alias("b")), "stars").df, words, similar)
-    groups = components(links, "a", "b")
-    labelled = busy.join(groups, "node", "left").select("key", "node", "hi", "lo", F.coalesce("root", "node").alias("root"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    out = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("star", pa.int64())])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, run in _runs(batches, ("key", "node", "hi", "lo", "root"), 1):
-            i, j = sliced_links(rows[:, 2:4].copy().view(np.uint64), run, FAR)
-            apart = rows[i, 4] != rows[j, 4]
-            ends = np.sort(np.stack([rows[i[apart], 1], rows[j[apart], 1]], 1), axis=1)
-            ends = np.unique(ends, axis=0) if len(ends) else ends
-            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema=out)
-
-    sorted_ = labelled.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key")
-    rest = materialize(sorted_.mapInArrow(compare, "a long, b long").distinct(), "rest").df
-    links = links.unionByName(_similar(known, rest, words, similar))
-    roots = components(links, "a", "b")
-    grouped = values.df.join(roots, "node", "left").select("hi", "lo", "node", F.coalesce("root", "node").alias("root"))
-    grouped = materialize(grouped, "grouped").df
-    least = grouped.groupBy("root").agg(F.min("node").alias("component_id"))
-    labels = materialize(grouped.join(least, "root").select("hi", "lo", "component_id"), "labels").df
+        for rows, run in _runs(batches, ("key", "node", "hi", "lo"), 1):
+            found = _near_pairs(rows, run)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, c]) for c in range(4)], schema=out)
+
+    near = materialize(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(compare, "key long, a long, b long, star long"), "near").df
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    first = materialize(ordered(near), "pairs").df
+    links = _similar(known, first, words, similar)
+    groups = components(links, "a", "b")
+    # a member that is not like its centre may still be like another member that is
+    rooted = lambda side: groups.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+    stars = near.where("star = 1").join(rooted("a"), "a", "left").join(rooted("b"), "b", "left")
+    failed = stars.where("ra is null or rb is null or ra <> rb").select("key", F.col("b").alias("x"), F.col("rb").alias("rx"))
+    members = stars.select("key", F.col("b").alias("y"), F.col("rb").alias("ry"))
+    apart = F.col("rx").isNull() | F.col("ry").isNull() | (F.col("rx") != F.col("ry"))
+    second = failed.join(members, "key").where((F.col("x") != F.col("y")) & apart).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    rest = materialize(ordered(second).join(first, ["a", "b"], "left_anti"), "rest")
+    if rest.rows:
+        links = links.unionByName(_similar(known, rest.df, words, similar))
+        groups = components(links, "a", "b")
+    grouped = values.df.join(groups, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("component_id"))
+    labels = materialize(grouped, "labels").df  # a root is the smallest node of its group
     return prints.join(labels, ["hi", "lo"]).select("doc_id", "component_id")
