@@ -1,7 +1,7 @@
 """Text expressions: cleaning, tokens, whole-word tests, relevance, evidence tone.
 
-All are built-in column expressions, so they stay inside whole-stage code generation.
-Word characters are Unicode letters, digits and the underscore, whatever the JDK's
+All are built-in column expressions, so no row leaves the JVM.  Lambdas over arrays, as in `let` and
+`contains_any`, are interpreted there; the expressions around them are compiled.  Word characters are Unicode letters, digits and the underscore, whatever the JDK's
 default for `\\w` is.
 """
 
@@ -208,6 +208,7 @@ def explain_node(name: Column, label: Column, srs: Column, betweenness: Column,
         .when(concentration > 0.50, F.format_string(SOME_CONCENTRATION, concentration)),
         label_text,
     ))
+    # fixed value
     fallback = F.concat(name, F.format_string(
         " has a high structural risk score (SRS=%.3f) based on its position in the dependency graph.", srs))
     return F.when(F.size(parts) == 0, fallback).otherwise(F.array_join(parts, "\n\n"))
