@@ -162,6 +162,23 @@ def test_item_in_every_document_and_blocks(llm, docs_of, prose, monkeypatch):
     assert [r["doc_id"] for r in kept.collect()] == [3]
 
 
+def test_item_in_a_third_of_the_documents(llm, docs_of, prose):
+    """A hot group makes all words of its item common: its copies are found all the same, and those of an item of the same words."""
+    hot, rare = prose(30, 1), prose(30, 2)
+    words = hot.split()
+    items = [(1, hot), (2, rare), (3, " ".join(words[::-1]))]
+    rows = []
+    for i in range(1_000):
+        text = prose(40, 5_000 + i).split()
+        if i % 3 == 0:
+            text[i % 40 : i % 40] = words if i % 2 else [*words[:5], "other", *words[7:]]
+        rows.append((i, " ".join(text)))
+    rows += [(2_000, rows[1][1] + " " + rare), (2_001, rows[2][1] + " " + items[2][1])]
+    bench = llm.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs_of(rows), bench).collect()}
+    assert got == {(i, 1) for i in range(0, 1_000, 3)} | {(2_000, 2), (2_001, 3)}
+
+
 def labels_of(llm, rows):
     return llm.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
