@@ -179,6 +179,24 @@ def test_item_in_a_third_of_the_documents(llm, docs_of, prose):
     assert got == {(i, 1) for i in range(0, 1_000, 3)} | {(2_000, 2), (2_001, 3)}
 
 
+def test_long_items(llm, docs_of, prose):
+    rng = random.Random(2)
+    items = [(n, prose(n, n)) for n in (30, 65, 150, 300, 1_000)]
+    rows = [(i, prose(rng.choice([50, 400, 2_000]), 7_000 + i)) for i in range(60)]
+    want = set()
+    for n, item in items:
+        for k in range(4):
+            words = item.split()
+            for _ in range(k * n // 20):  # none to 15 in 100 are changed
+                words[rng.randrange(n)] = "other"
+            rows.append((1_000 * k + n, prose(37 * k, 100 * n + k) + " " + " ".join(words) + " " + prose(80, 100 * n + k + 50)))
+            want.add((1_000 * k + n, n))
+    rows.append((9_000, " ".join(items[4][1].split()[:500])))  # half of an item is none
+    bench = llm.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs_of(rows), bench).collect()}
+    assert got == want == brute_leaks(rows, items)
+
+
 def labels_of(llm, rows):
     return llm.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
