@@ -254,16 +254,31 @@ def key_masks(rows: int, similar: float = SIMILAR, seed: int = 1) -> list[tuple[
     return masks
 
 
+def _hashes(text: bytes, words: int) -> np.ndarray:
+    """A row of 16 bytes per shingle."""
+    tokens = text.lower().split()
+    n = max(1, len(tokens) - words + 1) if tokens else 0
+    parts = [b"".join([xxhash.xxh3_128_digest(b" ".join(tokens[i : i + words])) for i in range(at, min(n, at + 16_384))]) for at in range(0, n, 16_384)]
+    return np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 16)
+
+
 def _long_prints(docs: DataFrame, words: int) -> DataFrame:
-    out = pa.schema([("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
+    """doc_id, hi, lo, set_hi, set_lo: the fingerprint of 128 bits, and a digest of the set of shingles."""
+    names = ["doc_id", "hi", "lo", "set_hi", "set_lo"]
+    out = pa.schema([(n, pa.int64()) for n in names])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = b"".join(fingerprint(t, words, xxhash.xxh3_128_digest) for t in batch.column("text").to_pylist())
-            pair = np.frombuffer(prints, ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pair[:, 0]), pa.array(pair[:, 1])], schema=out)
+            prints = []
+            for text in batch.column("text").to_pylist():
+                every = _hashes(text, words)
+                counts = sum((np.unpackbits(every[i : i + 16_384], axis=1).sum(0, dtype=np.int64) for i in range(0, len(every), 16_384)), np.zeros(128, np.int64))
+                distinct = np.unique(every.reshape(-1).view("S16"))
+                prints += [np.packbits(2 * counts > len(every)).tobytes(), xxhash.xxh3_128_digest(distinct.tobytes())]
+            columns = np.frombuffer(b"".join(prints), ">i8").astype(np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(columns[:, c]) for c in range(4))], schema=out)
 
-    return docs.select("doc_id", utf8(F.col("text")).alias("text")).mapInArrow(run, "doc_id long, hi long, lo long")
+    return docs.select("doc_id", utf8(F.col("text")).alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -325,13 +340,13 @@ def _near_pairs(rows: np.ndarray, run: np.ndarray) -> np.ndarray:
 def similar_groups(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS) -> DataFrame:
     """doc_id, component_id of every row with an id: groups linked by shingle sets of Jaccard similarity `similar` or more.
 
-    Rows of equal fingerprint are one class.  Large buckets of copies are compared with their central member
+    Rows of equal shingle sets are one class; those of equal fingerprint alone are candidates like others.  Large buckets of copies are compared with their central member
     first, which joins them with as many pairs as members; members that fail there are then compared with
     the others of their bucket.  Texts without words are copies of one another.
     """
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = materialize(_long_prints(known, words), "prints").df
-    values = materialize(prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("node")), "values")
+    values = materialize(prints.groupBy("set_hi", "set_lo").agg(F.min(F.struct("doc_id", "hi", "lo")).alias("v")).select("set_hi", "set_lo", F.col("v.doc_id").alias("node"), "v.hi", "v.lo"), "values")
     masks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(h).alias("h"), F.lit(low).alias("l")) for i, (h, low) in enumerate(key_masks(values.rows, similar))])
     keys = F.transform(masks, lambda m: F.xxhash64(m["i"], F.col("hi").bitwiseAND(m["h"]), F.col("lo").bitwiseAND(m["l"])))
     keyed = values.df.select(F.explode(keys).alias("key"), "node", "hi", "lo")
@@ -358,6 +373,6 @@ def similar_groups(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS
     if rest.rows:
         links = links.unionByName(_similar(known, rest.df, words, similar))
         groups = components(links, "a", "b")
-    grouped = values.df.join(groups, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("component_id"))
+    grouped = values.df.join(groups, "node", "left").select("set_hi", "set_lo", F.coalesce("root", "node").alias("component_id"))
     labels = materialize(grouped, "labels").df  # a root is the smallest node of its group
-    return prints.join(labels, ["hi", "lo"]).select("doc_id", "component_id")
+    return prints.join(labels, ["set_hi", "set_lo"]).select("doc_id", "component_id")

@@ -119,6 +119,16 @@ def test_hot_group_of_near_copies(docs_of, prose):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_equal_fingerprints_of_unlike_texts(docs_of, prose):
+    """One line that makes up most of a text fixes every bit: such texts are no copies, and each keeps its own near copies."""
+    line = "see our terms of use "
+    texts = [line * 60 + prose(45, 70 + i) for i in range(3)]
+    rows = list(enumerate(texts)) + [(10, texts[0].upper()), (11, texts[1])]
+    assert jaccard(texts[0], texts[1]) < 0.2
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs_of(rows)).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 10: 0, 11: 1}
+
+
 def test_keep_one_keeps_columns_and_unaddressed_rows(docs_of, odd):
     docs = docs_of(odd)
     kept = simhash.keep_one(docs, simhash.near_duplicates(docs))
