@@ -263,7 +263,7 @@ def _hashes(text: bytes, words: int) -> np.ndarray:
 
 
 def _long_prints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, hi, lo, set_hi, set_lo: the fingerprint of 128 bits, and a digest of the set of shingles."""
+    """doc_id, hi, lo, set_hi, set_lo: the fingerprint of 128 bits, and a digest, of the set of shingles: repeats count once."""
     names = ["doc_id", "hi", "lo", "set_hi", "set_lo"]
     out = pa.schema([(n, pa.int64()) for n in names])
 
@@ -271,10 +271,10 @@ def _long_prints(docs: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             prints = []
             for text in batch.column("text").to_pylist():
-                every = _hashes(text, words)
-                counts = sum((np.unpackbits(every[i : i + 16_384], axis=1).sum(0, dtype=np.int64) for i in range(0, len(every), 16_384)), np.zeros(128, np.int64))
-                distinct = np.unique(every.reshape(-1).view("S16"))
-                prints += [np.packbits(2 * counts > len(every)).tobytes(), xxhash.xxh3_128_digest(distinct.tobytes())]
+                raw = np.unique(_hashes(text, words).reshape(-1).view("S16")).tobytes()
+                distinct = np.frombuffer(raw, np.uint8).reshape(-1, 16)
+                counts = sum((np.unpackbits(distinct[i : i + 16_384], axis=1).sum(0, dtype=np.int64) for i in range(0, len(distinct), 16_384)), np.zeros(128, np.int64))
+                prints += [np.packbits(2 * counts > len(distinct)).tobytes(), xxhash.xxh3_128_digest(raw)]
             columns = np.frombuffer(b"".join(prints), ">i8").astype(np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(columns[:, c]) for c in range(4))], schema=out)
 

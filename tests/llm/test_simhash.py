@@ -129,6 +129,14 @@ def test_equal_fingerprints_of_unlike_texts(docs_of, prose):
     assert got == {0: 0, 1: 1, 2: 2, 10: 0, 11: 1}
 
 
+def test_near_copies_that_repeat_a_line(docs_of, prose):
+    """Similarity is that of sets: how often a line repeats does not matter."""
+    rows = [(10 * i + k, prose(300, 600 + i) + " see our terms of use" * times) for i in range(12) for k, times in enumerate((1, 80))]
+    assert all(jaccard(a[1], b[1]) > 0.95 for a, b in zip(rows[::2], rows[1::2]))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs_of(rows)).collect()}
+    assert got == {i: i - i % 10 for i, _ in rows}
+
+
 def test_keep_one_keeps_columns_and_unaddressed_rows(docs_of, odd):
     docs = docs_of(odd)
     kept = simhash.keep_one(docs, simhash.near_duplicates(docs))
