@@ -79,19 +79,24 @@ def cut_points(text: bytes) -> np.ndarray:
     return np.unique(ends)
 
 
+def _text_key() -> Column:
+    """Tells apart the texts of rows that share an id."""
+    return F.xxhash64(utf8(F.col("text"))).alias("_text_key")
+
+
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, no, start, length, words, hi, lo, inner of every chunk.
+    """doc_id, _text_key, no, start, length, words, hi, lo, inner of every chunk.
 
     Place in bytes, words begun in it, a 128-bit digest, and whether the same text has it earlier.
     Null and empty texts have no chunks.
     """
-    kinds = {"doc_id": pa.int64(), "no": pa.int32(), "start": pa.int64(), "length": pa.int32(), "words": pa.int32(), "hi": pa.int64(), "lo": pa.int64(), "inner": pa.bool_()}
+    kinds = {"doc_id": pa.int64(), "_text_key": pa.int64(), "no": pa.int32(), "start": pa.int64(), "length": pa.int32(), "words": pa.int32(), "hi": pa.int64(), "lo": pa.int64(), "inner": pa.bool_()}
     schema = pa.schema(list(kinds.items()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for doc_id, text in rows_of([batch], "doc_id", "text"):
+            for doc_id, key, text in rows_of([batch], "doc_id", "_text_key", "text"):
                 ends = cut_points(text)
                 if not len(ends):
                     continue
@@ -104,20 +109,21 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 inner = [d in known or known.add(d) is not None for d in digests]
                 d = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
                 words = np.add.reduceat(opens, begins, dtype=np.int64)
-                parts.append((np.full(len(ends), doc_id), np.arange(len(ends)), begins, ends - begins, words, d[:, 0], d[:, 1], inner))
+                parts.append((np.full(len(ends), doc_id), np.full(len(ends), key), np.arange(len(ends)), begins, ends - begins, words, d[:, 0], d[:, 1], inner))
             if parts:
                 columns = [np.concatenate(c) for c in zip(*parts)]
                 yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, no int, start long, length int, words int, hi long, lo long, inner boolean")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _text_key(), utf8(F.col("text")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, _text_key long, no int, start long, length int, words int, hi long, lo long, inner boolean")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, length, words, first_doc_ids: byte spans of texts that repeat earlier text, at least `min_words` long.
+    """doc_id, _text_key, start, length, words, first_doc_ids: byte spans of texts that repeat earlier text, at least `min_words` long.
 
     Earlier means a document with a smaller id, or an earlier place of the same text.  first_doc_ids are the documents that
-    keep the text.  Rows without an id or text have no spans, and rows that share an id are no repeats of one another.
+    keep the text.  Rows without an id or text have no spans, and rows that share an id are no repeats of one another:
+    equal rows have the spans of one, different texts their own.
     """
     chunks = materialize(chunk_rows(docs), "chunks").df
     firsts = chunks.where("not inner").groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
@@ -125,16 +131,18 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     elsewhere = chunks.join(shared, ["hi", "lo"]).where((F.col("doc_id") != F.col("first_doc")) | F.col("inner"))
     here = chunks.where("inner").join(shared, ["hi", "lo"], "left_anti").withColumn("first_doc", F.col("doc_id"))
     again = elsewhere.unionByName(here)
-    order = Window.partitionBy("doc_id").orderBy("no")
-    runs = again.select("doc_id", "no", "start", "length", "words", "first_doc", (F.col("no") - F.dense_rank().over(order)).alias("run"))
-    spans = runs.groupBy("doc_id", "run").agg(
+    order = Window.partitionBy("doc_id", "_text_key").orderBy("no")
+    once = F.when(F.row_number().over(order) == 1, True).otherwise(F.lag("no").over(order) != F.col("no"))  # a row may stand twice
+    words = F.when(once, F.col("words")).otherwise(0).alias("words")
+    runs = again.select("doc_id", "_text_key", "no", "start", "length", words, "first_doc", (F.col("no") - F.dense_rank().over(order)).alias("run"))
+    spans = runs.groupBy("doc_id", "_text_key", "run").agg(
         F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("_end"), F.sum("words").alias("words"), F.array_sort(F.collect_set("first_doc")).alias("first_doc_ids"))
-    return spans.where(F.col("words") >= min_words).select("doc_id", "start", (F.col("_end") - F.col("start")).alias("length"), "words", "first_doc_ids")
+    return spans.where(F.col("words") >= min_words).select("doc_id", "_text_key", "start", (F.col("_end") - F.col("start")).alias("length"), "words", "first_doc_ids")
 
 
 def spans_per_document(spans: DataFrame) -> DataFrame:
-    """doc_id with its spans in order; as many as its text has, so bounded by the document."""
-    return spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("first_doc_ids")))).alias("first_doc_ids"))
+    """doc_id and _text_key with the spans in order; as many as the text has, so bounded by the document."""
+    return spans.groupBy("doc_id", "_text_key").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("first_doc_ids")))).alias("first_doc_ids"))
 
 
 def _cut_text(spans: str) -> Column:
@@ -150,7 +158,7 @@ def _cut_text(spans: str) -> Column:
 
 def changed_documents(docs: DataFrame, per: DataFrame) -> DataFrame:
     """The rows of `docs` that have spans, with doc_id, spans, first_doc_ids and the text that stays."""
-    return docs.select("doc_id", "text").join(per, "doc_id").select("doc_id", "spans", "first_doc_ids", _cut_text("spans").alias("text"))
+    return docs.select("doc_id", "text", _text_key()).join(per, ["doc_id", "_text_key"]).select("doc_id", "spans", "first_doc_ids", _cut_text("spans").alias("text"))
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -158,7 +166,7 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     Rows without spans are unchanged, null texts included.
     """
-    per = spans_per_document(spans).select("doc_id", F.col("spans").alias("_spans"))
-    joined = docs.join(per.hint("merge"), "doc_id", "left")  # spans grow with the documents: never broadcast
+    per = spans_per_document(spans).select("doc_id", "_text_key", F.col("spans").alias("_spans"))
+    joined = docs.select("*", _text_key()).join(per.hint("merge"), ["doc_id", "_text_key"], "left")  # spans grow with the documents: never broadcast
     text = F.when(F.col("_spans").isNotNull(), _cut_text("_spans")).otherwise(F.col("text")).alias("text")
     return joined.select(*[text if c == "text" else F.col(c) for c in docs.columns])

@@ -88,6 +88,19 @@ def test_odd_rows_and_empty_table(docs_of, odd):
     assert chunks.repeated_spans(docs_of([])).count() == 0
 
 
+def test_rows_that_share_an_id(docs_of, prose):
+    """Equal rows count a run once; different texts of one id keep their own spans."""
+    short = prose(20, 1)
+    rows = [(1, short), (2, prose(40, 2) + "\n" + short), (3, prose(80, 3) + "\n" + prose(80, 4)), (4, prose(80, 3)), (4, prose(80, 5))]
+    single, docs = docs_of(rows), docs_of(rows + [rows[1], rows[3]])
+    facts = lambda df: {(r["doc_id"], r["start"], r["length"], r["words"]) for r in chunks.repeated_spans(df).collect()}
+    assert facts(docs) == facts(single) and {f[0] for f in facts(docs)} == {4}
+    kept = sorted((r["doc_id"], r["text"]) for r in chunks.without_spans(docs, chunks.repeated_spans(docs)).collect())
+    assert [t for i, t in kept if i == 2] == [rows[1][1]] * 2
+    fours = [t for i, t in kept if i == 4]
+    assert len(fours) == 3 and rows[4][1] in fours and sum(len(t) < len(rows[3][1]) // 3 for t in fours) == 2
+
+
 def test_common_subsequence_equals_brute_force():
     rng = random.Random(6)
     for _ in range(200):
