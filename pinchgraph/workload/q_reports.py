@@ -113,7 +113,7 @@ UNION ALL SELECT 'hypotheses', 'total', '', count(*) FROM hyps UNION ALL SELECT
 UNION ALL SELECT 'hypotheses', 'status', status, count(*) FROM hyps GROUP BY status
 UNION ALL SELECT 'reviews', 'pending_approval', '', count(*) FROM reviews WHERE passed AND NOT human_approved""", "docs mentions orphaned hyps reviews")
 def j11(v):
-    orphans = resolution.orphans(v.routed, resolution.valid_choices(v.routed, v.choices_raw), v.docs)
+    orphans = resolution.orphans(v.routed, resolution.valid_choices(v.routed, v.choices_raw), v.docs, as_of())
     return reports.system_status(v.docs, v.mentions, orphans, v.hyps, v.reviews)
 
 

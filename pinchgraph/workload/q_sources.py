@@ -426,5 +426,5 @@ def a31(v):
 @query("a33_work_state", """SELECT count(*) AS total, count(*) FILTER (status = 'pending') AS pending,
 count(*) FILTER (status = 'processed' AND uid NOT IN (SELECT doc_uid FROM mentions UNION SELECT doc_uid FROM orphaned)) AS resolve_backlog FROM docs""", "docs mentions orphaned")
 def a33(v):
-    orphans = resolution.orphans(v.routed, resolution.valid_choices(v.routed, v.choices_raw), v.docs)
+    orphans = resolution.orphans(v.routed, resolution.valid_choices(v.routed, v.choices_raw), v.docs, as_of())
     return documents.work_state(v.docs, v.mentions, orphans)
