@@ -116,7 +116,7 @@ def sliced_links(fp: np.ndarray, run: np.ndarray, radius: int = RADIUS) -> tuple
     `fp` has a column per 64 bits.  Runs start at a word of their own, an entry is a query and a word of its run.
     Counters start at 2**k - 1 - radius, so a carry out of bit k - 1 says that a member exceeds the radius.
     """
-    fp = fp.reshape(len(fp), -1)
+    fp = fp if fp.ndim == 2 else fp[:, None]
     n, bits = len(fp), max(1, int(radius).bit_length())
     starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if n else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[starts, n])

@@ -143,3 +143,13 @@ def test_keep_one_keeps_columns_and_unaddressed_rows(docs_of, odd):
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(None) == 2 and {1, 4, 6} <= set(ids) and 2 not in ids and 9 not in ids
+
+
+def test_only_large_buckets(llm):
+    """A batch whose buckets are all large: none is left for the comparison of small ones."""
+    rng = np.random.default_rng(1)
+    n = simhash.ALL_PAIRS + 20
+    base = rng.integers(0, 2**63, 2)
+    rows = np.stack([np.full(n, 7), np.arange(n), np.full(n, base[0]), base[1] ^ (np.int64(1) << rng.integers(0, 60, n))], 1).astype(np.int64)
+    found = simhash._near_pairs(rows, np.zeros(n, np.int64))
+    assert len(found) == n - 1 and set(found[:, 3]) == {1}
