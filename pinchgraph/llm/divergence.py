@@ -13,10 +13,12 @@ every level counts exactly, and kept terms are joined by their names at the end.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,22 +32,30 @@ TOP_TERMS = 50
 #: Smoothing and scale of a term's share: 1 + floor(SCALE * (count + ADDED) / (N + ADDED * V)).
 ADDED, SCALE = 5, 1_000_000_000
 #: Prefix widths double from here.
-FIRST_WIDTH = 2
+FIRST_WIDTH = 4
 #: Bits of the map of kept prefixes, 8 MiB whatever the vocabulary.
 MAP_BITS = 1 << 26
 #: A text is cut up for tokenising in slices of about so many bytes, at white space.
 SLICE = 4 << 20
-#: Partial counts that a task holds before it hands them over.
+#: Text of a block.
+BLOCK_BYTES = 24 << 20
+#: Counts that a task gathers before it adds them up.
 HELD = 400_000
+#: Fewest and most buckets of the exchange of counts; in between one per block.
+BUCKETS = (256, 65_536)
 #: Sources and terms of one block of the pairwise sums.
 TILE, CHUNK = 128, 2_048
 
 #: Bytes that part terms become a space and A-Z lower case; the other bytes, all those of non-ASCII characters among them, stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-BLOCKS = "langs array<string>, sources array<string>, terms array<binary>, doc array<int>, term array<int>, n array<int>"
-_BLOCK = pa.schema([("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())), ("terms", pa.list_(pa.binary())),
-                    ("doc", pa.list_(pa.int32())), ("term", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
+_BLOCK = pa.schema([("names", pa.list_(pa.string())), ("group", pa.binary()), ("ptr", pa.binary()), ("blob", pa.binary()), ("ends", pa.binary()), ("term", pa.binary()), ("n", pa.binary())])
+_PART = pa.schema([("bucket", pa.int32()), ("names", pa.list_(pa.string())), ("group", pa.binary()), ("blob", pa.binary()), ("ends", pa.binary()), ("n", pa.binary())])
+_COUNT = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64())])
+
+
+def ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'array<string>' if pa.types.is_list(f.type) else {'binary': 'binary', 'int32': 'int', 'int64': 'long', 'string': 'string'}[str(f.type)]}" for f in schema)
 
 
 def terms_of(text: bytes, slice_bytes: int = SLICE) -> Iterator[list[bytes]]:
@@ -60,146 +70,239 @@ def terms_of(text: bytes, slice_bytes: int = SLICE) -> Iterator[list[bytes]]:
         at = end
 
 
-def _block(texts: list[bytes], langs: list[str], sources: list[str]) -> pa.RecordBatch:
-    number: dict[bytes, int] = {}
-    docs, terms = [], []
-    for d, text in enumerate(texts):
+class _Numbering(dict):
+    """Gives each new key the next number."""
+
+    def __missing__(self, key):
+        self[key] = at = len(self)
+        return at
+
+
+class _Block:
+    """Documents whose terms are numbered together: group number of each document, terms in byte order, and per document its terms and their counts.
+
+    Numbers travel as packed arrays in binary columns: `ptr` and `ends` are running ends over documents and terms,
+    `names` holds lang and source of each group in turn.
+    """
+
+    def __init__(self):
+        self.number = _Numbering()
+        self.groups: dict[tuple, int] = {}
+        self.group, self.pairs, self.bytes = [], [], 0
+
+    def add(self, text: bytes, group: tuple) -> None:
+        seen: Counter = Counter()
         for words in terms_of(text):
-            for w in words:
-                if w not in number:
-                    number[w] = len(number)
-            terms.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
-            docs.append(np.full(len(words), d, np.int64))
-    width = max(1, len(number))
-    pair, n = np.unique(np.concatenate(docs) * width + np.concatenate(terms), return_counts=True) if terms else (np.zeros(0, np.int64),) * 2
-    one = lambda v, t: pa.array([v], t)
-    return pa.RecordBatch.from_arrays(
-        [one(langs, _BLOCK.field(0).type), one(sources, _BLOCK.field(1).type), one(list(number), _BLOCK.field(2).type),
-         one((pair // width).astype(np.int32), _BLOCK.field(3).type), one((pair % width).astype(np.int32), _BLOCK.field(4).type),
-         one(n.astype(np.int32), _BLOCK.field(5).type)], schema=_BLOCK)
+            seen.update(words)
+        self.pairs.append((np.fromiter(map(self.number.__getitem__, seen), np.int32, len(seen)), np.fromiter(seen.values(), np.int64, len(seen))))
+        self.group.append(self.groups.setdefault(group, len(self.groups)))
+        self.bytes += len(text)
+
+    def row(self) -> pa.RecordBatch:
+        terms = sorted(self.number)
+        rank = np.zeros(len(terms), np.int64)
+        rank[np.fromiter(map(self.number.__getitem__, terms), np.int64, len(terms))] = np.arange(len(terms))
+        sizes = np.array([len(t) for t, _ in self.pairs], np.int64)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        term, n = (np.concatenate([p[k] for p in self.pairs]) for k in (0, 1))
+        term = rank[term]
+        order = np.argsort(doc * (len(terms) + 1) + term)
+        packed = [np.array(self.group, np.int32), np.cumsum(sizes), b"".join(terms), np.cumsum([len(t) for t in terms], dtype=np.int64), term[order].astype(np.int32), n[order].astype(np.int64)]
+        names = [x for group in self.groups for x in group]
+        return pa.RecordBatch.from_arrays([pa.array([names], _BLOCK.field(0).type), *(pa.array([p if isinstance(p, bytes) else p.tobytes()], pa.binary()) for p in packed)], schema=_BLOCK)
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of documents: their languages and sources, the distinct terms, and (doc, term, n) rows as three arrays."""
+    """Blocks of documents of about BLOCK_BYTES of text each."""
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _Block()
         for batch in batches:
-            if batch.num_rows:
-                yield _block(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), batch.column("source").to_pylist())
+            for text, lang, source in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source"))):
+                block.add(text, (lang, source))
+                if block.bytes >= BLOCK_BYTES:
+                    yield block.row()
+                    block = _Block()
+        if block.group:
+            yield block.row()
 
     read = docs.select(utf8(F.col("text")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
-    return read.mapInArrow(cut, BLOCKS)
-
-
-def _key(lang: bytes, prefix: bytes, complete: bool) -> int:
-    return xxhash.xxh64_intdigest(b"%d:%s%s%d" % (len(lang), lang, prefix, complete), 42)
-
+    return read.mapInArrow(cut, ddl(_BLOCK))
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all bytes of the given pieces, one after the other, and each byte's place in its piece."""
+    inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.repeat(starts, sizes) + inside, inside
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _hashes(blob: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each piece of `blob` (none empty) and its seed.  Equal numbers of different pieces only cost work."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    at, inside = _spans(starts, sizes)
+    part = (blob[at].astype(np.uint64) + np.uint64(1)) * _mixed(inside.astype(np.uint64) + np.uint64(1))
+    return _mixed(np.add.reduceat(part, np.cumsum(sizes) - sizes) ^ seeds)
+
+
+def _seeds(names: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x) for x in names], np.uint64)
+
+
+class _View:
+    """A stored block opened again."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        get = lambda c, t: np.frombuffer(batch.column(c)[i].as_buffer(), t)
+        names = batch.column("names")[i].as_py()
+        self.langs, self.sources = names[0::2], names[1::2]
+        self.group, ptr, self.blob, ends = get("group", np.int32), get("ptr", np.int64), get("blob", np.uint8), get("ends", np.int64)
+        self.term, self.n = get("term", np.int32), get("n", np.int64)
+        self.doc = np.repeat(np.arange(len(ptr)), np.diff(ptr, prepend=0))
+        self.sizes = np.diff(ends, prepend=0)
+        self.starts = ends - self.sizes
+        self.lang_names = sorted(set(self.langs))
+        self.lang = np.array([self.lang_names.index(x) for x in self.langs], np.int64)[self.group][self.doc]  # of each (doc, term)
+
+    def held(self, bits: np.ndarray, width: int | None) -> np.ndarray:
+        """Which (doc, term) rows are in the bit map by their language and first `width` bytes, or by the whole term."""
+        t = len(self.sizes)
+        used = np.zeros((len(self.lang_names), t), bool)
+        used[self.lang, self.term] = True
+        if width is not None:
+            used &= self.sizes > width  # shorter terms are complete since the level before
+        lang, term = np.nonzero(used)
+        sizes = self.sizes[term] if width is None else np.full(len(term), width)
+        keys = _hashes(self.blob, self.starts[term], sizes, _seeds(self.lang_names)[lang]) & np.uint64(64 * len(bits) - 1)
+        used[lang, term] = bits[keys >> np.uint64(6)] >> (keys & np.uint64(63)) & np.uint64(1)
+        return used[self.lang, self.term]
+
+
+def _parts(names: list[str], group: np.ndarray, blob: np.ndarray, starts: np.ndarray, sizes: np.ndarray, n: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Counts of (group, term) dealt by their hash into packed rows, one per bucket."""
+    if not len(group):
+        return
+    seeds = _seeds([f"{a}\0{b}" for a, b in zip(names[0::2], names[1::2])])
+    bucket = (_hashes(blob, starts, sizes, seeds[group]) >> np.uint64(40)).astype(np.int64) & (buckets - 1)
+    order = np.argsort(bucket, kind="stable")
+    bucket, group, starts, sizes, n = bucket[order], group[order].astype(np.int32), starts[order], sizes[order], n[order].astype(np.int64)
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        here = blob[_spans(starts[a:b], sizes[a:b])[0]]
+        out.append((int(bucket[a]), names, group[a:b].tobytes(), here.tobytes(), np.cumsum(sizes[a:b]).tobytes(), n[a:b].tobytes()))
+    for at in range(0, len(out), 256):
+        columns = list(zip(*out[at:at + 256]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PART)], schema=_PART)
+
+
+def _merged(parts: DataFrame, least: int) -> DataFrame:
+    """(lang, source, term, n): the sums of packed counts that reach `least`.
+
+    A bucket is merged as its rows stream by, so a task holds its distinct terms and no more.
+    """
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, now = [], 0, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bucket = batch.column("bucket")[i].as_py()
+                if bucket != now:
+                    yield from done(held)
+                    held, size, now = [], 0, bucket
+                get = lambda c, t: np.frombuffer(batch.column(c)[i].as_buffer(), t)  # noqa: E731, B023
+                names, group, ends = batch.column("names")[i].as_py(), pa.array(get("group", np.int32)), get("ends", np.int64)
+                offsets = pa.py_buffer(np.r_[0, ends].astype(np.int64).tobytes())
+                terms = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, offsets, pa.py_buffer(batch.column("blob")[i].as_buffer())])
+                held.append(pa.table([pa.array(names[0::2], pa.string()).take(group), pa.array(names[1::2], pa.string()).take(group), terms, pa.array(get("n", np.int64))], names=_COUNT.names))
+                size += len(ends)
+                if size > HELD:
+                    held = [total(held)]
+                    size = 2 * held[0].num_rows if 2 * held[0].num_rows > HELD else 0
+        yield from done(held)
+
+    def total(held: list[pa.Table]) -> pa.Table:
+        sums = pa.concat_tables(held).group_by(["lang", "source", "term"]).aggregate([("n", "sum")])
+        return sums.select(["lang", "source", "term", "n_sum"]).rename_columns(_COUNT.names)
+
+    def done(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        if held:
+            sums = total(held)
+            yield from sums.filter(pc.greater_equal(sums.column("n"), least)).cast(_COUNT).to_batches(20_000)
 
-def _key_column(prefix: str, complete: str, map_bits: int) -> Column:
-    """The place of rows with binary `lang` in the bit map, from the same number as `_key`."""
-    text = F.concat(F.octet_length("lang").cast("string").cast("binary"), F.lit(b":"), F.col("lang"), F.col(prefix), F.col(complete).cast("string").cast("binary"))
-    return F.pmod(F.xxhash64(text), F.lit(map_bits))  # the low bits of a signed and an unsigned number are the same
+    return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, ddl(_COUNT))
 
 
 def bit_map(kept: DataFrame, map_bits: int = MAP_BITS) -> np.ndarray:
-    """The kept prefixes as bits; `map_bits` is a power of two.  At most map_bits / 64 words reach the driver, 8 MiB and their numbers."""
-    key = _key_column("prefix", "complete", map_bits)
-    words = kept.groupBy(F.shiftright(key, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(key, F.lit(64)).cast("int"))).alias("bits")).toArrow()
-    out = np.zeros(map_bits // 64, np.uint64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.int64).view(np.uint64)
-    return out
-
-
-def _held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64(64 * len(bits) - 1)
-    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
-def _open_block(row: dict) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """(terms, doc, term, n, language number of each doc, language names) of a block."""
-    names = sorted(set(row["langs"]))
-    of = np.array([names.index(x) for x in row["langs"]], np.int64)
-    return row["terms"], np.asarray(row["doc"]), np.asarray(row["term"]), np.asarray(row["n"]), of, names
-
-
-def _rows(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = {}
-            for c in columns:
-                v = batch.column(c)[i]
-                row[c] = v.as_py() if c in ("langs", "sources", "terms") else v.values.to_numpy()
-            yield row
-
-
-def _alive(terms: list[bytes], term: np.ndarray, lang: np.ndarray, names: list[str], bits: np.ndarray | None, width: int) -> np.ndarray:
-    """Which (doc, term) rows have a prefix of `width` bytes that was kept in their language; terms no longer than `width` are done."""
-    if bits is None:
-        return np.ones(len(term), bool)
-    n = max(1, len(terms))
-    at, back = np.unique(lang * n + term, return_inverse=True)
-    encoded = [x.encode() for x in names]
-    longer = np.fromiter((len(t) > width for t in terms), bool, len(terms))
-    use = np.flatnonzero(longer[at % n])
-    keys = np.fromiter((_key(encoded[a // n], terms[a % n][:width], False) for a in at[use].tolist()), np.uint64, len(use))
-    good = np.zeros(len(at), bool)
-    good[use] = _held(bits, keys)
-    return good[back]
-
-
-def _level(table: DataFrame, bits, before: int, width: int) -> DataFrame:
-    """(lang, prefix, complete, docs): partial counts of the distinct documents of each prefix of `width` bytes."""
-    out = pa.schema([("lang", pa.binary()), ("prefix", pa.binary()), ("complete", pa.int32()), ("docs", pa.int64())])
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = bits.value if bits is not None else None
-        held: dict[tuple, int] = {}
-        for row in _rows(batches, ("langs", "terms", "doc", "term")):
-            row["n"] = ()
-            terms, doc, term, _, of, names = _open_block(row)
-            if not len(term):
-                continue
-            live = _alive(terms, term, of[doc], names, seen, before)
-            doc, term = doc[live].astype(np.int64), term[live]
-            number: dict[tuple, int] = {}
-            part = np.full(len(terms), -1, np.int64)
-            for t in np.unique(term).tolist():
-                w = terms[t]
-                part[t] = number.setdefault((w[:width], int(len(w) <= width)), len(number))
-            pairs = np.unique(doc * max(1, len(number)) + part[term])  # a document counts once per prefix
-            lang_of, p = of[pairs // max(1, len(number))], pairs % max(1, len(number))
-            groups, n = np.unique(lang_of * max(1, len(number)) + p, return_counts=True)
-            known = list(number)
-            for g, c in zip(groups.tolist(), n.tolist()):
-                lang, at = divmod(g, len(known))
-                key = (names[lang], *known[at])
-                held[key] = held.get(key, 0) + c
-            if len(held) > HELD:
-                yield flush(held)
-                held.clear()
-        if held:
-            yield flush(held)
+    """The kept `term`s and their `lang` as bits; `map_bits` is a power of two.  At most map_bits / 64 words reach the driver, 8 MiB and their numbers."""
+    out = pa.schema([("word", pa.int64()), ("bits", pa.int64())])
 
-    def flush(held: dict) -> pa.RecordBatch:
-        langs, prefixes, done = zip(*held)
-        return pa.RecordBatch.from_arrays([pa.array([x.encode() for x in langs], pa.binary()), pa.array(prefixes, pa.binary()),
-                                           pa.array(done, pa.int32()), pa.array(list(held.values()), pa.int64())], schema=out)
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, langs = batch.column("term").to_pylist(), batch.column("lang").dictionary_encode()
+            sizes = np.array([len(t) for t in terms], np.int64)
+            seeds = _seeds(langs.dictionary.to_pylist())[langs.indices.to_numpy()]
+            keys = _hashes(np.frombuffer(b"".join(terms), np.uint8), np.cumsum(sizes) - sizes, sizes, seeds) & np.uint64(map_bits - 1)
+            yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (keys & np.uint64(63))).view(np.int64))], schema=out)
 
-    return table.mapInArrow(count, "lang binary, prefix binary, complete int, docs long")
+    words = kept.select("lang", "term").mapInArrow(mark, ddl(out)).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(map_bits // 64, np.uint64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return bits
 
 
-def frequent_terms(table: DataFrame, least: int = LEAST_DOCS, map_bits: int = MAP_BITS) -> DataFrame:
-    """(lang, term), both binary: the terms in at least `least` documents of their language, by refinement of prefixes."""
-    spark = table.sparkSession
+def _level(table: DataFrame, bits, before: int, width: int, buckets: int) -> DataFrame:
+    """Packed counts of the distinct documents of each prefix of `width` bytes; a complete term has a space after it."""
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                v = _View(batch, i)
+                live = v.held(bits.value, before) if bits is not None else np.ones(len(v.term), bool)
+                if not live.any():
+                    continue
+                # terms are in byte order, so those of one prefix follow each other, the complete one first
+                cut = np.minimum(v.sizes, width)
+                first = np.r_[True, (cut[1:] != cut[:-1]) | (v.sizes[:-1] <= width)]
+                same = np.flatnonzero(~first)
+                if len(same):
+                    a, _ = _spans(v.starts[same], cut[same])
+                    b, _ = _spans(v.starts[same - 1], cut[same])
+                    first[same] = np.logical_or.reduceat(v.blob[a] != v.blob[b], np.cumsum(cut[same]) - cut[same])
+                prefix = np.cumsum(first) - 1
+                heads = np.flatnonzero(first)
+                pairs = v.doc[live] * len(heads) + prefix[v.term[live]]  # ascending
+                once = np.r_[True, pairs[1:] != pairs[:-1]]  # a document counts once per prefix
+                count_of = np.bincount(v.lang[live][once] * len(heads) + pairs[once] % len(heads), minlength=len(v.lang_names) * len(heads))
+                at = np.flatnonzero(count_of)
+                head = heads[at % len(heads)]
+                blob = np.r_[v.blob, np.zeros(1, np.uint8)]
+                # the keys' bytes: the prefix, and a space after a complete term
+                sizes, ended = np.minimum(v.sizes[head], width), v.sizes[head] <= width
+                places, inside = _spans(v.starts[head], sizes + ended)
+                data = np.where(inside < np.repeat(sizes, sizes + ended), blob[np.minimum(places, len(blob) - 1)], np.uint8(32))
+                names = [x for lang in v.lang_names for x in (lang, "")]
+                long = sizes + ended
+                yield from _parts(names, at // len(heads), data, np.cumsum(long) - long, long, count_of[at], buckets)
+
+    return table.mapInArrow(count, ddl(_PART))
+
+
+def frequent_terms(table: DataFrame, buckets: int, least: int = LEAST_DOCS, map_bits: int = MAP_BITS) -> DataFrame:
+    """(lang, term): the terms in at least `least` documents of their language, by refinement of prefixes."""
     kept, bits, before, width = [], None, 0, FIRST_WIDTH
     while True:
-        sums = _level(table, bits, before, width).groupBy("lang", "prefix", "complete").agg(F.sum("docs").alias("docs"))
-        step = materialize(sums.where(F.col("docs") >= least), "prefixes", open=F.sum(1 - F.col("complete")))
-        kept.append(step.df.where("complete = 1").select("lang", F.col("prefix").alias("term")))
+        sums = _merged(_level(table, bits, before, width, buckets), least)
+        ended = F.endswith("term", F.lit(b" "))
+        step = materialize(sums.select("lang", "term", ended.alias("complete")), "prefixes", open=F.sum(F.when(~ended, 1).otherwise(0)))
+        kept.append(step.df.where("complete").select("lang", F.expr("substring(term, 1, octet_length(term) - 1)").alias("term")))
         if not step.metrics.get("open"):
             break
         if bits is not None:
             bits.unpersist()
-        bits = spark.sparkContext.broadcast(bit_map(step.df.where("complete = 0"), map_bits))
+        bits = table.sparkSession.sparkContext.broadcast(bit_map(step.df.where("not complete"), map_bits))
         before, width = width, 2 * width
     out = kept[0]
     for more in kept[1:]:
@@ -207,42 +310,26 @@ def frequent_terms(table: DataFrame, least: int = LEAST_DOCS, map_bits: int = MA
     return materialize(out, "kept").df
 
 
-def _occurrences(table: DataFrame, kept: DataFrame, map_bits: int) -> DataFrame:
+def _occurrences(table: DataFrame, kept: DataFrame, buckets: int, map_bits: int) -> DataFrame:
     """(lang, source, term, n): occurrences of the kept terms in each group that has any."""
-    bits = table.sparkSession.sparkContext.broadcast(bit_map(kept.select("lang", F.col("term").alias("prefix"), F.lit(1).alias("complete")), map_bits))
-    out = pa.schema([("lang", pa.binary()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64())])
+    bits = table.sparkSession.sparkContext.broadcast(bit_map(kept, map_bits))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, int] = {}
-        for row in _rows(batches, ("langs", "sources", "terms", "doc", "term", "n")):
-            terms, doc, term, n, of, names = _open_block(row)
-            if not len(term):
-                continue
-            size = len(terms)
-            at, back = np.unique(of[doc] * size + term, return_inverse=True)
-            encoded = [x.encode() for x in names]
-            keys = np.fromiter((_key(encoded[a // size], terms[a % size], True) for a in at.tolist()), np.uint64, len(at))
-            use = _held(bits.value, keys)[back]
-            groups = sorted(set(zip(row["langs"], row["sources"])))
-            group = np.array([groups.index(g) for g in zip(row["langs"], row["sources"])], np.int64)
-            pair, where = np.unique(group[doc[use]] * size + term[use], return_inverse=True)
-            sums = np.bincount(where, weights=n[use], minlength=len(pair)).astype(np.int64)  # a block holds far fewer than 2**53 words
-            for p, c in zip(pair.tolist(), sums.tolist()):
-                key = (*groups[p // size], terms[p % size])
-                held[key] = held.get(key, 0) + c
-            if len(held) > HELD:
-                yield flush(held)
-                held.clear()
-        if held:
-            yield flush(held)
-
-    def flush(held: dict) -> pa.RecordBatch:
-        langs, sources, terms = zip(*held)
-        return pa.RecordBatch.from_arrays([pa.array([x.encode() for x in langs], pa.binary()), pa.array(sources, pa.string()),
-                                           pa.array(terms, pa.binary()), pa.array(list(held.values()), pa.int64())], schema=out)
-
-    parts = table.mapInArrow(count, "lang binary, source string, term binary, n long")
-    sums = parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                v = _View(batch, i)
+                use = v.held(bits.value, None)
+                if not use.any():
+                    continue
+                key = v.group[v.doc[use]].astype(np.int64) * len(v.sizes) + v.term[use]
+                order = np.argsort(key, kind="stable")
+                key, n = key[order], v.n[use][order]
+                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                group, term = np.divmod(key[first], len(v.sizes))
+                names = [x for pair in zip(v.langs, v.sources) for x in pair]
+                yield from _parts(names, group, v.blob, v.starts[term], v.sizes[term], np.add.reduceat(n, first), buckets)
+
+    sums = _merged(table.mapInArrow(count, ddl(_PART)), 1)
     return sums.join(kept, ["lang", "term"], "left_semi")  # by name: a false hit of the bit map ends here
 
 
@@ -272,7 +359,7 @@ def _tile_pair(key: tuple, rows: pa.Table, tile: int) -> pa.Table:
         value.append(np.abs(shares[later] - shares[i]).sum(1) if len(term) else np.zeros(len(later), np.int64))
     joined = [np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (a, b, value)]
     known = pa.array(np.full(len(joined[0]), len(term.dictionary) if len(term) else 0))
-    return pa.table([pa.array([lang] * len(joined[0]), pa.binary()), *map(pa.array, joined), known], names=["lang", "a", "b", "value", "known"])
+    return pa.table([pa.array([lang] * len(joined[0]), pa.string()), *map(pa.array, joined), known], names=["lang", "a", "b", "value", "known"])
 
 
 def _pair_sums(counts: DataFrame, groups: DataFrame, tile: int, chunk: int) -> DataFrame:
@@ -289,7 +376,7 @@ def _pair_sums(counts: DataFrame, groups: DataFrame, tile: int, chunk: int) -> D
     rows = counts.select("lang", "source", "term", "p").join(of, ["lang", "source"]).select(
         "lang", "tiles.x", "tiles.y", F.pmod(F.xxhash64("term"), chunks).cast("int").alias("chunk"), "no", "term", "p")
     bases = of.select("lang", "tiles.x", "tiles.y", F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int"))).alias("chunk"), "no", F.lit(None).cast("binary").alias("term"), F.col("least").alias("p"))
-    parts = rows.unionByName(bases).groupBy("lang", "x", "y", "chunk").applyInArrow(lambda key, rows: _tile_pair(key, rows, tile), "lang binary, a long, b long, value long, known long")
+    parts = rows.unionByName(bases).groupBy("lang", "x", "y", "chunk").applyInArrow(lambda key, rows: _tile_pair(key, rows, tile), "lang string, a long, b long, value long, known long")
     return parts.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("known").alias("known"))
 
 
@@ -303,11 +390,12 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP_TERMS, t
     none.  Ties are ranked by item in UTF-8 order.  No rows give no rows; other columns are ignored.
     `tile`, `chunk` and `map_bits` (powers of two) change the work of a task, not the result.
     """
-    table = materialize(blocks(docs.select("text", "lang", "source")), "blocks").df
-    kept = frequent_terms(table, least, map_bits)
-    counts = materialize(_occurrences(table, kept, map_bits), "counts").df
+    step = materialize(blocks(docs.select("text", "lang", "source")), "blocks")
+    buckets = min(BUCKETS[1], max(BUCKETS[0], 1 << max(0, step.rows - 1).bit_length()))
+    kept = frequent_terms(step.df, buckets, least, map_bits)
+    counts = materialize(_occurrences(step.df, kept, buckets, map_bits), "counts").df
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
-    seen = docs.select(utf8(F.col("lang")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
+    seen = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     zero = F.lit(0).cast("long")
     groups = seen.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").withColumn("terms", F.coalesce("terms", zero)).withColumn("total", F.coalesce("total", zero))
@@ -331,4 +419,4 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP_TERMS, t
         "lang", "source", F.lit("term").alias("part"), F.decode("term", "UTF-8").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     out = pairs.withColumn("rank", rank).unionByName(terms.withColumn("rank", rank).where(F.col("rank") <= top))
-    return out.select(F.decode("lang", "UTF-8").alias("lang"), "source", "part", "item", "value", "rank")
+    return out.select("lang", "source", "part", "item", "value", "rank")
