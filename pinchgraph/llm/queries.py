@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pinchgraph.llm import archives, bm25, chat, chunks, copies, decontaminate, divergence, linkgraph, packing, resample, shards, simhash
+from pinchgraph.llm import archives, bm25, chat, chunks, copies, decontaminate, divergence, linkgraph, packing, resample, shards, simhash, trie
 from pinchgraph.llm.common import table
 from pinchgraph.storage import materialize
 
@@ -145,3 +145,38 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank F
   SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
 WHERE part = 'pair' OR rank <= 50
 """
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all `conversations`."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_prefix_trie"] = r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, item) - 1 AS place, item, words FROM (
+    SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS item,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL)),
+bits AS (SELECT conv_id, conv_id - conv_id % 20 AS lender, CAST(conv_id AS VARCHAR) AS s, count(*) AS own FROM t GROUP BY conv_id),
+crc AS (
+  SELECT conv_id, s, 0 AS i, CAST(4294967295 AS BIGINT) AS c FROM bits
+  UNION ALL SELECT conv_id, s, i + 1, list_reduce(list_concat([xor(c, CAST(ascii(s[i + 1]) AS BIGINT))], list_transform(range(8), lambda z: CAST(0 AS BIGINT))), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))
+  FROM crc WHERE i < length(s)),
+c AS (SELECT b.conv_id, b.lender, b.own, xor(k.c, 4294967295) % 4 AS h, coalesce(l.own, 0) AS has
+  FROM bits b JOIN crc k ON k.conv_id = b.conv_id AND k.i = length(k.s) LEFT JOIN bits l ON l.conv_id = b.lender),
+r AS (SELECT c.conv_id, place + 1 AS depth, item, words FROM c JOIN t ON t.conv_id = c.lender WHERE place < least(h, has)
+  UNION ALL SELECT c.conv_id, place - h + least(h, has) + 1, item, words FROM c JOIN t USING (conv_id) WHERE place >= h),
+seq AS MATERIALIZED (SELECT c.conv_id, coalesce(list(item ORDER BY depth) FILTER (item IS NOT NULL), []) AS items, coalesce(list(words ORDER BY depth) FILTER (item IS NOT NULL), []) AS words
+  FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+p AS MATERIALIZED (SELECT conv_id, d AS depth, len(items) AS length, items[1:d] AS path, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS words FROM seq, unnest(range(len(items) + 1)) AS u(d)),
+n AS MATERIALIZED (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (length = depth), '')) AS ends_sha256 FROM p GROUP BY path, depth),
+e AS MATERIALIZED (SELECT n.*, m.conv_id AS parent_conv_id FROM n LEFT JOIN n m ON n.depth > 0 AND m.depth = n.depth - 1 AND m.path = n.path[1:n.depth - 1]),
+k AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n FROM e WHERE depth > 0 GROUP BY ALL),
+w AS (SELECT e.*, coalesce(k.n, 0) AS n_children FROM e LEFT JOIN k USING (conv_id, depth)),
+s AS (SELECT a.conv_id, a.depth, count(*) FILTER (w.n_children = 0) AS n_leaves, sum((w.n_convs - 1) * w.words) AS saved_tokens
+  FROM w JOIN p q ON q.conv_id = w.conv_id AND q.depth <= w.depth JOIN n a ON a.depth = q.depth AND a.path = q.path GROUP BY ALL)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, CAST(n_children AS BIGINT) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM w JOIN s USING (conv_id, depth)
+"""

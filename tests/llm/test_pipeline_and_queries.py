@@ -8,7 +8,7 @@ from pinchgraph.llm import queries
 from tools.check import TABLES, rows
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["op1_decontamination", "op2_url_filters", "op3_substring_dedup", "op4_simhash", "op5_chat", "op6_topk", "op7_quality", "op8_sharding", "op9_packing", "op10_warc", "pipeline"]
+NAMES = ["op1_decontamination", "op2_url_filters", "op3_substring_dedup", "op4_simhash", "op5_chat", "op6_topk", "op7_quality", "op8_sharding", "op9_packing", "op10_warc", "op11_exact_dedup", "op12_divergence", "op13_prefix_trie", "pipeline"]
 
 
 def test_all_registered():
