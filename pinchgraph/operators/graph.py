@@ -6,6 +6,7 @@ reach the driver.  Node keys are strings; adjacency rows are (src, dst).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
@@ -55,12 +56,20 @@ def components(nodes: DataFrame, adj: DataFrame) -> DataFrame:
     return nodes.select("node_id").join(roots, "node_id", "left").select("node_id", F.coalesce("root", "node_id").alias("component"))
 
 
-def node_centrality(nodes: DataFrame, adj: DataFrame, max_rows: int = MAX_NEIGHBOUR_ROWS) -> DataFrame:
+def node_centrality(nodes: DataFrame, adj: DataFrame, max_rows: int = MAX_NEIGHBOUR_ROWS, error: float | None = None) -> DataFrame:
     """D4 and D5 together: (node_id, betweenness, is_articulation_point).
 
     A neighbour list of at most `max_rows` rows, counted first, is broadcast and walked from
-    blocks of start nodes; a larger one goes through joins.
+    blocks of start nodes; a larger one goes through joins.  With `error`, betweenness comes from sampled sources
+    and is off by at most that much (`sampling.sampled_betweenness`), and articulation points from blocks, so no
+    step searches the graph once per node.
     """
+    if error is not None:
+        from pinchgraph.operators.sampling import sampled_betweenness
+
+        points = articulation_points(nodes, adj).withColumn("_ap", F.lit(True))
+        return sampled_betweenness(nodes, adj, error, max_rows=max_rows).join(points, "node_id", "left").select(
+            "node_id", "betweenness", F.coalesce("_ap", F.lit(False)).alias("is_articulation_point"))
     small = materialize(_no_loops(adj), "centrality-edges")
     if small.rows > max_rows:
         points = articulation_points(nodes, small.df).withColumn("_ap", F.lit(True))
@@ -78,19 +87,15 @@ def _normalised(total: Column, n: int, scale: float = 1.0) -> Column:
     return F.round(F.coalesce(total, F.lit(0.0)) * F.lit(scale / ((n - 1) * (n - 2) if n > 2 else 1)), 10)
 
 
-def betweenness(nodes: DataFrame, adj: DataFrame, pivots: DataFrame | None = None) -> DataFrame:
-    """D4 by joins: (node_id, betweenness), exact and unweighted, divided by (n-1)(n-2).
+def dependencies(adj: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, delta): how much each source's shortest paths depend on each other node they pass, ends left out.
 
-    Breadth-first searches run from all sources at once: a level is one join with the
+    Breadth-first searches run from all of `sources(node_id)` at once: a level is one join with the
     neighbours and one aggregation by (source, node), in which the two previous levels take
     part to drop nodes already reached (in an undirected graph no other level can occur).
     The way back adds each node's share to its predecessors in the same form.  Work is
-    O(n * m) rows spread by (source, node).  `pivots` (node_id) restricts the sources and
-    scales the result by n / pivots, an approximation for graphs too large for that.
+    sources x rows of `adj` (both directions, no loops), spread by (source, node).
     """
-    n = nodes.count()
-    adj = materialize(_no_loops(adj), "bc-edges").df
-    sources = (pivots if pivots is not None else nodes).select("node_id")
     starts = sources.join(adj.select(F.col("src").alias("node_id")).distinct(), "node_id", "left_semi")
     level = materialize(starts.select(
         F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.lit(1.0).alias("sigma")), "bc-start")
@@ -108,7 +113,7 @@ def betweenness(nodes: DataFrame, adj: DataFrame, pivots: DataFrame | None = Non
     shares: list[DataFrame] = []
     below = levels[-1].withColumn("delta", F.lit(0.0))
     for depth in range(len(levels) - 1, 0, -1):
-        shares.append(below.select("node", "delta"))
+        shares.append(below.select("source", "node", "delta"))
         if depth == 1:
             break
         given = below.join(adj, F.col("node") == F.col("src")).select(
@@ -119,13 +124,22 @@ def betweenness(nodes: DataFrame, adj: DataFrame, pivots: DataFrame | None = Non
             F.max("sigma").alias("sigma"), F.sum("part").alias("part")).where(F.col("sigma").isNotNull())
         below = materialize(summed.select("source", "node", "sigma", (F.col("sigma") * F.col("part")).alias("delta")),
                             "bc-back").df
-    scale = n / max(1, pivots.count()) if pivots is not None else 1.0
     if not shares:
-        return nodes.select("node_id", F.lit(0.0).alias("betweenness"))
-    every = shares[0]
-    for more in shares[1:]:
-        every = every.unionByName(more)
-    total = every.groupBy("node").agg(F.sum("delta").alias("total"))
+        return levels[0].select("source", "node", F.lit(0.0).alias("delta")).where(F.lit(False))
+    return _union(shares)
+
+
+def betweenness(nodes: DataFrame, adj: DataFrame, pivots: DataFrame | None = None) -> DataFrame:
+    """D4 by joins: (node_id, betweenness), exact and unweighted, divided by (n-1)(n-2); see `dependencies`.
+
+    Work is n searches of the whole graph.  `pivots` (node_id) restricts the sources and scales the result by
+    n / pivots; `sampling.sampled_betweenness` chooses sources until a stated error is reached.
+    """
+    n = nodes.count()
+    adj = materialize(_no_loops(adj), "bc-edges").df
+    sources = (pivots if pivots is not None else nodes).select("node_id")
+    scale = n / max(1, pivots.count()) if pivots is not None else 1.0
+    total = dependencies(adj, sources).groupBy("node").agg(F.sum("delta").alias("total"))
     return nodes.select("node_id").join(total, F.col("node_id") == F.col("node"), "left").select(
         "node_id", _normalised(F.col("total"), n, scale).alias("betweenness"))
 
@@ -155,21 +169,19 @@ def _bfs_forest(comps: DataFrame, adj: DataFrame) -> list[Step]:
         levels.append(level)
 
 
-def articulation_points(nodes: DataFrame, adj: DataFrame, rows_per_salt: int = 1_000_000) -> DataFrame:
-    """D5 by joins: nodes whose removal splits their component.
+def _tree_blocks(nodes: DataFrame, adj: DataFrame, rows_per_salt: int) -> DataFrame | None:
+    """(node, parent, component): the block of each edge of a spanning forest; None without edges.  `adj` has no loops.
 
     Tarjan and Vishkin's biconnectivity over a breadth-first forest: subtree sizes bottom-up,
     preorder numbers top-down, smallest and largest preorder reachable from each subtree
     bottom-up, then blocks as components of the graph whose vertices are tree edges (named by
-    their lower node).  A node is an articulation point when its tree edges lie in two blocks.
-    Every level is read once; sibling offsets are salted, so a hub is not one task.
+    their lower node).  Every level is read once; sibling offsets are salted, so a hub is not one task.
     """
-    adj = materialize(_no_loops(adj), "ap-edges").df
     touched = adj.select(F.col("src").alias("node_id")).distinct()
     comps = components(nodes.select("node_id").join(touched, "node_id", "left_semi"), adj)
     levels = _bfs_forest(comps, adj)
     if len(levels) == 1:
-        return nodes.select("node_id").where(F.lit(False))
+        return None
     salts = max(1, ceil(sum(s.rows for s in levels) / rows_per_salt))
 
     sized: list[DataFrame] = [None] * len(levels)
@@ -219,7 +231,60 @@ def articulation_points(nodes: DataFrame, adj: DataFrame, rows_per_salt: int = 1
         F.col("parent").alias("src"), F.col("node").alias("dst"))
     links = adjacency(cross.select("src", "dst").unionByName(chain))
     blocks = components(edges.select(F.col("node").alias("node_id")), links)
-    ends = edges.join(blocks, F.col("node") == F.col("node_id")).select(
-        F.explode(F.array("node", "parent")).alias("node_id"), "component")
+    return edges.join(blocks, F.col("node") == F.col("node_id")).select("node", "parent", "component")
+
+
+def articulation_points(nodes: DataFrame, adj: DataFrame, rows_per_salt: int = 1_000_000) -> DataFrame:
+    """D5 by joins: nodes whose removal splits their component, those whose tree edges lie in two blocks (`_tree_blocks`)."""
+    edges = _tree_blocks(nodes, materialize(_no_loops(adj), "ap-edges").df, rows_per_salt)
+    if edges is None:
+        return nodes.select("node_id").where(F.lit(False))
+    ends = edges.select(F.explode(F.array("node", "parent")).alias("node_id"), "component")
     return ends.groupBy("node_id").agg(F.min("component").alias("a"), F.max("component").alias("b")).where(
         F.col("a") != F.col("b")).select("node_id")
+
+
+@dataclass(frozen=True)
+class BlockCutTree:
+    """Biconnected blocks: `members` (block, node_id) and `edges` (block, src, dst), both directions of each edge.
+
+    A node in two blocks is an articulation point; together blocks and such nodes form a forest.  `rows` is the
+    number of neighbour rows that were searched to build it.
+    """
+
+    members: DataFrame
+    edges: DataFrame
+    rows: int
+
+    def articulation_points(self) -> DataFrame:
+        """(node_id) of the nodes in more than one block."""
+        return self.members.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node_id")
+
+    def without(self, excluded: str, rows_per_salt: int = 1_000_000) -> BlockCutTree:
+        """The blocks after removing one node.  Only the blocks it lies in are searched again; all others are carried over as they are."""
+        touched = materialize(self.members.where(F.col("node_id") == excluded).select("block"), "touched").df
+        inner = self.edges.join(touched, "block", "left_semi").where((F.col("src") != excluded) & (F.col("dst") != excluded))
+        again = block_cut_tree(inner.select(F.col("src").alias("node_id")).distinct(), inner.select("src", "dst"), rows_per_salt, f"-{excluded}:")
+        kept = lambda df: df.join(touched, "block", "left_anti")
+        return BlockCutTree(materialize(kept(self.members).unionByName(again.members), "members").df,
+                            materialize(kept(self.edges).unionByName(again.edges), "block-edges").df, again.rows)
+
+
+def block_cut_tree(nodes: DataFrame, adj: DataFrame, rows_per_salt: int = 1_000_000, prefix: str = "") -> BlockCutTree:
+    """The biconnected blocks of a graph.  Nodes without neighbours are in no block; `prefix` starts the blocks' names.
+
+    A tree edge lies in the block of its lower node.  Any other edge joins nodes of which none is above the
+    other, and their tree edges share its block.
+    """
+    step = materialize(_no_loops(adj), "block-adj")
+    found = _tree_blocks(nodes, step.df, rows_per_salt)
+    if found is None:
+        none = step.df.where(F.lit(False))
+        return BlockCutTree(none.select(F.lit("").alias("block"), F.col("src").alias("node_id")), none.select(F.lit("").alias("block"), "src", "dst"), step.rows)
+    tree = materialize(found.select("node", "parent", F.concat(F.lit(prefix), "component").alias("block")), "tree-blocks").df
+    members = tree.select("block", F.explode(F.array("node", "parent")).alias("node_id")).distinct()
+    of_src = tree.select(F.col("node").alias("src"), F.col("block").alias("src_block"))
+    of_dst = tree.select(F.col("node").alias("dst"), F.col("parent").alias("dst_parent"), F.col("block").alias("dst_block"))
+    block = F.when(F.col("dst_parent") == F.col("src"), F.col("dst_block")).otherwise(F.col("src_block"))
+    edges = step.df.join(of_src, "src", "left").join(of_dst, "dst", "left").select(block.alias("block"), "src", "dst")
+    return BlockCutTree(materialize(members, "members").df, materialize(edges, "block-edges").df, step.rows)

@@ -39,7 +39,7 @@ class _Spread:
 
 
 def _dependencies(graph: _Spread, starts: np.ndarray) -> np.ndarray:
-    """Summed pair dependencies of every node over the given start nodes."""
+    """Pair dependencies of every node, one row per start node."""
     rows = np.arange(len(starts))
     paths = np.zeros((len(starts), graph.n))
     paths[rows, starts] = 1.0
@@ -58,7 +58,7 @@ def _dependencies(graph: _Spread, starts: np.ndarray) -> np.ndarray:
     for at in range(level, 1, -1):
         given = np.divide(1.0 + share, paths, out=np.zeros(paths.shape), where=depth == at)
         share += np.where(depth == at - 1, paths * graph.add(given), 0.0)
-    return share.sum(axis=0)
+    return share
 
 
 def _splits(graph: _Spread, first: np.ndarray, nodes: np.ndarray) -> np.ndarray:
@@ -102,7 +102,7 @@ def block_metrics(adj: DataFrame) -> DataFrame:
             every = batch.column(0).to_numpy()
             for at in range(0, len(every), step):
                 block = every[at:at + step]
-                total += _dependencies(graph, block)
+                total += _dependencies(graph, block).sum(axis=0)
                 flags[block] = _splits(graph, first, block)
         used = np.flatnonzero((total != 0) | flags)
         yield pa.RecordBatch.from_arrays(
@@ -112,3 +112,39 @@ def block_metrics(adj: DataFrame) -> DataFrame:
     tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
     parts = spark.range(0, n, numPartitions=tasks).mapInArrow(walk, "node_id string, total double, is_ap boolean")
     return parts.groupBy("node_id").agg(F.sum("total").alias("total"), F.max("is_ap").alias("is_ap"))
+
+
+class Walker:
+    """Searches from chosen start nodes over a broadcast neighbour list, checked as for `block_metrics` and sent once."""
+
+    def __init__(self, adj: DataFrame):
+        table = adj.select("src", "dst").toArrow()
+        both = np.concatenate([np.asarray(table.column(c).to_pylist(), dtype=object) for c in ("src", "dst")])
+        ids, flat = np.unique(both, return_inverse=True)
+        self.shared = adj.sparkSession.sparkContext.broadcast((ids, *np.split(flat, 2)))
+        self.step = int(max(1, min(256, BLOCK_CELLS // max(1, table.num_rows))))
+
+    def sums(self, starts: DataFrame) -> DataFrame:
+        """(node_id, s1, s2): dependencies and their squares, summed over `starts(node_id, times)`; unknown nodes have none."""
+        shared, step = self.shared, self.step
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, a, b = shared.value
+            graph, one, two = None, np.zeros(len(names)), np.zeros(len(names))
+            for batch in batches:
+                wanted = np.asarray(batch.column("node_id").to_pylist(), dtype=object)
+                at = np.minimum(np.searchsorted(names, wanted), len(names) - 1) if len(wanted) else np.zeros(0, np.int64)
+                known = names[at] == wanted
+                times, at = batch.column("times").to_numpy()[known], at[known]
+                if len(at) and graph is None:
+                    graph = _Spread(a, b, len(names))
+                for i in range(0, len(at), step):
+                    found = _dependencies(graph, at[i:i + step])
+                    one += times[i:i + step] @ found
+                    two += times[i:i + step] @ found**2
+            used = np.flatnonzero(one)
+            yield pa.RecordBatch.from_arrays([pa.array(names[used], type=pa.string()), pa.array(one[used]), pa.array(two[used])], names=["node_id", "s1", "s2"])
+
+        tasks = 4 * starts.sparkSession.sparkContext.defaultParallelism
+        parts = starts.repartition(tasks).mapInArrow(walk, "node_id string, s1 double, s2 double")
+        return parts.groupBy("node_id").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))

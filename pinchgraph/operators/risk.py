@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 
 from pinchgraph.functions import vocab
 from pinchgraph.functions.scores import or_default, risk_score, round_half_up
-from pinchgraph.operators.graph import adjacency, load_edges, load_nodes, node_centrality, supplier_counts
+from pinchgraph.operators.graph import BlockCutTree, adjacency, load_edges, load_nodes, node_centrality, supplier_counts
 from pinchgraph.storage import materialize
 
 CRITICAL = 0.60
 
 
-def node_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def node_metrics(nodes: DataFrame, edges: DataFrame, error: float | None = None) -> DataFrame:
     """Betweenness, suppliers, concentration, articulation flag and risk score of every node.
 
-    `nodes` has node_id, name, label, criticality; `edges` has src, dst, relation.
+    `nodes` has node_id, name, label, criticality; `edges` has src, dst, relation.  With `error`, betweenness is sampled
+    to that error (`graph.node_centrality`).
     """
     nodes = materialize(load_nodes(nodes), "risk-nodes").df
     edges = materialize(load_edges(edges, nodes).select("src", "dst"), "risk-edges").df
-    joined = nodes.join(node_centrality(nodes, adjacency(edges)), "node_id", "left").join(supplier_counts(edges), "node_id", "left")
+    joined = nodes.join(node_centrality(nodes, adjacency(edges), error=error), "node_id", "left").join(supplier_counts(edges), "node_id", "left")
     c = F.coalesce("betweenness", F.lit(0.0))
     n = F.coalesce("num_suppliers", F.lit(1).cast("long"))
     concentration = F.lit(1.0) - F.lit(1.0) / n
@@ -65,13 +66,14 @@ def run_summary(metrics: DataFrame, edges: DataFrame) -> DataFrame:
                     F.sum("articulation_points").alias("articulation_points"))
 
 
-def what_if(nodes: DataFrame, edges: DataFrame, stored: DataFrame, excluded: str) -> DataFrame:
+def what_if(nodes: DataFrame, edges: DataFrame, stored: DataFrame, excluded: str, error: float | None = None) -> DataFrame:
     """Scores of every remaining node before and after removing `excluded`.
 
-    `stored` is the baseline (node_id, name, label, srs_score, is_articulation_point).
+    `stored` is the baseline (node_id, name, label, srs_score, is_articulation_point).  With `error`, the scores after
+    the removal rest on sampled betweenness.
     """
     after = node_metrics(nodes.where(F.col("node_id") != excluded),
-                         edges.where((F.col("src") != excluded) & (F.col("dst") != excluded)))
+                         edges.where((F.col("src") != excluded) & (F.col("dst") != excluded)), error)
     before = stored.where((F.col("node_id") != excluded) & F.col("srs_score").isNotNull()).select(
         "node_id", "name", "label", F.round("srs_score", 4).alias("srs_before"),
         F.coalesce("is_articulation_point", F.lit(False)).alias("was_ap"))
@@ -81,6 +83,14 @@ def what_if(nodes: DataFrame, edges: DataFrame, stored: DataFrame, excluded: str
         round_half_up(F.col("srs_after") - F.col("srs_before"), 4).alias("delta"), "was_ap", "now_ap")
 
 
+def what_if_articulation(tree: BlockCutTree, nodes: DataFrame, excluded: str) -> DataFrame:
+    """(node_id, was_ap, now_ap) of every remaining node of `nodes(node_id)`, from the stored blocks; see `BlockCutTree.without`."""
+    was = tree.articulation_points().withColumn("_was", F.lit(True))
+    now = tree.without(excluded).articulation_points().withColumn("_now", F.lit(True))
+    left = nodes.select("node_id").where(F.col("node_id") != excluded).join(was, "node_id", "left").join(now, "node_id", "left")
+    return left.select("node_id", F.coalesce("_was", F.lit(False)).alias("was_ap"), F.coalesce("_now", F.lit(False)).alias("now_ap"))
+
+
 def largest_changes(comparison: DataFrame, n: int = 30) -> DataFrame:
     """The n largest absolute changes, ties by node_id."""
     return comparison.orderBy(F.desc(F.abs("delta")), "node_id").limit(n)

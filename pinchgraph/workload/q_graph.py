@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pinchgraph.operators import graph, risk
+from pinchgraph.operators import graph, risk, sampling
 from pinchgraph.workload.registry import query
 from pinchgraph.workload.sqlviews import EXCLUDED
 from pinchgraph.workload.views import as_of
@@ -60,6 +60,19 @@ def d6(v):
     return graph.components(nodes, graph.adjacency(graph.load_edges(v.edges, nodes)))
 
 
+@query("d4_sampled_betweenness")
+def d4_sampled(v):
+    """Betweenness of the supplier-part graph of every order line, off by 0.05 at most with a risk of 1 in 20."""
+    return sampling.sampled_betweenness(v.supply_nodes, graph.adjacency(graph.load_edges(v.supply_edges, v.supply_nodes)))
+
+
+@query("d5_blocks", "SELECT node_id FROM apoints", "apoints")
+def d5_blocks(v):
+    """Articulation points as the nodes that lie in two blocks."""
+    nodes = graph.load_nodes(v.nodes)
+    return graph.block_cut_tree(nodes, graph.adjacency(graph.load_edges(v.edges, nodes))).articulation_points()
+
+
 # minimum labels travelling ten steps, more than the supplier-part graph is wide
 _ROUNDS = "WITH pairs AS MATERIALIZED (SELECT src, dst FROM (" + _SUPPLY + ") UNION SELECT dst, src FROM (" + _SUPPLY + """)),
 l0 AS MATERIALIZED (SELECT 'COMP-' || s_suppkey AS v, 'COMP-' || s_suppkey AS c FROM supplier UNION ALL SELECT 'MAT-' || p_partkey, 'MAT-' || p_partkey FROM part)""" + "".join(
@@ -121,6 +134,19 @@ def d11_summary(v):
     return risk.what_if_summary(_comparison(v))
 
 
+@query("d11_what_if_blocks", "SELECT b.node_id, b.is_articulation_point AS was_ap, a.is_articulation_point AS now_ap FROM scores b JOIN scores_x a USING (node_id)", "scores scores_x")
+def d11_blocks(v):
+    """Articulation points before and after removing one country; only its blocks are searched again."""
+    nodes = graph.load_nodes(v.nodes)
+    return risk.what_if_articulation(graph.block_cut_tree(nodes, graph.adjacency(graph.load_edges(v.edges, nodes))), nodes, EXCLUDED)
+
+
+@query("d11_what_if_sampled", "SELECT b.node_id, b.name, b.srs_score AS srs_before, b.is_articulation_point AS was_ap, a.is_articulation_point AS now_ap FROM scores b JOIN scores_x a USING (node_id)", "scores scores_x")
+def d11_sampled(v):
+    """The removal with sampled betweenness; what does not depend on the sample."""
+    return risk.what_if(v.nodes, v.edges, v.node_scores(), EXCLUDED, error=0.1).select("node_id", "name", "srs_before", "was_ap", "now_ap")
+
+
 @query("d12_top_subgraph", """SELECT src, dst, relation FROM edges WHERE src IN (SELECT node_id FROM scores ORDER BY srs_score DESC, node_id LIMIT 50)
 AND dst IN (SELECT node_id FROM scores ORDER BY srs_score DESC, node_id LIMIT 50) ORDER BY src, dst, relation LIMIT 300""", "scores edges")
 def d12(v):

@@ -163,3 +163,112 @@ def test_pivots_over_all_nodes_equal_exact(spark):
     n, adj = frames(spark, nodes, edges)
     exact = {r.node_id: r.betweenness for r in graph.betweenness(n, adj).collect()}
     assert exact == {r.node_id: r.betweenness for r in graph.betweenness(n, adj, pivots=n.select(F.col("node_id"))).collect()}
+
+
+def blocks_by_brute_force(nodes, edges):
+    """Blocks as classes of edges: two edges share a block if removing any one node leaves them joined."""
+    import itertools
+
+    edges = sorted({tuple(sorted(e)) for e in edges if e[0] != e[1]})
+    parts = []
+    for e in edges:
+        for p in parts:
+            if any(_together(e, f, edges) for f in p):
+                p.append(e)
+                break
+        else:
+            parts.append([e])
+    merged = True
+    while merged:
+        merged = False
+        for p, q in itertools.combinations(parts, 2):
+            if any(_together(e, f, edges) for e in p for f in q):
+                p += q
+                parts.remove(q)
+                merged = True
+                break
+    return {frozenset(v for e in p for v in e) for p in parts}
+
+
+def _together(e, f, edges):
+    """Whether edges e and f lie on a common cycle: two paths without a common node join their ends."""
+    if e == f:
+        return True
+    shared = set(e) & set(f)
+    if shared:
+        (v,) = shared
+        a, b = (set(e) - shared).pop(), (set(f) - shared).pop()
+        return _reach(a, b, [x for x in edges if v not in x])
+    return all(_reach_sets(set(e) - {v}, set(f) - {v}, [x for x in edges if v not in x and x not in (e, f)]) for v in {u for x in edges for u in x})
+
+
+def _reach_sets(a, b, edges):
+    return any(_reach(x, y, edges) for x in a for y in b)
+
+
+def _reach(a, b, edges):
+    seen, todo = {a}, [a]
+    while todo:
+        v = todo.pop()
+        for x, y in edges:
+            for p, q in ((x, y), (y, x)):
+                if p == v and q not in seen:
+                    seen.add(q)
+                    todo.append(q)
+    return b in seen
+
+
+LADDER = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "d"), ("f", "g"), ("h", "i"), ("i", "i"), ("e", "k"), ("k", "l"), ("l", "e"), ("d", "k")]
+
+
+def test_block_cut_tree_before_and_after_removals(spark):
+    names = sorted({v for e in LADDER for v in e} | {"alone"})
+    n = spark.createDataFrame([(v,) for v in names], "node_id string")
+    adj = graph.adjacency(spark.createDataFrame(LADDER, "src string, dst string"))
+    tree = graph.block_cut_tree(n, adj)
+    of = lambda t: {frozenset(r.nodes) for r in t.members.groupBy("block").agg(F.collect_set("node_id").alias("nodes")).collect()}
+    assert of(tree) == blocks_by_brute_force(names, LADDER)
+    assert tree.edges.count() == tree.rows == 2 * 13 and tree.edges.where("block is null").count() == 0
+    for gone in ("d", "a", "i", "alone"):
+        left = [e for e in LADDER if gone not in e]
+        after = tree.without(gone)
+        assert of(after) == blocks_by_brute_force(names, left)
+        touched = tree.edges.join(tree.members.where(F.col("node_id") == gone), "block", "left_semi").where((F.col("src") != gone) & (F.col("dst") != gone)).count()
+        assert after.rows == touched < tree.rows  # rows searched again: those of the node's own blocks
+        points = {r.node_id for r in after.articulation_points().collect()}
+        assert points == {r.node_id for r in graph.articulation_points(n.where(F.col("node_id") != gone), graph.adjacency(spark.createDataFrame(left, "src string, dst string"))).collect()}
+    assert graph.block_cut_tree(n, adj.limit(0)).articulation_points().count() == 0
+
+
+@pytest.mark.parametrize("max_rows", [2_000_000, 0])
+def test_sampled_betweenness_keeps_its_bound(spark, max_rows):
+    """Two hubs, a chain between them, and many leaves: far fewer sources than nodes, all errors within their bounds."""
+    from pinchgraph.operators import sampling
+
+    many = 1_500 if max_rows else 700
+    edges = [("hub0", "m1"), ("m1", "m2"), ("m2", "hub1"), *[(f"hub{i % 2}", f"leaf{i}") for i in range(many)], ("leaf0", "leaf0"), ("leaf0", "leaf2")]
+    names = sorted({v for e in edges for v in e} | {"alone"})
+    n = spark.createDataFrame([(v,) for v in names], "node_id string")
+    adj = graph.adjacency(spark.createDataFrame(edges, "src string, dst string"))
+    exact = {r.node_id: r.betweenness for r in graph.node_centrality(n, adj).collect()}
+    got = sampling.sampled_betweenness(n, adj, error=0.3, first=32, max_rows=max_rows).collect()
+    assert {r.node_id for r in got} == set(names)
+    assert {r.sources for r in got} <= {256, 512} and all(r.sources < len(names) for r in got)
+    assert max(r.error_bound for r in got) <= 0.3
+    assert all(abs(r.betweenness - exact[r.node_id]) <= r.error_bound for r in got)
+    assert next(r for r in got if r.node_id == "alone").betweenness == 0.0
+
+
+def test_sampled_betweenness_ends_exact(spark):
+    """An error that sampling cannot reach with fewer sources than nodes gives all of them."""
+    from pinchgraph.operators import sampling
+
+    names = sorted({v for e in LADDER for v in e} | {"alone"})
+    n = spark.createDataFrame([(v,) for v in names], "node_id string")
+    adj = graph.adjacency(spark.createDataFrame(LADDER, "src string, dst string"))
+    exact = {r.node_id: r.betweenness for r in graph.node_centrality(n, adj).collect()}
+    for max_rows in (2_000_000, 0):
+        got = sampling.sampled_betweenness(n, adj, error=0.01, first=4, max_rows=max_rows).collect()
+        assert {(r.error_bound, r.sources) for r in got} == {(0.0, len(names))}
+        assert {r.node_id: r.betweenness for r in got} == pytest.approx(exact, abs=1e-9)
+    assert {r.betweenness for r in sampling.sampled_betweenness(n, adj.limit(0)).collect()} == {0.0}
