@@ -8,8 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pinchgraph.operators.similarity import similar_clusters
+
 #: Shares of the three largest that warn, and that mark a chokepoint.
 CR3_WARNING, CR3_CHOKEPOINT = 0.70, 0.90
+#: Cosine from which two orphans count as one topic.
+TOPIC_SIMILARITY = 0.85
 #: Weight of a source that is not listed for a domain.
 UNLISTED_WEIGHT = 0.5
 
@@ -67,3 +71,16 @@ def orphan_clusters(orphans: DataFrame) -> DataFrame:
     pending = orphans.where("status = 'pending'").withColumn("week", F.date_trunc("week", "created_at").cast("date"))
     return pending.groupBy("week", "best_node").agg(
         F.count(F.lit(1)).alias("n"), F.avg("best_similarity").alias("mean_similarity"), F.min(F.struct("created_at", "uid"))["uid"].alias("oldest_uid"))
+
+
+def orphan_topics(orphans: DataFrame, threshold: float = TOPIC_SIMILARITY, recall: float = 0.999) -> DataFrame:
+    """K5: clusters of pending orphans by the likeness of their own vectors, for the weekly review of topics that no node covers.
+
+    (cluster, n, nodes, oldest_uid, first_seen, last_seen): `orphans(uid, status, created_at, best_node, embedding)` in clusters of
+    two or more (`similarity.similar_clusters`), named by their smallest uid; `nodes` counts the different nearest nodes.
+    """
+    pending = orphans.where("status = 'pending'")
+    clusters = similar_clusters(pending.select("uid", "embedding"), "uid", threshold, recall)
+    return pending.join(clusters, "uid").groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("best_node").alias("nodes"), F.min(F.struct("created_at", "uid"))["uid"].alias("oldest_uid"),
+        F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen")).where("n > 1")

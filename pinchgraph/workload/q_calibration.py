@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pinchgraph.operators import calibration as cal
 from pinchgraph.workload.q_resolution import stored_orphans
 from pinchgraph.workload.registry import query
-from pinchgraph.workload.views import as_of
+from pinchgraph.workload.views import HIGH, as_of
 
 
 @query("k1_brier", """SELECT strftime(date_trunc('month', p), '%Y-%m-%d') AS month, count(*) AS n, round(avg((c - o) * (c - o)), 6) AS brier FROM (
@@ -53,3 +53,17 @@ def k4(v):
 FROM (SELECT *, TIMESTAMP '2024-01-31 00:00:00' - to_days(CAST(CASE WHEN vec_id % 2 = 0 THEN vec_id % 30 ELSE 0 END AS INTEGER)) AS c FROM orphaned) WHERE vec_id % 4 <> 0 GROUP BY 1, 2""", "orphaned")
 def k5(v):
     return cal.orphan_clusters(stored_orphans(v)).withColumn("week", F.col("week").cast("string")).withColumn("mean_similarity", F.round("mean_similarity", 6))
+
+
+# every pair of pending orphans, then smallest names travelling along links
+@query("k5_orphan_topics", """WITH pending AS MATERIALIZED (SELECT o.uid, best_node, c, CAST(embedding AS DOUBLE[]) AS e FROM (SELECT *, TIMESTAMP '2024-01-31 00:00:00' - to_days(CAST(CASE WHEN vec_id % 2 = 0 THEN vec_id % 30 ELSE 0 END AS INTEGER)) AS c FROM orphaned) o
+  JOIN embeddings USING (vec_id) WHERE vec_id % 4 <> 0),
+links AS MATERIALIZED (SELECT a.uid AS a, b.uid AS b FROM pending a, pending b WHERE a.uid <> b.uid AND list_cosine_similarity(a.e, b.e) >= 0.36),
+named AS (SELECT x AS uid, min(y) AS cluster FROM (WITH RECURSIVE reach AS (SELECT uid AS x, uid AS y FROM pending UNION SELECT r.x, l.b FROM reach r JOIN links l ON l.a = r.y) SELECT * FROM reach) GROUP BY 1)
+SELECT cluster, count(*) AS n, count(DISTINCT best_node) AS nodes, arg_min(uid, strftime(c, '%Y%m%d%H%M%S') || uid) AS oldest_uid, strftime(min(c), '%Y-%m-%d') AS first_seen, strftime(max(c), '%Y-%m-%d') AS last_seen
+FROM pending JOIN named USING (uid) GROUP BY cluster HAVING count(*) > 1""", "orphaned")
+def k5_topics(v):
+    """The given vectors have hardly any direction in common, so the threshold is the one that splits them."""
+    stored = stored_orphans(v).drop("embedding").join(v.doc_vectors, "doc_uid")
+    found = cal.orphan_topics(stored, threshold=HIGH, recall=0.99999)
+    return found.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("first_seen", "last_seen")})
