@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from math import ceil
+from uuid import uuid4
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +14,12 @@ from pinchgraph.functions.jsontext import fenced_object, field, safe_list
 from pinchgraph.functions.scores import consensus, outlook, plain_number, stress_score, sub_score
 from pinchgraph.functions.text import ascii_lower
 from pinchgraph.functions.vocab import COMMODITIES, STRESS_WEIGHTS
-from pinchgraph.storage import replace_rows
+from pinchgraph.storage import materialize, replace_rows
 
-DIMENSION = "name string, sector string, unit string, importance int, aliases array<string>"
+DIMENSION = "name string, sector string, unit string, importance int, aliases array<string>, description string, key_producers string"
 MAX_ARTICLES = 3
-TERMS_PER_PASS = 2_000
+#: Terms of one automaton.
+TERMS_PER_PASS = 1_000_000
 FINDINGS = ["agent1_finding", "agent2_finding", "agent3_finding", "agent4_finding", "agent5_critique"]
 LISTS = ["key_catalysts", "key_risks", "monitoring_indicators"]
 HORIZONS = ["outlook_6m", "outlook_12m", "outlook_3y", "outlook_5y"]
@@ -25,31 +31,79 @@ def read_dimension(spark: SparkSession, path: str) -> DataFrame:
 
 
 def default_dimension(spark: SparkSession) -> DataFrame:
-    """The tracked commodities, with `position` as their list order."""
-    rows = [(i, *row) for i, row in enumerate(COMMODITIES, 1)]
+    """The tracked commodities, with `position` as their list order; their prose (description, key_producers) is left to `described`."""
+    rows = [(i, *row, None, None) for i, row in enumerate(COMMODITIES, 1)]
     return spark.createDataFrame(rows, f"position int, {DIMENSION}")
 
 
+def described(commodities: DataFrame, notes: DataFrame) -> DataFrame:
+    """The dimension with `description` and `key_producers` from `notes(name, description, key_producers)` where they are given there."""
+    one = notes.groupBy("name").agg(F.max("description").alias("_d"), F.max("key_producers").alias("_k"))
+    return commodities.join(one, "name", "left").withColumn("description", F.coalesce("_d", "description")).withColumn(
+        "key_producers", F.coalesce("_k", "key_producers")).drop("_d", "_k")
+
+
 def dimension(rows: DataFrame) -> DataFrame:
     """A validated dimension: names unique and not blank, aliases never null."""
     return rows.where(F.coalesce(F.trim("name"), F.lit("")) != "").withColumn(
         "aliases", F.coalesce("aliases", F.array().cast("array<string>"))).dropDuplicates(["name"])
 
 
-def article_matches(docs: DataFrame, terms: list[str]) -> DataFrame:
+def _automaton(shared) -> ahocorasick.Automaton:
+    """The automaton of broadcast terms, built once per Python worker."""
+    key, terms = shared.value
+    if key not in _BUILT:
+        _BUILT.clear()
+        found = ahocorasick.Automaton()
+        for no, term in enumerate(terms):
+            found.add_word(term, no)
+        found.make_automaton()
+        _BUILT[key] = found
+    return _BUILT[key]
+
+
+#: The automaton that this worker built last.
+_BUILT: dict[str, ahocorasick.Automaton] = {}
+
+
+def article_matches(docs: DataFrame, terms: DataFrame | list[str]) -> DataFrame:
     """(uid, source, published_at, term): documents holding a term in title or text, ASCII case ignored.
 
-    `terms` are already in ASCII lower case.  They are a curated list, tested inside the scan; long lists are tested in passes of
-    `TERMS_PER_PASS`, so no pair of document and term is formed unless it matches.
+    `terms` (a column `term`, or a list) are already in ASCII lower case.  All of them are found in one scan of the texts
+    by an Aho-Corasick automaton per worker, whatever their number; past `TERMS_PER_PASS` they are dealt by hash and
+    each part takes a scan of its own, so neither driver nor worker holds more.  Only matching pairs are formed, each once.
+    A null term matches nothing and an empty one every document.
     """
+    spark = docs.sparkSession
+    if isinstance(terms, list):
+        terms = spark.createDataFrame([(t,) for t in terms], "term string")
+    listed = materialize(terms.where("term is not null").select("term").distinct(), "terms")
+    passes = max(1, ceil(listed.rows / TERMS_PER_PASS))
     both = docs.select("uid", "source", "published_at", ascii_lower(F.coalesce("title", F.lit(""))).alias("_t"),
                        ascii_lower(F.coalesce("text", F.lit(""))).alias("_x"))
+    keep = ["uid", "source", "published_at"]
+    kinds = ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in keep)
     out = None
-    for start in range(0, len(terms), TERMS_PER_PASS):
-        listed = F.array(*[F.lit(t) for t in terms[start:start + TERMS_PER_PASS]])
-        hits = F.filter(listed, lambda t: F.contains(F.col("_t"), t) | F.contains(F.col("_x"), t))
-        part = both.select("uid", "source", "published_at", F.explode(hits).alias("term"))
-        out = part if out is None else out.unionByName(part)
+    for part in range(passes):
+        mine = [r["term"] for r in listed.df.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == part).collect()]  # about TERMS_PER_PASS at most
+        shared = spark.sparkContext.broadcast((uuid4().hex, [t for t in mine if t]))
+        always = "" in mine
+
+        def search(batches, shared=shared, always=always):
+            names = shared.value[1]
+            found = _automaton(shared) if names else None
+            for batch in batches:
+                rows, hits = [], []
+                for i, texts in enumerate(zip(batch.column("_t").to_pylist(), batch.column("_x").to_pylist())):
+                    held = {no for text in texts for _, no in found.iter(text)} if names else ()
+                    hits += [names[no] for no in held] + [""] * always
+                    rows += [i] * (len(held) + always)
+                if rows:
+                    chosen = batch.select(keep).take(pa.array(rows, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(hits, pa.string())], names=[*keep, "term"])
+
+        found = both.mapInArrow(search, f"{kinds}, term string")
+        out = found if out is None else out.unionByName(found)
     return out
 
 
@@ -64,8 +118,7 @@ def articles(docs: DataFrame, commodities: DataFrame, as_of: Column, days: int =
     listed = commodities.select("name", F.posexplode(F.concat(F.array("name"), "aliases")).alias("alias_no", "term")).withColumn(
         "term", ascii_lower(F.col("term")))
     recent = docs.where(F.col("published_at") >= as_of - F.expr(f"INTERVAL {days} DAYS"))
-    terms = [r["term"] for r in listed.select("term").distinct().orderBy("term").toLocalIterator()]  # curated dimension
-    hits = article_matches(recent, terms)
+    hits = article_matches(recent, listed.select("term"))
     by_term = Window.partitionBy("term").orderBy(F.desc("published_at"), "uid")
     newest = hits.withColumn("_r", F.row_number().over(by_term)).where(F.col("_r") <= per_commodity)
     paired = newest.join(listed, "term").groupBy("name", "uid").agg(

@@ -20,12 +20,12 @@ def _day(df):
 
 
 def _concept_dim(v):
-    """The name dictionary as a commodity dimension: concept name, first three long words as aliases."""
-    return v.concepts.select("name", F.slice(F.filter("aliases", lambda a: F.length(a) >= 7), 1, 3).alias("aliases"))
+    """The name dictionary as a commodity dimension: concept name, all its words as aliases, its text as description, its source as producers."""
+    return v.concepts.select("name", "aliases", "description", F.col("id").alias("key_producers"))
 
 
-# aliases of seven letters or more, in reading order
-_DIM = """dim AS (SELECT name, [name] || list_filter(w, lambda x, i: length(x) >= 7 AND list_position(w, x) = i)[1:3] AS terms FROM (
+# all different words, in reading order
+_DIM = """dim AS (SELECT name, [name] || list_filter(w, lambda x, i: list_position(w, x) = i) AS terms FROM (
   SELECT w[1] || ' ' || w[2] AS name, w FROM (SELECT regexp_extract_all(text, '[A-Za-z]{3,}') AS w FROM benchmark)))"""
 _ASCII = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ARTICLES = f"""WITH {_DIM}, listed AS (SELECT name, unnest(terms) AS term, unnest(range(len(terms))) AS alias_no FROM dim),
@@ -149,7 +149,7 @@ def i14_guard(v):
     return com.should_run(v.commodity_results, F.lit("2001-12-01").cast("date")).withColumn("latest", F.col("latest").cast("string"))
 
 
-@query("a32_commodity_dimension", """SELECT w[1] || ' ' || w[2] AS name, len(list_filter(w, lambda x, i: length(x) >= 7 AND list_position(w, x) = i)[1:3]) AS n_aliases
-FROM (SELECT regexp_extract_all(text, '[A-Za-z]{3,}') AS w FROM benchmark)""")
+@query("a32_commodity_dimension", """SELECT w[1] || ' ' || w[2] AS name, len(list_filter(w, lambda x, i: list_position(w, x) = i)) AS n_aliases, left(text, 80) AS description, 'C-' || item_id AS key_producers
+FROM (SELECT item_id, text, regexp_extract_all(text, '[A-Za-z]{3,}') AS w FROM benchmark)""")
 def a32(v):
-    return com.dimension(_concept_dim(v)).select("name", F.size("aliases").cast("long").alias("n_aliases"))
+    return com.dimension(_concept_dim(v)).select("name", F.size("aliases").cast("long").alias("n_aliases"), "description", "key_producers")

@@ -194,3 +194,24 @@ def test_running_offsets(spark):
     df = spark.createDataFrame([("k", 1, "b", 3), ("k", 0, "a", 5), ("k", 1, "c", 2), ("j", 1, "x", 7)], "key string, _salt int, _tie string, v int")
     got = {(r.key, r._tie): r.o for r in storage.running_offsets(df, ["key"], "v", "o").collect()}
     assert got == {("k", "a"): 0, ("k", "b"): 5, ("k", "c"): 8, ("j", "x"): 0}
+
+
+def test_a_hundred_thousand_terms_in_one_scan(spark):
+    """Every term that a plain search finds, each once per document, with overlapping, empty, null and upper-case candidates."""
+    words = [f"w{i:05d}x" for i in range(100_000)]
+    texts = ["W00001X and w99999xw00002x", "nothing here", None, "w00002x " * 50, "ÄW00003x"]
+    docs = spark.createDataFrame([(f"d{i}", "s", "title w00007x" if i == 1 else None, t) for i, t in enumerate(texts)], "uid string, source string, title string, text string").withColumn("published_at", F.lit("2024-01-01").cast("timestamp"))
+    terms = spark.createDataFrame([(w,) for w in [*words, "w0000", "", None]], "term string")
+    got = com.article_matches(docs, terms)
+    want = sorted((f"d{i}", t) for i, x in enumerate(texts) for t in [*words[:10], words[-1], "w0000", ""]
+                  if t in ("" if x is None else x.translate({c: c + 32 for c in range(65, 91)})) or t in ("title w00007x" if i == 1 else ""))
+    assert sorted((r.uid, r.term) for r in got.collect()) == want
+    assert "BatchEvalPython" not in got._jdf.queryExecution().toString()
+
+
+def test_dimension_notes(spark):
+    base = com.default_dimension(spark)
+    assert {"description", "key_producers"} <= set(base.columns)
+    notes = spark.createDataFrame([(base.first()["name"], "used in chips", "two countries")], "name string, description string, key_producers string")
+    got = com.described(base, notes)
+    assert got.count() == base.count() and got.where("description = 'used in chips' and key_producers = 'two countries'").count() == 1
