@@ -38,9 +38,9 @@ MAP_BITS = 1 << 26
 #: A text is cut up for tokenising in slices of about so many bytes, at white space.
 SLICE = 4 << 20
 #: Text of a block.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 6 << 20
 #: Counts that a task gathers before it adds them up.
-HELD = 400_000
+HELD = 150_000
 #: Fewest and most buckets of the exchange of counts; in between one per block.
 BUCKETS = (256, 65_536)
 #: Sources and terms of one block of the pairwise sums.
@@ -94,7 +94,7 @@ class _Block:
         seen: Counter = Counter()
         for words in terms_of(text):
             seen.update(words)
-        self.pairs.append((np.fromiter(map(self.number.__getitem__, seen), np.int32, len(seen)), np.fromiter(seen.values(), np.int64, len(seen))))
+        self.pairs.append((np.fromiter(map(self.number.__getitem__, seen), np.int32, len(seen)), np.fromiter(seen.values(), np.int32, len(seen))))
         self.group.append(self.groups.setdefault(group, len(self.groups)))
         self.bytes += len(text)
 
@@ -107,7 +107,7 @@ class _Block:
         term, n = (np.concatenate([p[k] for p in self.pairs]) for k in (0, 1))
         term = rank[term]
         order = np.argsort(doc * (len(terms) + 1) + term)
-        packed = [np.array(self.group, np.int32), np.cumsum(sizes), b"".join(terms), np.cumsum([len(t) for t in terms], dtype=np.int64), term[order].astype(np.int32), n[order].astype(np.int64)]
+        packed = [np.array(self.group, np.int32), np.cumsum(sizes), b"".join(terms), np.cumsum([len(t) for t in terms], dtype=np.int64), term[order].astype(np.int32), n[order].astype(np.int32)]
         names = [x for group in self.groups for x in group]
         return pa.RecordBatch.from_arrays([pa.array([names], _BLOCK.field(0).type), *(pa.array([p if isinstance(p, bytes) else p.tobytes()], pa.binary()) for p in packed)], schema=_BLOCK)
 
@@ -117,8 +117,8 @@ def blocks(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _Block()
         for batch in batches:
-            for text, lang, source in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source"))):
-                block.add(text, (lang, source))
+            for i, group in enumerate(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())):
+                block.add(batch.column("text")[i].as_py(), group)
                 if block.bytes >= BLOCK_BYTES:
                     yield block.row()
                     block = _Block()
@@ -161,7 +161,7 @@ class _View:
         names = batch.column("names")[i].as_py()
         self.langs, self.sources = names[0::2], names[1::2]
         self.group, ptr, self.blob, ends = get("group", np.int32), get("ptr", np.int64), get("blob", np.uint8), get("ends", np.int64)
-        self.term, self.n = get("term", np.int32), get("n", np.int64)
+        self.term, self.n = get("term", np.int32), get("n", np.int32).astype(np.int64)
         self.doc = np.repeat(np.arange(len(ptr)), np.diff(ptr, prepend=0))
         self.sizes = np.diff(ends, prepend=0)
         self.starts = ends - self.sizes
@@ -225,7 +225,7 @@ def _merged(parts: DataFrame, least: int) -> DataFrame:
         yield from done(held)
 
     def total(held: list[pa.Table]) -> pa.Table:
-        sums = pa.concat_tables(held).group_by(["lang", "source", "term"]).aggregate([("n", "sum")])
+        sums = pa.concat_tables(held).group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum")])
         return sums.select(["lang", "source", "term", "n_sum"]).rename_columns(_COUNT.names)
 
     def done(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
