@@ -27,6 +27,17 @@ def new_articles(news: DataFrame, ledger: DataFrame) -> DataFrame:
     )
 
 
+def source_report(news: DataFrame) -> DataFrame:
+    """(column, present, filled) of every required column of the source: whether it is there and in how many rows it has a value.
+
+    What `new_articles` refuses is shown here before a run: a column with `present` false.  Further columns do not matter.
+    """
+    there = [c for c in NEWS_REQUIRED if c in news.columns]
+    counts = news.agg(*[F.count(c).alias(c) for c in there]) if there else news.agg(F.count(F.lit(1)).alias("_rows"))
+    row = lambda c: F.struct(F.lit(c).alias("column"), F.lit(c in there).alias("present"), (F.col(c) if c in there else F.lit(0).cast("long")).alias("filled"))
+    return counts.select(F.inline(F.array(*[row(c) for c in sorted(NEWS_REQUIRED)])))
+
+
 def ledger_additions(ledger: DataFrame, uids: DataFrame) -> DataFrame:
     """The uids to append to the ledger; repeats and known ones are ignored."""
     return uids.select("uid").distinct().join(ledger.select("uid"), "uid", "left_anti")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pinchgraph.functions import vocab
 from pinchgraph.functions.jsontext import topics
+from pinchgraph.model import NEWS_REQUIRED
 from pinchgraph.operators import resolution, vectors
 from pinchgraph.sources import code_repo, documents, feeds, filings, forums, job_boards, news, papers, patents, stories, taxonomy
 from pinchgraph.workload.registry import query
@@ -311,6 +312,11 @@ _NEW = "SELECT * FROM news WHERE uid NOT IN (SELECT uid FROM news_ledger)"
 _TOPICS = "CASE doc_id % 5 WHEN 2 THEN 'Tech|Energy' WHEN 3 THEN 'Tech|Energy' ELSE '' END"
 
 
+@query("a20_source_report", " UNION ALL ".join(f"SELECT '{c}' AS column, true AS present, count({c}) AS filled FROM news" for c in sorted(NEWS_REQUIRED)), "news")
+def a20(v):
+    return news.source_report(v.news)
+
+
 @query("a21_new_articles", f"SELECT uid, title, url, source, title AS text, sentiment_score, sentiment_label, {_TOPICS} AS topics, CAST(4 AS INTEGER) AS ias_tier FROM ({_NEW})", "news news_ledger")
 def a21(v):
     """The source check (A20) runs first and fails on missing columns."""

@@ -105,7 +105,7 @@ FROM embeddings e LEFT JOIN topk t ON t.doc_uid = 'doc:' || e.vec_id AND t.r = 1
     "mentions": ("topk", "SELECT doc_uid, node_id, sim AS confidence FROM topk WHERE sim >= 0.36"),
     "choices": ("routed topk", """
 SELECT doc_uid, node_id, confidence FROM (
-  SELECT doc_uid, vec_id, route, CASE vec_id % 5 WHEN 0 THEN NULL WHEN 2 THEN 'COMP-' || (vec_id * 13 % 100) ELSE best_node END AS node_id,
+  SELECT doc_uid, vec_id, route, CASE WHEN vec_id % 11 = 0 THEN NULL WHEN vec_id % 5 = 2 THEN 'COMP-' || (vec_id * 13 % 100) ELSE best_node END AS node_id,
     CASE WHEN vec_id % 7 = 0 THEN 0.55 ELSE 0.9 END AS confidence FROM routed) c
 WHERE route = 'choose' AND confidence >= 0.6 AND EXISTS (SELECT 1 FROM topk t WHERE t.doc_uid = c.doc_uid AND t.node_id = c.node_id)"""),
     "orphaned": ("routed choices", """

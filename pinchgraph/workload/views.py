@@ -224,7 +224,7 @@ class Views:
         node = F.concat(F.lit("COMP-"), (F.col("vec_id") * 13 % 100).cast("string"))
         best = self.routed.select("doc_uid", "best_node")
         rows = e.select(F.concat(F.lit("doc:"), v).alias("doc_uid"), "vec_id", node.alias("_node")).join(best, "doc_uid", "left")
-        pick = (F.when(F.col("vec_id") % 5 == 0, F.lit("null")).when(F.col("vec_id") % 5 == 1, F.concat(F.lit('"id='), "best_node", F.lit('"')))
+        pick = (F.when(F.col("vec_id") % 11 == 0, F.lit("null")).when(F.col("vec_id") % 5 == 1, F.concat(F.lit('"id='), "best_node", F.lit('"')))
                 .when(F.col("vec_id") % 5 == 2, F.concat(F.lit('"'), "_node", F.lit('"'))).otherwise(F.concat(F.lit('"'), "best_node", F.lit('"'))))
         conf = F.when(F.col("vec_id") % 7 == 0, "0.55").otherwise("0.9")
         return rows.select("doc_uid", F.concat(F.lit('Answer: {"node_id": '), pick, F.lit(', "confidence": '), conf,

@@ -120,3 +120,15 @@ def test_watch_list(spark):
     assert {r.name for r in monitor.remove_from_watch_list(synced, ids).collect()} == {"mine", "unmarked"}
     absent = spark.createDataFrame([("nope",)], "id string")
     assert monitor.remove_from_watch_list(synced, absent).count() == 3
+
+
+def test_source_report_names_missing_columns(spark):
+    from pinchgraph.model import NEWS_REQUIRED
+    from pinchgraph.sources import news as source
+
+    full = spark.createDataFrame([("a", None), ("b", "t")], "uid string, title string").withColumn("more", F.lit(1))
+    got = {r["column"]: (r.present, r.filled) for r in source.source_report(full).collect()}
+    assert set(got) == set(NEWS_REQUIRED)
+    assert got["uid"] == (True, 2) and got["title"] == (True, 1)
+    assert all(got[c] == (False, 0) for c in NEWS_REQUIRED if c not in ("uid", "title"))
+    assert {r.present for r in source.source_report(full.select("more")).collect()} == {False}
