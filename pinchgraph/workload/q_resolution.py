@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pinchgraph.operators import pruned_vectors, vectors
 from pinchgraph.operators import resolution as res
-from pinchgraph.operators import vectors
 from pinchgraph.workload.registry import query
 from pinchgraph.workload.views import HIGH, as_of
 
@@ -36,6 +36,14 @@ def c2_grid(v):
         "doc_uid", (F.col("p") + 1).alias("position"), F.col("c.node_id").alias("node_id"), F.round("c.similarity", 6).alias("similarity"))
 
 
+@query("c2_top_k_pruned", "SELECT doc_uid, CAST(r AS INTEGER) AS position, node_id, round(sim, 6) AS similarity FROM topk", "topk")
+def c2_pruned(v):
+    """The same with clusters of nodes skipped by their angle bound."""
+    top, _, _ = pruned_vectors.top_k_pruned(v.doc_vectors, v.node_vectors, 10)
+    return top.select("doc_uid", F.posexplode("candidates").alias("p", "c")).select(
+        "doc_uid", (F.col("p") + 1).alias("position"), F.col("c.node_id").alias("node_id"), F.round("c.similarity", 6).alias("similarity"))
+
+
 @query("c3_route", "SELECT doc_uid, best_node, round(best_similarity, 6) AS best_similarity, route FROM routed", "routed")
 def c3(v):
     return v.routed.select("doc_uid", "best_node", F.round("best_similarity", 6).alias("best_similarity"), "route")
