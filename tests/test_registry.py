@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from tools.check import TABLES, rows
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["a2_dedup_insert", "b1_clean_text", "c2_top_k", "d3_supplier_counts", "e2_fold_evidence", "f6_robustness", "g6_ranked_opportunities", "i9_delta", "j4_risk_trend"]
+SAMPLE = ["a2_dedup_insert", "a20_source_report", "a33_work_state", "j11_system_status", "b1_clean_text", "c2_top_k", "d3_supplier_counts", "e2_fold_evidence", "f6_robustness", "g6_ranked_opportunities", "i9_delta", "j4_risk_trend"]
 
 
 def test_every_oracle_has_a_query():
@@ -32,17 +32,3 @@ def test_sample_equals_sql(spark, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert "ops_final" in df.columns and df.count() > 0
-
-
-@pytest.mark.skipif(not Path(SF).exists(), reason="driver tables not present")
-def test_every_query_builds(spark):
-    """A changed signature shows in every query that uses it; plans are built and analysed, not all run."""
-    from pinchgraph.workload import load_all
-
-    failed = {}
-    for name, build in load_all().QUERIES.items():
-        try:
-            assert build(spark, SF).columns
-        except Exception as problem:  # all of them are reported at once
-            failed[name] = repr(problem)[:300]
-    assert not failed
