@@ -31,6 +31,9 @@ REACH = 16
 #: Words of a run of repeated chunks for it to be cut.  A passage of 51 words loses some text at either end, by
 #: measurement 18 words at most, so the bound lies below the passages meant.
 MIN_WORDS = 25
+#: Bits of the map that tells the second pass which chunks may repeat, 16 MiB whatever the input.  A false hit is a
+#: chunk that is moved and found to be alone.
+MAP_BITS = 1 << 27
 #: Bytes hashed at once.
 STRIDE = 1 << 20
 
@@ -84,14 +87,46 @@ def _text_key() -> Column:
     return F.xxhash64(utf8(F.col("text"))).alias("_text_key")
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, _text_key, no, start, length, words, hi, lo, inner of every chunk.
+def _digests(text: bytes, ends: np.ndarray) -> list[bytes]:
+    return [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _text_key(), utf8(F.col("text")).alias("text"))
+
+
+def repeated_map(docs: DataFrame, map_bits: int = MAP_BITS) -> np.ndarray:
+    """A bit map of the digest halves `hi` that two rows or more hold, marked by their last bits; `map_bits` is a power of two.
+
+    Only eight bytes a chunk are shuffled, summed up per task before.  At most map_bits / 64 words reach the driver.
+    """
+    schema = pa.schema([("hi", pa.int64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.unique(np.frombuffer(b"".join(_digests(text, cut_points(text))), ">i8")[::2].astype(np.int64)) for (text,) in rows_of([batch], "text")]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts))], schema=schema)
+
+    halves = _texts(docs).select("text").mapInArrow(run, "hi long").groupBy("hi").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    place = F.col("hi").bitwiseAND(F.lit(map_bits - 1))
+    marked = halves.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, CAST(hi & 63 AS INT))").alias("bit"))
+    words = marked.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(map_bits // 64, np.uint64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return bits
+
+
+def chunk_rows(docs: DataFrame, repeated: np.ndarray | None = None) -> DataFrame:
+    """doc_id, _text_key, no, start, length, words, hi, lo, inner of every chunk, or of those that may repeat.
 
     Place in bytes, words begun in it, a 128-bit digest, and whether the same text has it earlier.
+    Given the bit map `repeated`, rows are the chunks marked there and all places of chunks that a text holds twice.
     Null and empty texts have no chunks.
     """
     kinds = {"doc_id": pa.int64(), "_text_key": pa.int64(), "no": pa.int32(), "start": pa.int64(), "length": pa.int32(), "words": pa.int32(), "hi": pa.int64(), "lo": pa.int64(), "inner": pa.bool_()}
     schema = pa.schema(list(kinds.items()))
+    shared = None if repeated is None else docs.sparkSession.sparkContext.broadcast(repeated)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,31 +136,40 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 if not len(ends):
                     continue
                 begins = np.r_[0, ends[:-1]]
+                digests = _digests(text, ends)
+                known = set()
+                inner = np.array([d in known or known.add(d) is not None for d in digests])
+                d = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+                if shared is None:
+                    use = np.arange(len(ends))
+                else:
+                    place = d[:, 0].view(np.uint64) & np.uint64(64 * len(shared.value) - 1)
+                    use = np.flatnonzero(inner | ((shared.value[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)) != 0))
+                    if not len(use):
+                        continue
                 raw = np.frombuffer(text, np.uint8)
                 opens = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
                 opens[1:] &= ~opens[:-1]
-                digests = [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(begins.tolist(), ends.tolist())]
-                known = set()
-                inner = [d in known or known.add(d) is not None for d in digests]
-                d = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
                 words = np.add.reduceat(opens, begins, dtype=np.int64)
-                parts.append((np.full(len(ends), doc_id), np.full(len(ends), key), np.arange(len(ends)), begins, ends - begins, words, d[:, 0], d[:, 1], inner))
+                parts.append((np.full(len(use), doc_id), np.full(len(use), key), use, begins[use], (ends - begins)[use], words[use], d[use, 0], d[use, 1], inner[use]))
             if parts:
                 columns = [np.concatenate(c) for c in zip(*parts)]
                 yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _text_key(), utf8(F.col("text")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, _text_key long, no int, start long, length int, words int, hi long, lo long, inner boolean")
+    return _texts(docs).mapInArrow(run, "doc_id long, _text_key long, no int, start long, length int, words int, hi long, lo long, inner boolean")
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, map_bits: int = MAP_BITS) -> DataFrame:
     """doc_id, _text_key, start, length, words, first_doc_ids: byte spans of texts that repeat earlier text, at least `min_words` long.
 
     Earlier means a document with a smaller id, or an earlier place of the same text.  first_doc_ids are the documents that
     keep the text.  Rows without an id or text have no spans, and rows that share an id are no repeats of one another:
     equal rows have the spans of one, different texts their own.
+
+    Texts are cut twice: first to find the digests that stand in two rows, then to give the places of those alone, so
+    chunks found once are never stored or moved.  `map_bits` changes the work of the second pass, not the result.
     """
-    chunks = materialize(chunk_rows(docs), "chunks").df
+    chunks = materialize(chunk_rows(docs, repeated_map(docs, map_bits)), "chunks").df
     firsts = chunks.where("not inner").groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
     shared = materialize(firsts.where("n > 1").select("hi", "lo", "first_doc"), "shared").df
     elsewhere = chunks.join(shared, ["hi", "lo"]).where((F.col("doc_id") != F.col("first_doc")) | F.col("inner"))
