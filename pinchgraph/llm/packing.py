@@ -31,6 +31,10 @@ STEP = 8
 END = 1
 #: Words kept by a worker's cache before it starts anew.
 CACHE = 600_000
+#: Words handed to the tokenizer at once.
+LEARNT = 20_000
+#: Bytes of text coded together, and one text more.
+TOGETHER = 1 << 20
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # without the apostrophe, which the vocabulary joins to letters
 
 
@@ -72,22 +76,33 @@ class WordCoder:
         for word, e in zip(rest, self.coder.encode_batch([w.decode() for w in rest], add_special_tokens=False)):
             self.ids[word] = np.array(e.ids, np.uint32).tobytes()
 
+    def _hold(self, words: set[bytes]) -> None:
+        """Have the ids of all these words at hand."""
+        missing = words.difference(self.ids)
+        if len(self.ids) + len(missing) > CACHE:
+            self.ids.clear()
+            missing = words
+        split = {w: core for w in missing if not w.isalnum() and (core := w.rstrip(PUNCTUATION)) and len(core) < len(w) and core[-1:].isalnum()}
+        parts = {*missing.difference(split), *split.values(), *(w[len(core):] for w, core in split.items())}
+        new = [p for p in parts if p not in self.ids]
+        for at in range(0, len(new), LEARNT):
+            self._learn(new[at : at + LEARNT])
+        for word, core in split.items():
+            self.ids[word] = self.ids[core] + self.ids[word[len(core):]]
+
+    def encode_all(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers; words new to the worker are learnt for all texts together."""
+        # a text with <| may hold a special token's string, which is found before anything else
+        split = [None if b"<|" in text else text.lower().split() for text in texts]
+        self._hold(set().union(*(words for words in split if words)))
+        for text, words in zip(texts, split):
+            if words is None:
+                yield np.array(self.coder.encode(text.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
+            else:
+                yield b"".join(map(self.ids.__getitem__, words))
+
     def encode(self, text: bytes) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        if b"<|" in text:  # may hold a special token's string, which is found before anything else
-            return np.array(self.coder.encode(text.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
-        words = text.lower().split()
-        missing = {w for w in words if w not in self.ids}
-        if missing:
-            if len(self.ids) > CACHE:
-                self.ids.clear()
-                missing = set(words)
-            split = {w: core for w in missing if (core := w.rstrip(PUNCTUATION)) and len(core) < len(w) and core[-1:].isalnum()}
-            parts = {*missing.difference(split), *split.values(), *(w[len(core):] for w, core in split.items())}
-            self._learn([p for p in parts if p not in self.ids])
-            for word, core in split.items():
-                self.ids[word] = self.ids[core] + self.ids[word[len(core):]]
-        return b"".join(map(self.ids.__getitem__, words))
+        return next(self.encode_all([text]))
 
 
 _CODERS: dict[str, WordCoder] = {}
@@ -110,10 +125,20 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, with_ids: boo
     schema = pa.schema(fields + [("ids", pa.binary())] * with_ids)
     end = END.to_bytes(4, "little")
 
+    def coded(rows: Iterable[tuple], code) -> Iterator[tuple]:
+        held, size = [], 0
+        for row in rows:
+            held.append(row)
+            size += len(row[1])
+            if size >= TOGETHER:
+                yield from zip((r[0] for r in held), code([r[1] for r in held]))
+                held, size = [], 0
+        yield from zip((r[0] for r in held), code([r[1] for r in held]))
+
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-        code = coder(vocabulary).encode
-        for doc_id, text in rows_of(batches, "doc_id", "text"):
-            ids = code(text) + end
+        code = coder(vocabulary).encode_all
+        for doc_id, ids in coded(rows_of(batches, "doc_id", "text"), code):
+            ids += end
             n = len(ids) // 4
             for at in range(0, n, length):
                 part = ids[4 * at : 4 * (at + length)]
