@@ -10,7 +10,7 @@ from pinchgraph.functions.vocab import COVERAGE_LAYER, REVIEW_SENTINEL, TIER1_SE
 from pinchgraph.operators.hypotheses import active, needs_review
 from pinchgraph.operators.mentions import match_terms
 from pinchgraph.operators.scoring import opportunities
-from pinchgraph.storage import keep_last, materialize
+from pinchgraph.storage import bounded_broadcast, keep_last, materialize
 
 MIN_WATCH_CONFIDENCE = 0.40
 MAX_WATCH_LAYER = 2
@@ -32,14 +32,18 @@ def keyword_table(watched_: DataFrame) -> DataFrame:
         F.col("keyword") != "").distinct()
 
 
+def _recent(news: DataFrame, as_of: Column, lookback_hours: int) -> DataFrame:
+    return news.where(F.col("first_seen") >= as_of - F.expr(f"INTERVAL {lookback_hours} HOURS")).select(
+        "uid", F.coalesce("title", F.lit("")).alias("title"), "url", "source", "first_seen")
+
+
 def coverage(keywords: DataFrame, news: DataFrame, as_of: Column, lookback_hours: int = 24) -> DataFrame:
     """H2: (hypothesis_id, article) for articles of the last hours whose title holds a keyword.
 
     Titles meet the distinct keywords in an equi-join on word runs; hypotheses come in
     afterwards, so a keyword shared by many hypotheses is matched once.
     """
-    recent = news.where(F.col("first_seen") >= as_of - F.expr(f"INTERVAL {lookback_hours} HOURS")).select(
-        "uid", F.coalesce("title", F.lit("")).alias("title"), "url", "source", "first_seen")
+    recent = _recent(news, as_of, lookback_hours)
     terms = keywords.select(F.col("keyword").alias("term")).distinct()
     found = match_terms(recent.select("uid", "title"), terms, "uid", "title")
     pairs = found.join(keywords.withColumnRenamed("keyword", "term"), "term").select("hypothesis_id", "uid").distinct()
@@ -63,32 +67,78 @@ def new_ledger_rows(ledger: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(ledger.select("hypothesis_id", "layer"), ["hypothesis_id", "layer"], "left_anti")
 
 
-def _first_three(df: DataFrame, value: str, order: list[Column], out: str, sep: str) -> DataFrame:
-    """Per hypothesis the first three values in order, joined; a top-3, so hot groups are cut before the shuffle."""
-    w = Window.partitionBy("hypothesis_id").orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 3).groupBy("hypothesis_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(value).alias("v")))),
-                                 lambda s: s["v"]), sep).alias(out))
+def _first_three(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first three rows of each key; a top-3, so hot keys are cut before the shuffle."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 3)
+
+
+def _joined(df: DataFrame, key: str, value: str, out: str, sep: str) -> DataFrame:
+    """The values of each key in the order of `_r`, as one text."""
+    ranked = F.array_sort(F.collect_list(F.struct("_r", F.col(value).alias("v"))))
+    return df.groupBy(key).agg(F.array_join(F.transform(ranked, lambda s: s["v"]), sep).alias(out))
+
+
+def _alert_texts(key: str, totals: DataFrame, titles: DataFrame, sources: DataFrame) -> DataFrame:
+    """Totals with the first three titles and sources of each key, given with their `_age` and `uid`."""
+    lines = _joined(_first_three(titles, key, ["_age", "uid"]), key, "line", "titles", "\n")
+    seen = sources.groupBy(key, "source").agg(F.min(F.struct("_age", "uid")).alias("_first"))
+    names = _joined(_first_three(seen, key, ["_first"]), key, "source", "sources", ", ")
+    return totals.join(lines, key).join(names, key).withColumn(
+        "more", F.when(F.col("n_articles") > 3, F.format_string("...and %d more", F.col("n_articles") - 3)).otherwise(""))
+
+
+def _age() -> Column:
+    """Least for the newest article."""
+    return (-F.unix_micros("first_seen")).alias("_age")
+
+
+def _line() -> Column:
+    return F.concat_ws(": ", "source", F.left("title", F.lit(90))).alias("line")
 
 
 def alert_rows(hits: DataFrame) -> DataFrame:
     """H5: per hypothesis the number of articles, the first three sources and titles (newest first), and the rest count."""
-    hits = materialize(hits.select("hypothesis_id", "uid", "title", "source", "first_seen"), "coverage").df
-    totals = hits.groupBy("hypothesis_id").agg(F.count(F.lit(1)).alias("n_articles"))
-    titles = _first_three(hits.withColumn("line", F.concat_ws(": ", "source", F.left("title", F.lit(90)))), "line",
-                          [F.desc("first_seen"), F.col("uid")], "titles", "\n")
-    seen = hits.groupBy("hypothesis_id", "source").agg(
-        F.min(F.struct((-F.unix_micros("first_seen")).alias("t"), "uid")).alias("_first"))
-    sources = _first_three(seen, "source", [F.col("_first")], "sources", ", ")
-    return totals.join(titles, "hypothesis_id").join(sources, "hypothesis_id").withColumn(
-        "more", F.when(F.col("n_articles") > 3, F.format_string("...and %d more", F.col("n_articles") - 3)).otherwise(""))
+    hits = materialize(hits.select("hypothesis_id", "uid", "source", _age(), _line()), "coverage").df
+    return _alert_texts("hypothesis_id", hits.groupBy("hypothesis_id").agg(F.count(F.lit(1)).alias("n_articles")), hits, hits)
+
+
+def _named(terms: Column) -> Column:
+    """A name for a sorted set of terms."""
+    return F.sha2(F.to_json(terms), 256)
+
+
+def covered_alerts(keywords: DataFrame, news: DataFrame, as_of: Column, lookback_hours: int = 24) -> DataFrame:
+    """H5 from keywords and news, equal to `alert_rows(coverage(...))`, without pairs of hypotheses and articles.
+
+    Articles that hold the same keywords are summed up as one pattern (their number, newest three titles and sources),
+    and hypotheses are one set where the keywords found anywhere are the same.  Only sets and patterns are paired: a keyword that
+    stands in most titles and belongs to most hypotheses costs as many pairs as it has sets and patterns.
+    """
+    recent = _recent(news, as_of, lookback_hours)
+    terms = keywords.select(F.col("keyword").alias("term")).distinct()
+    found = match_terms(recent.select("uid", "title"), terms, "uid", "title").groupBy("uid").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    articles = materialize(found.join(recent, "uid").select(
+        _named(F.col("terms")).alias("pattern"), "terms", "uid", "source", _age(), _line()), "covered").df
+    patterns = articles.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.any_value("terms").alias("terms"))
+    held = materialize(patterns.select("pattern", "n", F.explode("terms").alias("keyword")), "patterns").df
+    known = keywords.join(bounded_broadcast(held.select("keyword").distinct()), "keyword", "left_semi")
+    groups = known.groupBy("hypothesis_id").agg(F.sort_array(F.collect_set("keyword")).alias("keywords"))
+    members = materialize(groups.select("hypothesis_id", "keywords", _named(F.col("keywords")).alias("set")), "sets").df
+    sets = members.groupBy("set").agg(F.any_value("keywords").alias("keywords")).select("set", F.explode("keywords").alias("keyword"))
+    pairs = materialize(sets.join(held, "keyword").select("set", "pattern", "n").distinct(), "pairs").df
+    totals = pairs.groupBy("set").agg(F.sum("n").alias("n_articles"))
+    titles = pairs.join(_first_three(articles, "pattern", ["_age", "uid"]).select("pattern", "_age", "uid", "line"), "pattern")
+    seen = articles.groupBy("pattern", "source").agg(F.min(F.struct("_age", "uid")).alias("_first"))
+    sources = pairs.join(_first_three(seen, "pattern", ["_first"]).select("pattern", "source", "_first.*"), "pattern")
+    return members.select("set", "hypothesis_id").join(_alert_texts("set", totals, titles, sources), "set").drop("set")
 
 
 def monitoring_cycle(watched_: DataFrame, news: DataFrame, ledger: DataFrame, as_of: Column,
                      lookback_hours: int = 24) -> tuple[DataFrame, DataFrame]:
     """H6: alert rows of this cycle and the ledger rows to append.  A second run on the result gives nothing."""
     open_ = materialize(may_alert(watched_, ledger), "watched").df
-    alerts = alert_rows(coverage(keyword_table(open_), news, as_of, lookback_hours)).join(
+    alerts = covered_alerts(keyword_table(open_), news, as_of, lookback_hours).join(
         open_.select(F.col("id").alias("hypothesis_id"), "statement", "confidence", "ops_score", "awareness_layer"),
         "hypothesis_id")
     return alerts, ledger_rows(alerts.select(F.col("hypothesis_id").alias("id")), COVERAGE_LAYER, as_of)

@@ -58,7 +58,7 @@ JOIN (SELECT hypothesis_id, string_agg(source, ', ' ORDER BY r) AS sources FROM
 
 @query("h5_alert_rows", _ALERT.format("hits"), "hits")
 def h5(v):
-    return monitor.alert_rows(monitor.coverage(monitor.keyword_table(_watched(v)), v.news, as_of(), HOURS))
+    return monitor.covered_alerts(monitor.keyword_table(_watched(v)), v.news, as_of(), HOURS)
 
 
 @query("h6_monitoring_cycle", f"SELECT a.*, w.confidence, w.ops_score, w.awareness_layer FROM ({_ALERT.format('open_hits')}) a JOIN may_alert w ON w.id = a.hypothesis_id", "open_hits may_alert")

@@ -1,5 +1,6 @@
 """News ledger, coverage alerts and watch list: ledger, lookback, once-only and preservation rules."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -104,6 +105,21 @@ def test_second_cycle_is_silent(spark):
     assert monitor.new_ledger_rows(after, entries).count() == 0
 
 
+def test_alerts_without_pairs_equal_alerts_from_pairs(spark):
+    rng = random.Random(5)
+    words = ["ABF", "Neon", "Output", "Supplier", "wafer", "gas plant"]
+    rows = [(f"u{i:03}", rng.choice([None, "", *(" ".join(rng.sample(words + ["and", "of"], k)) for k in (1, 2, 3, 5))]), f"S{rng.randint(0, 5)}", "[]",
+             NOW - timedelta(hours=rng.randint(0, 30))) for i in range(150)]
+    keys = [(f"h{i}", k) for i in range(25) for k in {"Supplier", *rng.sample(words + ["absent", "nowhere"], rng.randint(0, 4))}] + [("none", "absent")]
+    keywords = spark.createDataFrame(keys, "hypothesis_id string, keyword string")
+    n = articles(spark, rows)
+    columns = ["hypothesis_id", "n_articles", "titles", "sources", "more"]
+    facts = lambda df: sorted(map(tuple, df.select(columns).collect()))
+    got = facts(monitor.covered_alerts(keywords, n, F.lit(NOW)))
+    assert got == facts(monitor.alert_rows(monitor.coverage(keywords, n, F.lit(NOW)))) and len(got) == 25
+    assert monitor.covered_alerts(keywords.limit(0), n, F.lit(NOW)).count() == 0 and monitor.covered_alerts(keywords, n.limit(0), F.lit(NOW)).count() == 0
+
+
 def topics_table(spark, rows):
     return spark.createDataFrame(rows, "name string, keywords array<string>, managed boolean, statement string")
 
