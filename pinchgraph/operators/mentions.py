@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pinchgraph.functions.text import clean_text, gaps, tokens, whole_word_pattern
-from pinchgraph.storage import bounded_broadcast
+from pinchgraph.storage import materialize, row_bytes
 
 MIN_NAME_CHARS = 3
+#: A dictionary up to this size meets the texts where they lie.
+BROADCAST_BYTES = 128 << 20
 
 
 def name_dictionary(concepts: DataFrame) -> DataFrame:
@@ -31,7 +33,8 @@ def match_terms(texts: DataFrame, terms: DataFrame, key: str, text: str) -> Data
     its run of words; texts emit their distinct runs of the lengths that occur, and the two
     meet in an equi-join.  A term made only of punctuation can match nothing but the whole gap
     between two words, so gaps join the same way.  Terms that are one plain word are then
-    certain; the others are verified with the exact pattern on the surviving pairs.
+    certain; the others are verified with the exact pattern on the surviving pairs.  The terms
+    are written once, which also gives their sizes.
     """
     words = tokens(F.col("term"))
     t = (
@@ -43,7 +46,8 @@ def match_terms(texts: DataFrame, terms: DataFrame, key: str, text: str) -> Data
         .withColumn("_sure", (F.col("_n") == 1) & (F.lower("term") == F.col("_gram")))
         .withColumn("_pattern", F.when(~F.col("_sure"), whole_word_pattern(F.col("term"))))
     )
-    lengths = sorted(r["_n"] for r in t.select("_n").distinct().collect())  # a handful of small numbers
+    written = materialize(t, "terms", lengths=F.collect_set("_n"), bytes=F.sum(row_bytes(t)))
+    t, lengths = written.df, sorted(written.metrics.get("lengths") or [])  # a handful of small numbers
     runs = texts.select(key, text).withColumn("_toks", tokens(F.col(text)))
     parts = []
     for n in lengths:
@@ -56,10 +60,9 @@ def match_terms(texts: DataFrame, terms: DataFrame, key: str, text: str) -> Data
     if not parts:
         return texts.select(key).withColumn("term", F.lit(None).cast("string")).where(F.lit(False))
     grams = runs.select(key, text, F.explode(F.array_distinct(F.concat(*parts))).alias("_gram"))
-    side = bounded_broadcast(t)
-    if side is not t:
+    if (written.metrics.get("bytes") or 0) <= BROADCAST_BYTES:
         # small dictionary: one pass over the texts, nothing shuffled, text still at hand
-        pairs = grams.join(side, "_gram")
+        pairs = grams.join(F.broadcast(t), "_gram")
         return pairs.where(F.col("_sure") | F.regexp_like(F.lower(text), F.col("_pattern"))).select(key, "term")
     # large dictionary: shuffle only (key, gram), then bring the text back for pairs to verify
     pairs = grams.drop(text).join(t, "_gram").select(key, "term", "_sure", "_pattern")

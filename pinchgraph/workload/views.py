@@ -24,6 +24,7 @@ def as_of() -> Column:
 
 
 _SCHEMAS: dict[tuple[str, str, str], StructType] = {}
+_COUNTS: dict[tuple[str, str, str], int] = {}
 _NODE_SCORES: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -40,6 +41,13 @@ class Views:
             _SCHEMAS[key] = self.spark.read.parquet(path).schema
         return self.spark.read.schema(_SCHEMAS[key]).parquet(path)
 
+    def rows(self, name: str) -> int:
+        """The rows of a driver table, counted from the file footers once per session."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _COUNTS:
+            _COUNTS[key] = Views.table(self, name).count()
+        return _COUNTS[key]
+
     def texts(self, name: str) -> DataFrame:
         """A table of long texts, dealt over the cores when it has few splits."""
         return spread(self.table(name))
@@ -139,7 +147,7 @@ class Views:
         b = self.table("benchmark").select(F.col("item_id").alias("_item"), F.initcap(words[0]).alias("_w1"), F.initcap(words[1]).alias("_w2"))
         k = F.col("s_suppkey")
         s = self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(
-            b, k % self.table("benchmark").count() == F.col("_item"))
+            b, k % self.rows("benchmark") == F.col("_item"))
 
         def ago(days):
             return as_of() - F.make_dt_interval(days=days.cast("int"))
@@ -157,7 +165,7 @@ class Views:
     @cached_property
     def evidence(self) -> DataFrame:
         """One piece of evidence per event, for the supplier of the user's number."""
-        e = self.table("events").withColumn("_h", F.col("user_id") % self.table("supplier").count())
+        e = self.table("events").withColumn("_h", F.col("user_id") % self.rows("supplier"))
         prefix = (F.when(F.col("event_id") % 6 == 0, "github:").when(F.col("event_id") % 6 == 1, "arxiv:")
                   .when(F.col("event_id") % 6 == 2, "hn:").when(F.col("event_id") % 6 == 3, "rss_nyt:")
                   .when(F.col("event_id") % 6 == 4, "jobs_x:").otherwise("zz:"))

@@ -75,8 +75,7 @@ def test_outlook(spark, raw, want):
 
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_mentions_small_and_large_dictionary(spark, monkeypatch, limit):
-    keep = mentions.bounded_broadcast
-    monkeypatch.setattr(mentions, "bounded_broadcast", lambda df: keep(df, limit))
+    monkeypatch.setattr(mentions, "BROADCAST_BYTES", limit)
     docs = spark.createDataFrame([
         ("d1", "TSMC and Applied Materials, ASML's EUV tools; S.O.I. wafers"), ("d2", "applied  materials; aTSMC TSMC_2 asml"), ("d3", ""), ("d4", "Über-Gas und gas+x")],
         "uid string, text string")
