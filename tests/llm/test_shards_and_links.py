@@ -140,3 +140,60 @@ def test_no_pages(llm):
 def test_too_many_rules(llm):
     with pytest.raises(ValueError):
         linkgraph.best_rule(F.lit("a"), F.lit("/"), [("a", "/", "block")] * 1_001)
+
+
+def test_domains_join_their_hosts(llm):
+    """Parent domains are nodes without pages; suffixes, addresses and overlong names have none."""
+    hosts = [("a.b.example.net",), ("c.example.net",), ("example.com",), ("10.0.0.1",), ("10.0.0.2:80",), (".".join(["x"] * 200),), ("net",), ("b:",)]
+    got = {(r["src"], r["dst"]) for r in linkgraph.domain_links(llm.createDataFrame(hosts, "host string")).collect()}
+    up = {("a.b.example.net", "b.example.net"), ("b.example.net", "example.net"), ("c.example.net", "example.net")}
+    assert got == up | {(d, s) for s, d in up}
+
+
+def test_walk_ends_on_its_change(llm):
+    rng = random.Random(8)
+    edges = [(f"h{rng.randrange(9)}", f"g{rng.randrange(9)}", 1) for _ in range(30)] + [(f"g{i}", f"h{i}", 1) for i in range(9)]
+    seeds = [("h0", "trust", 0.5), ("h1", "trust", 0.25), ("g2", "distrust", 1.0)]
+    got = linkgraph.propagate(llm.createDataFrame(edges, "src string, dst string, n long"), llm.createDataFrame(seeds, "host string, kind string, weight double")).collect()
+    weights = {"h0": 2 / 3, "h1": 1 / 3}
+    alone = {h: brute_walk(edges, [h], 200) for h in weights}
+    raw = defaultdict(float)
+    total = 0.0
+    for h, w in weights.items():  # the walk is linear in its seeds; undo the single walks' scaling by their sums
+        out = defaultdict(float)
+        for s, _, n in edges:
+            out[s] += n
+        score = {h: 1.0}
+        for _ in range(200):
+            new = defaultdict(float, {h: 1 - linkgraph.DAMPING})
+            for s, d, n in edges:
+                new[d] += linkgraph.DAMPING * score.get(s, 0) * n / out[s]
+            score = new
+        assert set(score) == set(alone[h])
+        for g, v in score.items():
+            raw[g] += w * v
+            total += w * v
+    assert max(abs(r["trust"] - raw.get(r["host"], 0) / total) for r in got) < 2 * linkgraph.TOLERANCE
+
+
+def test_shares_seed_and_domains_carry(llm):
+    """Sister hosts of a trusted host get trust, those of a blocked one distrust; shares count, majorities do not."""
+    pages = [(i, f"http://a.example.org/{'fr' if i else 'x'}/{i}", None) for i in range(5)]
+    pages += [(10, "http://b.example.org/x", None), (10, "http://b.example.org/x", "y" * 500_000)]
+    pages += [(20 + i, f"http://{'cd'[i % 2]}.example.com/{'de' if i < 6 else 'en'}/{i}", None) for i in range(12)]
+    pages += [(40, "http://e.example.com/en/", None), (41, "http://f.other.org/x", None)]
+    df = llm.createDataFrame(pages, "page_id long, url string, html string").withColumns({"trust": F.lit("x"), "rule": F.lit(1), "pages": F.lit(None)})
+    rows = linkgraph.judge(df, queries.URL_RULES).collect()
+    assert len(rows) == len(pages)
+    got = {r["page_id"]: r for r in rows}
+    assert got[10]["trust"] > 0 == got[10]["distrust"] and got[10]["verdict"] == "allow"
+    assert got[40]["distrust"] > 0 == got[40]["trust"] and got[31]["verdict"] == "block"
+    assert got[41]["trust"] == got[41]["distrust"] == 0 and got[41]["verdict"] == "allow"
+    hosts = {r["host"]: (r["trust"], r["distrust"]) for r in rows}
+    assert sum(t for t, _ in hosts.values()) == pytest.approx(1) == sum(d for _, d in hosts.values())
+    none = linkgraph.judge(df, []).collect()
+    assert len(none) == len(pages) and {r["verdict"] for r in none} == {"allow"}
+    tie = [("a.com", "/x/y", "block"), ("a.com", "/x/", "allow"), ("b.a.com", "/x", "allow")]
+    host, path = F.lit("b.a.com"), F.lit("/x/yz")
+    name, verdict = linkgraph.best_rule(host, path, tie)
+    assert tuple(llm.range(1).select(name, verdict).first()) == ("b.a.com/x", "allow")
