@@ -121,7 +121,7 @@ def test_top_k_equals_brute_force(llm, docs_of, prose, odd, monkeypatch, documen
     monkeypatch.setattr(bm25, "SHARD_POSTINGS", postings)
     monkeypatch.setattr(bm25, "BLOCK", 4)
     monkeypatch.setattr(bm25, "BLOCK_TERMS", 500)
-    rows = [(i, t if len(t or "") < 50_000 else t[:3_000]) for i, t in odd] + [(100 + i, prose(5 + i % 90, i) + " ka lo mi" * (i % 3)) for i in range(160)]
+    rows = list(odd) + [(100 + i, prose(5 + i % 90, i) + " ka lo mi" * (i % 3)) for i in range(160)]
     asked = [(q, t) for q, t in rows if q is not None and q % 20 == 0] + [(1, "ka LO\tunknown"), (2, ""), (3, None), (4, "nowhere")]
     got = {}
     for r in bm25.top_k(docs_of(rows), llm.createDataFrame(asked, "query_id long, text string"), 10).orderBy("query_id", "rank").collect():
@@ -151,3 +151,35 @@ def test_nothing_to_search(llm, docs_of):
     assert bm25.top_k(docs_of([]), none).count() == 0
     assert bm25.top_k(docs_of([(1, "a")]), none).count() == 0
     assert bm25.top_k(docs_of([]), llm.createDataFrame([(1, "a")], "query_id long, text string")).count() == 0
+
+
+def test_thresholds_carried_over_shards(prose):
+    """Shards searched one after the other, each knowing the best before, give the k best of all, and read a part of their lists."""
+    texts = [prose(30 + i % 200, i) + " the of and" * (i % 9) for i in range(1_500)] + [prose(60, i % 5) for i in range(40)] + [prose(30_000, 3), "", "alone"]
+    parsed = [bm25.term_counts(t.encode()) for t in texts]
+    df = Counter(w for t, _ in parsed for w in t.tolist())
+    mean = sum(int(c.sum()) for _, c in parsed) / len(texts)
+    asked = [parsed[i][0] for i in range(0, len(texts), 25)] + [parsed[1_540][0], parsed[1_542][0]]
+    idfs = bm25.idf(np.array([df[w] for t in asked for w in t.tolist()]), len(texts))
+    queries = bm25.Queries(np.arange(len(asked)), np.cumsum([len(t) for t in asked]), np.concatenate(asked), idfs)
+    known, found, counts = np.zeros((len(asked), 10)), {}, []
+    for first in range(0, len(texts), 400):
+        terms, tfs = zip(*parsed[first : first + 400])
+        ids = list(range(first, first + len(terms)))
+        row = dict(zip([f.name for f in bm25._INDEX], bm25._shard("s", ids, list(terms), list(tfs))))
+        for q, d, s in bm25.search_shard(row, queries, 10, mean, None, known, counts):
+            found.setdefault(q, []).append((-s, d))
+    for q, terms in enumerate(asked):
+        weight = dict(zip(terms.tolist(), bm25.idf(np.array([df[w] for w in terms.tolist()]), len(texts))))
+        scores = []
+        for d, (t, c) in enumerate(parsed):
+            s = sum(weight[w] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * c.sum() / mean)) for w, n in zip(t.tolist(), c.tolist()) if w in weight)
+            if s > 0:
+                scores.append((-round(s, 6), d))
+        want = sorted(scores)[:10]
+        got = sorted(found.get(q, []))[:10]
+        assert [s for s, _ in got] == pytest.approx([s for s, _ in want], abs=2e-6)
+        assert {d for s, d in want if s < want[-1][0] - 2e-6} <= {d for _, d in got}
+        assert np.sort(known[q])[::-1][: len(want)] == pytest.approx([-s for s, _ in want], abs=2e-6)
+    read, held = np.sum(counts, 0)
+    assert read < 0.7 * held
