@@ -13,7 +13,7 @@ from pinchgraph.functions.vocab import COVERAGE_LAYER
 from pinchgraph.operators import hypotheses, monitor, resolution, vectors
 from pinchgraph.sources.documents import dedup_insert
 from pinchgraph.storage import bounded_broadcast, keep_first, materialize
-from pinchgraph.streaming.batches import BatchKey, BatchTable, query_id
+from pinchgraph.streaming.batches import BatchKey, BatchTable, KeyIndex, query_id
 
 STORED_DOCUMENT = ("uid string, title string, text string, url string, source string, ias_tier int, "
                    "published_at timestamp, metadata string")
@@ -49,16 +49,20 @@ def _start(stream: DataFrame, each: Callable[[DataFrame, BatchKey], None], check
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def ingest(stream: DataFrame, table: BatchTable, arrival: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+def ingest(stream: DataFrame, table: BatchTable, arrival: str, checkpoint: str, available_now: bool = False,
+           index: KeyIndex | None = None) -> StreamingQuery:
     """L1: append documents with a uid never stored before (A2 per micro-batch).
 
-    The stored table is the ledger, so the dedup is permanent and no state is kept.  The uids of
-    the batch go to the stored table while they are few, so its uid column is scanned in place
-    and never shuffled.
+    The stored table is the ledger, so the dedup is permanent and no state is kept.  Its uids are looked up by
+    hash bucket (`KeyIndex`): a batch reads the buckets of its own uids.  The batch's uids go there while they
+    are few, so stored uids are scanned in place and never shuffled.
     """
+    index = index or KeyIndex(table, "uid")
+
     def each(batch: DataFrame, key: BatchKey) -> None:
+        index.gather(key)
         here = bounded_broadcast(batch.select("uid").distinct())
-        known = table.read(before=key).select("uid").join(here, "uid", "left_semi")
+        known = index.known(here, key).join(here, "uid", "left_semi")
         table.write(dedup_insert(known, batch, arrival), key)
 
     return _start(stream, each, checkpoint, available_now)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pinchgraph.sources.documents import dedup_insert
 from pinchgraph.streaming import jobs
-from pinchgraph.streaming.batches import BatchKey, BatchTable
+from pinchgraph.streaming.batches import BatchKey, BatchTable, KeyIndex
 
 NOW = datetime(2024, 1, 31, 12)
 DOC = jobs.STORED_DOCUMENT + ", arrival int"
@@ -124,3 +124,56 @@ def test_alerts_fire_once_over_batches(spark, tmp_path):
     jobs.alert(landed(spark, tmp_path, parts, schema), watched, alerts, ledger, F.lit(NOW), str(tmp_path / "cp"), available_now=True).awaitTermination()
     assert sorted(r.hypothesis_id for r in alerts.read().collect()) == ["g", "h"]
     assert sorted((r.hypothesis_id, r.layer) for r in ledger.read().collect()) == [("g", 4), ("h", 4)]
+
+
+def test_index_reads_only_touched_buckets(spark, tmp_path):
+    """Over many batches: every stored key is known, only buckets of the asked keys are read, and segments stay few."""
+    table = BatchTable(spark, str(tmp_path / "table"), "uid string, n int")
+    index = KeyIndex(table, "uid", buckets=8, every=2, fan=2)
+    for b in range(9):
+        key = BatchKey("q", b)
+        index.gather(key)
+        table.write(spark.createDataFrame([(f"u{b}-{i}", i) for i in range(6)], table.schema), key)
+    segments = index.segments()
+    assert len(segments) <= 3 and max(s.level for s in segments) == 2  # 8 of 9 batches gathered, merged twice
+    asked = spark.createDataFrame([("u0-0",), ("u8-1",), ("new",)], "uid string")
+    known = index.known(asked, BatchKey("q", 9))
+    own = {r.bucket for r in asked.select(index._bucket()).collect()}
+    read = {r.bucket for r in spark.createDataFrame([(r.uid,) for r in known.collect() if not r.uid.startswith("u8")], "uid string").select(index._bucket()).collect()}
+    assert {"u0-0", "u8-1"} <= {r.uid for r in known.collect()} and read <= own
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan
+    every = spark.createDataFrame([(f"u{b}-{i}",) for b in range(9) for i in range(6)], "uid string")
+    assert {r.uid for r in index.known(every, BatchKey("q", 9)).collect()} == {r.uid for r in every.collect()}
+    assert {r.uid for r in index.known(every, BatchKey("q", 3)).collect()} == {f"u{b}-{i}" for b in range(3) for i in range(6)}
+    assert index.known(every, BatchKey("other", 0)).count() == 54
+
+
+def test_index_survives_a_lost_manifest_and_half_written_batches(spark, tmp_path, monkeypatch):
+    table = BatchTable(spark, str(tmp_path / "table"), "uid string")
+    index = KeyIndex(table, "uid", buckets=4, every=2, fan=2)
+    for b in range(4):
+        table.write(spark.createDataFrame([(f"u{b}",), (None,)], table.schema), BatchKey("q", b))
+    (tmp_path / "table/run=q/batch=3/_SUCCESS").unlink()
+    index.gather(BatchKey("q", 4))
+    assert [s.covers for s in index.segments()] == [{"q": [[0, 2]]}]
+    every = spark.createDataFrame([(f"u{b}",) for b in range(5)], "uid string")
+    want = {f"u{b}" for b in range(4)} | {None}
+    assert {r.uid for r in index.known(every, BatchKey("q", 4)).collect()} | {None} == want
+    drop = str(tmp_path / "table_keys/manifests")
+    import shutil
+
+    shutil.move(drop, str(tmp_path / "lost"))
+    assert index.segments() == [] and {r.uid for r in index.known(every, BatchKey("q", 4)).collect()} == want
+
+
+def test_ingest_over_many_batches_and_a_restart(spark, tmp_path):
+    parts = [[doc(f"u{(3 * b + i) % 11}", 10 * b + i) for i in range(4)] for b in range(6)]
+    table = BatchTable(spark, str(tmp_path / "table"), jobs.STORED_DOCUMENT)
+    index = KeyIndex(table, "uid", buckets=4, every=2, fan=2)
+    for n in range(2):
+        (tmp_path / str(n)).mkdir()
+        half = parts[:4] if n == 0 else parts[2:]
+        jobs.ingest(landed(spark, tmp_path / str(n), half, DOC), table, "arrival", str(tmp_path / f"cp{n}"), available_now=True, index=index).awaitTermination()
+    stored = [r.uid for r in table.read().collect()]
+    assert sorted(stored) == sorted({r[0] for p in parts for r in p}) and index.segments()
