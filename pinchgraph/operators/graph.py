@@ -56,13 +56,46 @@ def components(nodes: DataFrame, adj: DataFrame) -> DataFrame:
     return nodes.select("node_id").join(roots, "node_id", "left").select("node_id", F.coalesce("root", "node_id").alias("component"))
 
 
+@dataclass(frozen=True)
+class Twins:
+    """Nodes with the same neighbours, as one class each, named by its smallest node.
+
+    `members` (node_id, class, size, degree): `size` nodes in the class, each with `degree` neighbours.  `edges`
+    (src, dst, size): neighbouring classes in both directions, with the size of `dst`.  Twins are never neighbours, so a class
+    has all members of a neighbouring class as neighbours: shortest paths are counted on classes, without loss.
+    """
+
+    members: DataFrame
+    edges: Step
+
+    def classes(self) -> DataFrame:
+        """One row per class: class, size, degree."""
+        return self.members.where(F.col("node_id") == F.col("class")).select("class", "size", "degree")
+
+    def expanded(self, nodes: DataFrame, values: DataFrame) -> DataFrame:
+        """`nodes` with the `values` of their class, null without one."""
+        return nodes.join(self.members.select("node_id", "class").join(values, "class"), "node_id", "left")
+
+
+def twins(adj: DataFrame) -> Twins:
+    """The classes of `adj` (src, dst): both directions, distinct, no loops.  Sets of neighbours are compared by number and 128 bits of hash."""
+    sets = adj.groupBy("src").agg(F.bit_xor(F.xxhash64("dst")).alias("_a"), F.bit_xor(F.xxhash64(F.lit(1), "dst")).alias("_b"), F.count(F.lit(1)).alias("degree"))
+    sets = materialize(sets, "neighbour-sets").df
+    found = sets.groupBy("_a", "_b", "degree").agg(F.min("src").alias("class"), F.count(F.lit(1)).alias("size"))
+    members = materialize(sets.join(found, ["_a", "_b", "degree"]).select(F.col("src").alias("node_id"), "class", "size", "degree"), "twins").df
+    first = members.where(F.col("node_id") == F.col("class"))
+    edges = adj.join(first.select(F.col("node_id").alias("src")), "src", "left_semi").join(
+        first.select(F.col("node_id").alias("dst"), "size"), "dst").select("src", "dst", "size")
+    return Twins(members, materialize(edges, "twin-edges"))
+
+
 def node_centrality(nodes: DataFrame, adj: DataFrame, max_rows: int = MAX_NEIGHBOUR_ROWS, error: float | None = None) -> DataFrame:
     """D4 and D5 together: (node_id, betweenness, is_articulation_point).
 
-    A neighbour list of at most `max_rows` rows, counted first, is broadcast and walked from
-    blocks of start nodes; a larger one goes through joins.  With `error`, betweenness comes from sampled sources
-    and is off by at most that much (`sampling.sampled_betweenness`), and articulation points from blocks, so no
-    step searches the graph once per node.
+    Nodes with the same neighbours are one class (`Twins`).  A list of neighbouring classes of at most `max_rows` rows,
+    counted first, is broadcast and walked from blocks of start classes; a larger one goes through joins.  With `error`, betweenness
+    comes from sampled sources and is off by at most that much (`sampling.sampled_betweenness`), and articulation points from
+    blocks, so no step searches the graph once per class.
     """
     if error is not None:
         from pinchgraph.operators.sampling import sampled_betweenness
@@ -70,14 +103,16 @@ def node_centrality(nodes: DataFrame, adj: DataFrame, max_rows: int = MAX_NEIGHB
         points = articulation_points(nodes, adj).withColumn("_ap", F.lit(True))
         return sampled_betweenness(nodes, adj, error, max_rows=max_rows).join(points, "node_id", "left").select(
             "node_id", "betweenness", F.coalesce("_ap", F.lit(False)).alias("is_articulation_point"))
-    small = materialize(_no_loops(adj), "centrality-edges")
-    if small.rows > max_rows:
-        points = articulation_points(nodes, small.df).withColumn("_ap", F.lit(True))
-        return betweenness(nodes, small.df).join(points, "node_id", "left").select(
-            "node_id", "betweenness", F.coalesce("_ap", F.lit(False)).alias("is_articulation_point"))
-    if not small.rows:
+    whole = materialize(_no_loops(adj), "centrality-edges")
+    if not whole.rows:
         return nodes.select("node_id", F.lit(0.0).alias("betweenness"), F.lit(False).alias("is_articulation_point"))
-    return nodes.select("node_id").join(block_metrics(small.df), "node_id", "left").select(
+    classes = twins(whole.df)
+    if classes.edges.rows > max_rows:
+        points = articulation_points(nodes, whole.df).withColumn("_ap", F.lit(True))
+        return _class_betweenness(nodes, classes).join(points, "node_id", "left").select(
+            "node_id", "betweenness", F.coalesce("_ap", F.lit(False)).alias("is_articulation_point"))
+    found = materialize(block_metrics(classes.edges.df), "centrality").df
+    return classes.expanded(nodes.select("node_id"), found).select(
         "node_id", _normalised(F.col("total"), nodes.count()).alias("betweenness"),
         F.coalesce("is_ap", F.lit(False)).alias("is_articulation_point"))
 
@@ -87,25 +122,26 @@ def _normalised(total: Column, n: int, scale: float = 1.0) -> Column:
     return F.round(F.coalesce(total, F.lit(0.0)) * F.lit(scale / ((n - 1) * (n - 2) if n > 2 else 1)), 10)
 
 
-def dependencies(adj: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, node, delta): how much each source's shortest paths depend on each other node they pass, ends left out.
+def dependencies(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, delta): how much the shortest paths from a member of each class `source` depend on a member of each other class they pass, ends left out.
 
-    Breadth-first searches run from all of `sources(node_id)` at once: a level is one join with the
+    `edges` are those of `Twins`, `sources` has class, size and degree.
+    Breadth-first searches run from all sources at once: a level is one join with the
     neighbours and one aggregation by (source, node), in which the two previous levels take
     part to drop nodes already reached (in an undirected graph no other level can occur).
-    The way back adds each node's share to its predecessors in the same form.  Work is
-    sources x rows of `adj` (both directions, no loops), spread by (source, node).
+    The way back adds each node's share to its predecessors in the same form.  A path may pass any member of a class, so
+    both ways weigh by its size; a source's own twins are two steps away, and each shares one dependency among its neighbours.
+    Work is sources x rows of `edges`, spread by (source, node).
     """
-    starts = sources.join(adj.select(F.col("src").alias("node_id")).distinct(), "node_id", "left_semi")
-    level = materialize(starts.select(
-        F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.lit(1.0).alias("sigma")), "bc-start")
+    level = materialize(sources.select(F.col("class").alias("source"), F.col("class").alias("node"), F.lit(1.0).alias("sigma"), F.lit(1).cast("long").alias("size")), "bc-start")
     levels: list[DataFrame] = [level.df]
+    near = edges.select("src", "dst", F.col("size").alias("dst_size"))
     while level.rows:
-        reached = levels[-1].join(adj, F.col("node") == F.col("src")).select(
-            "source", F.col("dst").alias("node"), "sigma", F.lit(0).alias("seen"))
+        reached = levels[-1].join(near, F.col("node") == F.col("src")).select(
+            "source", F.col("dst").alias("node"), (F.col("sigma") * F.col("size")).alias("sigma"), F.col("dst_size").alias("size"), F.lit(0).alias("seen"))
         for older in levels[-2:]:
-            reached = reached.unionByName(older.select("source", "node", F.lit(0.0).alias("sigma"), F.lit(1).alias("seen")))
-        grown = reached.groupBy("source", "node").agg(F.sum("sigma").alias("sigma"), F.max("seen").alias("seen")).where(
+            reached = reached.unionByName(older.select("source", "node", F.lit(0.0).alias("sigma"), "size", F.lit(1).alias("seen")))
+        grown = reached.groupBy("source", "node").agg(F.sum("sigma").alias("sigma"), F.max("size").alias("size"), F.max("seen").alias("seen")).where(
             F.col("seen") == 0).drop("seen")
         level = materialize(grown, "bc-level")
         if level.rows:
@@ -113,35 +149,45 @@ def dependencies(adj: DataFrame, sources: DataFrame) -> DataFrame:
     shares: list[DataFrame] = []
     below = levels[-1].withColumn("delta", F.lit(0.0))
     for depth in range(len(levels) - 1, 0, -1):
-        shares.append(below.select("source", "node", "delta"))
         if depth == 1:
+            own = sources.select(F.col("class").alias("source"), ((F.col("size") - 1) / F.col("degree")).alias("own"))
+            shares.append(below.join(own, "source").select("source", "node", (F.col("delta") + F.col("own")).alias("delta")))
             break
-        given = below.join(adj, F.col("node") == F.col("src")).select(
-            "source", F.col("dst").alias("node"), F.lit(None).cast("double").alias("sigma"),
-            ((F.lit(1.0) + F.col("delta")) / F.col("sigma")).alias("part"))
-        own = levels[depth - 1].select("source", "node", "sigma", F.lit(0.0).alias("part"))
+        shares.append(below.select("source", "node", "delta"))
+        given = below.join(near, F.col("node") == F.col("src")).select(
+            "source", F.col("dst").alias("node"), F.lit(None).cast("double").alias("sigma"), F.lit(None).cast("long").alias("size"),
+            (F.col("size") * (F.lit(1.0) + F.col("delta")) / F.col("sigma")).alias("part"))
+        own = levels[depth - 1].select("source", "node", "sigma", "size", F.lit(0.0).alias("part"))
         summed = own.unionByName(given).groupBy("source", "node").agg(
-            F.max("sigma").alias("sigma"), F.sum("part").alias("part")).where(F.col("sigma").isNotNull())
-        below = materialize(summed.select("source", "node", "sigma", (F.col("sigma") * F.col("part")).alias("delta")),
+            F.max("sigma").alias("sigma"), F.max("size").alias("size"), F.sum("part").alias("part")).where(F.col("sigma").isNotNull())
+        below = materialize(summed.select("source", "node", "sigma", "size", (F.col("sigma") * F.col("part")).alias("delta")),
                             "bc-back").df
     if not shares:
         return levels[0].select("source", "node", F.lit(0.0).alias("delta")).where(F.lit(False))
     return _union(shares)
 
 
+def _class_betweenness(nodes: DataFrame, classes: Twins, times: DataFrame | None = None, scale: float = 1.0) -> DataFrame:
+    """(node_id, betweenness) with as many sources per class as `times(class, times)` says, all members without it."""
+    sources = classes.classes()
+    times = times if times is not None else sources.select("class", F.col("size").cast("double").alias("times"))
+    sources = materialize(sources.join(times, "class"), "bc-sources").df
+    each = dependencies(classes.edges.df, sources).join(sources.select(F.col("class").alias("source"), "times"), "source")
+    total = each.groupBy(F.col("node").alias("class")).agg(F.sum(F.col("delta") * F.col("times")).alias("total"))
+    return classes.expanded(nodes.select("node_id"), total).select("node_id", _normalised(F.col("total"), nodes.count(), scale).alias("betweenness"))
+
+
 def betweenness(nodes: DataFrame, adj: DataFrame, pivots: DataFrame | None = None) -> DataFrame:
     """D4 by joins: (node_id, betweenness), exact and unweighted, divided by (n-1)(n-2); see `dependencies`.
 
-    Work is n searches of the whole graph.  `pivots` (node_id) restricts the sources and scales the result by
-    n / pivots; `sampling.sampled_betweenness` chooses sources until a stated error is reached.
+    Work is a search per class of nodes with the same neighbours.  `pivots` (node_id) restricts the sources and scales the
+    result by n / pivots; `sampling.sampled_betweenness` chooses sources until a stated error is reached.
     """
-    n = nodes.count()
-    adj = materialize(_no_loops(adj), "bc-edges").df
-    sources = (pivots if pivots is not None else nodes).select("node_id")
-    scale = n / max(1, pivots.count()) if pivots is not None else 1.0
-    total = dependencies(adj, sources).groupBy("node").agg(F.sum("delta").alias("total"))
-    return nodes.select("node_id").join(total, F.col("node_id") == F.col("node"), "left").select(
-        "node_id", _normalised(F.col("total"), n, scale).alias("betweenness"))
+    classes = twins(materialize(_no_loops(adj), "bc-edges").df)
+    if pivots is None:
+        return _class_betweenness(nodes, classes)
+    times = pivots.join(classes.members, "node_id").groupBy("class").agg(F.count(F.lit(1)).cast("double").alias("times"))
+    return _class_betweenness(nodes, classes, times, nodes.count() / max(1, pivots.count()))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -1,8 +1,8 @@
 """Betweenness and articulation points by blocks of start nodes, for graphs of a checked size.
 
-The neighbour list is broadcast and Spark spreads the start nodes; a task walks breadth-first
-from a block of them at once.  Nothing is shuffled but one partial sum per node and task.
-Larger graphs take the joins in `graph`.
+Nodes are classes of `graph.Twins`, each with its number of members.  The list of neighbouring classes is
+broadcast and Spark spreads the start classes; a task walks breadth-first from a block of them at once.
+Nothing is shuffled but one partial sum per class and task.  Larger graphs take the joins in `graph`.
 """
 
 from __future__ import annotations
@@ -38,8 +38,12 @@ class _Spread:
         return out
 
 
-def _dependencies(graph: _Spread, starts: np.ndarray) -> np.ndarray:
-    """Pair dependencies of every node, one row per start node."""
+def _dependencies(graph: _Spread, starts: np.ndarray, size: np.ndarray, degree: np.ndarray) -> np.ndarray:
+    """Pair dependencies of a member of every class on one member of each start class, a row per start.
+
+    A path may pass any member of a class, so path numbers are weighed by `size`.  The start's own twins are two steps
+    away and lead nowhere else: each shares one dependency among its `degree` neighbours.
+    """
     rows = np.arange(len(starts))
     paths = np.zeros((len(starts), graph.n))
     paths[rows, starts] = 1.0
@@ -54,10 +58,16 @@ def _dependencies(graph: _Spread, starts: np.ndarray) -> np.ndarray:
         level += 1
         depth[hit] = level
         paths += front
+        front *= size
     share = np.zeros(paths.shape)
     for at in range(level, 1, -1):
-        given = np.divide(1.0 + share, paths, out=np.zeros(paths.shape), where=depth == at)
+        given = np.divide(size * (1.0 + share), paths, out=np.zeros(paths.shape), where=depth == at)
         share += np.where(depth == at - 1, paths * graph.add(given), 0.0)
+    twins = size[starts] - 1.0
+    if twins.any():
+        own = np.zeros(paths.shape)
+        own[rows, starts] = twins / degree[starts]
+        share += graph.add(own)
     return share
 
 
@@ -77,74 +87,85 @@ def _splits(graph: _Spread, first: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     return (graph.any(near) & ~seen).any(axis=1)
 
 
-def block_metrics(adj: DataFrame) -> DataFrame:
-    """(node_id, total, is_ap): summed dependencies and articulation flag of every node in `adj`.
+def _arrays(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(names, src, dst, size of each name) of `edges(src, dst, size)`, of a number of rows the caller has checked."""
+    table = edges.select("src", "dst", "size").toArrow()
+    both = np.concatenate([np.asarray(table.column(c).to_pylist(), dtype=object) for c in ("src", "dst")])
+    names, flat = np.unique(both, return_inverse=True)
+    src, dst = np.split(flat, 2)
+    size = np.ones(len(names))
+    size[dst] = table.column("size").to_numpy()
+    return names, src, dst, size
+
+
+def _step(rows: int) -> int:
+    return int(max(1, min(256, BLOCK_CELLS // max(1, rows))))
+
 
-    `adj` (src, dst) is undirected, without loops and at most `MAX_NEIGHBOUR_ROWS` rows, which
-    the caller has checked.
+def block_metrics(edges: DataFrame) -> DataFrame:
+    """(class, total, is_ap): summed dependencies of a member, and articulation flag, of every class in `edges`.
+
+    `edges(src, dst, size)` are those of `graph.Twins`, at most `MAX_NEIGHBOUR_ROWS` rows, which the caller has checked.
+    A node with a twin is no articulation point; one with two neighbours that have no other neighbour is.
     """
-    spark = adj.sparkSession
-    table = adj.select("src", "dst").toArrow()
-    ids, flat = np.unique(np.concatenate([np.asarray(table.column(c).to_pylist(), dtype=object) for c in ("src", "dst")]),
-                          return_inverse=True)
-    src, dst = np.split(flat, 2)
-    shared = spark.sparkContext.broadcast((ids, src, dst))
-    n = len(ids)
-    step = int(max(1, min(256, BLOCK_CELLS // max(1, len(src)))))
+    spark = edges.sparkSession
+    arrays = _arrays(edges)
+    shared = spark.sparkContext.broadcast(arrays)
+    n, step = len(arrays[0]), _step(len(arrays[1]))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, a, b = shared.value
+        names, a, b, size = shared.value
         graph = _Spread(a, b, len(names))
+        degree = graph.add(size[None])[0]
         first = np.zeros(len(names), dtype=np.int64)
         first[b[::-1]] = a[::-1]
+        leaves = graph.any(((degree == 1) & (size > 1))[None])[0]
         total, flags = np.zeros(len(names)), np.zeros(len(names), dtype=bool)
         for batch in batches:
             every = batch.column(0).to_numpy()
             for at in range(0, len(every), step):
                 block = every[at:at + step]
-                total += _dependencies(graph, block).sum(axis=0)
-                flags[block] = _splits(graph, first, block)
+                total += size[block] @ _dependencies(graph, block, size, degree)
+                flags[block] = (size[block] == 1) & (_splits(graph, first, block) | leaves[block])
         used = np.flatnonzero((total != 0) | flags)
         yield pa.RecordBatch.from_arrays(
             [pa.array(names[used], type=pa.string()), pa.array(total[used]), pa.array(flags[used])],
-            names=["node_id", "total", "is_ap"])
+            names=["class", "total", "is_ap"])
 
     tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
-    parts = spark.range(0, n, numPartitions=tasks).mapInArrow(walk, "node_id string, total double, is_ap boolean")
-    return parts.groupBy("node_id").agg(F.sum("total").alias("total"), F.max("is_ap").alias("is_ap"))
+    parts = spark.range(0, n, numPartitions=tasks).mapInArrow(walk, "class string, total double, is_ap boolean")
+    return parts.groupBy("class").agg(F.sum("total").alias("total"), F.max("is_ap").alias("is_ap"))
 
 
 class Walker:
-    """Searches from chosen start nodes over a broadcast neighbour list, checked as for `block_metrics` and sent once."""
+    """Searches from chosen classes over a broadcast list of `edges(src, dst, size)`, checked as for `block_metrics` and sent once."""
 
-    def __init__(self, adj: DataFrame):
-        table = adj.select("src", "dst").toArrow()
-        both = np.concatenate([np.asarray(table.column(c).to_pylist(), dtype=object) for c in ("src", "dst")])
-        ids, flat = np.unique(both, return_inverse=True)
-        self.shared = adj.sparkSession.sparkContext.broadcast((ids, *np.split(flat, 2)))
-        self.step = int(max(1, min(256, BLOCK_CELLS // max(1, table.num_rows))))
+    def __init__(self, edges: DataFrame):
+        arrays = _arrays(edges)
+        self.shared = edges.sparkSession.sparkContext.broadcast(arrays)
+        self.step = _step(len(arrays[1]))
 
     def sums(self, starts: DataFrame) -> DataFrame:
-        """(node_id, s1, s2): dependencies and their squares, summed over `starts(node_id, times)`; unknown nodes have none."""
+        """(class, s1, s2): dependencies of a member and their squares, summed over `starts(class, times)`."""
         shared, step = self.shared, self.step
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, a, b = shared.value
+            names, a, b, size = shared.value
             graph, one, two = None, np.zeros(len(names)), np.zeros(len(names))
             for batch in batches:
-                wanted = np.asarray(batch.column("node_id").to_pylist(), dtype=object)
-                at = np.minimum(np.searchsorted(names, wanted), len(names) - 1) if len(wanted) else np.zeros(0, np.int64)
-                known = names[at] == wanted
-                times, at = batch.column("times").to_numpy()[known], at[known]
+                wanted = np.asarray(batch.column("class").to_pylist(), dtype=object)
+                at = np.searchsorted(names, wanted) if len(wanted) else np.zeros(0, np.int64)
+                times = batch.column("times").to_numpy()
                 if len(at) and graph is None:
                     graph = _Spread(a, b, len(names))
+                    degree = graph.add(size[None])[0]
                 for i in range(0, len(at), step):
-                    found = _dependencies(graph, at[i:i + step])
+                    found = _dependencies(graph, at[i:i + step], size, degree)
                     one += times[i:i + step] @ found
                     two += times[i:i + step] @ found**2
             used = np.flatnonzero(one)
-            yield pa.RecordBatch.from_arrays([pa.array(names[used], type=pa.string()), pa.array(one[used]), pa.array(two[used])], names=["node_id", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[used], type=pa.string()), pa.array(one[used]), pa.array(two[used])], names=["class", "s1", "s2"])
 
         tasks = 4 * starts.sparkSession.sparkContext.defaultParallelism
-        parts = starts.repartition(tasks).mapInArrow(walk, "node_id string, s1 double, s2 double")
-        return parts.groupBy("node_id").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+        parts = starts.repartition(tasks).mapInArrow(walk, "class string, s1 double, s2 double")
+        return parts.groupBy("class").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))

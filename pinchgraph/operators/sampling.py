@@ -7,7 +7,7 @@ from math import ceil, log, log2
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pinchgraph.operators.graph import betweenness, dependencies
+from pinchgraph.operators.graph import _class_betweenness, dependencies, twins
 from pinchgraph.operators.graph_blocks import MAX_NEIGHBOUR_ROWS, Walker
 from pinchgraph.storage import materialize, running_offsets
 
@@ -41,42 +41,45 @@ def sampled_betweenness(nodes: DataFrame, adj: DataFrame, error: float = 0.05, r
     all nodes and rounds at once; so t grows with log n and with the variance, not with n, and a round costs
     t searches.  When t would pass n all sources are taken, the result is exact and its bound is 0.
 
-    The sources of a round share one search (`Walker` on at most `max_rows` neighbour rows, else `graph.dependencies`).
+    Nodes with the same neighbours are one class (`graph.Twins`): a round searches once per class drawn, however often.
+    The sources of a round share one search (`Walker` on at most `max_rows` rows of neighbouring classes, else `graph.dependencies`).
     Nodes without edges have betweenness 0; loops and repeated neighbours do not count.
     """
     edges = materialize(adj.select("src", "dst").where(F.col("src") != F.col("dst")).distinct(), "sample-edges")
     numbered = materialize(_numbered(nodes), "sample-nodes")
-    n, small = numbered.rows, edges.rows <= max_rows
-    exact = lambda: betweenness(nodes, edges.df).select("node_id", "betweenness", F.lit(0.0).alias("error_bound"), F.lit(n).cast("long").alias("sources"))
+    n = numbered.rows
     if n < 3 or not edges.rows:
         return nodes.select("node_id", F.lit(0.0).alias("betweenness"), F.lit(0.0).alias("error_bound"), F.lit(0).cast("long").alias("sources"))
-    walker = Walker(edges.df) if small else None
+    classes = twins(edges.df)
+    small = classes.edges.rows <= max_rows
+    walker = Walker(classes.edges.df) if small else None
     rounds = max(1, ceil(log2(max(2.0, n / first))) + 1)
     wide = log(3.0 * n * rounds / risk)
     parts, done, t = [], 0, first
     while t < n:
-        starts = materialize(_draws(numbered.df, n, done, t, seed), "sources").df
+        drawn = _draws(numbered.df, n, done, t, seed).join(classes.members, "node_id")
+        starts = materialize(drawn.groupBy("class", "size", "degree").agg(F.sum("times").alias("times")), "sources").df
         if small:
             sums = walker.sums(starts)
         else:
-            each = dependencies(edges.df, starts).join(starts.select(F.col("node_id").alias("source"), "times"), "source")
-            sums = each.groupBy(F.col("node").alias("node_id")).agg(F.sum(F.col("times") * F.col("delta")).alias("s1"), F.sum(F.col("times") * F.col("delta") ** 2).alias("s2"))
+            each = dependencies(classes.edges.df, starts).join(starts.select(F.col("class").alias("source"), "times"), "source")
+            sums = each.groupBy(F.col("node").alias("class")).agg(F.sum(F.col("times") * F.col("delta")).alias("s1"), F.sum(F.col("times") * F.col("delta") ** 2).alias("s2"))
         parts.append(materialize(sums, "sums").df)
         every = parts[0]
         for more in parts[1:]:
             every = every.unionByName(more)
         mean, square = F.col("s1") / (t * (n - 2.0)), F.col("s2") / (t * (n - 2.0) ** 2)
         bound = F.sqrt(2 * F.greatest(F.lit(0.0), square - mean * mean) * wide / t) + 3 * wide / t
-        both = every.groupBy("node_id").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+        both = every.groupBy("class").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
         scale = n / (n - 1.0)
-        step = materialize(both.select("node_id", (mean * scale).alias("estimate"), (bound * scale).alias("bound")), "estimates", worst=F.max("bound"))
+        step = materialize(both.select("class", (mean * scale).alias("estimate"), (bound * scale).alias("bound")), "estimates", worst=F.max("bound"))
         untouched = 3 * wide / t * scale
         if max(untouched, step.metrics.get("worst") or 0.0) <= error:
-            return nodes.select("node_id").join(step.df, "node_id", "left").select(
+            return classes.expanded(nodes.select("node_id"), step.df).select(
                 "node_id", F.round(F.coalesce("estimate", F.lit(0.0)), 10).alias("betweenness"), F.coalesce("bound", F.lit(untouched)).alias("error_bound"), F.lit(t).cast("long").alias("sources"))
         done, t = t, 2 * t
     if not small:
-        return exact()
-    every = walker.sums(numbered.df.select("node_id", F.lit(1.0).alias("times")))
-    return nodes.select("node_id").join(every, "node_id", "left").select(
+        return _class_betweenness(nodes, classes).select("node_id", "betweenness", F.lit(0.0).alias("error_bound"), F.lit(n).cast("long").alias("sources"))
+    every = walker.sums(classes.classes().select("class", F.col("size").cast("double").alias("times")))
+    return classes.expanded(nodes.select("node_id"), every).select(
         "node_id", F.round(F.coalesce("s1", F.lit(0.0)) / ((n - 1.0) * (n - 2.0)), 10).alias("betweenness"), F.lit(0.0).alias("error_bound"), F.lit(n).cast("long").alias("sources"))

@@ -272,3 +272,17 @@ def test_sampled_betweenness_ends_exact(spark):
         assert {(r.error_bound, r.sources) for r in got} == {(0.0, len(names))}
         assert {r.node_id: r.betweenness for r in got} == pytest.approx(exact, abs=1e-9)
     assert {r.betweenness for r in sampling.sampled_betweenness(n, adj.limit(0)).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("max_rows", [2_000_000, 0])
+def test_twins_share_their_searches(spark, max_rows):
+    """Many companies with the same country and product: one class each, and results as by brute force."""
+    companies = [(f"c{i:03d}", f"geo{i % 2}", f"tech{i % 3}") for i in range(36)]
+    edges = [*[(c, g) for c, g, _ in companies], *[(c, t) for c, _, t in companies], ("geo0", "region"), ("geo1", "region"), *[("hub", f"leaf{i}") for i in range(4)], ("hub", "region"), ("pair0", "pair1")]
+    nodes = sorted({v for e in edges for v in e})
+    n, adj = frames(spark, nodes, edges)
+    found = graph.twins(adj)
+    assert found.classes().count() == 6 + 2 + 3 + 1 + 2 + 2 and found.edges.rows < adj.count() / 4
+    got = {r.node_id: r for r in graph.node_centrality(n, adj, max_rows=max_rows).collect()}
+    assert {v: got[v].betweenness for v in nodes} == pytest.approx(brute_betweenness(nodes, edges), abs=1e-9)
+    assert {v for v in nodes if got[v].is_articulation_point} == brute_points(nodes, edges)
