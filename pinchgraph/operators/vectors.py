@@ -15,6 +15,9 @@ CANDIDATES = "array<struct<node_id: string, label: string, similarity: double>>"
 MAX_NODE_BYTES = 128 * 1024 * 1024
 NODES_PER_BLOCK = 20_000
 DOCS_PER_BLOCK = 20_000
+#: Scores held at once: 512 x 4,096, 16 MB.
+NODES_PER_TILE = 4_096
+DOCS_PER_TILE = 512
 
 
 def norm(v: Column) -> Column:
@@ -52,29 +55,53 @@ def _unit_rows(column: pa.ListArray) -> np.ndarray:
     return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
 
 
-def _best(scores: np.ndarray, k: int) -> list[np.ndarray]:
-    """Per row the positions of the k highest positive scores; ties by position."""
-    width = scores.shape[1]
-    picked = []
-    for row in scores:
-        if width > 4 * k:
-            kth = np.partition(row, width - k)[width - k]
-            near = np.flatnonzero(row >= kth)
-        else:
-            near = np.arange(width)
-        near = near[row[near] > 0]
-        picked.append(near[np.argsort(-row[near], kind="stable")][:k])
-    return picked
+def _merged(rows: np.ndarray, scores: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k highest scores of each row, best first, ties by position."""
+    order = np.lexsort((at, -scores, rows))
+    rows, scores, at = rows[order], scores[order], at[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    keep = rank < k
+    return rows[keep], scores[keep], at[keep]
 
 
-def _candidate_column(docs: np.ndarray, nodes: np.ndarray, ids: list, labels: list, k: int) -> pa.Array:
-    rows = []
-    for start in range(0, len(docs), 1024):
-        scores = docs[start:start + 1024] @ nodes.T
-        for row, best in zip(scores, _best(scores, k)):
-            rows.append([{"node_id": ids[i], "label": labels[i], "similarity": float(row[i])} for i in best])
-    kind = pa.list_(pa.struct([("node_id", pa.string()), ("label", pa.string()), ("similarity", pa.float64())]))
-    return pa.array(rows, type=kind)
+def _best(docs: np.ndarray, nodes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, score, position) of the k highest positive scores per row of `docs`, ties by position.
+
+    Nodes come in tiles, so memory does not grow with their number; past the first tiles only scores above the k-th so far are looked at.
+    """
+    found = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+    least = np.zeros(len(docs))
+    for start in range(0, len(nodes), NODES_PER_TILE):
+        scores = docs @ nodes[start:start + NODES_PER_TILE].T
+        hits = scores > least[:, None]
+        width = scores.shape[1]
+        if width > 4 * k and hits.sum() > 4 * k * len(docs):
+            hits &= scores >= np.partition(scores, width - k, axis=1)[:, width - k, None]
+        row, at = np.nonzero(hits)
+        if not len(row):
+            continue
+        found = _merged(np.r_[found[0], row], np.r_[found[1], scores[row, at]], np.r_[found[2], at + start], k)
+        ends = np.flatnonzero(np.r_[found[0][1:] != found[0][:-1], True])
+        full = ends[np.diff(np.r_[-1, ends]) == k]
+        least[found[0][full]] = found[1][full]
+    return found
+
+
+def _candidate_column(docs: np.ndarray, nodes: np.ndarray, ids: pa.Array, labels: pa.Array, k: int) -> pa.Array:
+    sizes, scores, picked = [np.zeros(1, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+    for start in range(0, len(docs), DOCS_PER_TILE):
+        part = docs[start:start + DOCS_PER_TILE]
+        row, score, at = _best(part, nodes, k)
+        sizes.append(np.bincount(row, minlength=len(part)))
+        scores.append(score)
+        picked.append(at)
+    at = pa.array(np.concatenate(picked))
+    rows = pa.StructArray.from_arrays([ids.take(at), labels.take(at), pa.array(np.concatenate(scores))], names=["node_id", "label", "similarity"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), rows)
+
+
+def _strings(column: pa.ChunkedArray) -> pa.Array:
+    return column.cast(pa.string()).combine_chunks()
 
 
 def top_k_nodes(docs: DataFrame, nodes: DataFrame, k: int = 10, key: str = "doc_uid",
@@ -99,7 +126,7 @@ def top_k_nodes(docs: DataFrame, nodes: DataFrame, k: int = 10, key: str = "doc_
 def _top_k_broadcast(docs: DataFrame, nodes: DataFrame, k: int, key: str) -> DataFrame:
     table = nodes.orderBy("node_id").toArrow()  # bounded by the caller's check
     shared = docs.sparkSession.sparkContext.broadcast((
-        table.column("node_id").to_pylist(), table.column("label").to_pylist(),
+        _strings(table.column("node_id")), _strings(table.column("label")),
         _unit_rows(table.column("embedding").combine_chunks())))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +157,7 @@ def _top_k_grid(docs: DataFrame, nodes: DataFrame, k: int, key: str, n_nodes: in
         right = right.sort_by("node_id")
         found = _candidate_column(
             _unit_rows(left.column("embedding").combine_chunks()), _unit_rows(right.column("embedding").combine_chunks()),
-            right.column("node_id").to_pylist(), right.column("label").to_pylist(), k)
+            _strings(right.column("node_id")), _strings(right.column("label")), k)
         return pa.table({key: left.column(key), "partial": found})
 
     key_type = docs.schema[key].dataType.simpleString()

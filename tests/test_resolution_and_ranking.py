@@ -3,6 +3,7 @@
 from datetime import date, datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,24 @@ def test_ties_go_to_the_smaller_node(spark):
     assert [c.node_id for c in r.candidates] == ["a", "b", "c", "x00"]
 
 
+def test_scores_are_held_by_tiles():
+    """The memory of a search does not grow with the nodes, and its results are those of whole rows."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    docs, nodes = np.round(rng.normal(size=(600, 4)), 1), np.round(rng.normal(size=(30_000, 4)), 1)  # many ties
+    names = pa.array([f"n{i:05d}" for i in range(len(nodes))])
+    tracemalloc.start()
+    got = vectors._candidate_column(docs, nodes, names, names, 10).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20  # whole rows take 144 MB
+    for d in range(0, 600, 50):
+        scores = docs[d] @ nodes.T
+        best = np.argsort(-np.round(scores, 9), kind="stable")[:10]
+        assert [c["similarity"] for c in got[d]] == pytest.approx(scores[best].tolist())
+
+
 def test_no_nodes(spark):
     r = vectors.top_k_nodes(spark.createDataFrame([("d", [1.0])], DOCS), spark.createDataFrame([], NODES)).first()
     assert r.candidates == []
