@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,17 +39,36 @@ def _recent(news: DataFrame, as_of: Column, lookback_hours: int) -> DataFrame:
         "uid", F.coalesce("title", F.lit("")).alias("title"), "url", "source", "first_seen")
 
 
+#: Hypotheses and articles that are paired at once.
+CHUNK = 256
+#: Pairs that a task writes, about.
+PAIRS_PER_TASK = 1_000_000
+
+
+def _chunked(df: DataFrame, key: str, row: Column, out: str) -> DataFrame:
+    """The rows of each key in lists of about `CHUNK` (`out`), numbered; a list's rows are chosen by hash."""
+    number = F.ceil(F.col("_n") / CHUNK).cast("int")
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).select(key, number.alias("_chunks"))
+    part = F.pmod(F.xxhash64(row), F.col("_chunks")).cast("int").alias("_part")
+    return df.join(sizes, key).select(key, part, row.alias("_row")).groupBy(key, "_part").agg(F.collect_list("_row").alias(out))
+
+
 def coverage(keywords: DataFrame, news: DataFrame, as_of: Column, lookback_hours: int = 24) -> DataFrame:
     """H2: (hypothesis_id, article) for articles of the last hours whose title holds a keyword.
 
-    Titles meet the distinct keywords in an equi-join on word runs; hypotheses come in
-    afterwards, so a keyword shared by many hypotheses is matched once.
+    Titles meet the distinct keywords in an equi-join on word runs.  Articles with the same keywords are one pattern and
+    hypotheses with the same keywords found are one set; only sets and patterns are paired, so no pair is made twice.  The result
+    itself may hold most hypotheses with most articles: it is dealt out in blocks of at most about `CHUNK` times `CHUNK` rows.
     """
     recent = _recent(news, as_of, lookback_hours)
-    terms = keywords.select(F.col("keyword").alias("term")).distinct()
-    found = match_terms(recent.select("uid", "title"), terms, "uid", "title")
-    pairs = found.join(keywords.withColumnRenamed("keyword", "term"), "term").select("hypothesis_id", "uid").distinct()
-    return pairs.join(recent, "uid")
+    articles, members, pairs = _sets_and_patterns(keywords, recent, [F.col(c) for c in ("title", "url", "source", "first_seen")])
+    left = materialize(_chunked(members, "set", F.col("hypothesis_id"), "_ids").withColumnRenamed("_part", "_h"), "set-chunks").df
+    right = materialize(_chunked(articles, "pattern", F.struct(*recent.columns), "_articles").withColumnRenamed("_part", "_a"), "pattern-chunks").df
+    blocks = pairs.select("set", "pattern").join(left.select("set", "_h"), "set").join(right.select("pattern", "_a"), "pattern")
+    rows = pairs.join(members.groupBy("set").agg(F.count(F.lit(1)).alias("_n")), "set").agg(F.sum(F.col("n") * F.col("_n")).alias("n")).first()["n"] or 0
+    tasks = max(1, ceil(rows / PAIRS_PER_TASK))  # stated, since blocks are small and what they write is not
+    whole = blocks.join(left, ["set", "_h"]).join(right, ["pattern", "_a"]).repartition(tasks, "set", "_h", "pattern", "_a")
+    return whole.select(F.explode("_ids").alias("hypothesis_id"), "_articles").select("hypothesis_id", F.inline("_articles"))
 
 
 def may_alert(hypotheses: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -108,18 +129,11 @@ def _named(terms: Column) -> Column:
     return F.sha2(F.to_json(terms), 256)
 
 
-def covered_alerts(keywords: DataFrame, news: DataFrame, as_of: Column, lookback_hours: int = 24) -> DataFrame:
-    """H5 from keywords and news, equal to `alert_rows(coverage(...))`, without pairs of hypotheses and articles.
-
-    Articles that hold the same keywords are summed up as one pattern (their number, newest three titles and sources),
-    and hypotheses are one set where the keywords found anywhere are the same.  Only sets and patterns are paired: a keyword that
-    stands in most titles and belongs to most hypotheses costs as many pairs as it has sets and patterns.
-    """
-    recent = _recent(news, as_of, lookback_hours)
+def _sets_and_patterns(keywords: DataFrame, recent: DataFrame, columns: list[Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(articles, members, pairs): articles with their pattern, hypotheses with their set, and (set, pattern, n) that share a keyword."""
     terms = keywords.select(F.col("keyword").alias("term")).distinct()
     found = match_terms(recent.select("uid", "title"), terms, "uid", "title").groupBy("uid").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    articles = materialize(found.join(recent, "uid").select(
-        _named(F.col("terms")).alias("pattern"), "terms", "uid", "source", _age(), _line()), "covered").df
+    articles = materialize(found.join(recent, "uid").select(_named(F.col("terms")).alias("pattern"), "terms", "uid", *columns), "covered").df
     patterns = articles.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.any_value("terms").alias("terms"))
     held = materialize(patterns.select("pattern", "n", F.explode("terms").alias("keyword")), "patterns").df
     known = keywords.join(bounded_broadcast(held.select("keyword").distinct()), "keyword", "left_semi")
@@ -127,6 +141,17 @@ def covered_alerts(keywords: DataFrame, news: DataFrame, as_of: Column, lookback
     members = materialize(groups.select("hypothesis_id", "keywords", _named(F.col("keywords")).alias("set")), "sets").df
     sets = members.groupBy("set").agg(F.any_value("keywords").alias("keywords")).select("set", F.explode("keywords").alias("keyword"))
     pairs = materialize(sets.join(held, "keyword").select("set", "pattern", "n").distinct(), "pairs").df
+    return articles, members, pairs
+
+
+def covered_alerts(keywords: DataFrame, news: DataFrame, as_of: Column, lookback_hours: int = 24) -> DataFrame:
+    """H5 from keywords and news, equal to `alert_rows(coverage(...))`, without pairs of hypotheses and articles.
+
+    Articles that hold the same keywords are summed up as one pattern (their number, newest three titles and sources),
+    and hypotheses are one set where the keywords found anywhere are the same.  Only sets and patterns are paired: a keyword that
+    stands in most titles and belongs to most hypotheses costs as many pairs as it has sets and patterns.
+    """
+    articles, members, pairs = _sets_and_patterns(keywords, _recent(news, as_of, lookback_hours), [F.col("source"), _age(), _line()])
     totals = pairs.groupBy("set").agg(F.sum("n").alias("n_articles"))
     titles = pairs.join(_first_three(articles, "pattern", ["_age", "uid"]).select("pattern", "_age", "uid", "line"), "pattern")
     seen = articles.groupBy("pattern", "source").agg(F.min(F.struct("_age", "uid")).alias("_first"))

@@ -120,6 +120,16 @@ def test_alerts_without_pairs_equal_alerts_from_pairs(spark):
     assert monitor.covered_alerts(keywords.limit(0), n, F.lit(NOW)).count() == 0 and monitor.covered_alerts(keywords, n.limit(0), F.lit(NOW)).count() == 0
 
 
+def test_a_keyword_of_all_titles_is_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(monitor, "CHUNK", 8)
+    monkeypatch.setattr(monitor, "PAIRS_PER_TASK", 400)
+    n = articles(spark, [(f"u{i:02}", f"Output {i}", "S", "[]", NOW) for i in range(60)])
+    keywords = spark.createDataFrame([(f"h{i}", "Output") for i in range(80)], "hypothesis_id string, keyword string")
+    got = monitor.coverage(keywords, n, F.lit(NOW))
+    assert got.select("hypothesis_id", "uid").distinct().count() == got.count() == 60 * 80
+    assert got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 60 * 80 / 4
+
+
 def topics_table(spark, rows):
     return spark.createDataFrame(rows, "name string, keywords array<string>, managed boolean, statement string")
 
