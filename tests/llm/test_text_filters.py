@@ -129,6 +129,19 @@ def test_randomised_svd_finds_the_leading_space(llm):
     assert np.linalg.norm(dense @ space) ** 2 >= 0.97 * (values[:50] ** 2).sum()
 
 
+def test_words_are_counted_over_all_documents(docs_of, prose):
+    """Weights and thresholds rest on every document, and the space on every item; no document is picked."""
+    items = [(1, prose(20, 1)), (2, prose(30, 2))]
+    block = decontaminate.Block.of(items)
+    texts = [prose(40, 100 + i) + (" " + items[i % 2][1] if i % 3 == 0 else "") for i in range(50)]
+    docs = docs_of(list(enumerate(texts))).select("doc_id", F.encode("text", "utf-8").alias("text"))
+    got = {r["word"]: (r["n"], r["times"]) for r in decontaminate.survey(docs, block).groupBy("word").agg(F.sum("documents").alias("n"), F.sum("times").alias("times")).collect()}
+    split = [t.split() for t in texts]
+    for word, number in block.vocabulary.items():
+        w = word.decode()
+        assert got.get(number, (0, 0)) == (sum(w in t for t in split), sum(t.count(w) for t in split))
+
+
 def brute_leaks(rows, items):
     """Every document against every item on words alone, without the latent space."""
     out = set()
