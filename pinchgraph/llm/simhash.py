@@ -337,12 +337,70 @@ def _near_pairs(rows: np.ndarray, run: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+#: Shingles of members, and of members to compare them with, that a task holds at once.
+MEMBER_SHINGLES, LEFT_SHINGLES = 1 << 20, 1 << 18
+
+
+def _links_between(left: pa.Table, right: pa.Table, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes (a, b) of rows (node, root, shingles) of both sides that are similar enough and of unequal root; one for a and each root."""
+    flat = lambda t: np.asarray(t.column("shingles").combine_chunks().flatten())
+    size = lambda t: np.asarray(t.column("shingles").combine_chunks().value_lengths()).astype(np.int64)
+    n, (lsize, rsize) = left.num_rows, (size(left), size(right))
+    of = np.repeat(np.arange(n), lsize)
+    order = np.argsort(flat(left), kind="stable")
+    values, start, times = np.unique(flat(left)[order], return_index=True, return_counts=True)
+    of, shingles, row = of[order], flat(right), np.repeat(np.arange(right.num_rows), rsize)
+    if not len(values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(values, shingles), len(values) - 1)
+    hit = values[at] == shingles
+    at, row = at[hit], row[hit]
+    common = np.zeros(right.num_rows * n, np.int64)
+    ends, done = np.cumsum(times[at]), 0
+    while done < len(at):
+        stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + (1 << 22), "right")))
+        t = times[at[done:stop]]
+        place = np.arange(t.sum()) + np.repeat(start[at[done:stop]] - np.cumsum(t) + t, t)
+        common += np.bincount(np.repeat(row[done:stop], t) * n + of[place], minlength=len(common))
+        done = stop
+    common = common.reshape(right.num_rows, n)
+    lroot, rroot = (np.asarray(t.column("root")) for t in (left, right))
+    j, i = np.nonzero((common >= similar * (rsize[:, None] + lsize[None, :] - common)) & (rroot[:, None] != lroot[None, :]))
+    _, first = np.unique(np.stack([i, rroot[j]], 1), axis=0, return_index=True)
+    return np.asarray(left.column("node"))[i[first]], np.asarray(right.column("node"))[j[first]]
+
+
+def _links_of_rest(docs: DataFrame, members: DataFrame, words: int, similar: float) -> DataFrame:
+    """(a, b): links of the open ones among `members(family, node, root, open)` with members of their family of another root.
+
+    Both sides are dealt into chunks of bounded size that meet in tasks; no pair of members is a row, and a task gives
+    one link for an open member and each root.
+    """
+    sets = _shingle_sets(docs.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), words).dropDuplicates(["doc_id"])
+    rows = materialize(members.join(sets.withColumnRenamed("doc_id", "node"), "node"), "members").df
+    size = F.size("shingles").cast("long")
+    shape = rows.groupBy("family").agg(F.ceil((F.sum(size) + 1) / MEMBER_SHINGLES).cast("int").alias("chunks"), F.ceil((F.sum(F.when(F.col("open"), size)) + 1) / LEFT_SHINGLES).cast("int").alias("tiles"))
+    dealt = rows.join(shape, "family").select("family", "node", "root", "open", "shingles", "chunks", "tiles")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = dealt.where("open").select("family", part("tiles").alias("i"), every("chunks").alias("j"), "node", "root", "shingles")
+    right = dealt.select("family", every("tiles").alias("i"), part("chunks").alias("j"), "node", "root", "shingles")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own beside those of `left`
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = _links_between(a, b, similar)
+        return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
+
+    keys = ["family", "i", "j"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS) -> DataFrame:
     """doc_id, component_id of every row with an id: groups linked by shingle sets of Jaccard similarity `similar` or more.
 
     Rows of equal shingle sets are one class; those of equal fingerprint alone are candidates like others.  Large buckets of copies are compared with their central member
-    first, which joins them with as many pairs as members; members that fail there are then compared with
-    the others of their bucket.  Texts without words are copies of one another.
+    first, which joins them with as many pairs as members; members that fail there are then compared with all others
+    that candidates join them to (`_links_of_rest`).  Texts without words are copies of one another.
     """
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = materialize(_long_prints(known, words), "prints").df
@@ -362,17 +420,18 @@ def similar_groups(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS
     first = materialize(ordered(near), "pairs").df
     links = _similar(known, first, words, similar)
     groups = components(links, "a", "b")
-    # a member that is not like its centre may still be like another member that is
+    # a member that is not like its centre may still be like another member of what its candidates join
     rooted = lambda side: groups.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
     stars = near.where("star = 1").join(rooted("a"), "a", "left").join(rooted("b"), "b", "left")
-    failed = stars.where("ra is null or rb is null or ra <> rb").select("key", F.col("b").alias("x"), F.col("rb").alias("rx"))
-    members = stars.select("key", F.col("b").alias("y"), F.col("rb").alias("ry"))
-    apart = F.col("rx").isNull() | F.col("ry").isNull() | (F.col("rx") != F.col("ry"))
-    second = failed.join(members, "key").where((F.col("x") != F.col("y")) & apart).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    rest = materialize(ordered(second).join(first, ["a", "b"], "left_anti"), "rest")
-    if rest.rows:
-        links = links.unionByName(_similar(known, rest.df, words, similar))
-        groups = components(links, "a", "b")
+    failed = materialize(stars.where("ra is null or rb is null or ra <> rb").select(F.col("b").alias("node")).distinct(), "failed")
+    if failed.rows:
+        families = components(first, "a", "b").withColumnRenamed("root", "family")
+        wanted = families.join(failed.df, "node", "left_semi").select("family").distinct()
+        members = families.join(wanted, "family", "left_semi").join(groups, "node", "left").join(failed.df.withColumn("open", F.lit(True)), "node", "left")
+        members = members.select("family", "node", F.coalesce("root", "node").alias("root"), F.coalesce("open", F.lit(False)).alias("open"))
+        more = materialize(_links_of_rest(known, members, words, similar), "rest")
+        if more.rows:
+            groups = components(links.unionByName(more.df), "a", "b")
     grouped = values.df.join(groups, "node", "left").select("set_hi", "set_lo", F.coalesce("root", "node").alias("component_id"))
     labels = materialize(grouped, "labels").df  # a root is the smallest node of its group
     return prints.join(labels, ["set_hi", "set_lo"]).select("doc_id", "component_id")

@@ -153,3 +153,25 @@ def test_only_large_buckets(llm):
     rows = np.stack([np.full(n, 7), np.arange(n), np.full(n, base[0]), base[1] ^ (np.int64(1) << rng.integers(0, 60, n))], 1).astype(np.int64)
     found = simhash._near_pairs(rows, np.zeros(n, np.int64))
     assert len(found) == n - 1 and set(found[:, 3]) == {1}
+
+
+def test_open_members_are_linked_without_pairs_as_rows(docs_of, llm, monkeypatch, prose):
+    """Members unlike their centre meet all others of their family in chunks; a task gives one link per open member and root."""
+    monkeypatch.setattr(simhash, "MEMBER_SHINGLES", 2_000)
+    monkeypatch.setattr(simhash, "LEFT_SHINGLES", 500)
+    rng, base = random.Random(3), prose(300, 44).split()
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(300), i % 7):
+            words[at] = f"w{i % 11}"
+        texts.append(" ".join(words))
+    docs = docs_of(list(enumerate(texts)))
+    members = llm.createDataFrame([(1, i, 0 if i % 7 < 2 else i, i % 7 >= 2) for i in range(60)], "family long, node long, root long, open boolean")
+    root = {r["node"]: r["root"] for r in members.collect()}
+    found = simhash._links_of_rest(docs, members, 5, 0.8).collect()
+    assert all(jaccard(texts[r["a"]], texts[r["b"]]) >= 0.8 and root[r["a"]] != root[r["b"]] for r in found)
+    want = {(a, root[b]) for a in range(60) if a % 7 >= 2 for b in range(60) if root[a] != root[b] and jaccard(texts[a], texts[b]) >= 0.8}
+    assert {(r["a"], root[r["b"]]) for r in found} == want and len(want) > 50
+    whole = sum(jaccard(texts[a], texts[b]) >= 0.8 and root[a] != root[b] for a in range(60) if a % 7 >= 2 for b in range(60))
+    assert len(found) < whole
