@@ -286,3 +286,44 @@ def test_twins_share_their_searches(spark, max_rows):
     got = {r.node_id: r for r in graph.node_centrality(n, adj, max_rows=max_rows).collect()}
     assert {v: got[v].betweenness for v in nodes} == pytest.approx(brute_betweenness(nodes, edges), abs=1e-9)
     assert {v for v in nodes if got[v].is_articulation_point} == brute_points(nodes, edges)
+
+
+@pytest.mark.parametrize("max_rows", [2_000_000, 0])
+def test_pairs_share_their_paths(spark, max_rows):
+    """Shares of the shortest paths between every two nodes, twins too, add up to the betweenness by brute force, however the ends are searched."""
+    from pinchgraph.operators import sampling
+    from pinchgraph.operators.graph_blocks import Walker
+
+    edges = [*LADDER, *[("hub", f"leaf{i}") for i in range(4)], *[(f"c{i}", g) for i in range(3) for g in ("x", "y")], ("x", "z"), ("z", "hub"), ("pair0", "pair1")]
+    names = sorted({v for e in edges for v in e})
+    n, adj = frames(spark, names, edges)
+    classes = graph.twins(adj.where("src <> dst").distinct())
+    of = {r.node_id: r["class"] for r in classes.members.collect()}
+    every = [(i, of[s], of[t]) for i, (s, t) in enumerate((s, t) for s in names for t in names if s != t and s in of and t in of)]
+    pairs = spark.createDataFrame(every, "pair long, s string, t string")
+    if max_rows:
+        rows = Walker(classes.edges.df).shares(pairs).collect()
+        sums = {r["class"]: r.s1 for r in rows}
+    else:
+        shares = sampling.path_shares(classes.edges.df, pairs).collect()
+        assert len({(r.pair, r.node) for r in shares}) == len(shares)
+        sums = {}
+        for r in shares:
+            sums[r.node] = sums.get(r.node, 0.0) + r.share
+    scale = (len(names) - 1) * (len(names) - 2)
+    assert {v: sums.get(of.get(v), 0.0) / scale for v in names} == pytest.approx(brute_betweenness(names, edges), abs=1e-9)
+
+
+def test_a_pair_leaves_most_of_the_graph_unread():
+    """Two ends in a hall of stars meet after the neighbours of both; a search per source read every row at each level."""
+    import numpy as np
+    from pinchgraph.operators.graph_blocks import _Pairs
+
+    rng = np.random.default_rng(3)
+    a, b = np.unique(np.stack([rng.integers(0, 100, 60_000), rng.integers(100, 2_100, 60_000)]), axis=1)
+    pairs, read = _Pairs(np.r_[a, b], np.r_[b, a], np.ones(2_100)), []
+    given = pairs._given
+    pairs._given = lambda nodes, values: (read.append(len(nodes)), given(nodes, values))[1]
+    for s, t in rng.integers(0, 2_100, (50, 2)):
+        pairs.shares(int(s), int(t))
+    assert sum(read) < 50 * 2_100 / 10
