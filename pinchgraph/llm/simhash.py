@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pinchgraph.llm.common import rows_of, utf8
 from pinchgraph.operators.contraction import components
-from pinchgraph.storage import materialize
+from pinchgraph.storage import Step, materialize
 
 SEED = 42
 RADIUS = 2
@@ -298,14 +298,46 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", utf8(F.col("text")).alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, words: int, similar: float) -> DataFrame:
+#: Pairs that a task of `_connecting` holds at once, and the fewest tasks.
+TASK_PAIRS, FEW_TASKS = 1 << 18, 4
+
+
+def _connecting(pairs: Step) -> DataFrame:
+    """(a, b): pairs that connect the same nodes as `pairs(a, b)`; a task hands on one pair for each of its nodes at most.
+
+    A member of a large group has a pair in each table, most with another centre; what is connected takes one.
+    """
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [np.stack([np.asarray(batch.column(c)) for c in ("a", "b")], 1) for batch in batches if batch.num_rows]
+        if not rows:
+            return
+        nodes, place = np.unique(np.concatenate(rows), return_inverse=True)
+        ends, label = place.reshape(-1, 2), np.arange(len(nodes))
+        while True:
+            roots = label[ends]
+            roots = roots[roots[:, 0] != roots[:, 1]]
+            if not len(roots):
+                break
+            np.minimum.at(label, roots.max(1), roots.min(1))
+            while (label[label] != label).any():
+                label = label[label]
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[label[moved]], pa.int64()), pa.array(nodes[moved], pa.int64())], schema=out)
+
+    tasks = max(FEW_TASKS, math.ceil(pairs.rows / TASK_PAIRS))
+    return materialize(pairs.df.select("a", "b").repartition(tasks).mapInArrow(run, "a long, b long"), "connecting").df
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, words: int, similar: float) -> Step:
     """The pairs (a, b) whose shingle sets are similar enough.  Only texts in pairs are read into sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = materialize(_shingle_sets(docs.join(ids, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "sets").df
     of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"s{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return materialize(both.where(common >= similar * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "similar").df
+    return materialize(both.where(common >= similar * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "similar")
 
 
 def _near_pairs(rows: np.ndarray, run: np.ndarray) -> np.ndarray:
@@ -417,15 +449,15 @@ def similar_groups(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS
 
     near = materialize(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(compare, "key long, a long, b long, star long"), "near").df
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    first = materialize(ordered(near), "pairs").df
-    links = _similar(known, first, words, similar)
+    first = materialize(ordered(near), "pairs")
+    links = _connecting(_similar(known, first.df, words, similar))
     groups = components(links, "a", "b")
     # a member that is not like its centre may still be like another member of what its candidates join
     rooted = lambda side: groups.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
-    stars = near.where("star = 1").join(rooted("a"), "a", "left").join(rooted("b"), "b", "left")
+    stars = near.where("star = 1").select("a", "b").distinct().join(rooted("a"), "a", "left").join(rooted("b"), "b", "left")
     failed = materialize(stars.where("ra is null or rb is null or ra <> rb").select(F.col("b").alias("node")).distinct(), "failed")
     if failed.rows:
-        families = components(first, "a", "b").withColumnRenamed("root", "family")
+        families = components(_connecting(first), "a", "b").withColumnRenamed("root", "family")
         wanted = families.join(failed.df, "node", "left_semi").select("family").distinct()
         members = families.join(wanted, "family", "left_semi").join(groups, "node", "left").join(failed.df.withColumn("open", F.lit(True)), "node", "left")
         members = members.select("family", "node", F.coalesce("root", "node").alias("root"), F.coalesce("open", F.lit(False)).alias("open"))

@@ -175,3 +175,15 @@ def test_open_members_are_linked_without_pairs_as_rows(docs_of, llm, monkeypatch
     assert {(r["a"], root[r["b"]]) for r in found} == want and len(want) > 50
     whole = sum(jaccard(texts[a], texts[b]) >= 0.8 and root[a] != root[b] for a in range(60) if a % 7 >= 2 for b in range(60))
     assert len(found) < whole
+
+
+def test_what_connects_is_one_pair_a_node(llm, monkeypatch):
+    """Members with a pair for each of many centres: the components stay, the pairs handed on no longer grow with the centres."""
+    monkeypatch.setattr(simhash, "FEW_TASKS", 2)
+    pairs = [(c, 1_000 + m) for m in range(300) for c in range(40) if (m + c) % 3] + [(5_000 + i, 5_001 + i) for i in range(50)] + [(9_000, 9_001)]
+    step = simhash.materialize(llm.createDataFrame(pairs, "a long, b long"), "pairs")
+    found = simhash._connecting(step)
+    assert found.count() <= 2 * (340 + 51 + 2) < len(pairs) / 9
+    roots = lambda df: {(r["node"], r["root"]) for r in simhash.components(df, "a", "b").collect()}
+    assert roots(found) == roots(step.df)
+    assert simhash._connecting(simhash.materialize(step.df.limit(0), "pairs")).count() == 0
