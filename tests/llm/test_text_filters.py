@@ -155,6 +155,22 @@ def brute_leaks(rows, items):
     return out
 
 
+def test_scattered_words_cost_no_masks(monkeypatch):
+    """A text whose stretches hold too few words of the item is turned down by counts alone; what is known of its words changes nothing."""
+    made = []
+    monkeypatch.setattr(decontaminate, "_masks", lambda words, f=decontaminate._masks: made.append(len(words)) or f(words))
+    item = np.arange(20)
+    scattered = np.full(600, -1)
+    scattered[::30] = item
+    assert decontaminate.checked(item, scattered) == (0.0, 0.0, 0) and not made
+    marks, rng = decontaminate.Marks(50), random.Random(5)
+    for _ in range(200):
+        item, text = (np.array([rng.randint(low, 49) for _ in range(rng.randint(1, 60))]) for low in (0, -1))
+        own = marks.held(text, item)
+        assert own.tolist() == np.isin(text, item).tolist() and marks.held(item, text).tolist() == np.isin(item, text).tolist()
+        assert decontaminate.checked(item, text, own) == decontaminate.checked(item, text)
+
+
 def test_leaks_against_brute_force(llm, docs_of, prose, odd):
     rng = random.Random(8)
     items = [(i, prose(rng.randint(15, 59), 500 + i)) for i in range(25)] + [(30, None), (31, "")]
