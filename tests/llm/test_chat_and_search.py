@@ -183,3 +183,30 @@ def test_thresholds_carried_over_shards(prose):
         assert np.sort(known[q])[::-1][: len(want)] == pytest.approx([-s for s, _ in want], abs=2e-6)
     read, held = np.sum(counts, 0)
     assert read < 0.7 * held
+
+
+@pytest.mark.parametrize("together,cells,postings,columns", [(128, 1 << 20, 2_500_000, 1_024), (1, 1 << 20, 2_500_000, 1_024), (50, 3_000, 40, 3), (50, 1 << 20, 2_500_000, 0)])
+def test_queries_taken_together(prose, monkeypatch, together, cells, postings, columns):
+    """However queries are grouped and lists are laid out, the best are the same, and little more than they are scored in full."""
+    for name, value in (("TOGETHER", together), ("TOGETHER_CELLS", cells), ("TOGETHER_POSTINGS", postings), ("COLUMNS", columns), ("BLOCK", 16)):
+        monkeypatch.setattr(bm25, name, value, raising=False)
+    texts = [prose(20 + i % 150, i) + " the of" * (i % 5) for i in range(500)] + ["", "alone"] + [prose(40, 7)] * 30
+    parsed = [bm25.term_counts(t.encode()) for t in texts]
+    row = dict(zip([f.name for f in bm25._INDEX], bm25._shard("s", list(range(len(texts))), *map(list, zip(*parsed)))))
+    asked = [parsed[i][0] for i in range(0, 500, 12)] + [parsed[500][0], parsed[501][0], parsed[502][0], np.array([1], np.int64)]
+    df = Counter(w for t, _ in parsed for w in t.tolist())
+    mean = sum(int(c.sum()) for _, c in parsed) / len(texts)
+    queries = bm25.Queries(np.arange(len(asked)), np.cumsum([len(t) for t in asked]), np.concatenate(asked), bm25.idf(np.array([df[w] for t in asked for w in t.tolist()]), len(texts)))
+    got, opened = {}, []
+    for q, d, s in bm25.search_shard(row, queries, 10, mean, opened):
+        got.setdefault(q, []).append((-s, d))
+    for q, terms in enumerate(asked):
+        scores = []
+        for d, (t, c) in enumerate(parsed):
+            s = sum(np.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * c.sum() / mean)) for w, n in zip(t.tolist(), c.tolist()) if w in terms)
+            if s > 0:
+                scores.append((-round(s, 6), d))
+        want = sorted(scores)[:10]
+        assert [s for s, _ in got.get(q, [])] == pytest.approx([s for s, _ in want], abs=2e-6)
+        assert {d for s, d in want if s < want[-1][0] - 2e-6} <= {d for _, d in got.get(q, [])}
+    assert sum(opened) < 11 * len(asked) + 30
