@@ -197,13 +197,15 @@ def test_queries_taken_together(prose, monkeypatch, together, cells, postings, c
     df = Counter(w for t, _ in parsed for w in t.tolist())
     mean = sum(int(c.sum()) for _, c in parsed) / len(texts)
     queries = bm25.Queries(np.arange(len(asked)), np.cumsum([len(t) for t in asked]), np.concatenate(asked), bm25.idf(np.array([df[w] for t in asked for w in t.tolist()]), len(texts)))
+    words = [(t.tolist(), c.tolist()) for t, c in parsed]
     got, opened = {}, []
     for q, d, s in bm25.search_shard(row, queries, 10, mean, opened):
         got.setdefault(q, []).append((-s, d))
     for q, terms in enumerate(asked):
-        scores = []
-        for d, (t, c) in enumerate(parsed):
-            s = sum(np.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * c.sum() / mean)) for w, n in zip(t.tolist(), c.tolist()) if w in terms)
+        scores, weight = [], {w: bm25.idf(df[w], len(texts)) for w in terms.tolist()}
+        for d, (t, c) in enumerate(words):
+            norm = 1.2 * (0.25 + 0.75 * sum(c) / mean)
+            s = sum(weight[w] * n * 2.2 / (n + norm) for w, n in zip(t, c) if w in weight)
             if s > 0:
                 scores.append((-round(s, 6), d))
         want = sorted(scores)[:10]
