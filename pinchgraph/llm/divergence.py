@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from pinchgraph.llm.common import utf8
+from pinchgraph.llm.common import batches_of, utf8
 from pinchgraph.storage import materialize
 
 LEAST_DOCS = 30
@@ -39,6 +39,8 @@ MAP_BITS = 1 << 26
 SLICE = 4 << 20
 #: Text of a block.
 BLOCK_BYTES = 6 << 20
+#: Bytes of terms that are worked on at once, and packed counts that leave a task together.
+AT_ONCE, TOGETHER = 1 << 18, 64
 #: Counts that a task gathers before it adds them up.
 HELD = 150_000
 #: Fewest and most buckets of the exchange of counts; in between one per block.
@@ -49,8 +51,8 @@ TILE, CHUNK = 128, 2_048
 #: Bytes that part terms become a space and A-Z lower case; the other bytes, all those of non-ASCII characters among them, stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-_BLOCK = pa.schema([("names", pa.list_(pa.string())), ("group", pa.binary()), ("ptr", pa.binary()), ("blob", pa.binary()), ("ends", pa.binary()), ("term", pa.binary()), ("n", pa.binary())])
-_PART = pa.schema([("bucket", pa.int32()), ("names", pa.list_(pa.string())), ("group", pa.binary()), ("blob", pa.binary()), ("ends", pa.binary()), ("n", pa.binary())])
+_BLOCK = pa.schema([("names", pa.list_(pa.string())), ("group", pa.binary()), ("held", pa.binary()), ("blob", pa.binary()), ("sizes", pa.binary()), ("term", pa.binary()), ("n", pa.binary())])
+_PART = pa.schema([("bucket", pa.int32()), ("names", pa.list_(pa.string())), ("group", pa.binary()), ("blob", pa.binary()), ("sizes", pa.binary()), ("n", pa.binary())])
 _COUNT = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64())])
 
 
@@ -70,6 +72,27 @@ def terms_of(text: bytes, slice_bytes: int = SLICE) -> Iterator[list[bytes]]:
         at = end
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 at the narrowest width that holds them all; the first byte tells the width."""
+    kind = np.min_scalar_type(int(numbers.max(initial=0)))
+    return bytes([kind.itemsize]) + numbers.astype(kind).tobytes()
+
+
+def _opened(data) -> np.ndarray:
+    data = memoryview(data)
+    return np.frombuffer(data, f"u{data[0]}", offset=1)
+
+
+def _squeezed(data: bytes) -> bytes:
+    """Compressed, so that Spark moves small rows; the first eight bytes tell the size."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def _whole(data) -> pa.Buffer:
+    data = memoryview(data)
+    return pa.Codec("zstd").decompress(pa.py_buffer(data[8:]), int.from_bytes(data[:8], "little"))
+
+
 class _Numbering(dict):
     """Gives each new key the next number."""
 
@@ -81,8 +104,9 @@ class _Numbering(dict):
 class _Block:
     """Documents whose terms are numbered together: group number of each document, terms in byte order, and per document its terms and their counts.
 
-    Numbers travel as packed arrays in binary columns: `ptr` and `ends` are running ends over documents and terms,
-    `names` holds lang and source of each group in turn.
+    Numbers travel as packed and compressed arrays in binary columns: `held` and `sizes` are the terms of each document and
+    the bytes of each term, `term` has the steps from one term of a document to its next, `names` holds lang and source of
+    each group in turn.
     """
 
     def __init__(self):
@@ -100,16 +124,20 @@ class _Block:
 
     def row(self) -> pa.RecordBatch:
         terms = sorted(self.number)
-        rank = np.zeros(len(terms), np.int64)
+        rank = np.zeros(len(terms), np.int32)
         rank[np.fromiter(map(self.number.__getitem__, terms), np.int64, len(terms))] = np.arange(len(terms))
-        sizes = np.array([len(t) for t, _ in self.pairs], np.int64)
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        term, n = (np.concatenate([p[k] for p in self.pairs]) for k in (0, 1))
-        term = rank[term]
-        order = np.argsort(doc * (len(terms) + 1) + term)
-        packed = [np.array(self.group, np.int32), np.cumsum(sizes), b"".join(terms), np.cumsum([len(t) for t in terms], dtype=np.int64), term[order].astype(np.int32), n[order].astype(np.int32)]
+        held = np.array([len(t) for t, _ in self.pairs], np.int64)
+        step, n = [], []
+        for term, count in self.pairs:
+            term = rank[term]
+            order = np.argsort(term)
+            step.append(np.diff(term[order], prepend=np.int32(0)))
+            n.append(count[order])
+        numbers = [np.array(self.group), held, np.array([len(t) for t in terms], np.int64), np.concatenate(step), np.concatenate(n)]
+        group, held, sizes, term, n = (_squeezed(_packed(x)) for x in numbers)
         names = [x for group in self.groups for x in group]
-        return pa.RecordBatch.from_arrays([pa.array([names], _BLOCK.field(0).type), *(pa.array([p if isinstance(p, bytes) else p.tobytes()], pa.binary()) for p in packed)], schema=_BLOCK)
+        packed = (group, held, _squeezed(b"".join(terms)), sizes, term, n)
+        return pa.RecordBatch.from_arrays([pa.array([names], _BLOCK.field(0).type), *(pa.array([x], pa.binary()) for x in packed)], schema=_BLOCK)
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -140,13 +168,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _hashes(blob: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+def _pieces(sizes: np.ndarray, at_once: int = AT_ONCE) -> Iterator[slice]:
+    """Pieces of the given sizes in turn, about `at_once` bytes together."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + at_once, "right")))
+        yield slice(a, b)
+        a = b
+
+
+def _hashes(blob: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, at_once: int = AT_ONCE) -> np.ndarray:
     """A 64-bit number for each piece of `blob` (none empty) and its seed.  Equal numbers of different pieces only cost work."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    at, inside = _spans(starts, sizes)
-    part = (blob[at].astype(np.uint64) + np.uint64(1)) * _mixed(inside.astype(np.uint64) + np.uint64(1))
-    return _mixed(np.add.reduceat(part, np.cumsum(sizes) - sizes) ^ seeds)
+    out = np.zeros(len(starts), np.uint64)
+    for some in _pieces(sizes, at_once):
+        at, inside = _spans(starts[some], sizes[some])
+        part = (blob[at].astype(np.uint64) + np.uint64(1)) * _mixed(inside.astype(np.uint64) + np.uint64(1))
+        out[some] = _mixed(np.add.reduceat(part, np.cumsum(sizes[some]) - sizes[some]) ^ seeds[some])
+    return out
 
 
 def _seeds(names: list[str]) -> np.ndarray:
@@ -157,16 +195,19 @@ class _View:
     """A stored block opened again."""
 
     def __init__(self, batch: pa.RecordBatch, i: int):
-        get = lambda c, t: np.frombuffer(batch.column(c)[i].as_buffer(), t)
+        get = lambda c: _opened(_whole(batch.column(c)[i].as_buffer()))
         names = batch.column("names")[i].as_py()
         self.langs, self.sources = names[0::2], names[1::2]
-        self.group, ptr, self.blob, ends = get("group", np.int32), get("ptr", np.int64), get("blob", np.uint8), get("ends", np.int64)
-        self.term, self.n = get("term", np.int32), get("n", np.int32).astype(np.int64)
-        self.doc = np.repeat(np.arange(len(ptr)), np.diff(ptr, prepend=0))
-        self.sizes = np.diff(ends, prepend=0)
-        self.starts = ends - self.sizes
+        self.group, held, self.sizes, self.n = get("group").astype(np.int32), get("held").astype(np.int64), get("sizes").astype(np.int64), get("n")
+        self.blob = np.frombuffer(_whole(batch.column("blob")[i].as_buffer()), np.uint8)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.doc = np.repeat(np.arange(len(held), dtype=np.int32), held)
+        first = (np.cumsum(held) - held)[held > 0]
+        step = get("term").astype(np.int32)
+        step[first[1:]] -= np.add.reduceat(step, first)[:-1] if len(first) else step  # each document starts anew
+        self.term = np.cumsum(step, dtype=np.int32)
         self.lang_names = sorted(set(self.langs))
-        self.lang = np.array([self.lang_names.index(x) for x in self.langs], np.int64)[self.group][self.doc]  # of each (doc, term)
+        self.lang = np.array([self.lang_names.index(x) for x in self.langs], np.int32)[self.group][self.doc]  # of each (doc, term)
 
     def held(self, bits: np.ndarray, width: int | None) -> np.ndarray:
         """Which (doc, term) rows are in the bit map by their language and first `width` bytes, or by the whole term."""
@@ -189,15 +230,15 @@ def _parts(names: list[str], group: np.ndarray, blob: np.ndarray, starts: np.nda
     seeds = _seeds([f"{a}\0{b}" for a, b in zip(names[0::2], names[1::2])])
     bucket = (_hashes(blob, starts, sizes, seeds[group]) >> np.uint64(40)).astype(np.int64) & (buckets - 1)
     order = np.argsort(bucket, kind="stable")
-    bucket, group, starts, sizes, n = bucket[order], group[order].astype(np.int32), starts[order], sizes[order], n[order].astype(np.int64)
+    bucket, group, starts, sizes, n = bucket[order], group[order], starts[order], sizes[order], n[order]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-    out = []
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        here = blob[_spans(starts[a:b], sizes[a:b])[0]]
-        out.append((int(bucket[a]), names, group[a:b].tobytes(), here.tobytes(), np.cumsum(sizes[a:b]).tobytes(), n[a:b].tobytes()))
-    for at in range(0, len(out), 256):
-        columns = list(zip(*out[at:at + 256]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PART)], schema=_PART)
+
+    def rows() -> Iterator[tuple]:
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            here = blob[_spans(starts[a:b], sizes[a:b])[0]]
+            yield int(bucket[a]), names, _packed(group[a:b]), here.tobytes(), _packed(sizes[a:b]), _packed(n[a:b])
+
+    yield from batches_of(rows(), _PART, TOGETHER)
 
 
 def _merged(parts: DataFrame, least: int) -> DataFrame:
@@ -213,11 +254,11 @@ def _merged(parts: DataFrame, least: int) -> DataFrame:
                 if bucket != now:
                     yield from done(held)
                     held, size, now = [], 0, bucket
-                get = lambda c, t: np.frombuffer(batch.column(c)[i].as_buffer(), t)  # noqa: E731, B023
-                names, group, ends = batch.column("names")[i].as_py(), pa.array(get("group", np.int32)), get("ends", np.int64)
-                offsets = pa.py_buffer(np.r_[0, ends].astype(np.int64).tobytes())
+                get = lambda c: _opened(batch.column(c)[i].as_buffer()).astype(np.int64)  # noqa: E731, B023
+                names, group, ends = batch.column("names")[i].as_py(), pa.array(get("group")), np.cumsum(get("sizes"))
+                offsets = pa.py_buffer(np.r_[0, ends].tobytes())
                 terms = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, offsets, pa.py_buffer(batch.column("blob")[i].as_buffer())])
-                held.append(pa.table([pa.array(names[0::2], pa.string()).take(group), pa.array(names[1::2], pa.string()).take(group), terms, pa.array(get("n", np.int64))], names=_COUNT.names))
+                held.append(pa.table([pa.array(names[0::2], pa.string()).take(group), pa.array(names[1::2], pa.string()).take(group), terms, pa.array(get("n"))], names=_COUNT.names))
                 size += len(ends)
                 if size > HELD:
                     held = [total(held)]
@@ -267,25 +308,27 @@ def _level(table: DataFrame, bits, before: int, width: int, buckets: int) -> Dat
                 cut = np.minimum(v.sizes, width)
                 first = np.r_[True, (cut[1:] != cut[:-1]) | (v.sizes[:-1] <= width)]
                 same = np.flatnonzero(~first)
-                if len(same):
-                    a, _ = _spans(v.starts[same], cut[same])
-                    b, _ = _spans(v.starts[same - 1], cut[same])
-                    first[same] = np.logical_or.reduceat(v.blob[a] != v.blob[b], np.cumsum(cut[same]) - cut[same])
+                for some in _pieces(cut[same]):
+                    here = same[some]
+                    a, _ = _spans(v.starts[here], cut[here])
+                    b, _ = _spans(v.starts[here - 1], cut[here])
+                    first[here] = np.logical_or.reduceat(v.blob[a] != v.blob[b], np.cumsum(cut[here]) - cut[here])
                 prefix = np.cumsum(first) - 1
                 heads = np.flatnonzero(first)
-                pairs = v.doc[live] * len(heads) + prefix[v.term[live]]  # ascending
+                pairs = v.doc[live].astype(np.int64) * len(heads) + prefix[v.term[live]]  # ascending
                 once = np.r_[True, pairs[1:] != pairs[:-1]]  # a document counts once per prefix
-                count_of = np.bincount(v.lang[live][once] * len(heads) + pairs[once] % len(heads), minlength=len(v.lang_names) * len(heads))
+                count_of = np.bincount(v.lang[live][once].astype(np.int64) * len(heads) + pairs[once] % len(heads), minlength=len(v.lang_names) * len(heads))
                 at = np.flatnonzero(count_of)
                 head = heads[at % len(heads)]
-                blob = np.r_[v.blob, np.zeros(1, np.uint8)]
                 # the keys' bytes: the prefix, and a space after a complete term
                 sizes, ended = np.minimum(v.sizes[head], width), v.sizes[head] <= width
-                places, inside = _spans(v.starts[head], sizes + ended)
-                data = np.where(inside < np.repeat(sizes, sizes + ended), blob[np.minimum(places, len(blob) - 1)], np.uint8(32))
-                names = [x for lang in v.lang_names for x in (lang, "")]
                 long = sizes + ended
-                yield from _parts(names, at // len(heads), data, np.cumsum(long) - long, long, count_of[at], buckets)
+                starts = np.cumsum(long) - long
+                data = np.full(int(long.sum()), 32, np.uint8)
+                for some in _pieces(sizes):
+                    data[_spans(starts[some], sizes[some])[0]] = v.blob[_spans(v.starts[head[some]], sizes[some])[0]]
+                names = [x for lang in v.lang_names for x in (lang, "")]
+                yield from _parts(names, at // len(heads), data, starts, long, count_of[at], buckets)
 
     return table.mapInArrow(count, ddl(_PART))
 
@@ -323,7 +366,7 @@ def _occurrences(table: DataFrame, kept: DataFrame, buckets: int, map_bits: int)
                     continue
                 key = v.group[v.doc[use]].astype(np.int64) * len(v.sizes) + v.term[use]
                 order = np.argsort(key, kind="stable")
-                key, n = key[order], v.n[use][order]
+                key, n = key[order], v.n[use][order].astype(np.int64)
                 first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
                 group, term = np.divmod(key[first], len(v.sizes))
                 names = [x for pair in zip(v.langs, v.sources) for x in pair]

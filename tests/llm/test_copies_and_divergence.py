@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from pinchgraph.llm import copies, divergence
@@ -100,3 +102,47 @@ def test_divergence_equals_brute_force(llm, prose, odd, least, tile, map_bits):
 
 def test_divergence_of_no_rows(llm):
     assert divergence.divergence(llm.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
+
+
+def _one_block(prose):
+    block = divergence._Block()
+    texts = ["", *(prose(120, seed) for seed in range(3_000)), " 12 "]
+    for i, text in enumerate(texts):
+        block.add(text.encode(), ("ab"[i % 2], "xyz"[i % 3]))
+    return texts, block.row()
+
+
+def test_stored_blocks_are_small_and_open_again(prose):
+    texts, row = _one_block(prose)
+    view = divergence._View(row, 0)
+    names = [bytes(view.blob[a : a + n]).decode() for a, n in zip(view.starts, view.sizes)]
+    found = [{} for _ in texts]
+    for doc, term, n in zip(view.doc.tolist(), view.term.tolist(), view.n.tolist()):
+        found[doc][names[term]] = n
+    assert found == [{w: t.split().count(w) for w in t.split() if w.isalpha()} for t in texts]
+    assert names == sorted(names) and row.nbytes < 4 * len(view.term)  # 8 bytes a term of a document before
+    nothing = divergence._Block()
+    nothing.add(b"", ("a", "x"))
+    assert not len(divergence._View(nothing.row(), 0).term)
+
+
+def test_hashes_in_pieces_are_those_at_once(prose):
+    words = [w.encode() for w in prose(500, 1).split()]
+    sizes = np.array([len(w) for w in words])
+    given = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes, sizes, np.arange(len(words), dtype=np.uint64)
+    whole = divergence._hashes(*given)
+    for at_once in (1, 7, 100):
+        assert (divergence._hashes(*given, at_once) == whole).all()
+
+
+def test_counting_a_block_needs_little_memory(prose):
+    """Peak of the arrays of the last count: 41 bytes for each byte of terms before, 10 now."""
+    texts, row = _one_block(prose)
+    view = divergence._View(row, 0)
+    group, names = view.group[view.doc].astype(np.int64), [x for pair in zip(view.langs, view.sources) for x in pair]
+    size, given = int(view.sizes[view.term].sum()), (view.starts[view.term], view.sizes[view.term], view.n)
+    tracemalloc.start()
+    rows = sum(batch.num_rows for batch in divergence._parts(names, group, view.blob, *given, 256))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 256 and size > 2_000_000 and peak < 24 * size
