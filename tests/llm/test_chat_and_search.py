@@ -212,3 +212,36 @@ def test_queries_taken_together(prose, monkeypatch, together, cells, postings, c
         assert [s for s, _ in got.get(q, [])] == pytest.approx([s for s, _ in want], abs=2e-6)
         assert {d for s, d in want if s < want[-1][0] - 2e-6} <= {d for _, d in got.get(q, [])}
     assert sum(opened) < 11 * len(asked) + 30
+
+
+def test_shards_searched_ahead_give_the_others_their_thresholds(llm, docs_of, prose, monkeypatch):
+    texts = {i: prose(40, i % 90) for i in range(400)}
+    docs = docs_of(list(texts.items())).repartition(24, "doc_id")
+    queries = llm.createDataFrame([(i, texts[i]) for i in range(0, 400, 20)], "query_id long, text string")
+    written = []
+
+    def path_of(spark, tag, of=bm25.scratch_path):
+        written.append((tag, of(spark, tag)))
+        return written[-1][1]
+
+    monkeypatch.setattr(bm25, "scratch_path", path_of)
+    got = [tuple(r) for r in bm25.top_k(docs, queries, 3).orderBy("query_id", "rank").collect()]
+    found = llm.read.parquet(dict(written)["best"]).count()
+    monkeypatch.setattr(bm25, "EARLY", 1_000)
+    assert got == [tuple(r) for r in bm25.top_k(docs, queries, 3).orderBy("query_id", "rank").collect()]
+    assert found < 0.75 * llm.read.parquet(dict(written)["best"]).count()
+    first = llm.createDataFrame([(7, 1, 2.0), (7, 2, 3.0), (5, 1, 1.0), (7, 3, 9.0)], "query_id long, doc_id long, score double")
+    assert bm25.so_far(first, np.array([9, 7, 5]), 2).tolist() == [0.0, 3.0, 0.0]
+
+
+def test_texts_of_like_words_lie_together():
+    rng = np.random.default_rng(0)
+    of = np.arange(120) % 2  # two languages in turn
+    terms = [np.sort(rng.choice(np.arange(100 * x, 100 * x + 20), 12, replace=False)).astype(np.int64) for x in of]
+    ids, ends, asked, dfs = bm25.alike(np.arange(120), np.cumsum([12] * 120), np.concatenate(terms), np.concatenate(terms) + 1)
+    assert sorted(ids.tolist()) == list(range(120)) and (asked + 1 == dfs).all() and ends.tolist() == list(range(12, 1_441, 12))
+    assert all((asked[e - 12 : e] == terms[i]).all() for i, e in zip(ids.tolist(), ends.tolist()))
+    assert np.count_nonzero(np.diff(of[ids])) == 1
+    row = dict(zip([f.name for f in bm25._INDEX], bm25._shard("s", list(range(120)), terms, [np.ones(12, np.int32)] * 120)))
+    assert np.count_nonzero(np.diff(of[np.frombuffer(row["ids"], np.int64)])) == 1
+    assert not len(bm25.kinds(np.zeros(0, np.int64), np.zeros(0, np.int64), 0))
