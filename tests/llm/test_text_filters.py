@@ -142,6 +142,54 @@ def test_words_are_counted_over_all_documents(docs_of, prose):
         assert got.get(number, (0, 0)) == (sum(w in t for t in split), sum(t.count(w) for t in split))
 
 
+def dense_passages(texts, weight):
+    """Unit TF-IDF rows of all passages of texts of word numbers, one by one."""
+    rows = []
+    for numbers in texts:
+        for s in decontaminate._starts(len(numbers)).tolist():
+            row = np.zeros(len(weight))
+            for w in numbers[s : s + decontaminate.PASSAGE]:
+                if w >= 0:
+                    row[w] += weight[w]
+            if row.any():
+                rows.append(row / np.linalg.norm(row))
+    return np.array(rows).reshape(-1, len(weight))
+
+
+def test_gram_of_passages_equals_brute_force():
+    rng = np.random.default_rng(2)
+    weight = np.where(rng.random(40) < 0.3, 0.0, rng.random(40) + 0.2)
+    texts = [rng.integers(-1, 40, n) for n in (0, 1, 31, 32, 33, 64, 65, 96, 97, 700, 5)] + [np.full(90, -1), np.full(200, 3), np.flatnonzero(weight == 0)]
+    basis = rng.standard_normal((40, 7))
+    a = dense_passages(texts, weight)
+    for at_once in (1, 2, 3, 4_096):
+        assert np.allclose(decontaminate._gram(texts, weight, basis, at_once), a.T @ (a @ basis), atol=1e-4)
+    assert not decontaminate._gram([], weight, basis).any() and not decontaminate._gram(texts[:1], weight, basis).any()
+    table, pick = rng.integers(0, 9, (50, 3)), rng.integers(0, 50, 5_000)
+    begin = np.unique(np.r_[0, rng.integers(0, 40, 9), rng.integers(0, 5_000, 30)])
+    assert (decontaminate._segment_sums(table, pick, begin) == np.add.reduceat(table[pick], begin, axis=0)).all()
+
+
+def test_space_holds_the_passages_of_all_documents(llm, docs_of, prose, monkeypatch):
+    """The latent space is that of every passage of every document and of all items, not of the items or of some documents."""
+    items = [(i, prose(40, i)) for i in range(12)]
+    texts = [" ".join(prose(30, 100 + i * 7 + k) + " " + items[(i + k) % 12][1] for k in range(i % 4)) for i in range(60)]
+    seen = {}
+    fitted, searched = decontaminate.latent_space, decontaminate.search
+    monkeypatch.setattr(decontaminate, "DIMENSIONS", 20)
+    monkeypatch.setattr(decontaminate, "latent_space", lambda passages, rows, own, weight: seen.update(rows=rows, own=own) or fitted(passages, rows, own, weight, dimensions=20))
+    monkeypatch.setattr(decontaminate, "search", lambda numbered, block, weight, space, apart: seen.update(block=block, weight=weight, space=space) or searched(numbered, block, weight, space, apart))
+    decontaminate.leaks(docs_of([(None, texts[0]), *enumerate(texts)]).repartition(5), llm.createDataFrame(items, "item_id long, text string")).count()
+    weight, space = seen["weight"], seen["space"].astype(float)
+    docs = dense_passages([seen["block"].numbers(t.encode()) for t in [texts[0], *texts]], weight)
+    assert seen["rows"] == len(docs)
+    own = dense_passages(seen["own"], weight) * max(1.0, len(docs) / len(seen["own"])) ** 0.5
+    both = np.concatenate([docs, own])
+    values = np.linalg.svd(both, compute_uv=False)
+    assert space.shape[1] == 20 and np.linalg.norm(both @ space) ** 2 >= 0.999 * (values[:20] ** 2).sum()
+    assert np.linalg.norm(docs @ space) ** 2 > 1.02 * np.linalg.norm(docs @ np.linalg.svd(own)[2][:20].T) ** 2
+
+
 def brute_leaks(rows, items):
     """Every document against every item on words alone, without the latent space."""
     out = set()
