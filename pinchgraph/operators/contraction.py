@@ -29,16 +29,16 @@ def _roots(hooks: DataFrame) -> DataFrame:
             return hooks
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, unique: bool = False) -> DataFrame:
     """(node, root) for every node of an edge; root is the smallest node of the component.
 
     Hooks lead to smaller nodes only, so the smallest one stays a root in every round.  Nulls and self
-    edges are ignored; repeated edges do no harm.  No edges give no rows.
+    edges are ignored; repeated edges do no harm.  No edges give no rows.  With `unique` the edges are known to be few more than distinct ones.
     """
-    pairs = edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct()
-    step, maps = materialize(pairs, "edges"), []
+    pairs = edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
+    step, maps = materialize(pairs if unique else pairs.distinct(), "edges"), []
     while step.rows:
-        hooks = step.df.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
+        hooks = materialize(step.df.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root")), "hooks").df
         roots = _roots(hooks)
         maps.append(roots)
         at = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))

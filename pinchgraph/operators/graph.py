@@ -33,7 +33,10 @@ def load_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """Undirected distinct neighbour pairs, both directions; a self-loop is one row."""
-    return edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    first = F.coalesce(F.col("src") <= F.col("dst"), F.col("src").isNull())  # one of the two directions, so `edges` is read once and half as many rows are compared
+    pairs = edges.select(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("b")).distinct()
+    there, back = (F.struct(F.col(x).alias("src"), F.col(y).alias("dst")) for x, y in (("a", "b"), ("b", "a")))
+    return pairs.select(F.inline(F.when(F.col("a").eqNullSafe(F.col("b")), F.array(there)).otherwise(F.array(there, back))))
 
 
 def supplier_counts(edges: DataFrame) -> DataFrame:
@@ -82,7 +85,10 @@ def twins(adj: DataFrame) -> Twins:
     sets = adj.groupBy("src").agg(F.bit_xor(F.xxhash64("dst")).alias("_a"), F.bit_xor(F.xxhash64(F.lit(1), "dst")).alias("_b"), F.count(F.lit(1)).alias("degree"))
     sets = materialize(sets, "neighbour-sets").df
     found = sets.groupBy("_a", "_b", "degree").agg(F.min("src").alias("class"), F.count(F.lit(1)).alias("size"))
-    members = materialize(sets.join(found, ["_a", "_b", "degree"]).select(F.col("src").alias("node_id"), "class", "size", "degree"), "twins").df
+    step = materialize(sets.join(found, ["_a", "_b", "degree"]).select(F.col("src").alias("node_id"), "class", "size", "degree"), "twins", largest=F.max("size"), edges=F.sum("degree"))
+    members = step.df
+    if (step.metrics.get("largest") or 0) <= 1:  # no twins: the edges as they are
+        return Twins(members, Step(adj.select("src", "dst", F.lit(1).cast("long").alias("size")), int(step.metrics.get("edges") or 0), {}))
     first = members.where(F.col("node_id") == F.col("class"))
     edges = adj.join(first.select(F.col("node_id").alias("src")), "src", "left_semi").join(
         first.select(F.col("node_id").alias("dst"), "size"), "dst").select("src", "dst", "size")
@@ -167,14 +173,14 @@ def dependencies(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return _union(shares)
 
 
-def _class_betweenness(nodes: DataFrame, classes: Twins, times: DataFrame | None = None, scale: float = 1.0) -> DataFrame:
-    """(node_id, betweenness) with as many sources per class as `times(class, times)` says, all members without it."""
+def _class_betweenness(nodes: DataFrame, classes: Twins, times: DataFrame | None = None, scale: float = 1.0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(node_id, betweenness, and the columns `carry` of `nodes`) with as many sources per class as `times(class, times)` says, all members without it."""
     sources = classes.classes()
     times = times if times is not None else sources.select("class", F.col("size").cast("double").alias("times"))
     sources = materialize(sources.join(times, "class"), "bc-sources").df
     each = dependencies(classes.edges.df, sources).join(sources.select(F.col("class").alias("source"), "times"), "source")
     total = each.groupBy(F.col("node").alias("class")).agg(F.sum(F.col("delta") * F.col("times")).alias("total"))
-    return classes.expanded(nodes.select("node_id"), total).select("node_id", _normalised(F.col("total"), nodes.count(), scale).alias("betweenness"))
+    return classes.expanded(nodes.select("node_id", *carry), total).select("node_id", *carry, _normalised(F.col("total"), nodes.count(), scale).alias("betweenness"))
 
 
 def betweenness(nodes: DataFrame, adj: DataFrame, pivots: DataFrame | None = None) -> DataFrame:

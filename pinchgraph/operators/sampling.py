@@ -25,6 +25,20 @@ def _numbered(nodes: DataFrame) -> DataFrame:
     return running_offsets(salted, ["_all"], "_one", "no").select("no", "node_id")
 
 
+def _ids(nodes: DataFrame):
+    """A function from a column of node names to 64-bit ids, null for null, that gives no two of `nodes` the same one.
+
+    Ids are hashes, so no join is needed to set them in; a hash that meets twice is given up for another.
+    """
+    seed = 0
+    while True:
+        of = lambda name, seed=seed: F.when(F.col(name).isNotNull(), F.xxhash64(F.lit("node"), F.lit(seed), F.col(name)))
+        meets = nodes.groupBy(of("node_id").alias("id")).agg((F.min("node_id") != F.max("node_id")).alias("meets")).agg(F.max("meets")).first()[0]
+        if not meets:
+            return of
+        seed += 1
+
+
 def _draws(numbered: DataFrame, n: int, first: int, last: int, seed: int) -> DataFrame:
     """(pair, s, t): draws first..last-1 of two different nodes, uniform and with replacement of the pair; a draw depends on its number alone."""
     def below(most: int, part: int) -> Column:
@@ -95,16 +109,20 @@ def sampled_betweenness(nodes: DataFrame, adj: DataFrame, error: float = 0.05, r
     is above `error` are not looked at.  A pair is searched from both ends until they meet, which leaves most
     of the graph unread; pairs in two components are not searched.  When t would pass n all sources are taken, the result is exact and its bound is 0.
 
+    `adj` has both directions of each pair.  Names are replaced by 64-bit ids (`_ids`), so what is compared, joined and read again is numbers.
     Nodes with the same neighbours are one class (`graph.Twins`).  At most `max_rows` rows of neighbouring classes are broadcast and
     pairs are spread over tasks (`Walker`); with more all pairs are searched by joins (`path_shares`).
     Nodes without edges have betweenness 0; loops and repeated neighbours do not count.
     """
-    edges = materialize(adj.select("src", "dst").where(F.col("src") != F.col("dst")).distinct(), "sample-edges")
+    id_of = _ids(nodes)
+    pairs = materialize(adj.select(id_of("src").alias("a"), id_of("dst").alias("b")).where("a < b").distinct(), "sample-edges")  # `adj` has both directions
+    edges = pairs.df.select(F.inline(F.array(*[F.struct(F.col(x).alias("src"), F.col(y).alias("dst")) for x, y in (("a", "b"), ("b", "a"))])))
     numbered = materialize(_numbered(nodes), "sample-nodes")
+    named = nodes.select(F.col("node_id").alias("name"), id_of("node_id").alias("node_id"))
     n = numbered.rows
-    if n < 3 or not edges.rows:
+    if n < 3 or not pairs.rows:
         return nodes.select("node_id", F.lit(0.0).alias("betweenness"), F.lit(0.0).alias("error_bound"), F.lit(0).cast("long").alias("sources"))
-    classes = twins(edges.df)
+    classes = twins(edges)
     small = classes.edges.rows <= max_rows
     walker = Walker(classes.edges.df) if small else None
     rounds = max(1, ceil(log2(max(2.0, n / first))) + 1)
@@ -113,14 +131,15 @@ def sampled_betweenness(nodes: DataFrame, adj: DataFrame, error: float = 0.05, r
     while t < n and 3 * wide / t * scale > error:
         t *= 2
     if t < n and not small:
-        roots = materialize(components(classes.edges.df, "src", "dst"), "sample-roots").df
+        roots = materialize(components(classes.edges.df.where("src < dst"), "src", "dst", unique=True), "sample-roots").df
     while t < n:
         drawn = materialize(_draws(numbered.df, n, done, t, seed), "draws").df
+        drawn = drawn.select("pair", id_of("s").alias("s"), id_of("t").alias("t"))
         for end in ("s", "t"):
             drawn = drawn.join(classes.members.select(F.col("node_id").alias(end), F.col("class").alias(f"{end}_class")), end)
         pairs = drawn.select("pair", F.col("s_class").alias("s"), F.col("t_class").alias("t"))
         if small:
-            sums = walker.shares(pairs)
+            sums = walker.shares(pairs.select(F.col("s").cast("string"), F.col("t").cast("string"))).withColumn("class", F.col("class").cast("long"))
         else:
             for end in ("s", "t"):
                 pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
@@ -133,11 +152,12 @@ def sampled_betweenness(nodes: DataFrame, adj: DataFrame, error: float = 0.05, r
         step = materialize(both.select("class", (mean * scale).alias("estimate"), (bound * scale).alias("bound")), "estimates", worst=F.max("bound"))
         untouched = 3 * wide / t * scale
         if max(untouched, step.metrics.get("worst") or 0.0) <= error:
-            return classes.expanded(nodes.select("node_id"), step.df).select(
-                "node_id", F.round(F.coalesce("estimate", F.lit(0.0)), 10).alias("betweenness"), F.coalesce("bound", F.lit(untouched)).alias("error_bound"), F.lit(t).cast("long").alias("sources"))
+            return classes.expanded(named, step.df).select(
+                F.col("name").alias("node_id"), F.round(F.coalesce("estimate", F.lit(0.0)), 10).alias("betweenness"), F.coalesce("bound", F.lit(untouched)).alias("error_bound"), F.lit(t).cast("long").alias("sources"))
         done, t = t, 2 * t
     if not small:
-        return _class_betweenness(nodes, classes).select("node_id", "betweenness", F.lit(0.0).alias("error_bound"), F.lit(n).cast("long").alias("sources"))
-    every = walker.sums(classes.classes().select("class", F.col("size").cast("double").alias("times")))
-    return classes.expanded(nodes.select("node_id"), every).select(
-        "node_id", F.round(F.coalesce("s1", F.lit(0.0)) / ((n - 1.0) * (n - 2.0)), 10).alias("betweenness"), F.lit(0.0).alias("error_bound"), F.lit(n).cast("long").alias("sources"))
+        exact = _class_betweenness(named, classes, carry=("name",))
+        return exact.select(F.col("name").alias("node_id"), "betweenness", F.lit(0.0).alias("error_bound"), F.lit(n).cast("long").alias("sources"))
+    every = walker.sums(classes.classes().select(F.col("class").cast("string"), F.col("size").cast("double").alias("times"))).withColumn("class", F.col("class").cast("long"))
+    return classes.expanded(named, every).select(
+        F.col("name").alias("node_id"), F.round(F.coalesce("s1", F.lit(0.0)) / ((n - 1.0) * (n - 2.0)), 10).alias("betweenness"), F.lit(0.0).alias("error_bound"), F.lit(n).cast("long").alias("sources"))

@@ -327,3 +327,49 @@ def test_a_pair_leaves_most_of_the_graph_unread():
     for s, t in rng.integers(0, 2_100, (50, 2)):
         pairs.shares(int(s), int(t))
     assert sum(read) < 50 * 2_100 / 10
+
+
+def test_adjacency_reads_its_edges_once(spark):
+    rows = [("a", "b"), ("b", "a"), ("a", "b"), ("c", "c"), ("c", "c"), (None, "a"), ("a", None), (None, None), ("b", "c")]
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    got = graph.adjacency(edges)
+    assert sorted(map(str, got.collect())) == sorted(map(str, edges.union(edges.select("dst", "src")).distinct().collect()))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_sampled_searches_join_numbers(spark, monkeypatch):
+    """Every step after the first reads ids of 64 bits and each pair of neighbours is written once; ids that meet are given up."""
+    from pinchgraph.operators import sampling
+
+    names = [f"n{i:03d}" for i in range(400)]
+    n = spark.createDataFrame([(v,) for v in [*names, "n000", None]], "node_id string")
+    adj = graph.adjacency(spark.createDataFrame([(names[i], names[i * 7 % 400]) for i in range(400)] + [(a, b) for a, b in zip(names, names[1:])], "src string, dst string"))
+    pairs = adj.where("src < dst").count()
+    seen, written = [], {}
+    monkeypatch.setattr(sampling, "path_shares", lambda edges, pairs, f=sampling.path_shares: seen.append(edges) or f(edges, pairs))
+    monkeypatch.setattr(sampling, "materialize", lambda df, tag, f=sampling.materialize, **m: written.setdefault(tag, f(df, tag, **m)) if tag == "sample-edges" else f(df, tag, **m))
+    got = sampling.sampled_betweenness(n, adj, error=0.9, first=64, max_rows=0)
+    by_walker = sampling.sampled_betweenness(n, adj, error=0.9, first=64)
+    rows = lambda df: sorted((r.node_id or "", r.betweenness, round(r.error_bound, 9), r.sources) for r in df.collect())
+    assert rows(got) == rows(by_walker) and len(rows(got)) == 402
+    assert seen and all(kind == "bigint" for e in seen for name, kind in e.dtypes if name in ("src", "dst"))
+    assert written["sample-edges"].rows == pairs
+
+    real = F.xxhash64
+    calls = []
+
+    def weak(*columns):  # the first seed gives all names one id
+        calls.append(1)
+        return F.lit(7).cast("long") if len(calls) == 1 else real(*columns)
+
+    monkeypatch.setattr(sampling.F, "xxhash64", weak)
+    of = sampling._ids(n)
+    monkeypatch.setattr(sampling.F, "xxhash64", real)
+    assert n.select(of("node_id")).distinct().count() == 401
+
+
+def test_classes_without_twins_keep_the_edges(spark):
+    adj = graph.adjacency(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("a", "c")], "src string, dst string"))
+    found = graph.twins(adj)
+    assert {(r.src, r["dst"], r["size"]) for r in found.edges.df.collect()} == {(r.src, r.dst, 1) for r in adj.collect()}
+    assert found.edges.rows == 10 and {(r.node_id, r["class"], r["size"]) for r in found.members.collect()} == {(c, c, 1) for c in "abcde"}
