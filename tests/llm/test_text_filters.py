@@ -190,6 +190,23 @@ def test_space_holds_the_passages_of_all_documents(llm, docs_of, prose, monkeypa
     assert np.linalg.norm(docs @ space) ** 2 > 1.02 * np.linalg.norm(docs @ np.linalg.svd(own)[2][:20].T) ** 2
 
 
+def test_stage_fits_on_all_documents(llm, docs_of, prose, tmp_path, monkeypatch):
+    """The pipeline's stage hands every document with a word of the benchmark to the latent space, and drops what it wrote."""
+    import corpus_pipeline
+    from pinchgraph.storage import recorded_scratch
+
+    item = prose(40, 1)
+    llm.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, fitted = docs_of([(i, f"{item.split()[i]} {prose(70, 200 + i)}") for i in range(30)] + [(99, prose(20, 5) + " " + item)]), []
+    monkeypatch.setattr(decontaminate, "latent_space", lambda passages, *rest, f=decontaminate.latent_space: fitted.append(passages.count()) or f(passages, *rest))
+    with recorded_scratch() as outer:
+        with recorded_scratch() as inner:  # holds the same names as the outer one
+            kept = dict(corpus_pipeline.STAGES)["decontamination"](llm, docs, str(tmp_path))
+        assert {r["doc_id"] for r in kept.collect()} == set(range(30)) and fitted == [31]
+        decontaminate.leaks(docs, llm.read.parquet(str(tmp_path / "benchmark.parquet"))).count()
+        assert inner and set(inner) < set(outer)
+
+
 def brute_leaks(rows, items):
     """Every document against every item on words alone, without the latent space."""
     out = set()
